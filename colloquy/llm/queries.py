@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import op1_quality_cnn
+from colloquy.llm import op1_quality_cnn, op4_toxicity, op8_quality_rules
 from colloquy.llm.common import table, tune
 
 
@@ -16,9 +16,23 @@ def op1_quality_cnn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_quality_cnn.score(docs, op1_quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = table(spark, sf_dir, "documents")
+    return op4_toxicity.score(docs, op4_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_quality_rules_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = table(spark, sf_dir, "documents")
+    return op8_quality_rules.judge(docs, op8_quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_cnn": op1_quality_cnn_scores,
+        "op4_toxicity": op4_toxicity_scores,
+        "op8_quality_rules": op8_quality_rules_verdicts,
     }
 
 

@@ -36,7 +36,7 @@ class Trees:
         return sigmoid(self.margin(x))
 
 
-def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, l2: float = 4.0, least: float = 4.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, l2: float = 4.0, least: float = 4.0) -> Trees:
     """Boost ``rounds`` trees of ``depth`` on the logistic loss.
 
     ``monotone`` maps a feature to +1 (score never falls as it grows) or -1. A split on such a feature is taken only if
@@ -106,23 +106,24 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, ro
     return Trees(np.array(features), np.array(limits), np.array(values), base, depth)
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: the knots (score, probability) of the best non-decreasing fit of ``y`` on ``score``.
 
     One prior row of the mean outcome is added to each pooled block, so that no block claims certainty.
     """
     if not len(score):
         return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    weight = np.ones(len(score)) if weight is None else weight
     order = np.argsort(score, kind="stable")
     at, first = np.unique(score[order], return_index=True)
-    sums = np.add.reduceat(y[order].astype(float), first)
-    counts = np.diff(np.append(first, len(order))).astype(float)
+    sums = np.add.reduceat((y * weight)[order], first)
+    counts = np.add.reduceat(weight[order], first)
     blocks: list[list[float]] = []  # sum, count, knots
     for s, c in zip(sums, counts):
         blocks.append([s, c, 1])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s2, c2, k2 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s2, blocks[-1][1] + c2, blocks[-1][2] + k2]
-    prior = float(np.mean(y))
+    prior = float((y * weight).sum() / weight.sum())
     fitted = np.concatenate([np.full(int(k), (s + prior) / (c + 1)) for s, c, k in blocks])
     return at, np.maximum.accumulate(fitted)
