@@ -24,7 +24,7 @@ from colloquy.llm.common import held_out, labelled_sample, utf8
 from colloquy.llm.trees import Trees, fit as fit_trees, isotonic
 
 #: A term enters the lexicon if LEAST_DOCS toxic documents of the sample have it, and LEAST_SHARE of them.
-PER_CLASS, LEXICON, LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT, STEM, NEAR, FOLDS, THRESHOLD = 1500, 400, 4, 0.006, 1.5, 4, 5, 3, 0.7
+PER_CLASS, LEXICON, LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT, STEM, NEAR, FOLDS, THRESHOLD = 1500, 400, 4, 0.02, 2.5, 4, 5, 3, 0.7
 #: Second-person words of the languages at hand.
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine tu te toi ton ta vous votre vos ti tus usted ustedes vosotros".encode().split()

@@ -36,7 +36,7 @@ class Trees:
         return sigmoid(self.margin(x))
 
 
-def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, l2: float = 4.0, least: float = 4.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, l2: float = 1.0, least: float = 0.6) -> Trees:
     """Boost ``rounds`` trees of ``depth`` on the logistic loss.
 
     ``monotone`` maps a feature to +1 (score never falls as it grows) or -1. A split on such a feature is taken only if
