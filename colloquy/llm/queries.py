@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import op1_quality_cnn, op4_toxicity, op8_quality_rules
+from colloquy.llm import op1_quality_cnn, op4_toxicity, op5_voronoi_knn, op6_host_reputation, op8_quality_rules, op10_pii_crf
 from colloquy.llm.common import table, tune
 
 
@@ -22,6 +22,20 @@ def op4_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_toxicity.score(docs, op4_toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_voronoi_knn_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return op5_voronoi_knn.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_host_reputation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_host_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii_crf_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return op10_pii_crf.find(table(spark, sf_dir, "documents"), op10_pii_crf.train())
+
+
 def op8_quality_rules_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = table(spark, sf_dir, "documents")
@@ -32,9 +46,87 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_cnn": op1_quality_cnn_scores,
         "op4_toxicity": op4_toxicity_scores,
+        "op5_voronoi_knn": op5_voronoi_knn_top10,
+        "op6_host_reputation": op6_host_reputation_verdicts,
         "op8_quality_rules": op8_quality_rules_verdicts,
+        "op10_pii_crf": op10_pii_crf_spans,
     }
 
 
+#: Brute force over every pair of a query and a vector.
+OP5_SQL = """
+WITH valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM valid q JOIN valid d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id
+)
+SELECT query_id, CAST(rn AS INTEGER) AS "rank", vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM scored)
+WHERE rn <= 10
+"""
+
+
+def _spread(children: str, parent: str, column: str) -> str:
+    """The strength of a prior, as op6_host_reputation.strength has it."""
+    return f"""(
+  SELECT CASE WHEN spread IS NULL OR spread <= chance OR room = 0 THEN 200.0
+              ELSE least(greatest(room / (spread - chance) - 1, 1.0), 200.0) END
+  FROM (SELECT sum(c.n * pow(c.bad / c.n - p.bad / p.n, 2)) AS spread, sum(p.bad / p.n * (1 - p.bad / p.n)) AS chance,
+               sum(p.bad / p.n * (1 - p.bad / p.n) * (c.n - 1)) AS room
+        FROM {children} c JOIN {parent} p USING ({column}) WHERE c.n > 0))"""
+
+
+def _op6_sql() -> str:
+    upper, lower = op6_host_reputation.UPPER, op6_host_reputation.LOWER
+    rules = sorted(op6_host_reputation.RULES, key=lambda r: (-len(r[1] + r[2]), r))
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in rules]
+    rule = "CASE " + " ".join(f"{f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, rules)) + " END"
+    action = "CASE " + " ".join(f"{f} THEN '{a}'" for f, (a, _, _) in zip(fits, rules)) + " END"
+    second = "|".join(op6_host_reputation.SECOND_LEVEL)
+    return f"""
+WITH found AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), outcome AS (
+  SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id
+), counted AS (
+  SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad
+  FROM (SELECT DISTINCT page_id, host FROM found) JOIN outcome ON page_id = doc_id GROUP BY host
+), named AS (
+  SELECT DISTINCT host, regexp_replace(host, ':[0-9]*$', '') AS name FROM found
+), parted AS (
+  SELECT host, name, CASE WHEN regexp_extract(name, '((?:^|\\.)(?:{second})\\.[a-z][a-z])$', 1) <> ''
+                          THEN ltrim(regexp_extract(name, '((?:^|\\.)(?:{second})\\.[a-z][a-z])$', 1), '.')
+                          ELSE list_extract(string_split(name, '.'), -1) END AS suffix
+  FROM named
+), hosts AS (
+  SELECT host, suffix, CASE WHEN before = '' THEN suffix ELSE list_extract(string_split(before, '.'), -1) || '.' || suffix END AS domain,
+         '' AS root, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad
+  FROM (SELECT *, rtrim(substr(name, 1, greatest(length(name) - length(suffix), 0)), '.') AS before FROM parted) LEFT JOIN counted USING (host)
+), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, root, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+roots AS (SELECT root, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+domain_n AS (SELECT domain, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+w AS (SELECT {_spread("suffixes", "roots", "root")} AS suffix_w, {_spread("domains", "suffixes", "suffix")} AS domain_w, {_spread("hosts", "domain_n", "domain")} AS host_w,
+             ((SELECT sum(bad) FROM hosts) + 1) / ((SELECT sum(n) FROM hosts) + 2) AS share),
+suffix_m AS (SELECT suffix, (bad + suffix_w * share) / (n + suffix_w) AS m FROM suffixes, w),
+domain_m AS (SELECT domain, (d.bad + domain_w * s.m) / (d.n + domain_w) AS m FROM domains d JOIN suffix_m s USING (suffix), w),
+posterior AS (SELECT host, h.bad + host_w * d.m AS a, h.n - h.bad + host_w * (1 - d.m) AS b FROM hosts h JOIN domain_m d USING (domain), w),
+blocked AS (
+  SELECT host FROM posterior
+  WHERE a / (a + b) - {op6_host_reputation.Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > {op6_host_reputation.LIMIT}
+)
+SELECT page_id, host, path, {rule} AS rule,
+       coalesce({action}, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' END, 'allow') AS verdict
+FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_voronoi_knn": OP5_SQL, "op6_host_reputation": _op6_sql()}
