@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import op1_quality_cnn, op4_toxicity, op5_voronoi_knn, op6_host_reputation, op8_quality_rules, op10_pii_crf
+from colloquy.llm import op1_quality_cnn, op3_simhash, op4_toxicity, op5_voronoi_knn, op6_host_reputation, op8_quality_rules, op10_pii_crf
 from colloquy.llm.common import table, tune
 
 
@@ -16,6 +16,11 @@ def op1_quality_cnn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_quality_cnn.score(docs, op1_quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return op3_simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = table(spark, sf_dir, "documents")
@@ -45,6 +50,7 @@ def op8_quality_rules_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_cnn": op1_quality_cnn_scores,
+        "op3_simhash": op3_simhash_components,
         "op4_toxicity": op4_toxicity_scores,
         "op5_voronoi_knn": op5_voronoi_knn_top10,
         "op6_host_reputation": op6_host_reputation_verdicts,
