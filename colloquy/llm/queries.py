@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import op1_quality_cnn, op3_simhash, op4_toxicity, op5_voronoi_knn, op6_host_reputation, op8_quality_rules, op10_pii_crf
+from colloquy.llm import op1_quality_cnn, op3_simhash, op4_toxicity, op5_voronoi_knn, op6_host_reputation, op7_balanced_shards, op8_quality_rules, op9_soft_mixing, op10_pii_crf
 from colloquy.llm.common import table, tune
 
 
@@ -36,6 +36,16 @@ def op6_host_reputation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_host_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op7_balanced_shards_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_balanced_shards.shard(table(spark, sf_dir, "documents"))
+
+
+def op9_soft_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = table(spark, sf_dir, "documents")
+    return op9_soft_mixing.rates(docs, op9_soft_mixing.labelled_domains(docs, table(spark, sf_dir, "labels")), op9_soft_mixing.TARGETS)
+
+
 def op10_pii_crf_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return op10_pii_crf.find(table(spark, sf_dir, "documents"), op10_pii_crf.train())
@@ -54,7 +64,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity_scores,
         "op5_voronoi_knn": op5_voronoi_knn_top10,
         "op6_host_reputation": op6_host_reputation_verdicts,
+        "op7_balanced_shards": op7_balanced_shards_rows,
         "op8_quality_rules": op8_quality_rules_verdicts,
+        "op9_soft_mixing": op9_soft_mixing_rates,
         "op10_pii_crf": op10_pii_crf_spans,
     }
 
