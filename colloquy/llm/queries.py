@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import op1_quality_cnn, op3_simhash, op4_toxicity, op5_voronoi_knn, op6_host_reputation, op7_balanced_shards, op8_quality_rules, op9_soft_mixing, op10_pii_crf
+from colloquy.llm import op1_quality_cnn, op2_byte_bpe, op3_simhash, op4_toxicity, op5_voronoi_knn, op6_host_reputation, op7_balanced_shards, op8_quality_rules, op9_soft_mixing, op10_pii_crf
 from colloquy.llm.common import table, tune
 
 
@@ -16,6 +16,22 @@ def op1_quality_cnn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_quality_cnn.score(docs, op1_quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: The rank file of the registered query and the pipeline.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def vocabulary() -> tuple[str, str]:
+    """The place of the rank file and the pattern that splits texts."""
+    import public_tokenizers
+
+    return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+
+
+def op2_byte_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return op2_byte_bpe.encode(table(spark, sf_dir, "documents"), *vocabulary())
+
+
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return op3_simhash.report(table(spark, sf_dir, "documents"))
@@ -60,6 +76,7 @@ def op8_quality_rules_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_cnn": op1_quality_cnn_scores,
+        "op2_byte_bpe": op2_byte_bpe_digests,
         "op3_simhash": op3_simhash_components,
         "op4_toxicity": op4_toxicity_scores,
         "op5_voronoi_knn": op5_voronoi_knn_top10,
