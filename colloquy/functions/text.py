@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _folds() -> tuple[str, str]:
@@ -39,7 +40,7 @@ def normalize_index(text: Column) -> Column:
     return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_exact(text: pd.Series) -> pd.Series:
     """As ``normalize_index`` for any script: full compatibility decomposition."""
     decomposed = text.str.lower().map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not 0x300 <= ord(c) <= 0x36F))

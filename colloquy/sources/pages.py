@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 EPISODE_TITLE = r"(?i)^AMA\s*(?:[|:—–-]\s*)?[A-Za-z]+\s+\d{4}$"
@@ -48,7 +49,7 @@ def audio_of(html: Column, url: Column) -> Column:
     return F.coalesce(absolute(found, url), url)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def absolute(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else urljoin(b or "", h) for h, b in zip(href, base)])
 
