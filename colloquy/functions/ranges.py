@@ -35,13 +35,15 @@ def all_ranges(text: Column, terms: list[str]) -> Column:
     plain = normalize_query(text)
     out = F.array().cast(RANGE)
     for t in terms:
-        pieces = F.split(plain, t)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(RANGE).alias("found"))
-        step = lambda s, p, n=len(t): F.struct(
-            (s["at"] + F.length(p) + n).alias("at"),
-            F.concat(s["found"], F.array(F.struct((s["at"] + F.length(p)).alias("start"), (s["at"] + F.length(p) + n).alias("end")))).alias("found"),
-        )
-        out = F.concat(out, F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda s: s["found"]))
+        pieces, size = F.split(plain, t), len(t)
+
+        def step(done: Column, piece: Column) -> Column:
+            start = done["at"] + F.length(piece)
+            return F.struct((start + size).alias("at"), F.concat(done["found"], F.array(F.struct(start.alias("start"), (start + size).alias("end")))).alias("found"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(RANGE).alias("found"))
+        hits = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        out = F.concat(out, F.aggregate(hits, begin, step, lambda done: done["found"]))
     return out
 
 
