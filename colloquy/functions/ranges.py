@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,15 +72,27 @@ def marked_runs(text: Column, ranges: Column) -> Column:
     return F.filter(pieces, lambda p: p["text"] != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def snippet(text: Column, terms: list[str], radius: int = 170) -> Column:
     """A window around the earliest term, grown to whole words, with an ellipsis where it is cut; the head if no term occurs."""
-    plain, size = normalize_query(text), F.length(text)
-    hits = [F.nullif(F.position(F.lit(t), plain), F.lit(0)) - 1 for t in terms]
-    center = F.least(*hits) if len(hits) > 1 else hits[0] if hits else F.lit(None).cast("int")
-    left, right = F.greatest(center - radius, F.lit(0)), F.least(center + radius, size)
-    start = left - F.length(F.regexp_extract(F.substring(text, F.lit(1), left), r"(?U)\S*\z", 0))
-    end = right + F.length(F.regexp_extract(F.substr(text, right + 1), r"(?U)\A\S*", 0))
-    window = F.concat(F.when(start > 0, "…").otherwise(""), F.regexp_replace(F.substring(text, start + 1, end - start), r"(?U)\A\s+|\s+\z", ""), F.when(end < size, "…").otherwise(""))
-    head_end = 2 * radius + F.length(F.regexp_extract(F.substr(text, F.lit(2 * radius + 1)), r"(?U)\A\S*", 0))
+    size = F.length(text)
+    word_at_end = lambda part: F.length(F.substring_index(F.regexp_replace(part, r"(?U)\s", " "), " ", -1))
+    word_at_start = lambda part: F.length(F.regexp_extract(part, r"(?U)\A\S*", 0))
+
+    def around(center: Column) -> Column:
+        left, right = F.greatest(center - radius, F.lit(0)), F.least(center + radius, size)
+        start = left - word_at_end(F.substring(text, F.lit(1), left))
+        end = right + word_at_start(F.substr(text, right + 1))
+        return let(F.struct(start.alias("s"), end.alias("e")), lambda w: F.concat(F.when(w["s"] > 0, "…").otherwise(""), F.regexp_replace(F.substring(text, w["s"] + 1, w["e"] - w["s"]), r"(?U)\A\s+|\s+\z", ""), F.when(w["e"] < size, "…").otherwise("")))
+
+    def earliest(plain: Column) -> Column:
+        return F.array_min(F.array(*(F.nullif(F.position(F.lit(t), plain), F.lit(0)) for t in terms))) - 1 if terms else F.lit(None).cast("int")
+
+    head_end = 2 * radius + word_at_start(F.substr(text, F.lit(2 * radius + 1)))
     head = F.concat(F.regexp_replace(F.substring(text, F.lit(1), head_end), r"(?U)\s+\z", ""), F.lit("…"))
-    return F.when(F.coalesce(size, F.lit(0)) == 0, "").when(center.isNotNull(), window).when(size <= 2 * radius, text).otherwise(head)
+    found = let(let(normalize_query(text), earliest), lambda c: F.when(c.isNotNull(), around(c)).when(size <= 2 * radius, text).otherwise(head))
+    return F.when(F.coalesce(size, F.lit(0)) == 0, "").otherwise(found)

@@ -16,7 +16,7 @@ AHEAD, NAME_WEIGHT, LATEST, PACE, ACCEPT, OPENING = 100, 0.8, 0.8, 150, 0.45, 8
 LEAST_SECONDS, WORDS_A_SECOND, GRACE = 4.0, 3.3, 12.0
 
 
-def _flat(text: Column) -> Column:
+def flat(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
 
 
@@ -36,45 +36,45 @@ def look_ahead(cues: DataFrame, seconds: int = AHEAD) -> DataFrame:
     return cues.withColumn("_near", near).withColumn("ahead", F.array_join(F.transform("_near", lambda x: x["text"]), " ")).drop("_near")
 
 
-def name_score(names: Column, text: Column) -> Column:
-    """The best share of a name's words that the text has: alike, with the same first four letters, or within a quarter of edits."""
-    heard = content_words(text)
+def name_score(names: Column, heard: Column) -> Column:
+    """The best share of a name's words that were heard: alike, with the same first four letters, or within a quarter of edits.
+
+    ``names``: an array of each name's content words; ``heard``: the caption's content words.
+    """
 
     def like(word: Column, caption: Column) -> Column:
         edits = F.greatest(F.lit(1), F.floor(F.length(word) / 4)).cast("int")
         return (caption == word) | caption.startswith(F.substring(word, 1, 4)) | ((F.length(word) >= 5) & (F.levenshtein(word, caption) <= edits))
 
-    def share(name: Column) -> Column:
-        words = content_words(name)
+    def share(words: Column) -> Column:
         return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.exists(heard, lambda c: like(w, c)))) / F.size(words)).otherwise(0.0)
 
     return F.coalesce(F.array_max(F.transform(names, share)), F.lit(0.0))
 
 
-def overlap(question: Column, text: Column) -> Column:
-    """The share of the question's distinct content words that the text has."""
-    words = F.array_distinct(content_words(question))
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(_flat(text), w))) / F.size(words)).otherwise(0.0)
+def overlap(words: Column, flat: Column) -> Column:
+    """The share of the distinct content words that the flat text has."""
+    own = F.array_distinct(words)
+    return F.when(F.size(own) > 0, F.size(F.filter(own, lambda w: F.contains(flat, w))) / F.size(own)).otherwise(0.0)
 
 
 def align(questions: DataFrame, cues: DataFrame) -> DataFrame:
     """question_id, start_sec, answer_start_sec, score: the cue that introduces each question best.
 
-    ``questions``: episode_id, question_id, question_text, speaker_names, from_sec, until_sec. Cues without a name or an
-    opening word are dropped before any look-ahead text is scored.
+    ``questions``: episode_id, question_id, question_text, speaker_names, from_sec, until_sec. Words and flat texts are made
+    below the join, once a question and once a cue. Cues without a name or an opening word are dropped before any
+    look-ahead text is scored.
     """
-    q, c = questions.alias("q"), look_ahead(cues).alias("c")
-    words = content_words(F.col("q.question_text"))
-    met = q.join(c, (F.col("q.episode_id") == F.col("c.episode_id")) & (F.col("c.start_sec") >= F.col("q.from_sec")) & (F.col("c.start_sec") < F.coalesce("q.until_sec", F.lit(float("inf")))))
-    named = name_score(F.col("q.speaker_names"), F.col("c.text"))
-    opens = F.exists(F.slice(words, 1, OPENING), lambda w: F.contains(_flat(F.col("c.text")), w))
-    rows = met.withColumn("_named", named).where((F.col("_named") > 0) | opens).withColumn("_words", words).withColumn("_flat", _flat(F.col("c.ahead")))
-    first = F.element_at(F.filter("_words", lambda w: F.contains(F.col("_flat"), w)), 1)
-    late = F.coalesce(F.least(F.lit(LATEST), (F.position(first, F.col("_flat")) - 1) / PACE), F.lit(LATEST))
-    score = overlap(F.col("q.question_text"), F.col("c.ahead")) + F.col("_named") * NAME_WEIGHT - late
-    best = F.max_by(F.struct(F.floor("c.start_sec").alias("start_sec"), F.floor("c.end_sec").alias("answer_start_sec"), F.col("_score").alias("score")), F.struct("_score", (-F.col("c.start_sec")).alias("_early")))
-    found = rows.withColumn("_score", score).groupBy("q.question_id").agg(best.alias("b")).where(F.col("b.score") >= ACCEPT)
-    return found.select("question_id", "b.start_sec", "b.answer_start_sec", "b.score")
+    asked = questions.select("episode_id", "question_id", "from_sec", F.coalesce(F.col("until_sec").cast("double"), F.lit(float("inf"))).alias("until_sec"), content_words(F.col("question_text")).alias("words"), F.transform("speaker_names", content_words).alias("names"))
+    heard = look_ahead(cues).select("episode_id", "start_sec", "end_sec", flat(F.col("text")).alias("flat"), content_words(F.col("text")).alias("heard"), flat(F.col("ahead")).alias("ahead"))
+    met = asked.join(heard, "episode_id").where((F.col("start_sec") >= F.col("from_sec")) & (F.col("start_sec") < F.col("until_sec")))
+    rows = met.withColumn("named", name_score(F.col("names"), F.col("heard")))
+    opens = F.exists(F.slice("words", 1, OPENING), lambda w: F.contains(F.col("flat"), w))
+    first = F.element_at(F.filter("words", lambda w: F.contains(F.col("ahead"), w)), 1)
+    late = F.coalesce(F.least(F.lit(LATEST), (F.position(first, F.col("ahead")) - 1) / PACE), F.lit(LATEST))
+    rows = rows.where((F.col("named") > 0) | opens).withColumn("score", overlap(F.col("words"), F.col("ahead")) + F.col("named") * NAME_WEIGHT - late)
+    best = F.max_by(F.struct(F.floor("start_sec").alias("start_sec"), F.floor("end_sec").alias("answer_start_sec"), "score"), F.struct("score", (-F.col("start_sec")).alias("early")))
+    return rows.groupBy("question_id").agg(best.alias("b")).where(F.col("b.score") >= ACCEPT).select("question_id", "b.start_sec", "b.answer_start_sec", "b.score")
 
 
 def answer_starts(questions: DataFrame, cues: DataFrame) -> DataFrame:

@@ -60,13 +60,18 @@ SELECT {select} FROM scored JOIN seg USING (shard, segment_id) WHERE {where}
 ORDER BY score DESC, start_sec DESC, segment_id LIMIT 240"""
 
 
+def _index(seg: DataFrame) -> DataFrame:
+    """The index that an engine has stored; a query reads it several times."""
+    return keyword.postings(seg).persist()
+
+
 TERMS = ["with", "the", "tion", "the"]
 
 
 @query(f"SELECT segment_id, shard, episode_id, type, start_sec, score, question FROM ({_keyword_sql(TERMS, select='*')}) ORDER BY score DESC, start_sec DESC, segment_id LIMIT 200")
 def keyword_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    ranked = keyword.best(keyword.rank(keyword.postings(seg), seg, TERMS), keyword.RESULTS)
+    ranked = keyword.best(keyword.rank(_index(seg), seg, TERMS), keyword.RESULTS)
     return seg.select("segment_id", "question").join(F.broadcast(ranked), "segment_id").select("segment_id", "shard", "episode_id", "type", "start_sec", "score", "question")
 
 
@@ -76,19 +81,19 @@ FUZZY = ["tion", "keit", "reading", "copyright"]
 @query(_keyword_sql(FUZZY))
 def keyword_fuzzy_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    return keyword.rank(keyword.postings(seg), seg, FUZZY).select("segment_id", "shard", "score")
+    return keyword.rank(_index(seg), seg, FUZZY).select("segment_id", "shard", "score")
 
 
 @query(_keyword_sql(["with", "tion"], "type = 'question' AND episode_id = 'src3'", "shard = 'en'"))
 def keyword_filters_episode_type_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    return keyword.rank(keyword.postings(seg), seg, ["with", "tion"], "question", "src3", ["en"]).select("segment_id", "shard", "score")
+    return keyword.rank(_index(seg), seg, ["with", "tion"], "question", "src3", ["en"]).select("segment_id", "shard", "score")
 
 
 @query(f"WITH {SEG} SELECT segment_id, start_sec, CAST(0 AS BIGINT) AS score FROM seg WHERE type = 'question' ORDER BY start_sec DESC, segment_id LIMIT 240")
 def keyword_browse_empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    return keyword.rank(keyword.postings(seg), seg, [], "question").select("segment_id", "start_sec", "score")
+    return keyword.rank(_index(seg), seg, [], "question").select("segment_id", "start_sec", "score")
 
 
 @query(f"WITH {POSTINGS} SELECT * FROM postings")
@@ -282,7 +287,7 @@ SELECT id, coalesce(first_rank, 0) AS first_rank, coalesce(second_rank, 0) AS se
 ORDER BY coalesce(1.0 / (60 + first_rank), 0) + coalesce(1.0 / (60 + second_rank), 0) DESC, kw.first_rank NULLS LAST, sem.second_rank NULLS LAST LIMIT 200""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg, rows = segments(spark, sf_dir), _byte_vectors(spark, sf_dir)
-    exact = keyword.rank(keyword.postings(seg), seg, ["with", "tion"])
+    exact = keyword.rank(_index(seg), seg, ["with", "tion"])
     near = rows.select("vec_id", vectors.int_dot(_vector(rows, 0), F.col("q")).alias("score")).orderBy(F.desc("score"), "vec_id").limit(keyword.CANDIDATES)
     first = fusion.ranked(exact.withColumnRenamed("segment_id", "id"), "first_rank", F.desc("score"), F.desc("start_sec"), "id")
     second = fusion.ranked(near.withColumnRenamed("vec_id", "id"), "second_rank", F.desc("score"), "id")
@@ -297,7 +302,7 @@ def _engine(spark: SparkSession, sf_dir: str, dimensions: int = 24):
     docs = seg.select("segment_id", F.concat_ws(" ", "question", "answer").alias("text"))
     stored = artifacts.word_table(semantic.train(docs, "segment_id", F.col("text"), dimensions, margin=8)).persist()
     words = artifacts.query_words(stored)
-    index = keyword.postings(seg)
+    index = _index(seg)
     return Engine(seg, index, index.select("shard", "term").distinct(), keyword.dictionary(seg), artifacts.passage_vectors(seg, words), words)
 
 
@@ -524,14 +529,11 @@ hits AS (SELECT item_id, conv_id, turn, round(CAST(len(list_filter(w, lambda x:
 SELECT item_id, conv_id, turn, score FROM hits WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id, turn) = 1""")
 def caption_align_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark text's best turn by word overlap, among turns that share a whole word: an equi-join on words, not a product."""
-    content = F.array_distinct(text.content_words(F.col("text")))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question_text"), F.explode(content).alias("w"))
-    flat = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " ")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("said"), F.explode(F.array_distinct(F.split(flat, " "))).alias("w"))
-    # a pair meets once for each shared word; the text is scored once a pair
-    met = asked.select("item_id", "w").join(turns.select("conv_id", "turn", "w"), "w").select("item_id", "conv_id", "turn").distinct()
-    texts = met.join(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"]).join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question_text")), "item_id")
-    scored = texts.select("item_id", "conv_id", "turn", F.round(align.overlap(F.col("question_text"), F.col("text")), 6).alias("score")).where("score > 0")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(text.content_words(F.col("text"))).alias("words"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", align.flat(F.coalesce("text", F.lit(""))).alias("flat"))
+    # a pair meets once for each shared word; it is scored once
+    met = asked.select("item_id", F.explode("words").alias("w")).join(turns.select("conv_id", "turn", F.explode(F.array_distinct(F.split("flat", " "))).alias("w")), "w").select("item_id", "conv_id", "turn").distinct()
+    scored = met.join(turns, ["conv_id", "turn"]).join(asked, "item_id").select("item_id", "conv_id", "turn", F.round(align.overlap(F.col("words"), F.col("flat")), 6).alias("score")).where("score > 0")
     best = scored.groupBy("item_id").agg(F.max_by(F.struct("conv_id", "turn", "score"), F.struct("score", (-F.col("conv_id")).alias("c"), (-F.col("turn")).alias("t"))).alias("b"))
     return best.select("item_id", "b.conv_id", "b.turn", "b.score")
 
@@ -578,7 +580,7 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT segment_id, rank FROM (SELECT segment_id, row_number() OVER (ORDER BY score DESC, start_sec DESC, segment_id) AS rank FROM ({_keyword_sql(TERMS, select='*')})) WHERE rank > 24 AND rank <= 48")
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    ranked = fusion.ranked(keyword.rank(keyword.postings(seg), seg, TERMS), "rank", F.desc("score"), F.desc("start_sec"), "segment_id")
+    ranked = fusion.ranked(keyword.rank(_index(seg), seg, TERMS), "rank", F.desc("score"), F.desc("start_sec"), "segment_id")
     return present.page(ranked, 1).select("segment_id", "rank")
 
 
