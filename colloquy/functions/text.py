@@ -167,3 +167,8 @@ def rewrite_last_term(query: Column, suggestion: Column) -> Column:
     """The query with its last word replaced; null if that changes nothing."""
     head = F.regexp_extract(query, "^(.* )?[^ ]*$", 1)
     return F.when(suggestion.isNotNull() & (F.substring_index(query, " ", -1) != suggestion), F.concat(head, suggestion))
+
+
+def accept_suggestion(query: Column, suggestion: Column) -> Column:
+    """The query with its last word completed, ready for the next one."""
+    return F.concat(F.regexp_extract(query, "^(.* )?[^ ]*$", 1), suggestion, F.lit(" "))

@@ -27,3 +27,16 @@ def unit(vector: Column) -> Column:
     """Scaled to length 1; null for a zero vector."""
     norm = F.sqrt(dot(vector, vector))
     return F.when(norm > 0, F.transform(vector, lambda x: x / norm))
+
+
+def packed(vector: Column) -> Column:
+    """Signed bytes as base64 text, for readers outside Spark."""
+    return F.base64(F.unhex(F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")), "")))
+
+
+def unpacked(text: Column) -> Column:
+    """The signed bytes of ``packed`` text."""
+    digits = F.hex(F.unbase64(text))
+    byte = lambda k: F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+    signed = F.transform(F.sequence(F.lit(0), F.floor(F.length(digits) / 2).cast("int") - 1), lambda k: F.when(byte(k) > 127, byte(k) - 256).otherwise(byte(k)).cast("tinyint"))
+    return F.when(F.length(digits) > 0, signed).otherwise(F.array().cast("array<tinyint>"))

@@ -43,3 +43,8 @@ def chips(states: DataFrame, episode_numbers: DataFrame, label: str = "AMA") ->
     episode = F.when(F.col("number").isNotNull(), chip("episode", F.concat(F.lit(f"Episode: {label} "), F.col("number").cast("string"))))
     kind = F.when(F.col("type") != "all", chip("type", labels[F.col("type")]))
     return known.withColumn("chips", F.array_compact(F.array(year, episode, kind))).drop("number")
+
+
+def sample_queries(queries: DataFrame, n: int = 3, seed: int | None = None) -> DataFrame:
+    """n queries drawn at random, the same ones for the same seed."""
+    return queries.orderBy(F.rand(seed)).limit(n)

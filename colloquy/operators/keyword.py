@@ -100,3 +100,20 @@ def suggest(words: DataFrame, prefix: str, n: int = SUGGESTIONS) -> DataFrame:
     top = first.orderBy(F.desc("place"), "term").limit(n)
     order = Window.orderBy(F.desc("place"), "term")  # over at most n rows
     return top.select("term", F.row_number().over(order).cast("long").alias("position"))
+
+
+def bm25(index: DataFrame, segments: DataFrame, terms: list[str], n: int = CANDIDATES, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """An opt-in ranking: saturated weights, inverse document frequency and length. ``rank`` does not use it.
+
+    Lengths are sums of weights; both statistics are aggregates over the index, and only two numbers reach the driver.
+    """
+    size = index.groupBy("segment_id").agg(F.sum("weight").alias("size"))
+    whole = size.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).head()
+    if not whole.n:
+        return best(segments.withColumn("score", F.lit(0.0)).where(F.lit(False)), n)
+    own = index.where(F.col("term").isin(terms))
+    rarity = own.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (whole.n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("weight") * (k1 + 1) / (F.col("weight") + k1 * (1 - b + b * F.col("size") / whole.mean))
+    # a handful of terms
+    scores = own.join(F.broadcast(rarity), "term").join(size, "segment_id").groupBy("segment_id").agg(F.sum(part).alias("score"))
+    return best(segments.join(scores, "segment_id"), n)

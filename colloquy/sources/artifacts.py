@@ -66,6 +66,25 @@ def build(spark: SparkSession, episodes: DataFrame, path: str, dimensions: int =
     return found
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest that ``build`` wrote: kind, shard, rows, build, model, version."""
+    return spark.read.schema("kind string, shard string, rows long, build_id string, model string, version int").json(f"{path}/manifest")
+
+
+def encoded(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """key, parts: each text's runs in order, as a dictionary id where the run has one (run, id), else as they are."""
+    cut = rows.select(key, F.posexplode(runs(text)).alias("pos", "run"))
+    known = cut.join(dictionary.select("run", "id"), "run", "left")
+    return known.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", F.when(F.col("id").isNull(), F.col("run")).alias("raw")))), lambda x: F.struct(x["id"].alias("id"), x["raw"].alias("raw"))).alias("parts"))
+
+
+def decoded(rows: DataFrame, key: str, dictionary: DataFrame) -> DataFrame:
+    """key, text of ``encoded`` rows."""
+    cut = rows.select(key, F.posexplode("parts").alias("pos", "p")).select(key, "pos", "p.id", "p.raw")
+    back = cut.join(dictionary.select("id", "run"), "id", "left")
+    return back.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("run", "raw").alias("t")))), lambda x: x["t"]), "").alias("text"))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """kind, shard, rows of each shard table."""
     parts = [spark.read.parquet(f"{path}/{kind}").groupBy(F.col("shard").cast("string").alias("shard")).agg(F.count("*").alias("rows")).select(F.lit(kind).alias("kind"), "shard", "rows") for kind in ("keyword", "autocomplete", "docs", "vectors")]

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
+from urllib.request import Request, urlopen
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,6 +134,12 @@ def crawl(spark: SparkSession, fetch: Callable[[str], str], start: str, most: in
     return spark.createDataFrame(rows, "page_no long, url string, html string")
 
 
+def fetch_text(url: str, agent: str = "transcript-indexer/1.0", seconds: int = 60) -> str:
+    """A page over HTTP; any status but success raises."""
+    with urlopen(Request(url, headers={"User-Agent": agent}), timeout=seconds) as answer:
+        return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+
+
 def fetched(todo: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
     """url, html: pages fetched inside tasks, a partition at a time."""
 

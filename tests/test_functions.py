@@ -103,6 +103,14 @@ def test_vectors(spark):
     assert one(spark, vectors.unit(F.array(F.lit(0.0)))) is None
 
 
+def test_packed_bytes_round_trip(spark):
+    q = vectors.quantize(F.array(F.lit(0.5), F.lit(-1.0), F.lit(0.0)))
+    assert one(spark, vectors.packed(q)) == "QIEA"
+    assert one(spark, vectors.unpacked(vectors.packed(q))) == [64, -127, 0]
+    assert one(spark, vectors.unpacked(F.lit(""))) == []
+    assert one(spark, text.accept_suggestion(F.lit("free wi"), F.lit("will"))) == "free will "
+
+
 def test_query_state():
     assert QueryState.from_url("") == QueryState()
     full = QueryState("free will", "semantic", "2024", "question", "ama-2024-01", "ama-2024-01#q02")

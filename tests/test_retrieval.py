@@ -149,3 +149,23 @@ def test_sessions(spark):
     keys = spark.createDataFrame([(1, 1, "g", 0), (1, 2, "k", 500), (1, 3, "g", 2000), (1, 4, "h", 3000)], "user_id int, event_id int, event_type string, at_ms long")
     assert [(r.first_ms, r.event_type) for r in session.chords(keys, "g", ("k", "h")).collect()] == [(0, "k")]
     assert [r.event_id for r in session.settled(keys, 900).orderBy("event_id").collect()] == [2, 3, 4]
+
+
+def test_dictionary_encoding_round_trips(spark):
+    rows = spark.createDataFrame([(1, "the cat, the dog"), (2, "the end"), (3, "")], "k int, t string")
+    words = artifacts.text_dictionary(rows, "t").where("run = 'the'").select("run", F.lit(0).alias("id"))
+    coded = artifacts.encoded(rows, "k", "t", words)
+    assert [p.id for p in coded.where("k = 2").head().parts] == [0, None, None]
+    assert {r.k: r.text for r in artifacts.decoded(coded, "k", words).collect()} == {1: "the cat, the dog", 2: "the end"}
+
+
+def test_opt_in_ranking_prefers_rare_terms(spark, seg):
+    got = keyword.bm25(keyword.postings(seg), seg, ["entropy", "coordinate"]).collect()
+    assert {r.segment_id for r in got} == {"s1", "s2", "s3"} and all(r.score > 0 for r in got)
+    assert keyword.bm25(keyword.postings(seg).limit(0), seg, ["x"]).count() == 0
+
+
+def test_sampled_queries_repeat_by_seed(spark):
+    pool = spark.createDataFrame([(f"q{i}",) for i in range(8)], "q string")
+    draw = lambda: [r.q for r in facets.sample_queries(pool, 3, 5).collect()]
+    assert draw() == draw() and len(set(draw())) == 3
