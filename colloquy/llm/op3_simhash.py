@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, tau: int = TAU) -> Dat
     distinct = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(distinct, Plan(distinct, distinct.count(), tau)))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written first, so that the join below is of two plain exchanges and a root with many fingerprints can be split
+    smallest = checkpoint(named.groupBy("root").agg(F.min("first").alias("component_id")))
     return own.join(checkpoint(named.join(smallest, "root").select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
