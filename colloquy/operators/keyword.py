@@ -45,22 +45,23 @@ def dictionary(segments: DataFrame, size: int = DICTIONARY) -> DataFrame:
 def contributions(index: DataFrame, terms: list[str], shards: list[str]) -> DataFrame:
     """shard, segment_id, contrib: exact hits weigh EXACT times; where a shard lacks a term, its near words count once.
 
-    Whether a shard has a term is a question to its whole vocabulary, so type and episode filters come after this.
+    Whether a shard has a term is a question to its whole vocabulary, so type and episode filters come after this. The
+    answer, at most one row a term and shard, is fetched first: if no shard lacks a term there is no near branch at all.
     """
     counts = Counter(terms)
-    if not counts:
+    if not counts or not shards:
         return index.select("shard", "segment_id", F.col("weight").alias("contrib")).where(F.lit(False))
-    spark = index.sparkSession
-    asked = spark.createDataFrame([(t, n) for t, n in counts.items()], "asked string, times int")
-    times = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
-    own = index.where(F.col("shard").isin(shards)) if shards else index
+    own = index.where(F.col("shard").isin(shards))
     exact = own.where(F.col("term").isin(list(counts)))
+    times = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
     hits = exact.select("shard", "segment_id", (times[F.col("term")] * EXACT * F.col("weight")).alias("contrib"))
-    # a few terms times a few shards
-    everywhere = own.select("shard").distinct().join(F.broadcast(asked))
-    missing = everywhere.join(exact.select("shard", F.col("term").alias("asked")).distinct(), ["shard", "asked"], "left_anti")
+    found = {(r.shard, r.term) for r in exact.select("shard", "term").distinct().collect()}
+    missing = [(s, t, n) for s in shards for t, n in counts.items() if (s, t) not in found and len(t) > 3]
+    if not missing:
+        return hits
+    asked = index.sparkSession.createDataFrame(missing, "in_shard string, asked string, times int")
     words = own.select("shard", "term").distinct()
-    near = words.join(F.broadcast(missing), (words.shard == missing.shard) & close_words(F.col("asked"), F.col("term"))).select(words.shard, "term", "times")
+    near = words.join(F.broadcast(asked), (F.col("shard") == F.col("in_shard")) & close_words(F.col("asked"), F.col("term")))
     # near words are as many as the vocabulary has around a handful of terms: a small side, but left to the optimizer
     loose = own.join(near.groupBy("shard", "term").agg(F.sum("times").alias("times")), ["shard", "term"]).select("shard", "segment_id", (F.col("times") * F.col("weight")).alias("contrib"))
     return hits.unionByName(loose)
@@ -87,7 +88,8 @@ def rank(index: DataFrame, segments: DataFrame, terms: list[str], kind: str = "a
     meta = segments.where(filters(kind, episode, shards)).select("segment_id", "episode_id", "shard", "type", "start_sec")
     if not terms:
         return best(meta.withColumn("score", F.lit(0).cast("long")), n)
-    scores = contributions(index, terms, shards or []).groupBy("shard", "segment_id").agg(F.sum("contrib").alias("score"))
+    known = shards or sorted(r.shard for r in segments.select("shard").distinct().collect() if r.shard is not None)
+    scores = contributions(index, terms, known).groupBy("shard", "segment_id").agg(F.sum("contrib").alias("score"))
     return best(meta.join(scores, ["shard", "segment_id"]), n)
 
 
