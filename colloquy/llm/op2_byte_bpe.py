@@ -33,21 +33,20 @@ from colloquy.llm.op4_toxicity import texts
 REMEMBERED, AT_ONCE, LONG = 900_000, 40_000, 160
 
 ENCODE = """
-WITH RECURSIVE state(w, p, tok, nxt, done) AS (
-  SELECT w, p, tok, lead(tok) OVER (PARTITION BY w ORDER BY p), false FROM tokens
+WITH RECURSIVE state(w, p, tok, nxt, q, done) AS (
+  SELECT w, p, tok, lead(tok) OVER o, lead(p) OVER o, false FROM tokens WINDOW o AS (PARTITION BY w ORDER BY p)
   UNION ALL (
-    WITH paired AS (
-      SELECT s.w, s.p, s.tok, CASE WHEN m.merged IS NOT NULL THEN (m.merged::BIGINT << 32) + s.p END AS pair
+    WITH paired AS MATERIALIZED (
+      SELECT s.w, s.p, s.tok, s.q, CASE WHEN m.merged IS NOT NULL THEN (m.merged::BIGINT << 32) + s.p END AS pair
       FROM state s LEFT JOIN merges m ON s.tok = m.a AND s.nxt = m.b
       WHERE NOT s.done
     ), chosen AS (
-      SELECT w, p, tok, pair, min(pair) OVER (PARTITION BY w) AS best, lag(pair) OVER (PARTITION BY w ORDER BY p) AS before
-      FROM paired
+      SELECT w, min(pair) AS best, arg_min(q, pair) AS gone FROM paired GROUP BY w
     ), contracted AS (
       SELECT w, p, CASE WHEN pair = best THEN (best >> 32)::INTEGER ELSE tok END AS tok, best
-      FROM chosen WHERE best IS NULL OR before IS DISTINCT FROM best
+      FROM paired JOIN chosen USING (w) WHERE best IS NULL OR p <> gone
     )
-    SELECT w, p, tok, CASE WHEN best IS NOT NULL THEN lead(tok) OVER (PARTITION BY w ORDER BY p) END, best IS NULL FROM contracted
+    SELECT w, p, tok, lead(tok) OVER o, lead(p) OVER o, best IS NULL FROM contracted WINDOW o AS (PARTITION BY w ORDER BY p)
   )
 )
 SELECT w, list(tok ORDER BY p) AS ids FROM state WHERE done GROUP BY w
