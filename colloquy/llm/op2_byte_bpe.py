@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.op4_toxicity import texts
 
-REMEMBERED, AT_ONCE, LONG = 900_000, 40_000, 160
+REMEMBERED, AT_ONCE, LONG = 700_000, 40_000, 160
 
 ENCODE = """
 WITH RECURSIVE state(w, p, tok, nxt, q, done) AS (
