@@ -46,7 +46,8 @@ def contributions(index: DataFrame, terms: list[str], shards: list[str]) -> Data
     """shard, segment_id, contrib: exact hits weigh EXACT times; where a shard lacks a term, its near words count once.
 
     Whether a shard has a term is a question to its whole vocabulary, so type and episode filters come after this. The
-    answer, at most one row a term and shard, is fetched first: if no shard lacks a term there is no near branch at all.
+    answer, at most one row a term and shard, is fetched first. It enters as literals, so exact and near words are one
+    filter on the index, without a join; if no shard lacks a term, that is a plain IN.
     """
     counts = Counter(terms)
     if not counts or not shards:
@@ -54,17 +55,14 @@ def contributions(index: DataFrame, terms: list[str], shards: list[str]) -> Data
     own = index.where(F.col("shard").isin(shards))
     exact = own.where(F.col("term").isin(list(counts)))
     times = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
-    hits = exact.select("shard", "segment_id", (times[F.col("term")] * EXACT * F.col("weight")).alias("contrib"))
     found = {(r.shard, r.term) for r in exact.select("shard", "term").distinct().collect()}
-    missing = [(s, t, n) for s in shards for t, n in counts.items() if (s, t) not in found and len(t) > 3]
-    if not missing:
-        return hits
-    asked = index.sparkSession.createDataFrame(missing, "in_shard string, asked string, times int")
-    words = own.select("shard", "term").distinct()
-    near = words.join(F.broadcast(asked), (F.col("shard") == F.col("in_shard")) & close_words(F.col("asked"), F.col("term")))
-    # near words are as many as the vocabulary has around a handful of terms: a small side, but left to the optimizer
-    loose = own.join(near.groupBy("shard", "term").agg(F.sum("times").alias("times")), ["shard", "term"]).select("shard", "segment_id", (F.col("times") * F.col("weight")).alias("contrib"))
-    return hits.unionByName(loose)
+    factor, seek = F.coalesce(times[F.col("term")] * EXACT, F.lit(0)), F.col("term").isin(list(counts))
+    for term, n in counts.items():
+        lacking = [s for s in shards if (s, term) not in found]
+        if lacking and len(term) > 3:
+            near = F.col("shard").isin(lacking) & close_words(F.lit(term), F.col("term"))
+            factor, seek = factor + F.when(near, n).otherwise(0), seek | near
+    return own.where(seek).select("shard", "segment_id", (factor * F.col("weight")).alias("contrib"))
 
 
 def filters(kind: str = "all", episode: str = "", shards: list[str] | None = None) -> Column:
