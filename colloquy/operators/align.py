@@ -58,6 +58,26 @@ def overlap(words: Column, flat: Column) -> Column:
     return F.when(F.size(own) > 0, F.size(F.filter(own, lambda w: F.contains(flat, w))) / F.size(own)).otherwise(0.0)
 
 
+def word_overlaps(asked: DataFrame, texts: DataFrame, key: str, *keys: str) -> DataFrame:
+    """key, keys, share: for each pair with a whole word in common, the share of the asked words that the flat text has.
+
+    ``asked``: key, words (distinct, of letters and digits); ``texts``: keys, flat. A word is in a flat text if it is part of
+    one of its tokens. So words are looked up once in the distinct tokens, by an equi-join on the tokens' parts of a word's
+    length; pairs are then counted from keys alone, and no text is shuffled or searched once a pair.
+    """
+    words = asked.select(key, F.size("words").alias("of"), F.explode("words").alias("w"))
+    span = words.agg(F.min(F.length("w")).alias("least"), F.max(F.length("w")).alias("most")).head()
+    least, most = F.lit(span.least or 1), F.lit(span.most or 1)
+    heard = texts.select(*keys, F.explode(F.array_distinct(F.split("flat", " "))).alias("token")).where(F.length("token") >= least)
+    token = F.col("token")
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.length(token) - n + 1), lambda i: F.substr(token, i, n))
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(least, F.least(most, F.length(token))), of_length)))
+    known = heard.select("token").distinct().select("token", F.explode(parts).alias("w")).join(words.select("w").distinct(), "w")
+    has = heard.join(known, "token").groupBy(*keys, "w").agg(F.max(token == F.col("w")).alias("whole"))
+    counted = words.join(has, "w").groupBy(key, *keys).agg((F.count("*") / F.first("of")).alias("share"), F.max("whole").alias("whole"))
+    return counted.where("whole").select(key, *keys, "share")
+
+
 def align(questions: DataFrame, cues: DataFrame) -> DataFrame:
     """question_id, start_sec, answer_start_sec, score: the cue that introduces each question best.
 

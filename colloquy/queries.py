@@ -528,12 +528,10 @@ CONTENT = "list_filter(string_split(" + FLAT + f", ' '), lambda w: length(w) > 2
 hits AS (SELECT item_id, conv_id, turn, round(CAST(len(list_filter(w, lambda x: contains(flat, x))) AS DOUBLE) / len(w), 6) AS score FROM q JOIN c ON list_has_any(q.w, list_distinct(string_split(flat, ' '))))
 SELECT item_id, conv_id, turn, score FROM hits WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id, turn) = 1""")
 def caption_align_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text's best turn by word overlap, among turns that share a whole word: an equi-join on words, not a product."""
+    """Each benchmark text's best turn by word overlap, among turns that share a whole word: equi-joins on words, not a product."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(text.content_words(F.col("text"))).alias("words"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", align.flat(F.coalesce("text", F.lit(""))).alias("flat"))
-    # a pair meets once for each shared word; it is scored once
-    met = asked.select("item_id", F.explode("words").alias("w")).join(turns.select("conv_id", "turn", F.explode(F.array_distinct(F.split("flat", " "))).alias("w")), "w").select("item_id", "conv_id", "turn").distinct()
-    scored = met.join(turns, ["conv_id", "turn"]).join(asked, "item_id").select("item_id", "conv_id", "turn", F.round(align.overlap(F.col("words"), F.col("flat")), 6).alias("score")).where("score > 0")
+    scored = align.word_overlaps(asked, turns, "item_id", "conv_id", "turn").select("item_id", "conv_id", "turn", F.round("share", 6).alias("score")).where("score > 0")
     best = scored.groupBy("item_id").agg(F.max_by(F.struct("conv_id", "turn", "score"), F.struct("score", (-F.col("conv_id")).alias("c"), (-F.col("turn")).alias("t"))).alias("b"))
     return best.select("item_id", "b.conv_id", "b.turn", "b.score")
 

@@ -163,3 +163,18 @@ def test_recent_searches_stream(spark, tmp_path):
     q = recents.recent_searches(events).writeStream.outputMode("update").format("memory").queryName("recents").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select queries from recents").head().queries == ["q7", "q6", "q5", "q4", "q3"]
+
+
+def test_word_overlaps_match_brute_force(spark):
+    asked = {1: ["cat", "running"], 2: ["concat"], 3: [], 4: None, 5: ["dog", "cat", "absent"]}
+    flats = {10: "a cat concatenates", 11: "concat running shoes", 12: "", 13: "dog dog " + "x" * 3000, 14: None}
+    q = spark.createDataFrame(list(asked.items()), "id int, words array<string>")
+    t = spark.createDataFrame([(k, k, v) for k, v in flats.items()], "a int, b int, flat string")
+    got = {(r.id, r.a, r.b, round(r.share, 6)) for r in align.word_overlaps(q, t, "id", "a", "b").collect()}
+    want = {
+        (i, k, k, round(sum(w in flat for w in words) / len(words), 6))
+        for i, words in asked.items() if words for k, flat in flats.items() if flat and set(words) & set(flat.split(" "))
+    }
+    assert got == want
+    assert align.word_overlaps(q.where("false"), t, "id", "a", "b").count() == 0
+    assert align.word_overlaps(q, t.where("false"), "id", "a", "b").count() == 0
