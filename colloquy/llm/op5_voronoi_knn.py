@@ -2,7 +2,7 @@
 
 Vectors are turned into integers, floor(1024 x). One more coordinate, sqrt(M^2 - |v|^2) for data and 0 for queries with M the
 largest norm, makes Euclidean order the inverse of inner-product order. Queries and data are grouped by their nearest pivot.
-Summaries of the groups (query radius, the k + 1 smallest distances of each data group to its pivot) bound how far any
+Summaries of the groups (query radius, the k + 1 ids of each data group nearest to its pivot) bound how far any
 query's k-th neighbour can be; a data row is copied only to the query groups whose bound it can meet, and each (query group,
 data block) is solved locally. The local top k are merged by rank.
 
@@ -76,9 +76,9 @@ def nearest(rows: DataFrame, pivots: np.ndarray, largest: float | None) -> DataF
         for batch in batches:
             if batch.num_rows:
                 d = distances(raised(matrix(batch.column("v")), largest), pivots)
-                yield pa.RecordBatch.from_arrays([pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["cell", "distance"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["vec_id", "cell", "distance"])
 
-    return rows.mapInArrow(run, "cell int, distance double")
+    return rows.mapInArrow(run, "vec_id long, cell int, distance double")
 
 
 def bound(data: DataFrame, queries: DataFrame, pivots: np.ndarray, largest: float, k: int) -> Bounds:
@@ -86,14 +86,18 @@ def bound(data: DataFrame, queries: DataFrame, pivots: np.ndarray, largest: floa
     radius = np.full(count, -1.0)
     for r in nearest(queries, pivots, None).groupBy("cell").agg(F.max("distance").alias("d")).collect():
         radius[r.cell] = r.d
-    ranked = nearest(data, pivots, largest).withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("distance"))).where(F.col("rank") <= k + 1)
+    apart = nearest(data, pivots, largest).groupBy("cell", "vec_id").agg(F.min("distance").alias("distance"))  # a repeated id counts once
+    ranked = apart.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("distance"))).where(F.col("rank") <= k + 1)
     between = distances(pivots, pivots)
-    known = [(r.cell, r.distance) for r in ranked.select("cell", "distance").collect()]  # k + 1 of each cell
+    known = [(r.cell, r.distance, r.vec_id) for r in ranked.select("cell", "distance", "vec_id").collect()]  # k + 1 ids of each cell
     reach = np.full(count, np.inf)
-    if len(known) > k:
-        cell, near = np.array([c for c, _ in known]), np.array([d for _, d in known])
+    ids, own = np.unique(np.array([v for _, _, v in known], np.int64), return_inverse=True)
+    if len(ids) > k:
+        cell, near = np.array([c for c, _, _ in known]), np.array([d for _, d, _ in known])
         for i in np.flatnonzero(radius >= 0):
-            reach[i] = np.partition(radius[i] + between[i, cell] + near, k)[k]  # k + 1 candidates, as one may be the query itself
+            each = np.full(len(ids), np.inf)  # an id may have rows in several cells
+            np.minimum.at(each, own, radius[i] + between[i, cell] + near)
+            reach[i] = np.partition(each, k)[k]  # k + 1 ids, as one may be the query's own
     return Bounds(pivots, radius, reach, largest)
 
 

@@ -47,6 +47,26 @@ def test_search_is_exact(spark, monkeypatch, blocks):
     assert got == brute_search(stored)
 
 
+@pytest.mark.parametrize("spread", [False, True])
+def test_a_hot_repeated_query_id_hides_no_far_neighbour(spark, spread):
+    """Rows of one query id around a point, in one cell or in several, and other ids far away."""
+    rng = random.Random(5)
+
+    def around(x, far):
+        v = [rng.gauss(0, far) + (x if j == 0 else 0.0) for j in range(6)]
+        size = math.sqrt(sum(c * c for c in v))
+        return [c / size for c in v]
+
+    rows = [(100, around(1.0, 0.3 * spread), 0, 0.0, 1) for _ in range(700)]
+    rows += [(1000 + 2 * i + 1, around(-1.0, 0.02), 0, 0.0, 1) for i in range(2000)]
+    table = spark.createDataFrame(rows, VECTORS)
+    stored = [(r.vec_id, [math.floor(1024 * x) for x in r.embedding]) for r in table.collect()]
+    query = min(v for i, v in stored if i == 100)
+    scored = sorted((-sum(a * b for a, b in zip(query, v)), i) for i, v in stored if i != 100)[:10]
+    got = sorted(tuple(r) for r in op5_voronoi_knn.search(table).collect())
+    assert got == [(100, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+
+
 def test_search_of_few_rows(spark):
     table = spark.createDataFrame(vector_rows(4), VECTORS)
     assert sorted(tuple(r) for r in op5_voronoi_knn.search(table).collect()) == brute_search([(r.vec_id, r.embedding) for r in table.collect()])
