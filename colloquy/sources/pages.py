@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -124,14 +126,33 @@ def discovered(archive: DataFrame) -> DataFrame:
     return best.select("r.title", "source_url", F.col("r.publish_date").cast("date").alias("publish_date")).orderBy("publish_date", "source_url")
 
 
-def crawl(spark: SparkSession, fetch: Callable[[str], str], start: str, most: int = 100) -> DataFrame:
-    """page_no, url, html of the archive pages: each names the next, so this follows links one by one; cycles end it."""
-    rows, url = [], start
-    while url and url not in {u for _, u, _ in rows} and len(rows) < most:
+def crawl(spark: SparkSession, fetch: Callable[[str], str], start: str, most: int | None = None, batch: int = 20) -> DataFrame:
+    """page_no, url, html of all archive pages: each names the next, so this follows links one by one; cycles end it.
+
+    ``most`` stops earlier, for manual debugging. Pages go to the shared folder ``batch`` at a time; the driver holds no
+    more of them, and the addresses seen.
+    """
+    schema = "page_no long, url string, html string"
+    context = spark.sparkContext
+    folder = f"{context.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir', '') or tempfile.mkdtemp(prefix='spark-crawl-')}/crawl-{uuid.uuid4().hex}"
+    rows: list[tuple[int, str, str]] = []
+    seen: set[str] = set()
+
+    def put() -> None:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        rows.clear()
+
+    url = start
+    while url and url not in seen and (most is None or len(seen) < most):
         html = fetch(url)
-        rows.append((len(rows), url, html))
+        rows.append((len(seen), url, html))
+        seen.add(url)
         url = parse_archive(html, url)[1]
-    return spark.createDataFrame(rows, "page_no long, url string, html string")
+        if len(rows) == batch:
+            put()
+    if rows or not seen:
+        put()
+    return spark.read.schema(schema).parquet(folder)
 
 
 def fetch_text(url: str, agent: str = "transcript-indexer/1.0", seconds: int = 60) -> str:

@@ -59,6 +59,15 @@ def test_archive_pages_are_walked_and_filtered(spark):
     assert calls == ["https://pod.example/show/", "https://pod.example/show/page/2/"]
 
 
+def test_archives_of_over_a_hundred_pages_are_walked_to_the_end(spark):
+    """The last page links to the first, which ends the walk."""
+    page = '<article><a href="/ama-{0}/">AMA | May {0}</a></article><a rel="next" href="/page/{1}/">older</a>'
+    archive = pages.crawl(spark, lambda url: page.format(2000 + int(url.split("/")[-2]), (int(url.split("/")[-2]) + 1) % 130), "https://pod.example/page/0/")
+    assert [r.page_no for r in archive.orderBy("page_no").collect()] == list(range(130))
+    assert pages.discovered(archive).count() == 130
+    assert archive.rdd.getNumPartitions() > 1
+
+
 def test_cues_and_segments(spark):
     text = pages.transcripts(spark.createDataFrame([("u", PAGE)], "url string, html string")).head().transcript_text
     cues = cues_of(spark, text)
