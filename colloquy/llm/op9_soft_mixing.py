@@ -2,10 +2,12 @@
 
 A softmax classifier over byte and hashed byte-pair frequencies, fitted on a bounded sample of a labelled (doc_id, domain)
 table (``PER_DOMAIN`` documents of each domain), gives every document a posterior over domains. Document rates r >= 0 are
-then fitted so that the expected tokens of each domain, sum of r * tokens * posterior, meet their targets: least squares by
-projected gradient, with residuals scaled by the targets and a slight pull towards rate 1, which makes the answer unique.
-A round is one pass over the small (tokens, posterior) table; the rate of a document follows from its posterior and the
-rounds' gradients (one number a domain), so no round writes state and only these totals reach the driver.
+then fitted so that the expected tokens of each domain, sum of r * tokens * posterior, meet their targets: least squares with
+residuals scaled by the targets and a slight pull towards rate 1, which makes the answer unique. Its dual has one number a
+domain: the rate is max(1 + posterior . lean, 0). Newton steps solve for ``lean``, and the pull is then moved to the rates
+found, until every domain is within TOLERANCE of its target; a small target slows none of the others. Targets that cannot be
+met (no text of a domain, junk in every posterior) end at MOST rounds with a warning that names the domains. A round is one
+pass over the small (tokens, posterior) table; no round writes state and only totals reach the driver.
 
 Tokens are words of whole texts. Null and empty texts have none: the rate they get changes no total. ``copies`` is the rate,
 rounded up or down by a hash of the id so that it holds on average. Repeated ids are rows of their own. Without labels all
@@ -14,6 +16,7 @@ domains are equally likely. Other columns are ignored by ``rates`` and kept by `
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import checkpoint, utf8
 
-PER_DOMAIN, DOMAINS, ROUNDS, PULL, PAIRS, SEED = 500, 64, 30, 1e-3, 1024, 11
+PER_DOMAIN, DOMAINS, PULL, PAIRS, SEED = 500, 64, 1e-3, 1024, 11
+#: How far a domain's expected tokens may be from their target, as a share of it (of 1 % of all, if that is more); most passes.
+TOLERANCE, MOST = 1e-3, 100
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
@@ -32,15 +37,17 @@ _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 class Mixture:
     domains: list[str]
     weights: np.ndarray  # features + 1 x domains
+    lean: np.ndarray | None = None  # the dual's number of each domain; None: all 0
     gradients: list[np.ndarray] = field(default_factory=list)
     step: float = 1.0
+    residual: np.ndarray | None = None  # of each domain, relative to its target
 
     def posterior(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return softmax(features(data, offsets) @ self.weights[:-1] + self.weights[-1])
 
     def rate(self, posterior: np.ndarray) -> np.ndarray:
-        """The projected-gradient path of each document, from rate 1."""
-        r = np.ones(len(posterior))
+        """The dual's rate of each document, then its projected-gradient path if there is one."""
+        r = np.ones(len(posterior)) if self.lean is None else np.maximum(1 + posterior @ self.lean, 0)
         for g in self.gradients:
             r = np.maximum(r - self.step * (posterior @ g + PULL * (r - 1)), 0)
         return r
@@ -127,41 +134,75 @@ def memberships(docs: DataFrame, mixture: Mixture) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")
 
 
-def fit_rates(members: DataFrame, mixture: Mixture, targets: dict[str, float], tokens: float | None = None, rounds: int = ROUNDS) -> Mixture:
-    """Adds the rounds' gradients to ``mixture``.
+def fit_rates(members: DataFrame, mixture: Mixture, targets: dict[str, float], tokens: float | None = None, rounds: int | None = None) -> Mixture:
+    """``mixture`` with rates that meet the targets, or with the gradients of ``rounds`` plain projected-gradient rounds.
 
     ``targets``: weights of domains; domains without one get 0. ``tokens``: the mix's expected tokens. None: as few as need
     no document of a target domain thinned out, so the domain that is most plentiful for its weight keeps rate 1.
     """
     k = len(mixture.domains)
 
-    def totals(now: Mixture) -> np.ndarray:
+    def sums(now: Mixture) -> tuple[np.ndarray, np.ndarray, float]:
+        """The domains' tokens, their change with the rates that are not 0 (k x k), and half the sum of tokens * rate^2."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k)
+            total = np.zeros(k * k + k + 1)
             for batch in batches:
                 if batch.num_rows:
                     p = batch.column("posterior").flatten().to_numpy().reshape(-1, k)
-                    total += (batch.column("n_tokens").to_numpy() * now.rate(p)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(total)], ["k", "total"])
+                    n, r = batch.column("n_tokens").to_numpy(), now.rate(p)
+                    total += np.concatenate([(n * r) @ p, ((n * (r > 0))[:, None] * p).T.__matmul__(p).ravel(), [0.5 * (n * r) @ r]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "total"])
 
-        out = np.zeros(k)
+        out = np.zeros(k * k + k + 1)
         for r in members.select("n_tokens", "posterior").mapInArrow(run, "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect():
             out[r.k] = r.total
-        return out
+        return out[:k], out[k:-1].reshape(k, k), float(out[-1])
 
     weight = np.array([max(targets.get(d, 0.0), 0.0) for d in mixture.domains])
     weight = weight / weight.sum() if weight.sum() else np.full(k, 1 / k)
     now = Mixture(mixture.domains, mixture.weights)
-    there = totals(now)
+    there, bend, energy = sums(now)
     if not there.sum():
         return now
     plenty = weight >= 0.05  # small targets are meant to thin out
     tokens = tokens or float((there / np.maximum(weight, 1e-12))[plenty if plenty.any() else slice(None)].max())
     goal = weight * tokens
     scale = np.maximum(goal, 0.01 * tokens)
-    now.step = float(1 / ((there / scale).max() + PULL))
-    for _ in range(rounds):
-        now.gradients.append((totals(now) - goal) / scale)
+    if rounds is not None:
+        now.step = float(1 / ((there / scale).max() + PULL))
+        for _ in range(rounds):
+            now.gradients.append((sums(now)[0] - goal) / scale)
+        return now
+
+    def slope() -> np.ndarray:
+        return there - goal + PULL * scale * (now.lean - anchor)
+
+    def height(lean: np.ndarray, energy: float) -> float:
+        return energy - goal @ lean + 0.5 * PULL * scale @ (lean - anchor) ** 2
+
+    now.lean = anchor = np.zeros(k)
+    for _ in range(MOST):
+        now.residual = (there - goal) / scale
+        if np.abs(now.residual).max() <= TOLERANCE:
+            return now
+        if np.abs(slope() / scale).max() <= TOLERANCE / 10:
+            anchor = now.lean
+        # scaled by the targets, so that a small one counts as much as the others
+        root = np.sqrt(scale)
+        way = np.linalg.solve(bend / np.outer(root, root) + PULL * np.eye(k), -slope() / root) / root
+        before, falls, t = height(now.lean, energy), slope() @ way, 1.0
+        start = now.lean
+        while True:
+            now.lean = start + t * way
+            there, bend, energy = sums(now)
+            if t < 1e-3 or height(now.lean, energy) <= before + 1e-4 * t * falls + 1e-12 * abs(before):
+                break
+            t /= 2
+    now.residual = (there - goal) / scale
+    missed = {d: f"{x:+.1%}" for d, x in zip(now.domains, now.residual) if abs(x) > TOLERANCE}
+    if missed:
+        warnings.warn(f"mixing targets missed after {MOST} rounds, expected tokens against target: {missed}", stacklevel=2)
     return now
 
 

@@ -112,6 +112,29 @@ def test_projected_gradient_matches_brute_force(spark):
     assert np.allclose((n * r) @ p, goal, rtol=0.05)
 
 
+@pytest.mark.parametrize("hot, share", [("junk", 1 / 3), ("fr", 0.62)])
+def test_targets_are_met_where_a_domain_is_hot(spark, hot, share):
+    targets, rng = op9_soft_mixing.TARGETS, np.random.default_rng(6)
+    domains = sorted(targets)
+    rest = {d: w for d, w in targets.items() if d != hot}
+    shares = [share if d == hot else (1 - share) * rest[d] / sum(rest.values()) for d in domains]
+    p = rng.dirichlet(np.full(5, 0.01), 400)
+    p[:, :] = 0.999 * np.eye(5)[rng.choice(5, 400, p=shares)] + 0.001 * p
+    n = rng.integers(5, 500, 400)
+    members = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(400)], "doc_id long, n_tokens long, posterior array<double>")
+    fitted = op9_soft_mixing.fit_rates(members, op9_soft_mixing.Mixture(domains, np.zeros((1, 5))), targets)
+    total = (n * fitted.rate(p)) @ p
+    assert total / total.sum() == pytest.approx([targets[d] for d in domains], rel=2.5e-3)
+    assert abs(fitted.residual).max() <= op9_soft_mixing.TOLERANCE
+
+
+def test_a_target_out_of_reach_is_reported(spark):
+    members = spark.createDataFrame([(i, 100, [0.8, 0.2]) for i in range(20)], "doc_id long, n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="junk"):
+        fitted = op9_soft_mixing.fit_rates(members, op9_soft_mixing.Mixture(["en", "junk"], np.zeros((1, 2))), {"en": 0.95, "junk": 0.05})
+    assert np.isfinite(fitted.rate(np.array([[0.8, 0.2]]))).all()
+
+
 def test_mixing_without_labels_or_rows(languages, empty):
     none = languages.select("doc_id", F.col("lang").alias("domain")).limit(0)
     assert {r.copies for r in op9_soft_mixing.rates(languages, none, {}).collect()} <= {1}
