@@ -49,16 +49,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def learnt_labels(labels: DataFrame, target: str, fold: bool = True) -> DataFrame:
+    """(doc_id, y) of the labelled ids that may be learnt from: the larger of an id's labels; not the held-out ids when ``fold``."""
+    rows = labels.select("doc_id", F.col(target).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    if fold:
+        rows = rows.where(~held_out(F.col("doc_id")))
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, fold: bool = True) -> DataFrame:
     """(doc_id, y, text) of at most ``per_class`` labelled documents of each class, from whole texts.
 
     The rows with the smallest hash of the id are taken, so a run repeats. Held-out ids are left out when ``fold``.
     Ids with several labels count as the larger one, repeated ids count once, null labels or ids not at all.
     """
-    rows = labels.select("doc_id", F.col(target).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    if fold:
-        rows = rows.where(~held_out(F.col("doc_id")))
-    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+    rows = learnt_labels(labels, target, fold)
     picks = [rows.where(F.col("y") == k).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class) for k in (0, 1)]
     picked = picks[0].unionByName(picks[1])  # at most 2 * per_class rows, so it may be broadcast
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

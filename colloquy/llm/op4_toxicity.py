@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import held_out, labelled_sample, utf8
+from colloquy.llm.common import held_out, labelled_sample, learnt_labels, utf8
 from colloquy.llm.trees import Trees, fit as fit_trees, isotonic
 
 #: A term enters the lexicon if LEAST_DOCS toxic documents of the sample have it, and LEAST_SHARE of them.
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     unseen = np.zeros(len(y))
     for k in range(FOLDS):
         unseen[fold == k] = fit_trees(x[fold != k], y[fold != k], RISING).margin(x[fold == k])
-    shares = {r.y: r.n for r in labels.select(F.col("toxic").cast("int").alias("y")).where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    shares = {r.y: r.n for r in learnt_labels(labels, "toxic").groupBy("y").agg(F.count("*").alias("n")).collect()}
     weight = np.where(y == 1, shares[1] / sizes[1], shares[0] / sizes[0])
     return Model(words, stems, fit_trees(x, y, RISING), isotonic(unseen, y, weight / weight.mean()))
 

@@ -32,6 +32,13 @@ def test_scores_hold_on_the_held_out_fold(corpus, op, column):
     assert len({r.score for r in rows if r.doc_id == 1005}) == 1
 
 
+def test_held_out_labels_change_no_toxicity_score(corpus):
+    docs, labels = corpus
+    flipped = labels.selectExpr("doc_id", "quality", "case when crc32(string(doc_id)) % 3 = 1 then 1 else toxic end as toxic")
+    scores = [{r.doc_id: r.score for r in op4_toxicity.score(docs, op4_toxicity.fit(docs, own)).collect()} for own in (labels, flipped)]
+    assert scores[0] == scores[1]
+
+
 @pytest.mark.parametrize("op", [op1_quality_cnn, op4_toxicity])
 def test_empty_tables_and_missing_labels(corpus, empty, op):
     assert op.score(empty[0], op.fit(*empty)).count() == 0
