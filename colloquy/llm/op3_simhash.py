@@ -17,6 +17,10 @@ from star rounds. Nothing but the bounded statistics reaches the driver.
 Null and empty texts, and texts of white space, have fingerprint zero and link like any other; texts of fewer words than a
 shingle are one shingle. Equal texts share a fingerprint. A null doc_id keeps its row and never names a component unless
 all ids of it are null. Other columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
+
+``keep_one`` can look further, to ``reach`` bits. Links of up to ``tau`` bits count as they are; the others only between groups
+that these leave apart, and only if the exact Jaccard similarity of the texts' AGREE_WORDS-word shingles is AGREE or more. A
+fingerprint's text is there that of one of its rows.
 """
 
 from __future__ import annotations
@@ -28,9 +32,8 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from colloquy.llm.common import checkpoint
 from colloquy.llm.components import components
@@ -38,38 +41,51 @@ from colloquy.llm.op4_toxicity import texts
 
 #: Differing bits of a link in reports, and in ``keep_one``: there near copies of some edited words are to be met as well.
 TAU, STAGE_TAU = 2, 4
+#: The pipeline's stage looks as far as REACH bits, where links of more than STAGE_TAU bits need texts that agree.
+REACH, AGREE_WORDS, AGREE = 7, 5, 0.8
 SHINGLE, SEED, BITS, SUB = 3, 42, 64, 11
 
 
-def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
-    """Of a text's UTF-8 bytes; ``lower`` and ``split`` of bytes touch A-Z and ASCII white space only."""
+def shingles(raw: bytes, size: int) -> np.ndarray:
+    """Hashes of the word shingles of a text's UTF-8 bytes; ``lower`` and ``split`` of bytes touch A-Z and ASCII white space only."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     text, n = b" ".join(words), max(len(words) - size + 1, 1)
     if len(words) < size:
-        hashes = np.array([xxhash.xxh64_intdigest(text, SEED)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        digest, seed = xxhash.xxh64_intdigest, SEED
-        hashes = np.fromiter((digest(text[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist())), np.uint64, n)
+        return np.array([xxhash.xxh64_intdigest(text, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    digest, seed = xxhash.xxh64_intdigest, SEED
+    return np.fromiter((digest(text[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist())), np.uint64, n)
+
+
+def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
+    hashes = shingles(raw, size)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def row_key() -> Column:
+    """One number for the rows of equal id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every document; fp is the signed reading of the 64 bits."""
+    """(doc_id, fp, row) of every document; fp is the signed reading of the 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(raw, size) for raw in texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2)], ["doc_id", "fp", "row"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row")).mapInArrow(run, "doc_id long, fp long, row long")
 
 
 def bits_of(fp: np.ndarray) -> np.ndarray:
@@ -211,15 +227,49 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
     return probes.join(index, (probes.key == index.key) & close).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, tau: int = TAU) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable) of every document."""
+def shingle_sets(texts_of: DataFrame) -> DataFrame:
+    """(fp, set) of (fp, text): the distinct AGREE_WORDS-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(raw, AGREE_WORDS)).view(np.int64) for raw in texts(batch)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["fp", "set"])
+
+    return texts_of.select("fp", "text").mapInArrow(run, "fp long, set array<long>")
+
+
+def agreed(docs: DataFrame, distinct: DataFrame, found: DataFrame, tau: int) -> DataFrame:
+    """The links (a, b) of ``found`` of up to ``tau`` bits, and those of more bits whose texts agree, between the groups that
+    the former leave apart. ``distinct``: fp, row."""
+    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    close = found.where(bits <= tau)
+    roots = components(close)
+    for side in ("a", "b"):
+        found = found.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    apart = checkpoint(found.where((bits > tau) & (F.col("_a") != F.col("_b"))).select("a", "b").distinct())
+    wanted = apart.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select("fp", "row")
+    sets = checkpoint(shingle_sets(docs.select(row_key().alias("row"), "text").join(wanted, "row").groupBy("fp").agg(F.min("text").alias("text"))))
+    both = apart.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return close.select("a", "b").unionByName(both.where(shared >= AGREE * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+
+
+def grouped(docs: DataFrame, size: int, tau: int, reach: int) -> DataFrame:
+    """doc_id, fp, row, root (one for each component), component_id of every document; links of over ``tau`` bits must agree."""
     own = checkpoint(fingerprints(docs, size))
-    distinct = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, Plan(distinct, distinct.count(), tau)))
+    distinct = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")))
+    found = links(distinct, Plan(distinct, distinct.count(), max(tau, reach)))
+    roots = components(agreed(docs, distinct, checkpoint(found), tau) if reach > tau else found)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # written first, so that the join below is of two plain exchanges and a root with many fingerprints can be split
     smallest = checkpoint(named.groupBy("root").agg(F.min("first").alias("component_id")))
-    return own.join(checkpoint(named.join(smallest, "root").select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
+    return own.join(checkpoint(named.join(smallest, "root").select("fp", "root", "component_id")), "fp")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, tau: int = TAU) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable) of every document."""
+    return grouped(docs, size, tau, tau).select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -227,17 +277,18 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, tau: int = STAGE_TAU) -> DataFrame:
-    """The documents, all columns, of the smallest doc_id of each component.
+def keep_one(docs: DataFrame, size: int = SHINGLE, tau: int = STAGE_TAU, reach: int = STAGE_TAU) -> DataFrame:
+    """One document, all columns, of each component: a row of its smallest doc_id. Over ``tau`` bits, texts must agree.
 
-    Rows that share a kept id are one document: the row with the smallest text stays. Rows without an id are kept as they
-    are, since no id names them. Only ids are joined with the texts.
+    Rows are judged by id and text, so an id of unlike texts stays once in each group that it names. Of several rows of a
+    group with that id the smallest stays. Rows without an id are kept as they are, since no id names them. Only ids are
+    joined with the texts, but for repeated ids.
     """
-    verdict = near_duplicates(docs, size, tau).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_first"), F.count("*").alias("_rows")).where("doc_id = _first").drop("_first")
-    verdict = checkpoint(verdict)
+    named = checkpoint(grouped(docs, size, tau, reach).where("doc_id is not null"))
+    verdict = checkpoint(named.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("_names")).where("_names").drop("_names"))
     kept = docs.join(verdict.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").where("doc_id is null or _id is not null")
     if verdict.where("_rows > 1").isEmpty():
         return kept.select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id"))
-    again = kept.where("_rows > 1").withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
-    return kept.where("_rows is null or _rows = 1").select(*docs.columns).unionByName(again.select(*docs.columns))
+    first = named.where("doc_id = component_id").select(F.col("row").alias("_row"), F.col("root").alias("_root")).distinct()
+    again = kept.where("_rows > 1").withColumn("_row", row_key()).join(first, "_row").groupBy("_root").agg(F.min(F.struct(*docs.columns)).alias("_best"))
+    return kept.where("_rows is null or _rows = 1").select(*docs.columns).unionByName(again.select("_best.*"))

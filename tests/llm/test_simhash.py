@@ -106,6 +106,15 @@ def test_one_document_of_each_group_stays(copies, empty):
     assert op3_simhash.report(empty[0]).count() == 0 and op3_simhash.keep_one(empty[0]).count() == 0
 
 
+def test_repeated_ids_of_unlike_texts_keep_every_group(spark):
+    rng = random.Random(2)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    docs = spark.createDataFrame([row(5, a), row(7, a), row(5, b), row(3, b), row(9, c), row(9, a), row(5, a)], DOCS).repartition(3)
+    assert sorted((r.doc_id, r.text) for r in op3_simhash.keep_one(docs).collect()) == sorted([(5, a), (3, b), (9, c)])
+    two = spark.createDataFrame([row(5, a), row(5, b)], DOCS)
+    assert {r.text for r in op3_simhash.keep_one(two).collect()} == {a, b}
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(0, 60)]
     star = [(1000, 1000 + i) for i in range(1, 200)]
