@@ -115,6 +115,29 @@ def test_repeated_ids_of_unlike_texts_keep_every_group(spark):
     assert {r.text for r in op3_simhash.keep_one(two).collect()} == {a, b}
 
 
+def test_far_fingerprints_need_texts_that_agree(spark):
+    """Pairs of 5 to 7 bits: near copies by five-word shingles leave one, others stay both."""
+    rng, rows, expected, k = random.Random(12), [], set(), 0
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    sets = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    seen = {True: 0, False: 0}
+    while min(seen.values()) < 5:
+        one = prose(rng, 120)
+        words = one.split()
+        for at in rng.sample(range(0, 120, 12), rng.choice((1, 2, 5, 6))):
+            words[at] = prose(rng, 1)
+        two = " ".join(words)
+        bits = bin(brute_fingerprint(one) ^ brute_fingerprint(two)).count("1")
+        near = alike(sets(one), sets(two))
+        if 5 <= bits <= 7 and seen[near] < 5:
+            seen[near] += 1
+            rows += [row(k, one), row(k + 1, two)]
+            expected |= {k} if near else {k, k + 1}
+            k += 2
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert {r.doc_id for r in op3_simhash.keep_one(docs, reach=op3_simhash.REACH).collect()} == expected
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(0, 60)]
     star = [(1000, 1000 + i) for i in range(1, 200)]
