@@ -3,7 +3,8 @@
 The lexicon of words and of word stems (first four bytes) is learnt from a bounded, documented sample of labelled documents
 outside the held-out fold (``PER_CLASS`` of each class): terms that are far more frequent in toxic documents. The features of
 a document are lexicon densities, nearness of second-person words, rates of capitals and punctuation, and rates of obfuscated
-words (letters mixed with digits or signs, read back to letters). All documents are scored over their whole texts.
+words (letters mixed with digits or signs, read back to letters; a word ends at any ASCII white space). All documents are
+scored over their whole texts, in time that grows with their length.
 
 Null and empty texts have zero features and get the score that goes with them. Repeated ids give a row each. Other columns
 are ignored. Without two classes of labels every document gets the share of toxic labels seen, or 0.5.
@@ -11,7 +12,6 @@ are ignored. Without two classes of labels every document gets the share of toxi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +38,7 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57
 #: Classes of bytes: 1 capital, 2 small or beyond ASCII, 3 digit or sign that stands for a letter, 4 "!", 5 "?", 6 other punctuation, 0 space.
 _CLASS = np.array([1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 or c >= 128 else 4 if c == 33 else 5 if c == 63 else 3 if 48 <= c <= 57 or c in b"@$*|" else 6 if c > 32 else 0 for c in range(256)], np.uint8)
 _LETTER, _STANDS = np.isin(_CLASS, (1, 2)), np.isin(_CLASS, (3, 4))
-_WORD = re.compile(rb"\S+")
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
 @dataclass
@@ -53,6 +53,17 @@ def terms(raw: bytes) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
+def disguised(raw: bytes, data: np.ndarray) -> tuple[int, list[bytes]]:
+    """How many signs or digits stand between two letters, and the words (between ASCII white space) that have some, each once."""
+    letters = _LETTER[data]
+    stands = np.flatnonzero(_STANDS[data[1:-1]] & letters[:-2] & letters[2:]) + 1
+    if not len(stands):
+        return 0, []
+    edges = np.concatenate([[-1], np.flatnonzero(_SPACE[data]), [len(raw)]])
+    k = np.unique(np.searchsorted(edges, stands))
+    return len(stands), [raw[a + 1 : b] for a, b in zip(edges[k - 1].tolist(), edges[k].tolist())]
+
+
 def features(raw: bytes, words: dict[bytes, tuple[float, int]], stems: dict[bytes, tuple[float, int]], least: int = 0) -> list[float]:
     """The features of one text. Terms that fewer than ``least`` toxic documents have do not count: a training document
     must not be recognised by words that only its own label put into the lexicon."""
@@ -69,22 +80,14 @@ def features(raw: bytes, words: dict[bytes, tuple[float, int]], stems: dict[byte
         found = np.array(hit + stem)
         k = np.searchsorted(at, found)
         near = int((np.minimum(np.abs(found - at[np.maximum(k - 1, 0)]), np.abs(at[np.minimum(k, len(at) - 1)] - found)) <= NEAR).sum())
-    kinds = _CLASS[np.frombuffer(raw, np.uint8)]
-    counts = np.bincount(kinds, minlength=7)
-    letters = _LETTER[np.frombuffer(raw, np.uint8)]
-    stands = np.flatnonzero(np.isin(kinds[1:-1], (3, 4)) & letters[:-2] & letters[2:]) + 1
-    hidden, last = 0, -1
-    for p in stands.tolist():
-        if p < last:
-            continue
-        start = max(raw.rfind(b" ", 0, p), raw.rfind(b"\n", 0, p)) + 1
-        found = _WORD.match(raw, start)
-        last = found.end()
-        for w in terms(found[0].translate(LEET)):
-            hidden += (w in words and words[w][1] >= least) or (w[:STEM] in stems and stems[w[:STEM]][1] >= least)
+    data = np.frombuffer(raw, np.uint8)
+    counts = np.bincount(_CLASS[data], minlength=7)
+    stands, masked = disguised(raw, data)
+    plain = [w for word in masked for w in terms(word.translate(LEET))]
+    hidden = sum((w in words and words[w][1] >= least) or (w[:STEM] in stems and stems[w[:STEM]][1] >= least) for w in plain)
     weight = sum(words[own[i]][0] for i in hit) + sum(stems[own[i][:STEM]][0] for i in stem)
     size = max(int(counts[1:].sum()), 1)
-    return [100 * len(hit) / n, np.log1p(len(hit)), 100 * len(stem) / n, np.log1p(len(stem)), weight / np.sqrt(n), near, len(second) / n, counts[1] / max(counts[1] + counts[2], 1), counts[4] / size, counts[5] / size, counts[6] / size, len(stands) / n, hidden, np.log1p(n)]
+    return [100 * len(hit) / n, np.log1p(len(hit)), 100 * len(stem) / n, np.log1p(len(stem)), weight / np.sqrt(n), near, len(second) / n, counts[1] / max(counts[1] + counts[2], 1), counts[4] / size, counts[5] / size, counts[6] / size, stands / n, hidden, np.log1p(n)]
 
 
 def texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[bytes]:

@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -48,11 +50,14 @@ def test_empty_tables_and_missing_labels(corpus, empty, op):
 
 
 def test_held_out_labels_are_never_learnt(corpus):
+    """Neither by the network nor by the trees of the quality rules; of toxicity, above."""
     docs, labels = corpus
     flipped = labels.selectExpr("doc_id", "case when crc32(string(doc_id)) % 3 = 1 then 1 - quality else quality end as quality", "toxic")
     a = op1_quality_cnn.fit(docs, labels)
     b = op1_quality_cnn.fit(docs, flipped)
     assert np.array_equal(a.filters, b.filters) and a.offset == b.offset
+    c, d = op8_quality_rules.fit(docs, labels), op8_quality_rules.fit(docs, flipped)
+    assert np.array_equal(c.value, d.value) and np.array_equal(c.threshold, d.threshold) and c.base == d.base
 
 
 def test_every_part_of_a_text_is_scored(corpus):
@@ -73,6 +78,55 @@ def test_toxic_words_behind_signs_are_found():
     assert op4_toxicity.features(b"you idiot", words, {})[op4_toxicity.FEATURES.index("near_second")] == 1
 
 
+def brute_features(raw, words, stems):
+    """The features in plain loops over characters and words."""
+    letter = lambda c: c >= 128 or chr(c).isalpha()
+    fold = "".join(chr(c).lower() if c < 128 and chr(c).isalnum() else chr(c) if c >= 128 else " " for c in raw)
+    own = [w.encode("latin-1") for w in fold.split(" ") if w]
+    if not own:
+        return [0.0] * len(op4_toxicity.FEATURES)
+    hit = [i for i, w in enumerate(own) if w in words]
+    stem = [i for i, w in enumerate(own) if w[:4] in stems]
+    second = [i for i, w in enumerate(own) if w in op4_toxicity.SECOND_PERSON]
+    near = sum(any(abs(i - j) <= 5 for j in second) for i in hit + stem)
+    white, signs, spans, start = b" \t\n\v\f\r", b"0123456789@$*|!", [], 0
+    for i in range(len(raw) + 1):
+        if i == len(raw) or raw[i] in white:
+            spans.append((start, i))
+            start = i + 1
+    stands = [i for i in range(1, len(raw) - 1) if raw[i] in signs and letter(raw[i - 1]) and letter(raw[i + 1])]
+    hidden = 0
+    for a, b in spans:
+        if any(a <= i < b for i in stands):
+            plain = raw[a:b].translate(op4_toxicity.LEET).translate(op4_toxicity._FOLD).split()
+            hidden += sum(w in words or w[:4] in stems for w in plain)
+    capitals = sum(65 <= c <= 90 for c in raw)
+    small = sum(97 <= c <= 122 or c >= 128 for c in raw)
+    printed = max(sum(c > 32 for c in raw), 1)
+    punctuation = sum(c > 32 and not letter(c) and c not in signs and c != 63 for c in raw)
+    weight = sum(words[own[i]][0] for i in hit) + sum(stems[own[i][:4]][0] for i in stem)
+    n = len(own)
+    return [100 * len(hit) / n, np.log1p(len(hit)), 100 * len(stem) / n, np.log1p(len(stem)), weight / np.sqrt(n), near, len(second) / n, capitals / max(capitals + small, 1), raw.count(b"!") / printed, raw.count(b"?") / printed, punctuation / printed, len(stands) / n, hidden, np.log1p(n)]
+
+
+def test_toxicity_features_match_brute_force():
+    words, stems = {b"idiot": (5.0, 99), b"b": (3.0, 9)}, {b"mast": (4.0, 50)}
+    rng = random.Random(3)
+    texts = [b"line\n\tw0rd here", b"you\tb4stard m4sterly\r\nid1ot\x0bx1y\x0cz", b"\tif x1y:\r\n\t\treturn id10t", b"", b"a", b"a1", b"a1b", "é1é m4stür".encode()]
+    pieces = ["idiot", "1d1ot", "id!ot", "you", "tu", "m4ster", "x1y", "B", "?", "é0b", "plain", "it's", "***", "a$b$c", "master"]
+    texts += ["".join(rng.choice(pieces) + rng.choice([" ", "\t", "\n", "\v", "\f", "\r", "\r\n", "", "-", "\x00"]) for _ in range(rng.randint(1, 60))).encode() for _ in range(400)]
+    for raw in texts:
+        assert op4_toxicity.features(raw, words, stems) == pytest.approx(brute_features(raw, words, stems)), raw
+
+
+def test_a_long_line_of_disguised_words_takes_linear_time():
+    raw = b"x1y\tid10t " * 200_000
+    began = time.perf_counter()
+    got = op4_toxicity.features(raw, {b"idiot": (5.0, 99)}, {})
+    assert got[op4_toxicity.FEATURES.index("obfuscated")] > 0
+    assert time.perf_counter() - began < 30
+
+
 def test_clean_documents_stay(corpus):
     docs, labels = corpus
     model = op4_toxicity.fit(docs, labels)
