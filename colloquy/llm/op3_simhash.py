@@ -18,9 +18,10 @@ Null and empty texts, and texts of white space, have fingerprint zero and link l
 shingle are one shingle. Equal texts share a fingerprint. A null doc_id keeps its row and never names a component unless
 all ids of it are null. Other columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
 
-``keep_one`` can look further, to ``reach`` bits. Links of up to ``tau`` bits count as they are; the others only between groups
-that these leave apart, and only if the exact Jaccard similarity of the texts' AGREE_WORDS-word shingles is AGREE or more. A
-fingerprint's text is there that of one of its rows.
+``keep_one`` can look further, to ``reach`` bits. Links of up to ``tau`` bits count as they are, and are searched first. The
+second search leaves out pairs of one group, so a large group of near copies adds no rows to it; its links count only if the
+exact Jaccard similarity of the texts' AGREE_WORDS-word shingles is AGREE or more. A fingerprint's text is there that of one of
+its rows.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ from colloquy.llm.op4_toxicity import texts
 #: Differing bits of a link in reports, and in ``keep_one``: there near copies of some edited words are to be met as well.
 TAU, STAGE_TAU = 2, 4
 #: The pipeline's stage looks as far as REACH bits, where links of more than STAGE_TAU bits need texts that agree.
-REACH, AGREE_WORDS, AGREE = 7, 5, 0.8
+REACH, AGREE_WORDS, AGREE, TRIED = 7, 5, 0.8, 16
 SHINGLE, SEED, BITS, SUB = 3, 42, 64, 11
 
 
@@ -198,33 +199,38 @@ class Plan:
         return out - 1
 
     def keys(self, fp: np.ndarray, probe: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(key, fp) of the index, or of the probes that the thresholds ask for."""
+        """(keys, rows of ``fp`` that have them) of the index, or of the probes that the thresholds ask for."""
         bits = bits_of(fp)
         e = self.thresholds(bits) if probe else np.zeros((len(fp), self.m), int)
         for i, part in enumerate(self.parts):
             values = part_values(bits, part) | (i << 56)
             for d in range(self.tau + 1):
-                rows = e[:, i] >= d
-                if rows.any():
+                rows = np.flatnonzero(e[:, i] >= d)
+                if len(rows):
                     for flips in combinations(range(len(part)), d):
-                        yield values[rows] ^ sum(1 << f for f in flips), fp[rows]
+                        yield values[rows] ^ sum(1 << f for f in flips), rows
 
 
 def keyed(distinct: DataFrame, plan: Plan, probe: bool) -> DataFrame:
+    """The probes (key, a, group_a) or the index (key, b, group_b) of fingerprints (fp, group)."""
+    names = ["key", *(("a", "group_a") if probe else ("b", "group_b"))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for key, fp in plan.keys(batch.column(0).to_numpy(zero_copy_only=False), probe):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp)], ["key", "a" if probe else "b"])
+                fp, group = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                for key, rows in plan.keys(fp, probe):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[rows]), pa.array(group[rows])], names)
 
-    return distinct.select("fp").mapInArrow(run, f"key long, {'a' if probe else 'b'} long")
+    return distinct.select("fp", "group").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def links(distinct: DataFrame, plan: Plan) -> DataFrame:
-    """Every pair (a, b), a < b, of distinct fingerprints that differ in tau bits or fewer; a pair may come twice."""
-    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= plan.tau)
+    """a, b, group_a, group_b: every pair a < b of distinct fingerprints (fp, group) that differ in tau bits or fewer and are
+    of unlike groups; a pair may come twice."""
+    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= plan.tau) & (F.col("group_a") != F.col("group_b"))
     probes, index = keyed(distinct, plan, True), keyed(distinct, plan, False)
-    return probes.join(index, (probes.key == index.key) & close).select("a", "b")
+    return probes.join(index, (probes.key == index.key) & close).select("a", "b", "group_a", "group_b")
 
 
 def shingle_sets(texts_of: DataFrame) -> DataFrame:
@@ -239,28 +245,56 @@ def shingle_sets(texts_of: DataFrame) -> DataFrame:
     return texts_of.select("fp", "text").mapInArrow(run, "fp long, set array<long>")
 
 
-def agreed(docs: DataFrame, distinct: DataFrame, found: DataFrame, tau: int) -> DataFrame:
-    """The links (a, b) of ``found`` of up to ``tau`` bits, and those of more bits whose texts agree, between the groups that
-    the former leave apart. ``distinct``: fp, row."""
-    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    close = found.where(bits <= tau)
-    roots = components(close)
-    for side in ("a", "b"):
-        found = found.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-    apart = checkpoint(found.where((bits > tau) & (F.col("_a") != F.col("_b"))).select("a", "b").distinct())
-    wanted = apart.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select("fp", "row")
+def relabelled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` with the groups lo < hi renamed to their roots; pairs inside one group go."""
+    for side in ("lo", "hi"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias("_to")), side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+    return pairs.where("lo <> hi").withColumns({"lo": F.least("lo", "hi"), "hi": F.greatest("lo", "hi")})
+
+
+def agreed(docs: DataFrame, distinct: DataFrame, far: DataFrame) -> DataFrame:
+    """(a, b): groups that a link of ``far`` (a, b, group_a, group_b) with agreeing texts joins. ``distinct``: fp, row.
+
+    Two groups need one such link. So of each two groups the closest link is tried first, then the closest of each of TRIED
+    parts of what is left, and only links between groups that are still apart after that are all tried.
+    """
+    left = checkpoint(far.select("a", "b", F.least("group_a", "group_b").alias("lo"), F.greatest("group_a", "group_b").alias("hi")).distinct())
+    wanted = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select("fp", "row")
     sets = checkpoint(shingle_sets(docs.select(row_key().alias("row"), "text").join(wanted, "row").groupBy("fp").agg(F.min("text").alias("text"))))
-    both = apart.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return close.select("a", "b").unionByName(both.where(shared >= AGREE * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    for side, size in (("a", "n_a"), ("b", "n_b")):
+        left = left.join(sets.select(F.col("fp").alias(side), F.size("set").alias(size)), side)
+    left = left.where(F.least("n_a", "n_b") >= AGREE * F.greatest("n_a", "n_b")).select("a", "b", "lo", "hi")  # sets of other sizes cannot agree
+    found = None
+    for parts in (1, TRIED, None):
+        if parts is None:
+            tried = left
+        else:
+            first = F.min(F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"), "a", "b"))
+            tried = left.groupBy("lo", "hi", F.pmod(F.xxhash64("a", "b"), F.lit(parts)).alias("part")).agg(first.alias("l")).select("l.a", "l.b", "lo", "hi")
+        tried = checkpoint(tried)
+        both = tried.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        same = checkpoint(both.where(shared >= AGREE * (F.size("x") + F.size("y") - shared)).select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct())
+        found = same if found is None else found.unionByName(same)
+        if parts is None:
+            break
+        left = checkpoint(relabelled(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"), components(same)))
+        if left.isEmpty():
+            break
+    return found
 
 
 def grouped(docs: DataFrame, size: int, tau: int, reach: int) -> DataFrame:
     """doc_id, fp, row, root (one for each component), component_id of every document; links of over ``tau`` bits must agree."""
     own = checkpoint(fingerprints(docs, size))
     distinct = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")))
-    found = links(distinct, Plan(distinct, distinct.count(), max(tau, reach)))
-    roots = components(agreed(docs, distinct, checkpoint(found), tau) if reach > tau else found)
+    n = distinct.count()
+    roots = components(links(distinct.withColumn("group", F.col("fp")), Plan(distinct, n, tau)).select("a", "b"))
+    if reach > tau:
+        roots = checkpoint(roots)
+        in_groups = checkpoint(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group")))
+        far = agreed(docs, distinct, links(in_groups, Plan(distinct, n, reach)))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(far))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # written first, so that the join below is of two plain exchanges and a root with many fingerprints can be split
     smallest = checkpoint(named.groupBy("root").agg(F.min("first").alias("component_id")))
@@ -277,18 +311,27 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, with a number behind each that ``columns`` has already (letter case aside)."""
+    have = {c.lower() for c in columns}
+    return [next(n for n in (name, *(f"{name}_{k}" for k in range(len(have) + 1))) if n.lower() not in have) for name in names]
+
+
 def keep_one(docs: DataFrame, size: int = SHINGLE, tau: int = STAGE_TAU, reach: int = STAGE_TAU) -> DataFrame:
     """One document, all columns, of each component: a row of its smallest doc_id. Over ``tau`` bits, texts must agree.
 
     Rows are judged by id and text, so an id of unlike texts stays once in each group that it names. Of several rows of a
-    group with that id the smallest stays. Rows without an id are kept as they are, since no id names them. Only ids are
-    joined with the texts, but for repeated ids.
+    group with that id the one with the smallest JSON form stays. Rows without an id are kept as they are, since no id names
+    them. Only ids are joined with the texts, but for repeated ids. Other columns may have any name and type.
     """
+    id_, rows, row, root, best = unused(docs.columns, "_id", "_rows", "_row", "_root", "_best")
     named = checkpoint(grouped(docs, size, tau, reach).where("doc_id is not null"))
-    verdict = checkpoint(named.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("_names")).where("_names").drop("_names"))
-    kept = docs.join(verdict.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").where("doc_id is null or _id is not null")
-    if verdict.where("_rows > 1").isEmpty():
-        return kept.select(*docs.columns)
-    first = named.where("doc_id = component_id").select(F.col("row").alias("_row"), F.col("root").alias("_root")).distinct()
-    again = kept.where("_rows > 1").withColumn("_row", row_key()).join(first, "_row").groupBy("_root").agg(F.min(F.struct(*docs.columns)).alias("_best"))
-    return kept.where("_rows is null or _rows = 1").select(*docs.columns).unionByName(again.select("_best.*"))
+    verdict = checkpoint(named.groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias(rows), F.max(F.col("doc_id") == F.col("component_id")).alias("names")).where("names").drop("names"))
+    kept = docs.join(verdict, F.col("doc_id") == F.col(id_), "left").where(F.col("doc_id").isNull() | F.col(id_).isNotNull())
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    if verdict.where(F.col(rows) > 1).isEmpty():
+        return kept.select(*own)
+    first = named.where("doc_id = component_id").select(F.col("row").alias(row), F.col("root").alias(root)).distinct()
+    again = kept.where(F.col(rows) > 1).withColumn(row, row_key()).join(first, row)
+    again = again.groupBy(root).agg(F.min_by(F.struct(*own), F.to_json(F.struct(*own))).alias(best)).select(f"{best}.*")
+    return kept.where(F.col(rows).isNull() | (F.col(rows) == 1)).select(*own).unionByName(again)

@@ -86,7 +86,7 @@ def test_crowded_fingerprints_lose_no_link(spark):
             x ^= 1 << int(b)
         fps.append(x)
     fps = sorted(set(fps + [int(x) for x in rng.integers(0, 1 << 62, 300)]))
-    distinct = spark.createDataFrame([(f,) for f in fps], "fp long")
+    distinct = spark.createDataFrame([(f, f) for f in fps], "fp long, group long")
     for tau in (2, 3, 4):
         plan = op3_simhash.Plan(distinct, len(fps), tau)
         assert sorted(b for p in plan.parts for b in p) == list(range(64))
@@ -96,6 +96,28 @@ def test_crowded_fingerprints_lose_no_link(spark):
         assert got == {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin(a ^ b).count("1") <= tau}
 
 
+def test_pairs_of_one_group_leave_the_search_out(spark):
+    rng = np.random.default_rng(4)
+    fps = sorted({int(x) ^ (1 << int(b)) for x in rng.integers(0, 1 << 62, 3) for b in range(40)})
+    distinct = spark.createDataFrame([(f, fps[0] if k % 2 else f) for k, f in enumerate(fps)], "fp long, group long")
+    got = {(r.a, r.b) for r in op3_simhash.links(distinct, op3_simhash.Plan(distinct, len(fps), 3)).collect()}
+    group = {f: fps[0] if k % 2 else f for k, f in enumerate(fps)}
+    assert got == {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin(a ^ b).count("1") <= 3 and group[a] != group[b]}
+
+
+@pytest.mark.parametrize("names", [("_id", "_rows", "_row"), ("_root", "_best", "_ROWS"), ("fp", "root", "component_id"), ("a.b", "row", "names")])
+def test_columns_of_any_name_and_type_are_kept(spark, names):
+    rng = random.Random(21)
+    texts = [prose(rng, 80) for _ in range(4)]
+    rows = [(k // 2 if k < 6 else k, texts[k % 4], k, {"m": k}, [k]) for k in range(10)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, `{names[0]}` long, `{names[1]}` map<string,long>, `{names[2]}` array<long>")
+    kept = op3_simhash.keep_one(docs, reach=op3_simhash.REACH)
+    assert kept.columns == docs.columns
+    own = sorted((r[0], r[1]) for r in kept.collect())
+    smallest = {t: min(d for d, x, *_ in rows if x == t) for t in texts}
+    assert own == sorted((d, t) for t, d in smallest.items())
+
+
 def test_one_document_of_each_group_stays(copies, empty):
     found = op3_simhash.near_duplicates(copies, tau=op3_simhash.STAGE_TAU).where("doc_id is not null").collect()
     kept = op3_simhash.keep_one(copies)
