@@ -42,8 +42,9 @@ from colloquy.llm.op4_toxicity import texts
 
 #: Differing bits of a link in reports, and in ``keep_one``: there near copies of some edited words are to be met as well.
 TAU, STAGE_TAU = 2, 4
-#: The pipeline's stage looks as far as REACH bits, where links of more than STAGE_TAU bits need texts that agree.
-REACH, AGREE_WORDS, AGREE, TRIED = 7, 5, 0.8, 16
+#: The pipeline's stage takes fingerprints of STAGE_SHINGLE words, of which an edited word spoils fewer, and looks as far as REACH
+#: bits, where links of more than STAGE_TAU bits need texts that agree.
+STAGE_SHINGLE, REACH, AGREE_WORDS, AGREE, TRIED = 2, 8, 5, 0.8, 16
 SHINGLE, SEED, BITS, SUB = 3, 42, 64, 11
 
 

@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id."""
     tune(spark)
-    return op3_simhash.keep_one(docs, reach=op3_simhash.REACH)
+    return op3_simhash.keep_one(docs, size=op3_simhash.STAGE_SHINGLE, reach=op3_simhash.REACH)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
