@@ -2,9 +2,10 @@
 
 The base finds e-mail addresses, IP addresses, card numbers and phone numbers by fixed rules. The field labels words by their
 shapes: it is trained (forward-backward, numpy) on the small labelled table below, and decoded by Viterbi over batches of
-padded word sequences. Words are decoded in windows of REACH characters around every word with a digit, an "@" or a written
-"(at)"; other words are outside. Windows that meet are one sequence. A decoded span is added if it has enough digits (or an
-"@" or "(at)") and meets no base span: base spans always stay.
+padded word sequences. Every word of a text is scored. Words that are outside of any span on every best path, which their own
+and their neighbours' scores prove (``Field.open_words``), cut the text into short sequences, so the tags are those of Viterbi
+over the whole text. A decoded span is added if it has enough digits (or an "@" or "(at)") and meets no base span: base spans
+always stay.
 
 Null and empty texts have no spans: counts 0, an empty ``spans`` and the digest of the empty string. Repeated rows give a row
 each. Positions are code points, ends exclusive. Other columns are ignored, but kept by ``redact``.
@@ -15,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "id")
 BASE = KINDS[:4]
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-REACH, SHAPES, ROUNDS, L2 = 64, 50_000, 200, 0.02
+ROUNDS, L2 = 200, 0.02
+#: Words that a worker remembers the features of, if they have at most SHORT characters; words scored, cells walked, and
+#: characters of texts read at once.
+REMEMBERED, SHORT, STEP, CELLS, BLOCK = 400_000, 64, 1 << 17, 1 << 17, 1 << 20
 
 #: The labelled table: one text a line, spans as [kind text].
 LABELLED = """
@@ -81,6 +84,8 @@ the 1st and the 2nd of 30 or 1/2
 see [1] and (2) and {3} for 100
 """
 
+#: Words that announce personal data.
+SAYING = frozenset(("call", "tel", "phone", "fax", "ring", "ssn", "iban", "mail", "write", "id", "number"))
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match always starts where its digits start, so a look-behind and possessive runs keep these linear on long digit runs
@@ -89,7 +94,6 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _WORD = re.compile(r"\S+")
-_SEED = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]")
 
 
 def luhn(digits: str) -> bool:
@@ -128,7 +132,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-@lru_cache(SHAPES)
 def shape(word: str) -> tuple[str, ...]:
     """The features of a word: its collapsed shape, how many digits, signs, and words that announce something."""
     digits = sum(c.isdigit() for c in word)
@@ -146,17 +149,41 @@ def shape(word: str) -> tuple[str, ...]:
         out.append("account")
     if re.match(r"[A-Za-z_\"']+\s*[=\"]", word) or (digits and re.search(r"[a-z][0-9]+[a-z]", word) and "@" not in word):
         out.append("mixed")
-    if word.lower().strip(".:,") in ("call", "tel", "phone", "fax", "ring", "ssn", "iban", "mail", "write", "id", "number"):
+    if word.lower().strip(".:,") in SAYING:
         out.append(f"says:{word.lower().strip('.:,')}")
     return tuple(out)
 
 
+class Known(dict):
+    """The numbers of words' feature sets, found when first asked for."""
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field = field
+
+    def __missing__(self, word: str) -> int:
+        # a plain small-letter word that announces nothing has the features of any other one with the same end
+        core = word if word[-1] not in ".,;" else word[:-1]
+        plain = len(core) > 1 and (core.isalpha() and core.isascii() and core.islower() or all(map(str.islower, core))) and core not in SAYING
+        own = self["xx" + word[len(core) :]] if plain and core != "xx" else self.field.number(word)
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = own
+        return own
+
+
 class Field:
-    """Weights of (word, previous word, next word) features and of tag pairs."""
+    """Weights of (word, previous word, next word) features and of tag pairs.
+
+    Words with the same known features share a number; number 0 is the gap between texts, which has no feature.
+    """
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.index, self.emit, self.move = index, emit, move
-        self.cache: dict[str, np.ndarray] = {}
+        self.sets: dict[tuple[int, ...], int] = {}
+        self.rows = [np.zeros((3, len(TAGS)))]
+        self.known = Known(self)
 
     def __getstate__(self) -> tuple:
         return self.index, self.emit, self.move
@@ -164,22 +191,64 @@ class Field:
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
-    def part(self, word: str) -> np.ndarray:
-        """3 x tags: what the word adds as itself, as the word before and as the word after; remembered by shape."""
-        key = shape(word)
-        got = self.cache.get(key)
-        if got is None:
-            if len(self.cache) > SHAPES:
-                self.cache.clear()
-            known = [self.index[f] for f in key if f in self.index]
-            got = self.cache[key] = self.emit[known].sum(0)
-        return got
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        parts = np.stack([self.part(w) for w in words])
-        out = parts[:, 0].copy()
-        out[1:] += parts[:-1, 1]
-        out[:-1] += parts[1:, 2]
+    def number(self, word: str) -> int:
+        features = tuple(self.index[f] for f in shape(word) if f in self.index)
+        if features not in self.sets:
+            self.sets[features] = len(self.rows)
+            self.rows.append(self.emit[list(features)].sum(0))
+        return self.sets[features]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+
+    def scores(self, numbers: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """(word, tag) of the words at ``at`` (None: all): what each adds itself, as the word before and as the word after."""
+        own = np.stack(self.rows)
+        at = np.arange(len(numbers)) if at is None else at
+        padded = np.concatenate([[0], numbers, [0]])
+        return own[numbers[at], 0] + own[padded[at], 1] + own[padded[at + 2], 2]
+
+    def bounds(self) -> dict[str, np.ndarray]:
+        """What turning tag k into O gains at least by the tag before it, and by the tag behind it (see ``open_words``)."""
+        move, n = self.move, len(TAGS)
+        begin, inside = np.arange(1, n, 2), np.arange(2, n, 2)
+        may = move > -500
+        low = {"left": np.zeros(n), "ends": np.zeros(n), "goes": np.zeros(n)}
+        for tag in range(1, n):
+            b, i = begin[(tag - 1) // 2], inside[(tag - 1) // 2]
+            low["left"][tag] = min(0, min(move[a, 0] - move[a, tag] for a in range(n) if may[a, tag]))
+            low["ends"][tag] = min(0, min(move[0, c] - move[tag, c] for c in range(n) if may[tag, c] and c != i))
+            low["goes"][tag] = move[0, b] - move[tag, i] + min(0, min(move[b, d] - move[i, d] for d in range(n) if may[i, d]))
+        first = np.where(np.arange(n) % 2 == 0, np.inf, 0)  # a span goes on from its own kind only
+        low |= {"left_out": move[0, 0] - move[0] + first, "left_gap": first, "right_out": move[0, 0] - move[:, 0], "right_gap": np.zeros(n)}
+        return {k: v[1:] for k, v in low.items()}
+
+    def open_words(self, numbers: np.ndarray, passes: int = 4) -> np.ndarray:
+        """False for words that no best path has in a span.
+
+        A word's tag k on a path may be turned into O, and a next word that went on with k into its begin. If that gains for
+        every k, whatever the tags around, each best path has O there. The gain's parts are bounded by the tag pairs' weights,
+        and more closely beside words that are known to be outside, which the next pass uses.
+        """
+        low, n = self.bounds(), len(numbers)
+        begin, inside = np.arange(1, len(TAGS), 2), np.arange(2, len(TAGS), 2)
+        out = numbers > 0
+        known = ~out  # outside, or a gap
+        for again in range(passes):
+            at = np.flatnonzero(out)
+            keep = []
+            for part in (at[i : i + STEP] for i in range(0, len(at), STEP)):
+                after = np.minimum(part + 1, n - 1)
+                e, ahead = self.scores(numbers, part), self.scores(numbers, after)
+                turn = np.repeat(ahead[:, begin] - ahead[:, inside], 2, axis=1)  # what a next word loses or gains as a begin
+                left = np.where(known[part - 1][:, None], np.where(numbers[part - 1][:, None] > 0, low["left_out"], low["left_gap"]), low["left"])
+                right = np.where(known[after][:, None], np.where(numbers[after][:, None] > 0, low["right_out"], low["right_gap"]), np.minimum(low["ends"], low["goes"] + turn))
+                keep.append((e[:, :1] - e[:, 1:] + left + right).min(1) <= 1e-6)
+            stay = np.concatenate(keep) if keep else np.zeros(0, bool)
+            out[at[~stay]] = False
+            known = ~out
+            if stay.all():
+                break
         return out
 
 
@@ -263,8 +332,14 @@ def viterbi(scores: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, int)] * len(scores)
     order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
     starts = np.array([0.0 if not t.startswith("I") else -1e3 for t in TAGS])
-    for at in range(0, len(order), 512):
-        own = order[at : at + 512]
+    at = 0
+    while at < len(order):
+        # sequences of like length, up to CELLS words with their padding, or one longer sequence
+        size = 1
+        while at + size < len(order) and (size + 1) * len(scores[order[at + size]]) <= CELLS:
+            size += 1
+        own = order[at : at + size]
+        at += size
         longest = max(len(scores[i]) for i in own)
         e = np.zeros((len(own), longest, len(TAGS)))
         ends = np.array([len(scores[i]) for i in own])
@@ -285,30 +360,6 @@ def viterbi(scores: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def sequences(text: str) -> Iterator[list[tuple[int, int]]]:
-    """The words (start, end) of each window around words with a seed."""
-    open_from, open_to = -1, -1
-    spans = []
-    for m in _SEED.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if a <= open_to:
-            open_to = b
-        else:
-            if open_to >= 0:
-                spans.append((open_from, open_to))
-            open_from, open_to = a, b
-    if open_to >= 0:
-        spans.append((open_from, open_to))
-    for a, b in spans:
-        words = [w.span() for w in _WORD.finditer(text, a, b)]
-        if words and words[0][0] == a > 0 and not text[a - 1].isspace() and len(words) > 1:
-            words = words[1:]  # cut by the window's edge
-        if words and words[-1][1] == b < len(text) and not text[b].isspace():
-            words[-1] = (words[-1][0], _WORD.match(text, words[-1][0]).end()) if any(c.isdigit() for c in text[words[-1][0] : b]) else words[-1]
-        if words:
-            yield words
-
-
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     while end > start and text[end - 1] in ".,;:!?\"'":
         end -= 1
@@ -328,16 +379,37 @@ def plausible(kind: str, piece: str) -> bool:
     return kind == "ip" and piece.count(".") == 3 or kind == "card" and 14 <= digits <= 19 and luhn("".join(_DIGITS.findall(piece)))
 
 
+def tagged(texts: list[str], field: Field) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, first word, tags) of every sequence of words that may have a span; all other words are outside."""
+    split = [t.split() for t in texts]
+    gap, parts = np.zeros(1, np.int32), []
+    for words in split:
+        parts += [gap, field.numbers(words)]
+    numbers = np.concatenate([*parts, gap])
+    may = field.open_words(numbers).astype(np.int8)
+    first, last = np.flatnonzero(np.diff(may, prepend=0) > 0), np.flatnonzero(np.diff(may, append=0) < 0) + 1
+    e = field.scores(numbers, np.flatnonzero(may))
+    ends = np.cumsum(last - first)
+    begins = ends - (last - first)
+    e[begins] += np.where(numbers[first - 1][:, None] > 0, field.move[0], 0)  # behind and ahead of an outside word
+    e[ends - 1] += np.where(numbers[last][:, None] > 0, field.move[:, 0], 0)
+    scores = [e[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
+    gaps = np.flatnonzero(numbers == 0)
+    text = np.searchsorted(gaps, first) - 1
+    for i, a, tags in zip(text.tolist(), (first - gaps[text] - 1).tolist(), viterbi(scores, field.move)):
+        yield i, a, tags
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], field: Field) -> list[list[tuple[int, int, str]]]:
     """The field's spans of each text that meet no base span."""
-    where, words, scores = [], [], []
-    for i, text in enumerate(texts):
-        for own in sequences(text):
-            where.append(i), words.append(own)
-            scores.append(field.scores([text[a:b][:80] for a, b in own]))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for i, own, tags in zip(where, words, viterbi(scores, field.move)):
-        t = 0
+    where: dict[int, list[tuple[int, int]]] = {}
+    for i, word, tags in tagged(texts, field):
+        if not tags.any():
+            continue
+        if i not in where:
+            where = {i: [w.span() for w in _WORD.finditer(texts[i])]}  # sequences come text by text
+        own, t = where[i][word : word + len(tags)], 0
         while t < len(tags):
             if not TAGS[tags[t]].startswith("B"):
                 t += 1
@@ -357,22 +429,26 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def all_spans(texts: list[str], field: Field) -> tuple[list[list[tuple[int, int, str]]], list[list[tuple[int, int, str]]]]:
-    base = [base_spans(t) for t in texts]
-    more = added_spans(texts, base, field)
+    """The base spans of each text, and all its spans."""
+    base, more = [base_spans(t) for t in texts], []
+    ends = np.cumsum([len(t) for t in texts])
+    cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK)) + 1).tolist(), len(texts)] if len(texts) else []
+    for a, b in zip(cuts, cuts[1:]):
+        more += added_spans(texts[a:b], base[a:b], field)
     return base, [sorted(b + m, key=lambda s: (s[0], KINDS.index(s[2]))) for b, m in zip(base, more)]
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, the base counts, base_sha256 and all spans of every document."""
+    """doc_id, the base counts, base_sha256, all spans and their number ``n_spans`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, spans = all_spans([t or "" for t in batch.column(1).to_pylist()], field)
             counts = [pa.array([sum(s[2] == k for s in own) for own in base], pa.int64()) for k in BASE]
             digest = [hashlib.sha256(joined(own).encode()).hexdigest() for own in base]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digest, pa.string()), pa.array([joined(own) for own in spans], pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digest, pa.string()), pa.array([joined(own) for own in spans], pa.string()), pa.array([len(own) for own in spans], pa.int64())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_spans long")
 
 
 def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -54,6 +54,40 @@ def test_field_finds_what_patterns_miss_and_leaves_the_rest(field):
     assert op10_pii_crf.replaced(texts[0], found[0]) == "Please call <PHONE> today."
 
 
+def test_tags_are_those_of_the_whole_text(field, monkeypatch):
+    """Cutting texts at words that no best path has in a span changes no tag, whatever the words and the block sizes."""
+    rng = random.Random(17)
+    pieces = ["plain", "Word.", "(212)", "555-7788", "call", "me", "x@y", "(at)", "mail.com", "4111", "1111", "DE89370400440532013000", "12", "###", "q" * 90, "7" * 300, "é", "+49", "30", "901820", "at", "ssn", "111-22-3333", "10.0.0.1", "A!!", "漢字", "ª"]
+    texts = ["", "  ", "\u00a0x"] + [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    want = []
+    for t in texts:
+        words = t.split()
+        want.append(op10_pii_crf.viterbi([field.scores(field.numbers(words))], field.move)[0] if words else np.zeros(0, int))
+    for step, cells in ((1 << 17, 1 << 17), (7, 11)):
+        monkeypatch.setattr(op10_pii_crf, "STEP", step)
+        monkeypatch.setattr(op10_pii_crf, "CELLS", cells)
+        got = [np.zeros(len(t.split()), int) for t in texts]
+        for i, word, tags in op10_pii_crf.tagged(texts, field):
+            got[i][word : word + len(tags)] = tags
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+    blocks = op10_pii_crf.all_spans(texts, field)
+    monkeypatch.setattr(op10_pii_crf, "BLOCK", 50)
+    assert op10_pii_crf.all_spans(texts, field) == blocks
+    for word in pieces + ["word", "word.", "Word", "xx", "xx.", "ab,", "id", "id.", "ß", "é;", "1", "a1b"]:
+        known = field.known[word]
+        field.known.clear()
+        assert known == field.number(word), word
+
+
+def test_long_words_are_whole_in_spans(field):
+    for size in (20, 80, 5000):
+        name = "q" * size
+        text = f"mail {name} (at) mail.com now"
+        (spans,) = op10_pii_crf.all_spans([text], field)[1]
+        assert spans == [(5, 5 + size + len(" (at) mail.com"), "email")], size
+    assert op10_pii_crf.all_spans(["w" * 200_000 + " " + "1" * 100_000], field)[1] == [[]]
+
+
 def test_report_and_redaction(spark, corpus, empty, field):
     rows = [row(1, "mail a.b@c.example.com or 10.0.0.1"), row(2, None), row(3, ""), row(4, "é😀 +1 (988) 555-2485 x"), row(4, "é😀 +1 (988) 555-2485 x")]
     docs = spark.createDataFrame(rows, DOCS)
