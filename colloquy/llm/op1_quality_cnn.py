@@ -2,8 +2,8 @@
 
 A document's UTF-8 bytes are cut into overlapping chunks that cover all of it. Learned filters run over each chunk's byte
 embeddings and are max-pooled in the chunk; mean, maximum and minimum of the chunks' pooled vectors are combined into one
-probability. Training takes a bounded, documented sample of labelled documents (``PER_CLASS`` of each class, ``CHUNKS``
-chunks of each, spread evenly over it); scoring reads every chunk of every document.
+probability. Training takes a bounded, documented sample of labelled documents (``PER_CLASS`` of each class, in the order of a
+hash of the id while their texts fit in ``SAMPLE_BYTES`` a class). Training and scoring both read every chunk of a document.
 
 Null and empty texts score as one chunk of padding. Repeated ids give a row each. Other columns are ignored.
 """
@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import held_out, labelled_sample, sigmoid, utf8
+from colloquy.llm.common import checkpoint, held_out, labelled_sample, sigmoid, utf8
 
 CHUNK, STEP = 256, 192
 WIDTH, STRIDE, DIM, FILTERS = 8, 4, 8, 24
 #: A pass over few documents has few steps, so small samples get more passes.
-PER_CLASS, CHUNKS, EPOCHS, STEPS, SEED = 1500, 8, 10, 400, 5
-BLOCK = 1024
+PER_CLASS, SAMPLE_BYTES, EPOCHS, STEPS, SEED = 1500, 48 << 20, 10, 400, 5
+BATCH, BLOCK = 64, 1024
 
 
 @dataclass
@@ -81,46 +81,58 @@ def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.nda
     return sigmoid(combine(parts, doc).astype(float) @ net.weights + net.offset)
 
 
-def train(chunks: np.ndarray, doc: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Adam on the logistic loss of each document's combined vector; ``doc`` numbers the labelled documents from 0."""
+def peaks(net: Network, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chunk, filter): the window that each filter likes best, and its value there."""
+    raw = (windows(net, chunks).reshape(-1, WIDTH * DIM) @ net.filters).reshape(len(chunks), -1, FILTERS)
+    best = raw.argmax(1)
+    return best, np.take_along_axis(raw, best[:, None, :], 1)[:, 0] + net.bias
+
+
+def gradients(net: Network, weights: np.ndarray, offset: float, data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean logistic loss of the documents ``docs``, over all their chunks, BLOCK of them at a time."""
+    own, start = chunk_starts(np.diff(offsets)[docs])
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(own), BLOCK)]
+    best, top = (np.concatenate(x) for x in zip(*(peaks(net, cut(data, offsets, docs[own[s]], start[s])) for s in blocks)))
+    parts = np.maximum(top, 0)
+    z = combine(parts, own).astype(float)
+    d = (sigmoid(z @ weights + offset) - y) / len(docs)
+    dz = d[:, None] * weights[None, :]
+    mean, high, low = np.split(dz, 3, axis=1)
+    dp = (mean / np.bincount(own)[:, None])[own]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    for edge, flow in ((z[:, FILTERS : 2 * FILTERS], high), (z[:, 2 * FILTERS :], low)):
+        at = edge[own] == parts  # overlapping chunks may share a window, and so the edge
+        dp += at * (flow / np.add.reduceat(at.astype(float), first))[own]
+    dp *= top > 0
+    out = {"weights": z.T @ d, "offset": np.array([d.sum()]), "bias": dp.sum(0), "filters": np.zeros(net.filters.shape), "embedding": np.zeros(net.embedding.shape)}
+    for s in blocks:
+        chunk = cut(data, offsets, docs[own[s]], start[s])
+        at_byte = chunk[np.arange(len(chunk))[:, None, None], best[s][:, :, None] * STRIDE + np.arange(WIDTH)]
+        taken = net.embedding[at_byte].reshape(len(chunk), FILTERS, WIDTH * DIM)
+        out["filters"] += np.einsum("cf,cfk->kf", dp[s], taken)
+        flow = dp[s][:, :, None, None] * net.filters.T.reshape(1, FILTERS, WIDTH, DIM)
+        out["embedding"] += np.stack([np.bincount(at_byte.ravel(), flow[..., k].ravel(), 256) for k in range(DIM)], 1)
+    return out
+
+
+def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """Adam on the logistic loss of each document's combined vector, BATCH documents a step."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.5, (256, DIM)).astype(np.float32), rng.normal(0, 0.15, (WIDTH * DIM, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(3 * FILTERS), 0.0)
     if len(set(y.tolist())) < 2:  # nothing to tell apart: the prior
         net.offset = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 0.0
         return net
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     params = {"embedding": net.embedding, "filters": net.filters, "bias": net.bias, "weights": net.weights, "offset": np.zeros(1)}
     moments = {k: (np.zeros_like(v, dtype=float), np.zeros_like(v, dtype=float)) for k, v in params.items()}
-    spans = np.searchsorted(doc, np.arange(len(y) + 1))
-    step, epochs = 0, max(epochs, -(-STEPS * 64 // len(y)))
+    step, epochs = 0, max(epochs, -(-STEPS * BATCH // len(y)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
-        for at in range(0, len(order), 64):
-            batch = order[at : at + 64]
-            rows = np.concatenate([np.arange(spans[d], spans[d + 1]) for d in batch])
-            own = np.repeat(np.arange(len(batch)), spans[batch + 1] - spans[batch])
-            part = chunks[rows]
-            w = windows(net, part)
-            raw = (w.reshape(-1, WIDTH * DIM) @ net.filters).reshape(len(part), -1, FILTERS)
-            best = raw.argmax(1)
-            top = np.take_along_axis(raw, best[:, None, :], 1)[:, 0] + net.bias
-            parts = np.maximum(top, 0)
-            z = combine(parts, own).astype(float)
-            p = sigmoid(z @ params["weights"] + params["offset"][0])
-            d = (p - y[batch]) / len(batch)
-            grads = {"weights": z.T @ d + 1e-4 * params["weights"], "offset": np.array([d.sum()])}
-            dz = d[:, None] * params["weights"][None, :]
-            counts = np.bincount(own)[:, None]
-            dp = (dz[:, :FILTERS] / counts)[own]
-            high, low = z[:, FILTERS : 2 * FILTERS][own] == parts, z[:, 2 * FILTERS :][own] == parts
-            dp += high * dz[:, FILTERS : 2 * FILTERS][own] + low * dz[:, 2 * FILTERS :][own]
-            dp *= top > 0
-            taken = w[np.arange(len(part))[:, None], best]  # chunk, filter, WIDTH * DIM
-            grads["filters"] = np.einsum("cf,cfk->kf", dp, taken)
-            grads["bias"] = dp.sum(0)
-            at_byte = part[np.arange(len(part))[:, None, None], best[:, :, None] * STRIDE + np.arange(WIDTH)]
-            flow = dp[:, :, None, None] * net.filters.T.reshape(1, FILTERS, WIDTH, DIM)
-            grads["embedding"] = np.stack([np.bincount(at_byte.ravel(), flow[..., k].ravel(), 256) for k in range(DIM)], 1)
+        for at in range(0, len(order), BATCH):
+            docs = order[at : at + BATCH]
+            grads = gradients(net, params["weights"], params["offset"][0], data, offsets, docs, y[docs])
+            grads["weights"] += 1e-4 * params["weights"]
             step += 1
             for k, g in grads.items():
                 m, v = moments[k]
@@ -131,23 +143,17 @@ def train(chunks: np.ndarray, doc: np.ndarray, y: np.ndarray, epochs: int = EPOC
     return net
 
 
-def sample_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        for i in range(batch.num_rows):
-            one = offsets[i : i + 2]
-            doc, start = chunk_starts(np.diff(one))
-            keep = np.unique(np.linspace(0, len(doc) - 1, CHUNKS).astype(int))
-            raw = cut(data, one, doc[keep], start[keep])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), batch.column("y").slice(i, 1), pa.array([raw.tobytes()])], ["doc_id", "y", "chunks"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
-    rows = labelled_sample(docs, labels, "quality", per_class).mapInArrow(sample_chunks, "doc_id long, y int, chunks binary").collect()
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> Network:
+    sample = checkpoint(labelled_sample(docs, labels, "quality", per_class))
+    sizes = sample.select("doc_id", "y", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+    taken, held = [], {0: 0, 1: 0}
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        if held[r.y] + r.n <= most_bytes:
+            held[r.y] += r.n
+            taken.append(r.doc_id)
+    rows = sample.where(F.col("doc_id").isin(taken)).select("doc_id", "y", F.col("text").cast("binary").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
-    chunks = [np.frombuffer(bytes(r.chunks), np.uint8).reshape(-1, CHUNK) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(c) for c in chunks])
-    return train(np.concatenate(chunks) if chunks else np.zeros((0, CHUNK), np.uint8), doc, np.array([r.y for r in rows], float))
+    return train([bytes(r.text) for r in rows], np.array([r.y for r in rows], float))
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

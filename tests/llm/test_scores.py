@@ -1,3 +1,4 @@
+import math
 import random
 import time
 import zlib
@@ -71,6 +72,77 @@ def test_every_part_of_a_text_is_scored(corpus):
         assert {x for s in start[doc == d] for x in range(s, min(s + 256, n))} == set(range(n))
 
 
+def random_network(seed=0):
+    rng = np.random.default_rng(seed)
+    f = op1_quality_cnn
+    return f.Network(rng.normal(size=(256, f.DIM)).astype(np.float32), rng.normal(size=(f.WIDTH * f.DIM, f.FILTERS)).astype(np.float32), rng.normal(size=f.FILTERS).astype(np.float32), rng.normal(0, 0.05, 3 * f.FILTERS), 0.3)
+
+
+def brute_probability(net, raw):
+    """One text's probability in plain loops."""
+    chunks = []
+    for start in range(0, max(len(raw) - 256 + 192, 1), 192):
+        chunk = raw[start : start + 256] + bytes(max(0, start + 256 - len(raw)))
+        values = []
+        for k in range(24):
+            each = [sum(float(net.embedding[chunk[p + i], d]) * float(net.filters[i * 8 + d, k]) for i in range(8) for d in range(8)) for p in range(0, 249, 4)]
+            values.append(max(max(each) + float(net.bias[k]), 0))
+        chunks.append(values)
+    columns = list(zip(*chunks))
+    z = [sum(c) / len(c) for c in columns] + [max(c) for c in columns] + [min(c) for c in columns]
+    return 1 / (1 + math.exp(-(sum(a * w for a, w in zip(z, net.weights)) + net.offset)))
+
+
+def test_network_scores_match_brute_force():
+    net, texts = random_network(), [b"", b"short", b"x" * 256, b"some more words of it " * 13, "é\n".encode() * 150]
+    got = op1_quality_cnn.probabilities(net, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert got == pytest.approx([brute_probability(net, t) for t in texts], rel=1e-4)
+
+
+def test_network_gradients_match_differences(monkeypatch):
+    """Training sees every chunk: the gradients of texts of many chunks, in small blocks, are those of the loss."""
+    monkeypatch.setattr(op1_quality_cnn, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    net = random_network(1)
+    net.embedding, net.filters, net.bias = (x.astype(float) for x in (net.embedding, net.filters, net.bias))
+    monkeypatch.setattr(op1_quality_cnn, "windows", lambda n, c: np.stack([n.embedding[c[:, s : s + 8]].reshape(len(c), -1) for s in range(0, 249, 4)], 1))
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 90, 2500, 700)]
+    data, offsets, docs, y = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.arange(4), np.array([1.0, 0, 1, 0])
+
+    def loss():
+        p = op1_quality_cnn.probabilities(net, data, offsets)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    grads = op1_quality_cnn.gradients(net, net.weights, net.offset, data, offsets, docs, y)
+    for name in ("embedding", "filters", "bias", "weights"):
+        values, flat = getattr(net, name).reshape(-1), grads[name].reshape(-1)
+        for k in np.argsort(-np.abs(flat))[:6]:
+            was = values[k]
+            values[k] = was + 1e-6
+            up = loss()
+            values[k] = was - 1e-6
+            down = loss()
+            values[k] = was
+            assert flat[k] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-7), name
+
+
+def test_training_reads_the_end_of_long_texts():
+    """Only the last of 12 chunks tells the classes apart."""
+    rng = random.Random(2)
+    filler = lambda: "".join(rng.choice("abcdefgh ") for _ in range(2200)).encode()
+    texts = [filler() + (b"!!ZZ!!ZZ!!ZZ" if k % 2 else b"") for k in range(30)]
+    net = op1_quality_cnn.train(texts, np.array([k % 2 for k in range(30)], float))
+    got = op1_quality_cnn.probabilities(net, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert roc_auc(np.array([k % 2 for k in range(30)]), got) > 0.99
+
+
+def test_the_training_sample_is_bounded_in_bytes(corpus):
+    docs, labels = corpus
+    a = op1_quality_cnn.fit(docs, labels, most_bytes=20_000)
+    assert not np.array_equal(a.filters, op1_quality_cnn.fit(docs, labels).filters)
+    assert op1_quality_cnn.fit(docs, labels, most_bytes=0).offset == 0.0
+
+
 def test_toxic_words_behind_signs_are_found():
     words = {b"idiot": (5.0, 99)}
     hidden = op4_toxicity.FEATURES.index("obfuscated_hits")
