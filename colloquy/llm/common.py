@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows and bytes of one Arrow batch, so that a batch of long documents stays small in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
@@ -44,6 +46,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_position(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: list[StructField] | None = None) -> DataFrame:
+    """``docs.mapInArrow`` that goes by the places of columns, so that they may have any names; ``fields``: of the result."""
+    fields = list(docs.schema) if fields is None else fields
+    given, made = ([f"c{k}" for k in range(n)] for n in (len(docs.columns), len(fields)))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, made)
+
+    return docs.toDF(*given).mapInArrow(named, StructType([StructField(n, f.dataType) for n, f in zip(made, fields)])).toDF(*(f.name for f in fields))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, with a number behind each that ``columns`` has already (letter case aside)."""
+    have = {c.lower() for c in columns}
+    return [next(n for n in (name, *(f"{name}_{k}" for k in range(len(have) + 1))) if n.lower() not in have) for name in names]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows whose labels are never learnt from: crc32 of the id as text, mod 3, is 1 (null id: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import by_position
+
 KINDS = ("email", "ip", "card", "phone", "id")
 BASE = KINDS[:4]
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -472,7 +474,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
             new = pa.array([t if t is None else replaced(t, s) for t, s in zip(texts, spans)], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), new)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = by_position(docs, run)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out

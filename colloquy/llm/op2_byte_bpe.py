@@ -6,12 +6,16 @@ each match's leftmost pair of minimum rank until no pair of it merges. Decoding
 position, token) join the vocabulary and their bytes are joined by position. Matches repeat much, so each worker remembers the
 ids of up to ``REMEMBERED`` matches; what is forgotten is computed again.
 
-The merge table holds every pair of tokens whose bytes joined are a token, which is what the rank files mean. A recursion takes
-a round for each merge of its longest match, so matches of over ``LONG`` bytes (a run of letters or signs without a break)
-are merged by a heap over their positions instead: the same pairs in the same order.
+The merge table holds every pair of tokens whose bytes joined are a token, which is what the rank files mean. ``ENCODE`` takes
+a round for each merge of its longest match. Matches of over ``LONG`` bytes (a run of letters or signs without a break) go to
+``ENCODE_LONG``, which contracts many pairs a round: every pair that is first among all pairs as near as the longest token is
+long. No merge from farther off can reach such a pair before its turn, so the result is that of one contraction after another.
+Equal pairs go together, every other one of a run from its start, if none of the run has to wait and no pair with their token
+has a lower rank. The rounds hardly grow with the match; the query is started anew from its last round where the rounds' rows
+would fill the memory.
 
 Null and empty texts have no tokens. Repeated rows give a row each. Special tokens are ordinary text. Other columns are
-ignored by ``encode`` and kept by ``tokenize``.
+ignored by ``encode`` and kept by ``tokenize``, whose own columns take other names (``tokens_0``) if theirs are in use.
 """
 
 from __future__ import annotations
@@ -19,7 +23,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import duckdb
 import numpy as np
@@ -27,10 +30,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField
 
+from colloquy.llm.common import by_position, unused
 from colloquy.llm.op4_toxicity import texts
 
-REMEMBERED, AT_ONCE, LONG = 700_000, 40_000, 160
+REMEMBERED, AT_ONCE, LONG, ROWS = 700_000, 40_000, 160, 4_000_000
+#: What a worker's database may hold; one match of over 3 MB may take 120 times its size.
+MEMORY = 384 << 20
 
 ENCODE = """
 WITH RECURSIVE state(w, p, tok, nxt, q, done) AS (
@@ -52,6 +59,37 @@ WITH RECURSIVE state(w, p, tok, nxt, q, done) AS (
 SELECT w, list(tok ORDER BY p) AS ids FROM state WHERE done GROUP BY w
 """
 
+#: rank: of the pair that starts at a position; low, before: the lowest one as near as the longest token, and ahead of it.
+ENCODE_LONG = """
+WITH RECURSIVE state(w, p, tok, nxt, done, round) AS (
+  SELECT w, p, tok, lead(tok) OVER o, false, 0 FROM tokens WINDOW o AS (PARTITION BY w ORDER BY p)
+  UNION ALL (
+    WITH paired AS (
+      SELECT s.w, s.p, s.tok, s.round, m.merged AS rank, m.steady
+      FROM state s LEFT JOIN merges m ON s.tok = m.a AND s.nxt = m.b
+      WHERE NOT s.done AND s.round < $rounds
+    ), near AS (
+      SELECT *, row_number() OVER o AS i, lag(rank) OVER o IS DISTINCT FROM rank AS opens,
+             min(rank) OVER (PARTITION BY w ORDER BY p RANGE BETWEEN $reach PRECEDING AND $reach FOLLOWING) AS low,
+             min(rank) OVER (PARTITION BY w ORDER BY p RANGE BETWEEN $reach PRECEDING AND 1 PRECEDING) AS before
+      FROM paired WINDOW o AS (PARTITION BY w ORDER BY p)
+    ), placed AS (
+      SELECT *, max(CASE WHEN opens THEN i END) OVER upto AS start, max(CASE WHEN rank > low THEN i END) OVER upto AS waits
+      FROM near WINDOW upto AS (PARTITION BY w ORDER BY p ROWS UNBOUNDED PRECEDING)
+    ), chosen AS (
+      SELECT w, p, tok, round, rank, rank IS NOT NULL AND rank = low
+             AND CASE WHEN steady THEN (i - start) % 2 = 0 AND coalesce(waits, 0) < start ELSE before IS NULL OR before > rank END AS goes
+      FROM placed
+    ), contracted AS (
+      SELECT w, p, CASE WHEN goes THEN rank ELSE tok END AS tok, round, coalesce(lag(goes) OVER o, false) AS gone, bool_or(goes) OVER (PARTITION BY w) AS moved
+      FROM chosen WINDOW o AS (PARTITION BY w ORDER BY p)
+    )
+    SELECT w, p, tok, lead(tok) OVER o, NOT moved, round + 1 FROM contracted WHERE NOT gone WINDOW o AS (PARTITION BY w ORDER BY p)
+  )
+)
+SELECT w, done, list(p ORDER BY p) AS at, list(tok ORDER BY p) AS ids FROM state WHERE done OR round = $rounds GROUP BY w, done
+"""
+
 DECODE = """
 SELECT r.w, unhex(string_agg(v.piece, '' ORDER BY r.p)) AS bytes FROM runs r JOIN vocabulary v ON r.tok = v.tok GROUP BY r.w
 """
@@ -71,8 +109,14 @@ class Tokenizer:
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], rank) for t, rank in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         a, b, merged = (np.array(x, np.int32) for x in zip(*pairs))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "384MB"})
-        self._load("merges", {"a": a, "b": b, "merged": merged})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY >> 20}MB"})
+        # steady: no pair with the merged token has a lower rank than it
+        least = np.full(merged.max(initial=0) + 1, np.iinfo(np.int32).max, np.int32)
+        for side in (a, b):
+            inner = side < len(least)
+            np.minimum.at(least, side[inner], merged[inner])
+        self._load("merges", {"a": a, "b": b, "merged": merged, "steady": least[merged] > merged})
+        self.reach = max(map(len, self.ranks))
         self._load("vocabulary", {"tok": np.array(list(self.ranks.values()), np.int32), "piece": [t.hex() for t in self.ranks]})
         self.known: dict[str, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
@@ -82,43 +126,23 @@ class Tokenizer:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _query(self, sql: str, name: str, columns: dict) -> pa.Table:
+    def _query(self, sql: str, name: str, columns: dict, **values: int) -> pa.Table:
         self.db.register(name, pa.table(columns))
         try:
-            return self.db.sql(sql).to_arrow_table()
+            return self.db.sql(sql, params=values or None).to_arrow_table()
         finally:
             self.db.unregister(name)
 
-    def _merged_by_heap(self, raw: bytes) -> list[int]:
-        """The ids of one long match: a heap of (rank, position) with links to the live neighbours."""
-        ranks, n = self.ranks, len(raw)
-        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = lambda i: ranks.get(raw[i : ends[ends[i]]]) if ends[i] < n else None
-        live = [True] * n
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and ends[i] < n and (r := rank(i)) is not None:
-                heappush(heap, (r, i, ends[ends[i]]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, i, end = heappop(heap)
-            if not live[i] or ends[i] >= n or ends[ends[i]] != end or not live[ends[i]]:
-                continue
-            j = ends[i]
-            live[j] = False
-            ends[i] = ends[j]
-            if ends[i] < n:
-                before[ends[i]] = i
-            offer(i)
-            offer(before[i])
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[raw[i : ends[i]]])
-            i = ends[i]
-        return out
+    def _learn_long(self, match: str, raw: bytes) -> None:
+        at, ids = np.arange(len(raw), dtype=np.int32), self.single[np.frombuffer(raw, np.uint8)]
+        self.db.execute(f"SET memory_limit = '{max(MEMORY, 120 * len(raw)) >> 20}MB'")
+        done = False
+        while not done:
+            rounds = max(ROWS // len(ids), 2)
+            (row,) = self._query(ENCODE_LONG, "tokens", {"w": np.zeros(len(ids), np.int32), "p": at, "tok": ids}, rounds=rounds, reach=self.reach).to_pylist()
+            done, at, ids = row["done"], np.array(row["at"], np.int32), np.array(row["ids"], np.int32)
+        self.known[match] = ids.astype("<u4").tobytes()
+        self.db.execute(f"SET memory_limit = '{MEMORY >> 20}MB'")
 
     def learn(self, matches: list[str]) -> None:
         """Put the ids of new matches into memory, AT_ONCE in one query."""
@@ -126,7 +150,7 @@ class Tokenizer:
         for m in matches:
             raw = m.encode()
             if len(raw) > LONG:
-                self.known[m] = np.array(self._merged_by_heap(raw), "<u4").tobytes()
+                self._learn_long(m, raw)
             else:
                 short.append((m, raw))
         short.sort(key=lambda x: len(x[1]))  # matches of like length end in like rounds
@@ -217,9 +241,14 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The documents' columns but the text, with ``n_tokens``, ``tokens`` (the ids) and ``restored``: they decode to the text."""
+    """The documents' columns but the text, with ``n_tokens``, ``tokens`` (the ids) and ``restored``: they decode to the text.
+
+    Where ``docs`` has a column of such a name, that one stays and the new one is named anew: ``tokens_0``.
+    """
     at = docs.columns.index("text")
-    kept = [f for f in docs.schema if f.name not in ("text", "n_tokens", "tokens", "restored")]
+    kept = [f for f in docs.schema if f.name != "text"]
+    names = [f.name for f in kept]
+    made = unused(names, "n_tokens", "tokens", "restored")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path, pattern)
@@ -232,10 +261,11 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             counts = np.array([len(x) for x in own], np.int64)
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own) if own else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(counts), lists, pa.array(same, pa.bool_())], [*(f.name for f in kept), "n_tokens", "tokens", "restored"])
+            rest = [c for k, c in enumerate(batch.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(counts), lists, pa.array(same, pa.bool_())], [str(k) for k in range(len(rest) + 3)])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-    return docs.mapInArrow(run, ", ".join([*fields, "n_tokens long", "tokens array<int>", "restored boolean"]))
+    types = (LongType(), ArrayType(IntegerType()), BooleanType())
+    return by_position(docs, run, [*kept, *(StructField(name, t) for name, t in zip(made, types))])
 
 
 def detokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import checkpoint
+from colloquy.llm.common import checkpoint, unused
 from colloquy.llm.components import components
 from colloquy.llm.op4_toxicity import texts
 
@@ -312,12 +312,6 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def unused(columns: list[str], *names: str) -> list[str]:
-    """``names``, with a number behind each that ``columns`` has already (letter case aside)."""
-    have = {c.lower() for c in columns}
-    return [next(n for n in (name, *(f"{name}_{k}" for k in range(len(have) + 1))) if n.lower() not in have) for name in names]
-
-
 def keep_one(docs: DataFrame, size: int = SHINGLE, tau: int = STAGE_TAU, reach: int = STAGE_TAU) -> DataFrame:
     """One document, all columns, of each component: a row of its smallest doc_id. Over ``tau`` bits, texts must agree.
 

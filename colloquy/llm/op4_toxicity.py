@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import held_out, labelled_sample, learnt_labels, utf8
+from colloquy.llm.common import by_position, held_out, labelled_sample, learnt_labels, utf8
 from colloquy.llm.trees import Trees, fit as fit_trees, isotonic
 
 #: A term enters the lexicon if LEAST_DOCS toxic documents of the sample have it, and LEAST_SHARE of them.
@@ -176,4 +176,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(probabilities(model, texts(batch, at)) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_position(docs, run)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import checkpoint, utf8
+from colloquy.llm.common import by_position, checkpoint, utf8
 
 PER_DOMAIN, DOMAINS, PULL, PAIRS, SEED = 500, 64, 1e-3, 1024, 11
 #: How far a domain's expected tokens may be from their target, as a share of it (of 1 % of all, if that is more); most passes.
@@ -248,7 +248,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], tokens:
             for at in range(0, len(row), max(batch.num_rows, 1)):
                 yield batch.take(pa.array(row[at : at + batch.num_rows]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_position(docs, run)
 
 
 #: The mix of the registered query and the pipeline: clean text by language, and junk thinned out.

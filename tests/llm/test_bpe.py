@@ -39,10 +39,47 @@ def test_random_and_long_matches(library):
     texts += ["", "a" * 2000, "ab" * 700, "-" * 999, "".join(rng.choice("etaoin") for _ in range(3000)), "<|endoftext|>"]
     for text, runs in zip(texts, coder.encode(texts)):
         assert np.frombuffer(b"".join(runs), "<u4").tolist() == library.encode_ordinary(text)
-    # both ways of merging agree on any match
-    for word in ("".join(rng.choice("theinrsaou") for _ in range(rng.randint(1, 40))) for _ in range(100)):
-        coder.learn([word])
-        assert np.frombuffer(coder.known[word], "<u4").tolist() == coder._merged_by_heap(word.encode())
+
+
+def test_both_recursions_agree_with_the_library(library, monkeypatch):
+    """The windows of the long form change nothing, at any reach that the longest token allows, nor do restarts."""
+    rng = random.Random(7)
+    coder = op2_byte_bpe.Tokenizer(*vocabulary())
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 400))) for letters in ("theinrsaou", "ab", "aé日", "xyzQ", "-=", "a") for _ in range(4)]
+    words += ["a" * n for n in (161, 1001)] + ["ab" * 500 + "a" * 501, "-" * 1024, "erer" * 300 + "e"]
+    for rows in (op2_byte_bpe.ROWS, 1000):
+        monkeypatch.setattr(op2_byte_bpe, "ROWS", rows)
+        for word in words:
+            coder._learn_long(word, word.encode())
+            assert np.frombuffer(coder.known[word], "<u4").tolist() == library._encode_single_piece(word.encode()), word[:40]
+
+
+def test_pairs_whose_token_merges_earlier_wait(monkeypatch, tmp_path):
+    """A merge table where a joined token has a pair of lower rank than its own: equal pairs cannot go together."""
+    import base64
+
+    ranks = {bytes([b]): b for b in range(256)}
+    for k, token in enumerate((b"bc", b"aba", b"ab", b"abab", b"cab", b"aa", b"aab")):
+        ranks[token] = 256 + k
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(r).encode() for t, r in ranks.items()))
+    own = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    coder = op2_byte_bpe.Tokenizer(str(path), r"\S+|\s+")
+    rng = random.Random(3)
+    for _ in range(60):
+        word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 60)))
+        for learn in (lambda w: coder._learn_long(w, w.encode()), lambda w: coder.learn([w])):
+            coder.known.clear()
+            learn(word)
+            assert np.frombuffer(coder.known[word], "<u4").tolist() == own.encode_ordinary(word), word
+
+
+def test_columns_of_the_same_names_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", [9], 5, "x"), (2, None, None, None, None)], "doc_id long, text string, tokens array<long>, N_TOKENS int, `a.b` string")
+    out = op2_byte_bpe.tokenize(docs, *vocabulary())
+    assert out.columns == ["doc_id", "tokens", "N_TOKENS", "a.b", "n_tokens_0", "tokens_0", "restored"]
+    one = out.where("doc_id = 1").head()
+    assert (one.tokens, one.N_TOKENS, one["a.b"], one.n_tokens_0, one.restored) == ([9], 5, "x", len(one.tokens_0), True)
 
 
 def test_forgetting_changes_nothing(library, monkeypatch):
