@@ -6,8 +6,9 @@ then fitted so that the expected tokens of each domain, sum of r * tokens * post
 residuals scaled by the targets and a slight pull towards rate 1, which makes the answer unique. Its dual has one number a
 domain: the rate is max(1 + posterior . lean, 0). Newton steps solve for ``lean``, and the pull is then moved to the rates
 found, until every domain is within TOLERANCE of its target; a small target slows none of the others. Targets that cannot be
-met (no text of a domain, junk in every posterior) end at MOST rounds with a warning that names the domains. A round is one
-pass over the small (tokens, posterior) table; no round writes state and only totals reach the driver.
+met (no text of a domain, junk in every posterior) end at MOST rounds with a warning that names the domains; so do targets of
+domains without any label, whose weight the others share. All labelled domains count: the driver holds one row of weights and
+a k x k matrix for k of them. A round is one pass over the small (tokens, posterior) table; no round writes state and only totals reach the driver.
 
 Tokens are words of whole texts. Null and empty texts have none: the rate they get changes no total. ``copies`` is the rate,
 rounded up or down by a hash of the id so that it holds on average. Repeated ids are rows of their own. Without labels all
@@ -24,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from colloquy.llm.common import by_position, checkpoint, utf8
 
-PER_DOMAIN, DOMAINS, PULL, PAIRS, SEED = 500, 64, 1e-3, 1024, 11
+PER_DOMAIN, PULL, PAIRS, SEED = 500, 1e-3, 1024, 11
 #: How far a domain's expected tokens may be from their target, as a share of it (of 1 % of all, if that is more); most passes.
 TOLERANCE, MOST = 1e-3, 100
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -85,15 +87,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, per_domain: int = PER_DOMAIN, rounds: int = 250) -> Mixture:
-    """``labelled``: (doc_id, domain). The DOMAINS domains with most labels count; of each, the rows with the smallest hash."""
+    """``labelled``: (doc_id, domain). All its domains count; of each, the rows with the smallest hash."""
     rows = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    names = sorted(r.domain for r in rows.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect())
+    # ranks below ``per_domain`` are cut before the shuffle, so a hot domain sends no more rows than others
+    place = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))
+    picked = checkpoint(rows.withColumn("_place", place).where(F.col("_place") <= per_domain).drop("_place"))
+    names = sorted(r.domain for r in picked.select("domain").distinct().collect())
     if not names:
         return Mixture(["all"], np.zeros((257 + PAIRS, 1)))
-    picked = None
-    for name in names:
-        own = rows.where(F.col("domain") == name).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(per_domain)
-        picked = own if picked is None else picked.unionByName(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,6 +160,9 @@ def fit_rates(members: DataFrame, mixture: Mixture, targets: dict[str, float], t
             out[r.k] = r.total
         return out[:k], out[k:-1].reshape(k, k), float(out[-1])
 
+    unknown = sorted(d for d, w in targets.items() if w > 0 and d not in mixture.domains)
+    if unknown and mixture.domains != ["all"]:
+        warnings.warn(f"no labelled document of {unknown}: the other targets share what was meant for them", stacklevel=2)
     weight = np.array([max(targets.get(d, 0.0), 0.0) for d in mixture.domains])
     weight = weight / weight.sum() if weight.sum() else np.full(k, 1 / k)
     now = Mixture(mixture.domains, mixture.weights)

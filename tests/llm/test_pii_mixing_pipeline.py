@@ -169,6 +169,22 @@ def test_a_target_out_of_reach_is_reported(spark):
     assert np.isfinite(fitted.rate(np.array([[0.8, 0.2]]))).all()
 
 
+def test_every_domain_counts_and_targets_without_labels_are_named(spark, languages):
+    labelled = languages.where("doc_id < 300").select("doc_id", F.concat(F.lit("d"), (F.col("doc_id") % 70).cast("string")).alias("domain"))
+    assert len(op9_soft_mixing.fit_classifier(languages, labelled, rounds=2).domains) == 70
+    some = labelled.where("domain in ('d1', 'd2')")
+    mixture = op9_soft_mixing.fit_classifier(languages, some, rounds=5)
+    with pytest.warns(UserWarning, match="d3"):
+        op9_soft_mixing.fit_rates(op9_soft_mixing.memberships(languages, mixture), mixture, {"d1": 1.0, "d2": 1.0, "d3": 1.0})
+
+
+def test_a_hot_domain_gives_no_more_rows_than_others(languages):
+    labelled = languages.where("doc_id < 300").select("doc_id", F.when(F.col("doc_id") < 250, "hot").otherwise("rare").alias("domain"))
+    small = op9_soft_mixing.fit_classifier(languages, labelled, per_domain=20, rounds=5)
+    again = op9_soft_mixing.fit_classifier(languages.repartition(2), labelled.repartition(3), per_domain=20, rounds=5)
+    assert np.allclose(small.weights, again.weights) and small.domains == ["hot", "rare"]
+
+
 def test_mixing_without_labels_or_rows(languages, empty):
     none = languages.select("doc_id", F.col("lang").alias("domain")).limit(0)
     assert {r.copies for r in op9_soft_mixing.rates(languages, none, {}).collect()} <= {1}
@@ -226,6 +242,27 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == last.count()
 
 
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path, kind):
+    """No rows; and null ids and texts, repeated rows, and columns named like the stages' own."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id int, _rows string, tokens array<int>, score double, c0 string, `a.b` int"
+    rows = [] if kind == "empty" else [(i % 5 if i % 4 else None, None if i == 3 else "words of a text " * (i % 3) + "tab\there w0rd\r\n", "en", None, 3, i, "r", [i], 0.5, "c", i) for i in range(14)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / f"s{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"s{k}"))
+    last = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"tokens", "tokens_0", "a.b", "n_tokens"} <= set(last.columns)
+    found = last.collect()
+    assert bool(found) == (kind == "odd") and all(r.restored for r in found)
+
+
 def test_the_rest_never_imports_the_subpackage():
     import pathlib
 
