@@ -67,6 +67,40 @@ def test_a_hot_repeated_query_id_hides_no_far_neighbour(spark, spread):
     assert got == [(100, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
 
 
+def test_clustered_vectors_are_copied_to_few_groups(spark, monkeypatch):
+    """Tight clusters: a row goes to little more than its own group, and once for each block of that group's queries."""
+    monkeypatch.setattr(op5_voronoi_knn, "QUERIES_EACH", 8)
+    rng = random.Random(11)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(8)]
+    rows = []
+    for i in range(8000):
+        v = [c + rng.gauss(0, 0.01) for c in centres[i // 100 % 8]]
+        size = math.sqrt(sum(x * x for x in v))
+        rows.append((i, [x / size for x in v], 0, 0.0, 1))
+    table = spark.createDataFrame(rows, VECTORS)
+    made = []
+    plain = op5_voronoi_knn.copies
+    monkeypatch.setattr(op5_voronoi_knn, "copies", lambda data, bounds, blocks: made.append((plain(data, bounds, blocks).count(), bounds.parts)) or plain(data, bounds, blocks))
+    got = sorted(tuple(r) for r in op5_voronoi_knn.search(table).collect())
+    assert got == brute_search([(r.vec_id, r.embedding) for r in table.collect()])
+    (count, parts), = made
+    assert len(parts) == 10 and parts.max() == 1 and count < 2 * len(rows)
+    monkeypatch.setattr(op5_voronoi_knn, "QUERY_BLOCK", 3)
+    assert sorted(tuple(r) for r in op5_voronoi_knn.search(table).collect()) == got
+    assert made[1][1].max() > 1 and made[1][1].sum() <= 80 // 3 + 10
+
+
+def test_unlike_lengths_and_repeated_candidates(spark):
+    """The most common length takes part; a repeated candidate id may fill several ranks; the query is its smallest vector."""
+    rows = vector_rows(60, seed=3)
+    rows += [(200, [1.0, 0.0], 0, 0.0, 1), (7, list(rows[0][1]), 0, 0.0, 1), (7, list(rows[0][1]), 0, 0.0, 1), (0, [-x for x in rows[0][1]], 0, 0.0, 1)]
+    stored = [(r.vec_id, [math.floor(1024 * x) for x in r.embedding]) for r in spark.createDataFrame(rows, VECTORS).collect() if len(r.embedding) == 6]
+    query = min(v for i, v in stored if i == 0)
+    scored = sorted((-sum(a * b for a, b in zip(query, v)), i) for i, v in stored if i != 0)[:10]
+    got = sorted(tuple(r) for r in op5_voronoi_knn.search(spark.createDataFrame(rows, VECTORS)).collect())
+    assert got == [(0, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+
+
 def test_search_of_few_rows(spark):
     table = spark.createDataFrame(vector_rows(4), VECTORS)
     assert sorted(tuple(r) for r in op5_voronoi_knn.search(table).collect()) == brute_search([(r.vec_id, r.embedding) for r in table.collect()])
