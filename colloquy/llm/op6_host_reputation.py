@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import checkpoint
+
 #: Action, host, path prefix.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Names that form a suffix together with a country code.
@@ -74,9 +76,11 @@ def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Posterior (bad, good) pseudo-counts a, b of every host of the pages."""
     outcome = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("long")).alias("bad"))
     own = pages.select(F.col("page_id").alias("doc_id"), host_of(F.col("url")).alias("host"))
-    counted = own.distinct().join(outcome, "doc_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    # labels first: few pages have one, and only these need to be told apart
+    counted = own.join(outcome, "doc_id").distinct().groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     hosts = own.select("host").distinct().join(counted, "host", "left").fillna(0, ["n", "bad"])
     hosts = hosts.withColumn("name", F.regexp_replace("host", ":[0-9]*$", "")).withColumn("suffix", suffix_of(F.col("name"))).withColumn("domain", domain_of(F.col("name"), F.col("suffix")))
+    hosts = checkpoint(hosts)  # one small row a host feeds all statistics; the pages are read once for them
     up = lambda key, *more: hosts.groupBy(key, *more).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains, suffixes = up("domain", "suffix"), up("suffix").withColumn("root", F.lit(""))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect()[0]

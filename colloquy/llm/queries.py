@@ -116,12 +116,17 @@ def _spread(children: str, parent: str, column: str) -> str:
 
 
 def _op6_sql() -> str:
-    upper, lower = op6_host_reputation.UPPER, op6_host_reputation.LOWER
-    rules = sorted(op6_host_reputation.RULES, key=lambda r: (-len(r[1] + r[2]), r))
-    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in rules]
-    rule = "CASE " + " ".join(f"{f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, rules)) + " END"
-    action = "CASE " + " ".join(f"{f} THEN '{a}'" for f, (a, _, _) in zip(fits, rules)) + " END"
-    second = "|".join(op6_host_reputation.SECOND_LEVEL)
+    """Written out rather than taken from the module that it checks; longest rules first."""
+    upper, lower, second = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "ac|co|com|edu|gov|net|org"
+    rules = [
+        ("www.example.com/en/", "allow", "(host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/')"),
+        ("example.com/en/", "block", "(host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/')"),
+        ("net/es/", "block", "(host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/')"),
+        ("net/fr/", "block", "(host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/')"),
+        ("com/", "allow", "(host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/')"),
+    ]
+    rule = "CASE " + " ".join(f"WHEN {fits} THEN '{name}'" for name, _, fits in rules) + " END"
+    action = "CASE " + " ".join(f"WHEN {fits} THEN '{verdict}'" for _, verdict, fits in rules) + " END"
     return f"""
 WITH found AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
@@ -155,7 +160,7 @@ domain_m AS (SELECT domain, (d.bad + domain_w * s.m) / (d.n + domain_w) AS m FRO
 posterior AS (SELECT host, h.bad + host_w * d.m AS a, h.n - h.bad + host_w * (1 - d.m) AS b FROM hosts h JOIN domain_m d USING (domain), w),
 blocked AS (
   SELECT host FROM posterior
-  WHERE a / (a + b) - {op6_host_reputation.Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > {op6_host_reputation.LIMIT}
+  WHERE a / (a + b) - 1.64 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.5
 )
 SELECT page_id, host, path, {rule} AS rule,
        coalesce({action}, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' END, 'allow') AS verdict
