@@ -31,6 +31,8 @@ ROUNDS, L2 = 200, 0.02
 #: Words that a worker remembers the features of, if they have at most SHORT characters; words scored, cells walked, and
 #: characters of texts read at once.
 REMEMBERED, SHORT, STEP, CELLS, BLOCK = 400_000, 64, 1 << 17, 1 << 17, 1 << 20
+#: Up to so many feature sets, all triples of them are judged once, in a table.
+TRIPLES = 96
 
 #: The labelled table: one text a line, spans as [kind text].
 LABELLED = """
@@ -98,6 +100,15 @@ _DIGITS = re.compile(r"[0-9]")
 _WORD = re.compile(r"\S+")
 
 
+#: Runs of small or of capital letters of Latin-1, and words without anything that the features look at more closely.
+_LONG_RUN = re.compile("[a-zß-öø-ÿ]{3,}|[A-ZÀ-ÖØ-Þ]{3,}")
+_NO_DIGIT = re.compile(r"[^0-9@=\"(\[]+")
+
+
+def _two(run: re.Match) -> str:
+    return "xx" if run[0][0].islower() else "XX"
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -164,10 +175,9 @@ class Known(dict):
         self.field = field
 
     def __missing__(self, word: str) -> int:
-        # a plain small-letter word that announces nothing has the features of any other one with the same end
-        core = word if word[-1] not in ".,;" else word[:-1]
-        plain = len(core) > 1 and (core.isalpha() and core.isascii() and core.islower() or all(map(str.islower, core))) and core not in SAYING
-        own = self["xx" + word[len(core) :]] if plain and core != "xx" else self.field.number(word)
+        # of a word of letters, the features tell no lengths of runs, so a short word stands for all like it
+        like = _LONG_RUN.sub(_two, word) if _NO_DIGIT.fullmatch(word) and word.lower().strip(".:,") not in SAYING else word
+        own = self.field.number(word) if like == word else self[like]
         if len(word) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -186,6 +196,7 @@ class Field:
         self.sets: dict[tuple[int, ...], int] = {}
         self.rows = [np.zeros((3, len(TAGS)))]
         self.known = Known(self)
+        self.triples: np.ndarray | None = None
 
     def __getstate__(self) -> tuple:
         return self.index, self.emit, self.move
@@ -225,6 +236,23 @@ class Field:
         low |= {"left_out": move[0, 0] - move[0] + first, "left_gap": first, "right_out": move[0, 0] - move[:, 0], "right_gap": np.zeros(n)}
         return {k: v[1:] for k, v in low.items()}
 
+    def table(self) -> np.ndarray | None:
+        """(before, word, after): False where the three words' numbers alone prove the word outside; None if they are many."""
+        k = len(self.rows)
+        if k > TRIPLES:
+            return None
+        if self.triples is None or len(self.triples) < k:
+            low, own = self.bounds(), np.stack(self.rows).astype(np.float32)
+            begin, inside = np.arange(1, len(TAGS), 2), np.arange(2, len(TAGS), 2)
+            turns = own[:, :, begin] - own[:, :, inside]
+            turn = np.repeat(turns[None, :, 0] + turns[:, None, 1] + turns[:, 2].min(0), 2, axis=2)  # word, after
+            right = np.minimum(low["ends"], low["goes"] + turn)
+            gain = own[:, 0, :1] - own[:, 0, 1:]
+            pull = own[:, 1, :1] - own[:, 1, 1:]
+            push = own[:, 2, :1] - own[:, 2, 1:]
+            self.triples = np.stack([(gain[:, None] + pull[p] + push[None] + low["left"] + right).min(2) <= 1e-3 for p in range(k)])
+        return self.triples
+
     def open_words(self, numbers: np.ndarray, passes: int = 4) -> np.ndarray:
         """False for words that no best path has in a span.
 
@@ -235,6 +263,10 @@ class Field:
         low, n = self.bounds(), len(numbers)
         begin, inside = np.arange(1, len(TAGS), 2), np.arange(2, len(TAGS), 2)
         out = numbers > 0
+        table = self.table()
+        if table is not None and n > 2:
+            k = len(table)
+            out[1:-1] &= table.reshape(-1)[(numbers[:-2].astype(np.int64) * k + numbers[1:-1]) * k + numbers[2:]]
         known = ~out  # outside, or a gap
         for again in range(passes):
             at = np.flatnonzero(out)
@@ -254,6 +286,15 @@ class Field:
         return out
 
 
+_made: dict[bytes, Field] = {}
+
+
+def of_worker(field: Field) -> Field:
+    """One for each worker process, so that its memory serves all partitions that the worker gets."""
+    key = hashlib.sha256(field.emit.tobytes() + field.move.tobytes()).digest()
+    return _made.setdefault(key, field)
+
+
 def table() -> list[tuple[list[str], list[int]]]:
     """The labelled texts as words and tag numbers."""
     rows = []
@@ -444,11 +485,12 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, the base counts, base_sha256, all spans and their number ``n_spans`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = of_worker(field)
         for batch in batches:
-            base, spans = all_spans([t or "" for t in batch.column(1).to_pylist()], field)
-            counts = [pa.array([sum(s[2] == k for s in own) for own in base], pa.int64()) for k in BASE]
-            digest = [hashlib.sha256(joined(own).encode()).hexdigest() for own in base]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digest, pa.string()), pa.array([joined(own) for own in spans], pa.string()), pa.array([len(own) for own in spans], pa.int64())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
+            base, spans = all_spans([t or "" for t in batch.column(1).to_pylist()], own)
+            counts = [pa.array([sum(s[2] == k for s in found) for found in base], pa.int64()) for k in BASE]
+            digest = [hashlib.sha256(joined(found).encode()).hexdigest() for found in base]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digest, pa.string()), pa.array([joined(found) for found in spans], pa.string()), pa.array([len(found) for found in spans], pa.int64())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_spans long")
 
@@ -468,9 +510,10 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = of_worker(field)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            _, spans = all_spans([t or "" for t in texts], field)
+            _, spans = all_spans([t or "" for t in texts], own)
             new = pa.array([t if t is None else replaced(t, s) for t, s in zip(texts, spans)], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), new)
 

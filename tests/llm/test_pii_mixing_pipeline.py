@@ -73,7 +73,7 @@ def test_tags_are_those_of_the_whole_text(field, monkeypatch):
     blocks = op10_pii_crf.all_spans(texts, field)
     monkeypatch.setattr(op10_pii_crf, "BLOCK", 50)
     assert op10_pii_crf.all_spans(texts, field) == blocks
-    for word in pieces + ["word", "word.", "Word", "xx", "xx.", "ab,", "id", "id.", "ß", "é;", "1", "a1b"]:
+    for word in pieces + ["word", "word.", "Word", "xx", "xx.", "ab,", "id", "id.", "ß", "é;", "1", "a1b", "Call", "CALL:", "mails", "Überall.", "ÉTÉ!!", "wörter###", "a=bbbb", "(aaa)", "xxabcé9", "ABC²", "l'été"]:
         known = field.known[word]
         field.known.clear()
         assert known == field.number(word), word
