@@ -44,8 +44,10 @@ from colloquy.llm.op4_toxicity import texts
 TAU, STAGE_TAU = 2, 4
 #: The pipeline's stage takes fingerprints of STAGE_SHINGLE words, of which an edited word spoils fewer, and looks as far as REACH
 #: bits, where links of more than STAGE_TAU bits need texts that agree.
-STAGE_SHINGLE, REACH, AGREE_WORDS, AGREE, TRIED = 2, 8, 5, 0.8, 16
+STAGE_SHINGLE, REACH, AGREE_WORDS, AGREE, TRIED = 2, 7, 5, 0.8, 16
 SHINGLE, SEED, BITS, SUB = 3, 42, 64, 11
+#: What a probe costs, which is shuffled and sorted, against a candidate, which is only compared in the join.
+PROBE = 32
 
 
 def shingles(raw: bytes, size: int) -> np.ndarray:
@@ -150,7 +152,7 @@ def even_cost(n: int, tau: int, m: int) -> float:
     parts probe more and meet fewer candidates."""
     width = BITS // m
     ball = np.cumsum([comb(width, d) for d in range(tau + 1)], dtype=float)
-    cost = [0.0, *(ball * (1 + n / 2.0**width))]
+    cost = [0.0, *(ball * (PROBE + n / 2.0**width))]
     best = [0.0] + [np.inf] * (tau + 1)
     for _ in range(m):
         best = [min(best[s - u] + cost[u] for u in range(s + 1)) for s in range(tau + 2)]
@@ -189,7 +191,7 @@ class Plan:
         for i, part in enumerate(self.parts):
             w = len(part)
             probes = np.cumsum([float(comb(w, d)) for d in range(self.tau + 1)])
-            cost = np.hstack([np.zeros((len(bits), 1)), self.candidates(bits, i) + probes])
+            cost = np.hstack([np.zeros((len(bits), 1)), self.candidates(bits, i) + PROBE * probes])
             options = np.stack([np.stack([best[:, s - u] + cost[:, u] if u <= s else np.full(len(bits), np.inf) for u in range(units + 1)], 1) for s in range(units + 1)], 1)
             took.append(options.argmin(2))
             best = options.min(2)
