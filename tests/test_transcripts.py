@@ -7,39 +7,40 @@ from colloquy.operators import align, ingest, segment, validate
 from colloquy.sources import artifacts, captions, episodes, pages
 from colloquy.streaming import ingest as stream
 
-HOST, ALIASES = "Lena Host", ("LH",)
-FIRST = """<article><h2><a href="/show/2024/01/08/ama-january-2024/">AMA | January 2024</a></h2><time datetime="2024-01-08">x</time></article>
-<article><h2><a href="/show/2024/01/15/other/">12 | Another show</a></h2><time datetime="2024-01-15">x</time></article>
-<nav class="nav-next"><a href="https://pod.example/show/page/2/">Next</a></nav>"""
-SECOND = """<article><h2><a href="/show/2023/12/11/ama-december-2023/">AMA | December 2023</a></h2><time datetime="2023-12-11">x</time></article>"""
-PAGE = """<html><head><style>p{}</style></head><body><article><audio src="https://audio.example/jan.mp3"></audio>
-<iframe src="https://www.youtube.com/embed/abcdefghijk"></iframe><h5>Click to Show Full Transcript</h5><div>
-0:00:01 LH: Hello and welcome.
-
-0:00:10 Lena Host: Grace Hopper asks, "What is a bug?" It is a moth in a relay.
-
-0:01:00 Lena Host: It can also be a mistake.
-
-0:02:00 Lena Host: Alan writes: "Why machines?" Because they do not tire.
-</div><div>
-← Previous Post</div></article></body></html>"""
-LEGACY = """<article><div class="entry-content"><p>[accordion title="Click to Show AMA Questions"]Click above.</p>
-<p>Grace Hopper<br>What is a bug?</p><p>Alan<br>Why machines?<br>[/accordion-item][/accordion]</p></div></article>"""
-GROUPED = """
-0:00:01 LH: Hello to all.
+HOST, ALIASES = "Mara Quill", ("MQ",)
+NEWEST = """<ul><li><article><time datetime="2022-05-30T08:00:00Z">spring</time><a class="t" href="/letters/may/">AMA – May 2022</a></article></li>
+<li><article><a href="/letters/extra/">Lighthouses of the coast</a><time datetime="2022-05-12">x</time></article></li>
+<li><a href="https://letters.example/2022/03/28/march/">AMA: March 2022</a></li></ul>
+<p>older <a rel="prev" href="/newer">up</a> <a rel="next nofollow" href="?page=2">more</a></p>"""
+OLDEST = """<script>var a = "<a href='/x/'>AMA May 1999</a>";</script><div><article><a href="../2021/">
+AMA | November
+2021</a><time datetime="2021-11-29">x</time></article><a class="page-numbers" href="?page=1">1</a></div>"""
+LIGHTHOUSE = """<main><script>var t = "0:01 X: no";</script><audio controls><source src="/sound/may.mp3" type="audio/mpeg"></audio>
+<p>See <a href="https://youtu.be/Qw3_rty-UI0?t=3">the film</a></p><h3>Click to Show Episode Transcript</h3>
+<p>0:05 MQ: Good evening. Tonight I answer letters.</p>
+
+<p>0:40 Mara Quill: Ivo Brandt wrote, “How old is the lighthouse?” It was built in 1874, and rebuilt later.</p>
+
+<p>1:30 Mara Quill: The stones came from the old pier.</p>
+
+<p>2:15 Tess Orlo: Is it still in use?</p>
+
+<p>2:20.5 Mara Quill.: It is,
+on foggy nights.</p>
 
-0:00:04 LH: A few words before the first question.
+<p>3:00 Mara Quill: A follow-up question: Nadia Voss asks, "Who keeps it?" A family of four.</p>
 
-0:00:10 LH: Grace Hopper asks, "What is a bug? And why is it called so?" Right. It was a moth.
+<p>4:10 Mara Quill: Let me combine three questions here. The first is from Pavel Rusk, and he says, "Can one visit?" Lise asks, "Is there a fee?"</p>
 
-0:00:30 LH: Okay, I am going to group two questions together. One is by Alan, who says, "Why machines?" And Mary writes, "Why people?" So both have one answer.
+<p>4:50 Mara Quill: Omar de Witt wants to know, "Are dogs allowed?" Yes to all three, dogs on a lead.</p>
 
-0:00:50 LH: Here are two related notes. The first is by Dan E., and he asks, "Can a program halt?"
+<p>5:30 Mara Quill: Jun writes that the lamp was replaced twice? Right, in 1910 and 1962.</p>
 
-0:01:00 LH: And Eve F. asks, "Can we know it?" Well, no: not in general.
+<p>1:06:10 Mara Quill: The keeper says little about it.</p>
 
-0:01:20 LH: Frank says the number of machines is growing. What is your take? So the trend is real.
-"""
+Leave a Comment</main>"""
+LEGACY = """<article><div class="entry-content"><p>[accordion title="Click to Show AMA Questions"]Click above.</p>
+<p>Ivo Brandt.<br>How old is it?</p><p>only one line</p><p>Lise<br/>Is there a fee?<br>And for dogs?<br>[/accordion-item][/accordion]</p></div></article>"""
 
 
 def cues_of(spark, transcript):
@@ -47,16 +48,15 @@ def cues_of(spark, transcript):
 
 
 def test_archive_pages_are_walked_and_filtered(spark):
-    calls = []
-
-    def fetch(url):
-        calls.append(url)
-        return {"https://pod.example/show/": FIRST, "https://pod.example/show/page/2/": SECOND}[url]
-
-    archive = pages.crawl(spark, fetch, "https://pod.example/show/")
+    site, calls = {"https://letters.example/all/": NEWEST, "https://letters.example/all/?page=2": OLDEST}, []
+    archive = pages.crawl(spark, lambda url: calls.append(url) or site[url], "https://letters.example/all/")
     got = [(r.title, str(r.publish_date), r.source_url) for r in pages.discovered(archive).collect()]
-    assert got == [("AMA | December 2023", "2023-12-11", "https://pod.example/show/2023/12/11/ama-december-2023/"), ("AMA | January 2024", "2024-01-08", "https://pod.example/show/2024/01/08/ama-january-2024/")]
-    assert calls == ["https://pod.example/show/", "https://pod.example/show/page/2/"]
+    assert got == [
+        ("AMA | November 2021", "2021-11-29", "https://letters.example/2021/"),
+        ("AMA: March 2022", "2022-03-28", "https://letters.example/2022/03/28/march/"),
+        ("AMA – May 2022", "2022-05-30", "https://letters.example/letters/may/"),
+    ]
+    assert calls == list(site)
 
 
 def test_archives_of_over_a_hundred_pages_are_walked_to_the_end(spark):
@@ -69,28 +69,58 @@ def test_archives_of_over_a_hundred_pages_are_walked_to_the_end(spark):
 
 
 def test_cues_and_segments(spark):
-    text = pages.transcripts(spark.createDataFrame([("u", PAGE)], "url string, html string")).head().transcript_text
+    text = pages.transcripts(spark.createDataFrame([("u", LIGHTHOUSE)], "url string, html string")).head().transcript_text
     cues = cues_of(spark, text)
-    assert [(r.start_sec, r.speaker) for r in cues.orderBy("pos").collect()] == [(1, HOST), (10, HOST), (60, HOST), (120, HOST)]
+    own = cues.orderBy("pos").collect()
+    assert [(r.start_sec, r.speaker == HOST) for r in own] == [(5, True), (40, True), (90, True), (135, False), (140, True), (180, True), (250, True), (290, True), (330, True), (3970, True)]
+    assert own[4].text.split() == "It is, on foggy nights.".split()
     got = segment.segments(cues, HOST, ALIASES).orderBy("ord").collect()
-    assert [r.type for r in got] == ["intro", "question", "question"]
-    assert (got[1].segment_id, got[1].question_text, got[1].start_sec, got[1].end_sec) == ("ama-2024-01#q02", "What is a bug?", 10, 120)
-    assert {"Grace Hopper", HOST} <= set(got[1].speaker_names) and got[2].end_sec is None
-
-
-def test_grouped_and_follow_up_questions_share_answers(spark):
-    got = segment.segments(cues_of(spark, GROUPED), HOST, ALIASES).orderBy("ord").collect()
-    assert [(r.type, r.start_sec) for r in got] == [("intro", 1), ("question", 10), ("question", 30), ("question", 50), ("question", 80)]
-    assert got[0].answer_text == "Hello to all. A few words before the first question."
-    assert (got[1].question_text, got[1].answer_text) == ("What is a bug? And why is it called so?", "Right. It was a moth.")
-    assert got[2].question_text == "Alan: Why machines?\n\nMary: Why people?" and got[2].answer_text == "So both have one answer."
-    assert got[3].question_text == "Can a program halt?\n\nCan we know it?" and {"Dan E", "Eve F"} <= set(got[3].speaker_names)
-    assert got[4].question_text == "the number of machines is growing. What is your take?" and got[4].answer_text == "So the trend is real."
+    assert [(r.type, r.start_sec, r.end_sec) for r in got] == [("intro", 5, 40), ("question", 40, 135), ("question", 135, 250), ("question", 250, 330), ("question", 330, None)]
+    assert [r.question_text for r in got] == [
+        "", "How old is the lighthouse?", "Is it still in use?\n\nWho keeps it?",
+        "Pavel Rusk: Can one visit?\n\nLise: Is there a fee?\n\nAre dogs allowed?", "that the lamp was replaced twice?",
+    ]
+    assert [r.answer_text for r in got] == [
+        "Good evening. Tonight I answer letters.", "It was built in 1874, and rebuilt later. The stones came from the old pier.",
+        "It is, on foggy nights. A family of four.", "Yes to all three, dogs on a lead.", "Right, in 1910 and 1962. The keeper says little about it.",
+    ]
+    assert [r.speaker_names for r in got] == [[HOST], ["Ivo Brandt", HOST], ["Tess Orlo", HOST, "Nadia Voss"], ["Pavel Rusk", "Lise", HOST, "Omar de Witt"], ["Jun", HOST]]
+    assert got[1].segment_id == "ama-2024-01#q02" and got[1].tokens == 5 + 15
+
+
+@pytest.mark.parametrize("said, parts, rest", [
+    ('and then łukasz asks, "why?"', [], 'and then łukasz asks, "why?"'),
+    ('Then Ann Lee asks, "Why?" and Bo says, "never", I think.', [("Ann Lee", "Why?")], 'and Bo says, "never", I think.'),
+    ("Ann asks whether it is so. And how?", [("Ann", "whether it is so. And how?")], ""),
+    ("Ann asks: is it so? " + "Nobody can tell, not even those who were there. " * 4, [], None),
+    ("Ann asks, is it? Is it? Well, it is. Or is it?", [("Ann", "is it? Is it?")], "Well, it is. Or is it?"),
+    ('He asks, "Why?" She wrote, "Who?"', [], None),
+    ("Combine several questions together. Ann Lee writes, \"One?\" Ann asks, \"Two?\"", [("Ann Lee", "One?"), ("Ann Lee", "Two?")], ""),
+    ('The first is from Cy, she says, “Why?” So.', [("Cy", "Why?")], "So."),
+    ('Ann asks, "open without an end? Sure.', [("Ann", "open without an end?")], "Sure."),
+    ("", [], ""),
+])
+def test_cues_are_cut_at_askers(spark, said, parts, rest):
+    cue = spark.createDataFrame([("e", 0, 1, HOST, said)], "episode_id string, pos int, start_sec int, speaker string, text string")
+    got = segment.asking_cues(cue, HOST, ALIASES).head()
+    assert [(p.name, p.question) for p in got.parts] == parts
+    assert got.rest == (said if rest is None else rest)
+
+
+@pytest.mark.parametrize("kinds, sections", [
+    ("A q A", "0 1 1"), ("q q q", "1 1 1"), ("qr q A q", "1 2 2 3"), ("A f A f q", "0 1 1 1 2"), ("A q A f q q", "0 1 1 1 2 2"),
+    ("q A g q q", "1 1 2 2 2"), ("q A fg q q", "1 1 1 1 2"), ("qr f fr q", "1 1 1 2"), ("gr q", "1 2"), ("f f", "1 1"),
+])
+def test_sections_follow_from_the_cues_beside(spark, kinds, sections):
+    """A: an answer; q: a question, with r an answer behind it, f a follow-up, g a group announced."""
+    rows = [("e", k, k, HOST, "t", [("n", "q?")] * (x != "A"), "t" if x == "A" or "r" in x else "", "g" in x, "f" in x) for k, x in enumerate(kinds.split())]
+    asked = spark.createDataFrame(rows, f"episode_id string, pos int, start_sec int, speaker string, text string, parts array<{segment.PART}>, rest string, groups boolean, follows boolean")
+    assert [r.section for r in segment.numbered_sections(asked).orderBy("pos").collect()] == [int(x) for x in sections.split()]
 
 
 def test_question_only_pages(spark):
     got = pages.legacy_questions(spark.createDataFrame([("u", LEGACY)], "url string, html string")).orderBy("ord").collect()
-    assert [(r.speaker, r.text) for r in got] == [("Grace Hopper", "What is a bug?"), ("Alan", "Why machines?")]
+    assert [(r.ord, r.speaker, r.text) for r in got] == [(0, "Ivo Brandt", "How old is it?"), (1, "Lise", "Is there a fee? And for dogs?")]
 
 
 def test_snapshots_are_named_by_content(spark):
@@ -103,7 +133,7 @@ def test_snapshots_are_named_by_content(spark):
 
 
 def test_incremental_ingest_adds_once(spark, tmp_path):
-    rows = [("AMA | January 2024", "https://pod.example/1", "2024-01-08", PAGE), ("AMA | December 2023", "https://pod.example/2", "2023-12-11", PAGE)]
+    rows = [("AMA – May 2022", "https://letters.example/may", "2022-05-30", LIGHTHOUSE), ("AMA: March 2022", "https://letters.example/march", "2022-03-28", LIGHTHOUSE)]
     batch = spark.createDataFrame(rows, "title string, source_url string, d string, html string").select("title", "source_url", F.col("d").cast("date").alias("publish_date"), "html")
     content, cache = str(tmp_path / "content"), str(tmp_path / "cache")
     first = stream.add_batch(batch, content, cache, HOST, ALIASES).head()
@@ -111,9 +141,9 @@ def test_incremental_ingest_adds_once(spark, tmp_path):
     second = stream.add_batch(batch, content, cache, HOST, ALIASES).head()
     assert (second.discovered, second.processed, second.skipped) == (2, 0, 2)
     stored = episodes.read(spark, content)
-    assert [(r.episode_id, r.number) for r in stored.orderBy("number").collect()] == [("ama-2023-12", 1), ("ama-2024-01", 2)]
+    assert [(r.episode_id, r.number) for r in stored.orderBy("number").collect()] == [("ama-2022-03", 1), ("ama-2022-05", 2)]
     one = stored.where("number = 2").head()
-    assert one.youtube_id == "abcdefghijk" and one.audio_url == "https://audio.example/jan.mp3" and one.duration_sec == 120
+    assert one.youtube_id == "Qw3_rty-UI0" and one.audio_url == "https://letters.example/sound/may.mp3" and one.duration_sec == 3970
     assert len(list((tmp_path / "cache").glob("sha=*"))) == 1
     validate.require_valid(validate.violations(episodes.segments(stored)))
     validate.require_valid(validate.episode_violations(stored))
@@ -123,13 +153,13 @@ def test_incremental_ingest_adds_once(spark, tmp_path):
     from colloquy.plans.query_state import QueryState
 
     engine = Engine.open(spark, str(tmp_path / "index"))
-    assert engine.search(QueryState("moth", "keyword", year="2024")).count() == 1
+    assert engine.search(QueryState("lighthouse", "keyword", year="2022")).count() == 2
 
 
 def test_streamed_ingest(spark, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
-    (inbox / "a.json").write_text(json.dumps({"title": "AMA | January 2024", "source_url": "https://pod.example/1", "publish_date": "2024-01-08", "html": PAGE}) + "\n")
+    (inbox / "a.json").write_text(json.dumps({"title": "AMA – May 2022", "source_url": "https://letters.example/may", "publish_date": "2022-05-30", "html": LIGHTHOUSE}) + "\n")
     args = (str(inbox), str(tmp_path / "content"), str(tmp_path / "cache"), str(tmp_path / "progress"), HOST, ALIASES)
     stream.start(spark, *args).awaitTermination(120)
     stream.start(spark, *args).awaitTermination(120)
@@ -141,15 +171,17 @@ def test_missing_folder_has_no_episodes(spark, tmp_path):
 
 
 def test_captions_align(spark):
-    source = {"events": [{"tStartMs": 0, "dDurationMs": 1000, "segs": [{"utf8": "Welcome all."}]}, {"tStartMs": 10000, "dDurationMs": 1000, "segs": [{"utf8": "Grace Hoper asks, what is a bug and why does it have a name?"}]}, {"tStartMs": 15000, "dDurationMs": 1000, "segs": [{"utf8": "The bug was a moth."}]}, {"tStartMs": 30000, "dDurationMs": 1000, "segs": [{"utf8": "Alan writes, why machines?"}]}, {"segs": [{"utf8": "no start"}]}, {"tStartMs": 5, "segs": [{"utf8": " \n"}]}]}
+    """Pieces of an event are joined by spaces; a misspelt name still counts."""
+    heard = [(1200, 2800, ["The", "harbour", "is quiet"]), (64_500, 3000, ["Ivo", " Brandd ", "wonders:\n", "when was the lighthouse first built?"]), (70_250, 900, ["In eighteen", "seventy-four."]), (99_000, None, ["Now the fee?"]), (None, 5, ["no start"]), (120_000, 10, [" ", None]), (130_000, 10, None)]
+    source = {"events": [{"tStartMs": a, "dDurationMs": d, "segs": p and [{"utf8": x} for x in p]} for a, d, p in heard]}
     cues = captions.parse(spark.createDataFrame([("e", json.dumps(source))], "episode_id string, json string"))
-    assert cues.count() == 4
-    asked = spark.createDataFrame([("e", "q1", "What is a bug, and why does it have a name?", ["Grace Hopper"], 0.0, None)], "episode_id string, question_id string, question_text string, speaker_names array<string>, from_sec double, until_sec double")
-    assert align.align(asked, cues).head().start_sec == 10
-    after = spark.createDataFrame([("e", "q1", "What is a bug?", 10.0, None)], "episode_id string, question_id string, question_text string, start_sec double, next_sec double")
-    assert align.answer_starts(after, cues).head().answer_sec == 15
-    span = spark.createDataFrame([("e", "s", 15.0, 30.0)], "episode_id string, span_id string, from_sec double, until_sec double")
-    assert align.text_between(cues, span).head().text == "The bug was a moth."
+    assert [(r.start_sec, r.end_sec, r.text) for r in cues.orderBy("start_sec").collect()] == [(1.2, 4.0, "The harbour is quiet"), (64.5, 67.5, "Ivo Brandd wonders: when was the lighthouse first built?"), (70.25, 71.15, "In eighteen seventy-four."), (99.0, 99.0, "Now the fee?")]
+    asked = spark.createDataFrame([("e", "q1", "When was the lighthouse first built?", ["Ivo Brandt"], 0.0, None)], "episode_id string, question_id string, question_text string, speaker_names array<string>, from_sec double, until_sec double")
+    assert align.align(asked, cues).head().start_sec == 64
+    after = spark.createDataFrame([("e", "q1", "First built?", 64.5, None)], "episode_id string, question_id string, question_text string, start_sec double, next_sec double")
+    assert align.answer_starts(after, cues).head().answer_sec == 70
+    span = spark.createDataFrame([("e", "s", 60.0, 99.0)], "episode_id string, span_id string, from_sec double, until_sec double")
+    assert align.text_between(cues, span).head().text == "Ivo Brandd wonders: when was the lighthouse first built? In eighteen seventy-four."
 
 
 def test_validation_finds_backward_times(spark):
