@@ -44,7 +44,7 @@ from colloquy.llm.op4_toxicity import texts
 TAU, STAGE_TAU = 2, 4
 #: The pipeline's stage takes fingerprints of STAGE_SHINGLE words, of which an edited word spoils fewer, and looks as far as REACH
 #: bits, where links of more than STAGE_TAU bits need texts that agree.
-STAGE_SHINGLE, REACH, AGREE_WORDS, AGREE, TRIED = 2, 7, 5, 0.8, 16
+STAGE_SHINGLE, REACH, AGREE_WORDS, AGREE = 2, 7, 5, 0.8
 SHINGLE, SEED, BITS, SUB = 3, 42, 64, 11
 #: What a probe costs, which is shuffled and sorted, against a candidate, which is only compared in the join.
 PROBE = 32
@@ -248,43 +248,28 @@ def shingle_sets(texts_of: DataFrame) -> DataFrame:
     return texts_of.select("fp", "text").mapInArrow(run, "fp long, set array<long>")
 
 
-def relabelled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """``pairs`` with the groups lo < hi renamed to their roots; pairs inside one group go."""
-    for side in ("lo", "hi"):
-        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias("_to")), side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
-    return pairs.where("lo <> hi").withColumns({"lo": F.least("lo", "hi"), "hi": F.greatest("lo", "hi")})
-
-
 def agreed(docs: DataFrame, distinct: DataFrame, far: DataFrame) -> DataFrame:
     """(a, b): groups that a link of ``far`` (a, b, group_a, group_b) with agreeing texts joins. ``distinct``: fp, row.
 
-    Two groups need one such link. So of each two groups the closest link is tried first, then the closest of each of TRIED
-    parts of what is left, and only links between groups that are still apart after that are all tried.
+    Two groups need one such link, so the closest link of each two groups is tried first, and all others only between groups
+    that it has not joined.
     """
     left = checkpoint(far.select("a", "b", F.least("group_a", "group_b").alias("lo"), F.greatest("group_a", "group_b").alias("hi")).distinct())
     wanted = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select("fp", "row")
     sets = checkpoint(shingle_sets(docs.select(row_key().alias("row"), "text").join(wanted, "row").groupBy("fp").agg(F.min("text").alias("text"))))
     for side, size in (("a", "n_a"), ("b", "n_b")):
         left = left.join(sets.select(F.col("fp").alias(side), F.size("set").alias(size)), side)
-    left = left.where(F.least("n_a", "n_b") >= AGREE * F.greatest("n_a", "n_b")).select("a", "b", "lo", "hi")  # sets of other sizes cannot agree
-    found = None
-    for parts in (1, TRIED, None):
-        if parts is None:
-            tried = left
-        else:
-            first = F.min(F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"), "a", "b"))
-            tried = left.groupBy("lo", "hi", F.pmod(F.xxhash64("a", "b"), F.lit(parts)).alias("part")).agg(first.alias("l")).select("l.a", "l.b", "lo", "hi")
-        tried = checkpoint(tried)
+    left = checkpoint(left.where(F.least("n_a", "n_b") >= AGREE * F.greatest("n_a", "n_b")).select("a", "b", "lo", "hi"))  # sets of other sizes cannot agree
+
+    def agreeing(tried: DataFrame) -> DataFrame:
         both = tried.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
-        same = checkpoint(both.where(shared >= AGREE * (F.size("x") + F.size("y") - shared)).select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct())
-        found = same if found is None else found.unionByName(same)
-        if parts is None:
-            break
-        left = checkpoint(relabelled(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"), components(same)))
-        if left.isEmpty():
-            break
-    return found
+        return checkpoint(both.where(shared >= AGREE * (F.size("x") + F.size("y") - shared)).select("lo", "hi").distinct())
+
+    closest = F.min(F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"), "a", "b"))
+    first = agreeing(left.groupBy("lo", "hi").agg(closest.alias("l")).select("l.a", "l.b", "lo", "hi"))
+    rest = agreeing(left.join(first, ["lo", "hi"], "left_anti"))
+    return first.unionByName(rest).toDF("a", "b")
 
 
 def grouped(docs: DataFrame, size: int, tau: int, reach: int) -> DataFrame:
