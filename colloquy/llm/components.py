@@ -13,15 +13,17 @@ def _minima(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
+def _pairs(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Each row's ``pairs`` of columns as rows (u, v); one pass, where a union would read ``rows`` once for each."""
+    return rows.select(F.explode(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs))).alias("p")).select("p.u", "p.v")
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One round: large links each larger neighbour to the smallest node around, small each smaller one and the node."""
     if large:
-        pairs = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        pairs = _pairs(pairs, ("u", "v"), ("v", "u"))
     joined = pairs.join(_minima(pairs), "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+    out = _pairs(joined.where("v > u"), ("v", "m")) if large else _pairs(joined, ("v", "m"), ("u", "m"))
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 

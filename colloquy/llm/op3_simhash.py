@@ -257,9 +257,6 @@ def agreed(docs: DataFrame, distinct: DataFrame, far: DataFrame) -> DataFrame:
     left = checkpoint(far.select("a", "b", F.least("group_a", "group_b").alias("lo"), F.greatest("group_a", "group_b").alias("hi")).distinct())
     wanted = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select("fp", "row")
     sets = checkpoint(shingle_sets(docs.select(row_key().alias("row"), "text").join(wanted, "row").groupBy("fp").agg(F.min("text").alias("text"))))
-    for side, size in (("a", "n_a"), ("b", "n_b")):
-        left = left.join(sets.select(F.col("fp").alias(side), F.size("set").alias(size)), side)
-    left = checkpoint(left.where(F.least("n_a", "n_b") >= AGREE * F.greatest("n_a", "n_b")).select("a", "b", "lo", "hi"))  # sets of other sizes cannot agree
 
     def agreeing(tried: DataFrame) -> DataFrame:
         both = tried.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
