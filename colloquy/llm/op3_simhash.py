@@ -18,10 +18,10 @@ Null and empty texts, and texts of white space, have fingerprint zero and link l
 shingle are one shingle. Equal texts share a fingerprint. A null doc_id keeps its row and never names a component unless
 all ids of it are null. Other columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
 
-``keep_one`` can look further, to ``reach`` bits. Links of up to ``tau`` bits count as they are, and are searched first. The
-second search leaves out pairs of one group, so a large group of near copies adds no rows to it; its links count only if the
-exact Jaccard similarity of the texts' AGREE_WORDS-word shingles is AGREE or more. A fingerprint's text is there that of one of
-its rows.
+``keep_one`` can look further, to ``reach`` bits. Links of up to ``tau`` bits count as they are, and are searched first: those of
+TAU bits, then the others. Each later search leaves out pairs of one group, so a large group of near copies adds few rows to it;
+links of over ``tau`` bits count only if the exact Jaccard similarity of the texts' AGREE_WORDS-word shingles is AGREE or more. A
+fingerprint's text is there that of one of its rows.
 """
 
 from __future__ import annotations
@@ -273,13 +273,18 @@ def grouped(docs: DataFrame, size: int, tau: int, reach: int) -> DataFrame:
     """doc_id, fp, row, root (one for each component), component_id of every document; links of over ``tau`` bits must agree."""
     own = checkpoint(fingerprints(docs, size))
     distinct = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")))
-    n = distinct.count()
-    roots = components(links(distinct.withColumn("group", F.col("fp")), Plan(distinct, n, tau)).select("a", "b"))
-    if reach > tau:
-        roots = checkpoint(roots)
-        in_groups = checkpoint(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group")))
-        far = agreed(docs, distinct, links(in_groups, Plan(distinct, n, reach)))
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(far))
+    n, in_groups, roots = distinct.count(), distinct.withColumn("group", F.col("fp")), None
+    # the nearest links make groups first, and later searches leave their pairs out, so that the links of a large group of
+    # near copies do not grow with its square
+    for bits in sorted({min(TAU, tau), tau, max(tau, reach)}):
+        found = links(in_groups, Plan(distinct, n, bits))
+        found = found.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")).distinct() if bits <= tau else agreed(docs, distinct, found)
+        if roots is not None:
+            found = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+        roots = components(found)
+        if bits < max(tau, reach):
+            roots = checkpoint(roots)
+            in_groups = checkpoint(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group")))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # written first, so that the join below is of two plain exchanges and a root with many fingerprints can be split
     smallest = checkpoint(named.groupBy("root").agg(F.min("first").alias("component_id")))
