@@ -1,7 +1,7 @@
 """Captions and questions on one time axis: interval joins, best matches and forward as-of lookups.
 
-Cues (episode_id, start_sec, end_sec, text) and questions (episode_id, question_id, ...) meet by episode, then by time; an
-episode is some thousand cues, and the hash join on it keeps all else local.
+Cues (episode_id, start_sec, end_sec, text) and questions (episode_id, question_id, ...) meet by episode and slice of time, so
+a long episode is many groups, and no question meets cues outside its own slices. Rows without an episode or a start meet nothing.
 """
 
 from __future__ import annotations
@@ -14,18 +14,34 @@ from colloquy.functions.text import clean_text, content_words, spoken_words
 
 AHEAD, NAME_WEIGHT, LATEST, PACE, ACCEPT, OPENING = 100, 0.8, 0.8, 150, 0.45, 8
 LEAST_SECONDS, WORDS_A_SECOND, GRACE = 4.0, 3.3, 12.0
+#: Seconds of one slice of an episode.
+SLICE = 600
 
 
 def flat(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
 
 
-def text_between(cues: DataFrame, spans: DataFrame) -> DataFrame:
+def meet(spans: DataFrame, cues: DataFrame, first: Column, last: Column, width: int = SLICE) -> DataFrame:
+    """The spans with the cues of their episode that start from ``first`` to ``last``, both included (null: no end).
+
+    An equi-join on the slices that a span touches, as far as its episode has cues; a cue lies in one slice, so no pair comes
+    twice. Columns of the two sides have unlike names but ``episode_id``; the cues have ``at``, their start.
+    """
+    sliced = cues.where("episode_id is not null and at is not null").withColumn("_slice", F.floor(F.col("at") / width))
+    ends = sliced.groupBy("episode_id").agg(F.min("at").alias("_least"), F.max("at").alias("_most"))
+    placed = spans.withColumn("_first", first.cast("double")).withColumn("_last", F.coalesce(last.cast("double"), F.lit(float("inf")))).join(ends, "episode_id")
+    low, high = F.floor(F.greatest("_first", "_least") / width), F.floor(F.least("_last", "_most") / width)
+    placed = placed.withColumn("_slice", F.explode(F.when(low <= high, F.sequence(low, high)))).drop("_least", "_most")
+    return placed.join(sliced, ["episode_id", "_slice"]).where((F.col("at") >= F.col("_first")) & (F.col("at") <= F.col("_last"))).drop("_slice", "_first", "_last")
+
+
+def text_between(cues: DataFrame, spans: DataFrame, width: int = SLICE) -> DataFrame:
     """The spans (episode_id, span_id, from_sec, until_sec) with ``text``: their cues' texts in order."""
-    c, s = cues.alias("c"), spans.alias("s")
-    inside = s.join(c, (F.col("s.episode_id") == F.col("c.episode_id")) & (F.col("c.start_sec") >= F.col("s.from_sec")) & (F.col("c.start_sec") < F.col("s.until_sec")))
-    gathered = F.array_sort(F.collect_list(F.struct("c.start_sec", "c.text")))
-    return inside.groupBy("s.episode_id", "s.span_id").agg(clean_text(F.array_join(F.transform(gathered, lambda x: x["text"]), " ")).alias("text"))
+    heard = cues.select("episode_id", F.col("start_sec").alias("at"), "text")
+    inside = meet(spans, heard, F.col("from_sec"), F.col("until_sec"), width).where(F.col("until_sec").isNull() | (F.col("at") < F.col("until_sec")))
+    gathered = F.array_sort(F.collect_list(F.struct("at", "text")))
+    return inside.groupBy("episode_id", "span_id").agg(clean_text(F.array_join(F.transform(gathered, lambda x: x["text"]), " ")).alias("text"))
 
 
 def look_ahead(cues: DataFrame, seconds: int = AHEAD) -> DataFrame:
@@ -86,8 +102,8 @@ def align(questions: DataFrame, cues: DataFrame) -> DataFrame:
     look-ahead text is scored.
     """
     asked = questions.select("episode_id", "question_id", "from_sec", F.coalesce(F.col("until_sec").cast("double"), F.lit(float("inf"))).alias("until_sec"), content_words(F.col("question_text")).alias("words"), F.transform("speaker_names", content_words).alias("names"))
-    heard = look_ahead(cues).select("episode_id", "start_sec", "end_sec", flat(F.col("text")).alias("flat"), content_words(F.col("text")).alias("heard"), flat(F.col("ahead")).alias("ahead"))
-    met = asked.join(heard, "episode_id").where((F.col("start_sec") >= F.col("from_sec")) & (F.col("start_sec") < F.col("until_sec")))
+    heard = look_ahead(cues).select("episode_id", F.col("start_sec").alias("at"), "start_sec", "end_sec", flat(F.col("text")).alias("flat"), content_words(F.col("text")).alias("heard"), flat(F.col("ahead")).alias("ahead"))
+    met = meet(asked, heard, F.col("from_sec"), F.col("until_sec")).where(F.col("at") < F.col("until_sec"))
     rows = met.withColumn("named", name_score(F.col("names"), F.col("heard")))
     opens = F.exists(F.slice("words", 1, OPENING), lambda w: F.contains(F.col("flat"), w))
     first = F.element_at(F.filter("words", lambda w: F.contains(F.col("ahead"), w)), 1)
@@ -97,20 +113,50 @@ def align(questions: DataFrame, cues: DataFrame) -> DataFrame:
     return rows.groupBy("question_id").agg(best.alias("b")).where(F.col("b.score") >= ACCEPT).select("question_id", "b.start_sec", "b.answer_start_sec", "b.score")
 
 
-def answer_starts(questions: DataFrame, cues: DataFrame) -> DataFrame:
+def _of_later_slices(rows: DataFrame) -> DataFrame:
+    """episode_id, _slice, _next: the least ``at`` of the episode's later slices. Only one row a slice is ordered by episode."""
+    own = rows.groupBy("episode_id", "_slice").agg(F.min("at").alias("_own"))
+    later = Window.partitionBy("episode_id").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    return own.select("episode_id", "_slice", F.last("_own", ignorenulls=True).over(later).alias("_next"))
+
+
+def with_next(cues: DataFrame, width: int = SLICE) -> DataFrame:
+    """Cues (episode_id, at, ends, text) with ``after_sec``: where the next cue of the episode starts (order: at, ends, text)."""
+    sliced = cues.withColumn("_slice", F.floor(F.col("at") / width))
+    order = Window.partitionBy("episode_id", "_slice").orderBy("at", "ends", "text")
+    follow = sliced.withColumn("_lead", F.lead("at").over(order)).join(_of_later_slices(sliced), ["episode_id", "_slice"])
+    return follow.withColumn("after_sec", F.coalesce("_lead", "_next")).drop("_slice", "_lead", "_next")
+
+
+def first_from(asked: DataFrame, cues: DataFrame, width: int = SLICE) -> DataFrame:
+    """The asked rows (episode_id, earliest, ...) with ``later``: the first cue's start (``at``) from ``earliest`` on, or null.
+
+    A forward as-of: both sides in one order a slice, and the next slice that has cues where the own one has none left.
+    """
+    fields = [c for c in asked.columns if c != "episode_id"]
+    marks = cues.where("episode_id is not null and at is not null").select("episode_id", F.col("at").cast("double").alias("time"), F.col("at").cast("double").alias("at"), F.lit(None).cast(asked.select(F.struct(*fields)).schema[0].dataType).alias("q"))
+    rows = marks.unionByName(asked.select("episode_id", F.col("earliest").cast("double").alias("time"), F.lit(None).cast("double").alias("at"), F.struct(*fields).alias("q"))).withColumn("_slice", F.floor(F.col("time") / width))
+    down = Window.partitionBy("episode_id", "_slice").orderBy(F.desc("time"), F.col("at").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("_own", F.last("at", ignorenulls=True).over(down)).where("q is not null")
+    met = found.join(_of_later_slices(rows), ["episode_id", "_slice"], "left")
+    return met.select("episode_id", "q.*", F.coalesce("_own", "_next").alias("later"))
+
+
+def answer_starts(questions: DataFrame, cues: DataFrame, width: int = SLICE) -> DataFrame:
     """question_id, answer_sec: the cue after the one in which the question's last "?" is heard, else the first plausible cue.
 
-    ``questions``: episode_id, question_id, question_text, start_sec, next_sec (null: none).
+    ``questions``: episode_id, question_id, question_text, start_sec, next_sec (null: none). Without a plausible cue the
+    answer is taken to start when the question can have been read.
     """
-    follow = Window.partitionBy("episode_id").orderBy("start_sec")
-    q, c = questions.alias("q"), cues.withColumn("after_sec", F.lead("start_sec").over(follow)).alias("c")
     marks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("?"), F.lit("")))
-    plausible = F.col("q.start_sec") + F.greatest(F.lit(LEAST_SECONDS), spoken_words(F.col("q.question_text")) / WORDS_A_SECOND)
-    rows = q.join(c, "episode_id", "left").select("q.question_id", F.col("q.start_sec").alias("asked"), F.coalesce("q.next_sec", F.lit(float("inf"))).alias("next_sec"), plausible.alias("earliest"), F.greatest(F.lit(1), marks(F.col("q.question_text"))).alias("expected"), F.col("c.start_sec").alias("at"), F.col("c.end_sec").alias("ends"), "c.after_sec", marks(F.col("c.text")).alias("marks"))
-    inside = (F.col("at") >= F.col("asked")) & (F.col("at") < F.col("next_sec")) & (F.col("at") <= F.col("earliest") + GRACE)
-    running = Window.partitionBy("question_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("seen", F.sum(F.when(inside, F.col("marks")).otherwise(0)).over(running))
-    heard = inside & (F.col("marks") > 0) & (F.col("seen") >= F.col("expected")) & (F.col("ends") >= F.col("earliest"))
-    spoken = F.min_by(F.when(heard, F.coalesce("after_sec", "ends")), F.when(heard, F.col("at")))
-    later = F.min(F.when(F.col("at") >= F.col("earliest"), F.col("at")))
-    return rows.groupBy("question_id").agg(F.floor(F.coalesce(spoken, later, F.max("earliest"))).alias("answer_sec"))
+    plausible = F.col("start_sec") + F.greatest(F.lit(LEAST_SECONDS), spoken_words(F.col("question_text")) / WORDS_A_SECOND)
+    asked = questions.select("episode_id", "question_id", F.col("start_sec").cast("double").alias("asked"), F.col("next_sec").cast("double").alias("next_sec"), plausible.alias("earliest"), F.greatest(F.lit(1), marks(F.col("question_text"))).alias("expected"))
+    heard = cues.where("episode_id is not null and start_sec is not null").select("episode_id", F.col("start_sec").cast("double").alias("at"), F.col("end_sec").cast("double").alias("ends"), "text")
+    met = meet(asked, with_next(heard, width), F.col("asked"), F.col("earliest") + GRACE, width).where("next_sec is null or at < next_sec")
+    running = Window.partitionBy("question_id").orderBy("at", "ends", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = met.withColumn("marks", marks(F.col("text"))).withColumn("seen", F.sum("marks").over(running))
+    ended = met.where((F.col("marks") > 0) & (F.col("seen") >= F.col("expected")) & (F.col("ends") >= F.col("earliest")))
+    spoken = ended.groupBy("question_id").agg(F.min(F.struct("at", F.coalesce("after_sec", "ends").alias("answer"))).alias("s"))
+    later = first_from(asked.select("episode_id", "question_id", "earliest"), heard, width)
+    every = later.groupBy("question_id").agg(F.min("later").alias("later"), F.max("earliest").alias("earliest"))
+    return every.join(spoken, "question_id", "left").select("question_id", F.floor(F.coalesce("s.answer", "later", "earliest")).alias("answer_sec"))

@@ -499,24 +499,26 @@ def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"), "event_id", at.alias("start_sec"), (at + 5).alias("end_sec"), F.concat("event_type", F.when(F.col("event_id") % 3 == 0, "?").otherwise("")).alias("text"))
 
 
-@query(f"""WITH {CUES}, spans AS (SELECT episode_id, event_id AS span_id, start_sec AS f, start_sec + 20000 AS u FROM cues WHERE event_id % 50 = 0)
+@query(f"""WITH {CUES}, spans AS (SELECT episode_id, event_id AS span_id, start_sec AS f, start_sec + 20000 AS u FROM cues WHERE ends_with(text, '?'))
 SELECT s.span_id, string_agg(text, ' ' ORDER BY start_sec, text) AS text FROM spans s JOIN cues c ON s.episode_id = c.episode_id AND start_sec >= f AND start_sec < u GROUP BY s.span_id""")
 def caption_interval_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said in the 20,000 seconds from each asking cue."""
     cues = _cues(spark, sf_dir)
-    spans = cues.where("event_id % 50 = 0").select("episode_id", F.col("event_id").alias("span_id"), F.col("start_sec").alias("from_sec"), (F.col("start_sec") + 20000).alias("until_sec"))
-    return align.text_between(cues, spans).select("span_id", "text")
+    spans = cues.where(F.endswith("text", F.lit("?"))).select("episode_id", F.col("event_id").alias("span_id"), F.col("start_sec").alias("from_sec"), (F.col("start_sec") + 20000).alias("until_sec"))
+    return align.text_between(cues, spans, 20_000).select("span_id", "text")
 
 
-@query(f"""WITH {CUES}, c AS (SELECT *, lead(start_sec) OVER (PARTITION BY episode_id ORDER BY start_sec, event_id) AS nxt FROM cues),
-q AS (SELECT episode_id, event_id AS question_id, start_sec AS asked, start_sec + 4 AS earliest FROM cues WHERE event_id % 20 = 0),
-m AS (SELECT question_id, asked, earliest, c.start_sec AS at_, end_sec, nxt, CASE WHEN ends_with(text, '?') THEN 1 ELSE 0 END AS marks,
-  c.start_sec >= asked AND c.start_sec <= earliest + 12 AS inside FROM q JOIN c USING (episode_id)),
-r AS (SELECT *, sum(CASE WHEN inside THEN marks ELSE 0 END) OVER (PARTITION BY question_id ORDER BY at_ ROWS UNBOUNDED PRECEDING) AS seen FROM m)
-SELECT question_id, CAST(coalesce(arg_min(coalesce(nxt, end_sec), at_) FILTER (inside AND marks > 0 AND seen >= 1 AND end_sec >= earliest), min(at_) FILTER (at_ >= earliest), max(earliest)) AS BIGINT) AS answer_sec FROM r GROUP BY question_id""")
+@query(f"""WITH {CUES}, c AS (SELECT *, lead(start_sec) OVER (PARTITION BY episode_id ORDER BY start_sec, end_sec, text) AS nxt FROM cues),
+q AS (SELECT episode_id, event_id AS question_id, start_sec AS asked, start_sec + 4 AS earliest FROM cues WHERE ends_with(text, '?')),
+spoken AS (SELECT question_id, min({{'a': c.start_sec, 'v': coalesce(nxt, end_sec)}}).v AS spoken FROM q JOIN c ON q.episode_id = c.episode_id AND c.start_sec BETWEEN asked AND earliest + 12
+  WHERE ends_with(c.text, '?') AND end_sec >= earliest GROUP BY question_id),
+later AS (SELECT q.*, c.start_sec AS later FROM q ASOF LEFT JOIN cues c ON q.episode_id = c.episode_id AND q.earliest <= c.start_sec)
+SELECT question_id, CAST(coalesce(spoken, later, earliest) AS BIGINT) AS answer_sec FROM later LEFT JOIN spoken USING (question_id)""")
 def caption_asof_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the answer to each asking cue begins. The tables' cues are hours apart, so slices are of a day."""
     cues = _cues(spark, sf_dir)
-    asked = cues.where("event_id % 20 = 0").select("episode_id", F.col("event_id").alias("question_id"), F.lit("What now?").alias("question_text"), "start_sec", F.lit(None).cast("double").alias("next_sec"))
-    return align.answer_starts(asked, cues.drop("event_id"))
+    asked = cues.where(F.endswith("text", F.lit("?"))).select("episode_id", F.col("event_id").alias("question_id"), F.lit("What now?").alias("question_text"), "start_sec", F.lit(None).cast("double").alias("next_sec"))
+    return align.answer_starts(asked, cues.drop("event_id"), 86_400)
 
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)

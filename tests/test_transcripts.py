@@ -184,6 +184,29 @@ def test_captions_align(spark):
     assert align.text_between(cues, span).head().text == "Ivo Brandd wonders: when was the lighthouse first built? In eighteen seventy-four."
 
 
+def test_captions_meet_by_slices(spark):
+    """Against brute force: spans and questions that cross slices, ties, open ends, and rows without an episode or a start."""
+    import random
+
+    rng = random.Random(5)
+    heard = [(rng.choice("xy"), float(rng.randrange(400)), "what?" if rng.random() < 0.3 else f"w{k}") for k in range(120)]
+    cues = spark.createDataFrame([*((e, a, a + 6, t) for e, a, t in heard), (None, 1.0, 2.0, "no episode"), ("x", None, None, "no start")], "episode_id string, start_sec double, end_sec double, text string")
+    spans = [(rng.choice("xyz"), f"s{k}", float(rng.randrange(-50, 450)), None if k % 5 == 0 else float(rng.randrange(500))) for k in range(60)]
+    got = align.text_between(cues, spark.createDataFrame([*spans, (None, "none", 0.0, None)], "episode_id string, span_id string, from_sec double, until_sec double"), 37)
+    inside = {s: sorted((a, t) for e, a, t in heard if e == own and low <= a and (high is None or a < high)) for own, s, low, high in spans}
+    assert {r.span_id: r.text for r in got.collect()} == {s: " ".join(t for _, t in found) for s, found in inside.items() if found}
+
+    asked = [(rng.choice("xyz"), f"q{k}", "so?", float(rng.randrange(450)), None) for k in range(60)] + [(None, "none", "so?", 3.0, None)]
+    starts = align.answer_starts(spark.createDataFrame(asked, "episode_id string, question_id string, question_text string, start_sec double, next_sec double"), cues, 37)
+    due = {}
+    for own, q, _, at, _ in asked:
+        line = sorted((a, a + 6, t) for e, a, t in heard if e == own)
+        follow = {k: (line[k + 1][0] if k + 1 < len(line) else line[k][1]) for k in range(len(line))}
+        spoken = [follow[k] for k, (a, end, t) in enumerate(line) if at <= a <= at + 16 and "?" in t and end >= at + 4]
+        due[q] = (spoken or [a for a, _, _ in line if a >= at + 4] or [at + 4])[0]
+    assert {r.question_id: r.answer_sec for r in starts.collect()} == due
+
+
 def test_validation_finds_backward_times(spark):
     schema = "episode_id string, segment_id string, type string, start_sec int, end_sec int, ord int"
     good = [("e", "e#q01", "question", 10, 20, 0), ("e", "e#q02", "question", None, None, 1)]
