@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -37,7 +38,7 @@ def all_ranges(text: Column, terms: list[str]) -> Column:
     plain = normalize_query(text)
     out = F.array().cast(RANGE)
     for t in terms:
-        pieces, size = F.split(plain, t), len(t)
+        pieces, size = F.split(plain, re.escape(t)), len(t)
 
         def step(done: Column, piece: Column) -> Column:
             start = done["at"] + F.length(piece)

@@ -12,12 +12,15 @@ from pyspark.sql.types import StringType
 
 def _folds() -> tuple[str, str]:
     """Latin letters with marks, and their base letters, from Unicode's canonical decomposition."""
-    marked = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii()]
+    marked = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii()]
     lower = sorted({m.lower() for m in marked if len(m.lower()) == 1})
     return "".join(lower), "".join(unicodedata.normalize("NFD", m)[0] for m in lower)
 
 
 MARKED, PLAIN = _folds()
+#: Combining marks, which go, and joined letters, which part.
+COMBINING = "".join(map(chr, range(0x300, 0x370)))
+JOINED = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in range(0xFB00, 0xFB07)}
 #: Words that carry no content when a question is matched with captions.
 STOP_WORDS = tuple(
     "a an and are as at be been being but by can could did do does for from has have he her here him his how i if in into is it its me my no not of on or our she so that the their them then there these they this to up was we were what when where which who why will with would you your".split()
@@ -27,17 +30,24 @@ PRONOUNS = ("he", "she", "they", "it", "i", "we", "you", "this", "that", "there"
 
 
 def fold(text: Column) -> Column:
-    """Lower case, without the marks of Latin letters."""
+    """Lower case, without the marks of Latin letters, as many characters as before."""
     return F.translate(F.lower(text), MARKED, PLAIN)
 
 
+def bare(text: Column) -> Column:
+    """``fold``, without combining marks."""
+    return F.translate(F.lower(text), MARKED + COMBINING, PLAIN)
+
+
 def normalize_query(text: Column) -> Column:
     """One space for each character that is no letter or digit; the length stays, so offsets hold in the text."""
     return F.regexp_replace(fold(text), "[^a-z0-9]", " ")
 
 
 def normalize_index(text: Column) -> Column:
-    return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
+    for joined, letters in JOINED.items():
+        text = F.replace(text, F.lit(joined), F.lit(letters))
+    return F.trim(F.regexp_replace(bare(text), "[^a-z0-9]+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -54,7 +64,7 @@ def index_words(text: Column) -> Column:
 
 def query_terms(text: Column) -> Column:
     """All words, in order, repeats kept."""
-    return F.filter(F.split(F.trim(normalize_query(text)), " "), lambda w: w != "")
+    return F.filter(F.split(normalize_index(text), " "), lambda w: w != "")
 
 
 def embedding_tokens(text: Column) -> Column:
@@ -90,8 +100,9 @@ def token_count(text: Column) -> Column:
 
 def close_words(term: Column, word: Column) -> Column:
     """A word near a misspelt term: one edit, two for terms of over seven characters; terms of over three characters only."""
-    most = F.when(F.length(term) > 7, 2).otherwise(1)
-    return (F.length(term) > 3) & (F.length(word) <= F.length(term) + 2) & (F.levenshtein(term, word) <= most)
+    # with a threshold the distance is -1 beyond it, and the search stops there
+    near = F.when(F.length(term) > 7, F.levenshtein(term, word, 2) >= 0).otherwise(F.levenshtein(term, word, 1) >= 0)
+    return (F.length(term) > 3) & (F.length(word) <= F.length(term) + 2) & near
 
 
 def canonical_speaker(name: Column, host: str, aliases: tuple[str, ...] = ()) -> Column:

@@ -4,27 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from colloquy.functions.text import episode_key, segment_key, token_count
-from colloquy.operators import segment
+from colloquy.operators import order, segment
 from colloquy.sources import pages as html
 
 
+def without(found: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+    """The found rows of which no column's value is known: an anti-join each instead of one with OR, so all are hash joins."""
+    for c in columns:
+        found = found.join(known.select(c).distinct(), c, "left_anti")
+    return found
+
+
 def unseen(discovered: DataFrame, existing: DataFrame) -> DataFrame:
     """Discovered episodes (title, source_url, publish_date) whose key and address are both unknown; one a key.
 
-    Two anti-joins instead of one with OR, so both are hash joins. Of two posts in a month the later one stays.
+    Of two posts in a month the later one stays.
     """
     keyed = discovered.withColumn("episode_id", episode_key(F.col("publish_date")))
-    new = keyed.join(existing.select("episode_id"), "episode_id", "left_anti").join(existing.select("source_url"), "source_url", "left_anti")
+    new = without(keyed, existing, "episode_id", "source_url")
     return new.groupBy("episode_id").agg(F.max_by(F.struct("title", "source_url", "publish_date"), F.struct("publish_date", "source_url")).alias("r")).select("episode_id", "r.*")
 
 
 def numbered(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """With ``number`` going on from the highest known one by date. Episodes come monthly, so one task ranks them."""
+    """With ``number`` going on from the highest known one by date."""
     last = existing.agg(F.coalesce(F.max("number"), F.lit(0))).head()[0]
-    return new.withColumn("number", (F.row_number().over(Window.orderBy("publish_date", "source_url")) + F.lit(last)).cast("int"))
+    return order.numbered(new, "publish_date", "source_url", start=last + 1).withColumn("number", F.col("number").cast("int"))
 
 
 def summary(discovered: DataFrame, new: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from colloquy.functions.text import close_words, index_words
 
 QUESTION, ANSWER, EXACT = 4, 1, 10
 CANDIDATES, RESULTS, DICTIONARY, SUGGESTIONS = 240, 200, 12_000, 8
+#: Parts of a shard's vocabulary that are cut to the dictionary's size before they meet.
+PARTS = 16
 
 
 def terms_of(segments: DataFrame, *keep: str) -> DataFrame:
@@ -37,9 +39,14 @@ def frequencies(segments: DataFrame) -> DataFrame:
 
 
 def dictionary(segments: DataFrame, size: int = DICTIONARY) -> DataFrame:
-    """The most frequent terms of each shard, with their rank ``rk`` from 1."""
-    order = Window.partitionBy("shard").orderBy(F.desc("freq"), "term")
-    return frequencies(segments).withColumn("rk", F.row_number().over(order).cast("long")).where(F.col("rk") <= size)
+    """The most frequent terms of each shard, with their rank ``rk`` from 1.
+
+    A term of the first ``size`` is among the first ``size`` of its part, so a shard's last sort sees at most PARTS times that.
+    """
+    part = F.pmod(F.hash("term"), F.lit(PARTS))
+    within, whole = (Window.partitionBy("shard", *by).orderBy(F.desc("freq"), "term") for by in ([part], []))
+    first = frequencies(segments).withColumn("rk", F.row_number().over(within)).where(F.col("rk") <= size)
+    return first.withColumn("rk", F.row_number().over(whole).cast("long")).where(F.col("rk") <= size)
 
 
 def contributions(index: DataFrame, terms: list[str], shards: list[str]) -> DataFrame:

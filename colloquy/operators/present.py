@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from colloquy.functions.ranges import first_ranges, snippet
 
 PAGE = 24
+#: Characters on each side of a passage's preview; others have the default of ``snippet``.
+PASSAGE_RADIUS = 200
 
 
 def results(ranked: DataFrame, segments: DataFrame, episodes: DataFrame | None, terms: list[str]) -> DataFrame:
-    """The ranked rows (segment_id, score, rank, maybe char_offset) with texts, a preview and its highlights.
+    """The ranked rows (segment_id, score, rank, maybe char_offset) with texts, a preview, its highlights and the question's.
+
+    A hit with the place of an answer's passage is shown from there; other previews centre on the first term found.
 
     ``ranked`` is cut to a few hundred rows before, so it is broadcast and the texts are not shuffled. Rows without a text
     or an episode drop out.
@@ -22,10 +26,12 @@ def results(ranked: DataFrame, segments: DataFrame, episodes: DataFrame | None,
     if episodes is not None:
         out = out.join(episodes, "episode_id")
     source = F.when(F.trim("answer") != "", F.col("answer")).otherwise(F.col("question"))
+    preview = snippet(source, terms)
     if "char_offset" in own:
-        source = F.when(F.col("char_offset") > 0, F.substr("answer", F.col("char_offset").cast("int") + 1)).otherwise(source)
-    out = out.withColumn("preview", snippet(source, terms))
-    out = out.withColumn("highlights", first_ranges(F.col("preview"), terms))
+        passage = F.substr(source, F.col("char_offset").cast("int") + 1)
+        preview = F.when(F.col("char_offset") >= 0, snippet(passage, terms, PASSAGE_RADIUS)).otherwise(preview)
+    out = out.withColumn("preview", preview)
+    out = out.withColumn("highlights", first_ranges(F.col("preview"), terms)).withColumn("question_highlights", first_ranges(F.col("question"), terms))
     return out.withColumn("semantic_only", F.lit(bool(terms)) & (F.size("highlights") == 0)).orderBy("rank")
 
 

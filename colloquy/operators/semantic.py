@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from colloquy.functions.text import embedding_tokens
 from colloquy.functions.vectors import dot, unit
+from colloquy.operators.order import stored
 
 LEAST, WINDOW, DIMENSIONS, MARGIN, POWER, SEED = 5, 5, 256, 16, 2, 0x1234ABCD
 CHUNK, STRIDE, CHUNKS, NEIGHBOURS = 220, 190, 3, 8
@@ -102,10 +103,9 @@ def factorize(matrix: DataFrame, dimensions: int = DIMENSIONS, margin: int = MAR
     """term, vec: rows of V sqrt(L), L the largest positive eigenvalues of the symmetric ``matrix`` (a, b, ppmi), at unit length.
 
     A random block is multiplied and made orthonormal 1 + ``power`` times, then the small projected matrix is solved. ``cut``
-    ends the lineage of a step (default: checkpoint, or persist where no checkpoint folder is set).
+    ends the lineage of a step (default: the shared folder).
     """
-    spark = matrix.sparkSession
-    cut = cut or (lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist())
+    cut = cut or stored
     k = dimensions + margin
     matrix = cut(matrix)
 

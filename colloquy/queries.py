@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colloquy.functions import ranges, text, vectors
-from colloquy.operators import align, facets, fusion, keyword, present, segment, semantic, session, validate
+from colloquy.operators import align, facets, fusion, ingest, keyword, order, present, segment, semantic, session, validate
 from colloquy.plans import query_state
 from colloquy.sources import artifacts, pages
 from colloquy.sources.corpus import segments, table
@@ -321,7 +321,7 @@ def train_word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("term", F.round("idf", 6).alias("idf"), F.size("vec").alias("dimensions"), F.round(vectors.dot(F.col("vec"), F.col("vec")), 6).alias("norm"))
 
 
-@query(f"""WITH {TOKENS}, ranked AS (SELECT term, ln(1 + (SELECT count(*) FROM documents) / df) AS idf, row_number() OVER (ORDER BY freq DESC, term) - 1 AS vec_id FROM stats QUALIFY vec_id < 500),
+@query(f"""WITH {TOKENS}, ranked AS (SELECT term, ln(1 + (SELECT count(*) FROM documents) / df) AS idf, row_number() OVER (ORDER BY freq DESC, term) - 1 AS vec_id FROM stats),
 words_ AS (SELECT term, idf, embedding AS vec FROM ranked JOIN embeddings USING (vec_id)),
 asked AS (SELECT item_id, unnest(list_filter(string_split({NORM.format('text')}, ' '), lambda w: length(w) BETWEEN 2 AND 23)) AS term FROM benchmark),
 dims AS (SELECT item_id, idf * CAST(unnest(vec) AS DOUBLE) AS x, unnest(range(1, len(vec) + 1)) AS d FROM asked JOIN words_ USING (term)),
@@ -330,8 +330,7 @@ SELECT item_id, CAST(d AS INTEGER) AS d, round(x / sqrt(sum(x * x) OVER (PARTITI
 def query_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts pooled over a word table whose vectors are given: the n-th most frequent word has vector n."""
     stats = semantic.term_stats(_tokens(spark, sf_dir), "doc_id")
-    top = stats.orderBy(F.desc("freq"), "term").limit(500)
-    ranked = top.withColumn("vec_id", F.row_number().over(Window.orderBy(F.desc("freq"), "term")) - 1)  # over 500 rows
+    ranked = order.numbered(stats, F.desc("freq"), "term", start=0, name="vec_id")
     words = ranked.withColumn("idf", semantic.idf(table(spark, sf_dir, "documents").count())).join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id")
     asked = semantic.token_rows(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
     pooled = semantic.pool(asked, "item_id", words.select("term", "idf", "vec"))
@@ -432,14 +431,8 @@ def incremental_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose id and address are both unknown (every third page is known), numbered on."""
     found = table(spark, sf_dir, "pages").select("page_id", "url")
     known = found.where("page_id % 3 = 0")
-    new = found.join(known.select("page_id"), "page_id", "left_anti").join(known.select("url"), "url", "left_anti")
     last = known.agg(F.coalesce(F.max("page_id"), F.lit(0))).head()[0]
-    # ids in range order, then an offset for each partition: no single task ranks all pages
-    ordered = new.repartitionByRange("page_id").sortWithinPartitions("page_id").withColumn("part", F.spark_partition_id())
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("rows"))
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("page_id"))
-    return ordered.withColumn("i", inside).join(F.broadcast(offsets), "part").select("page_id", "url", (F.col("i") + F.col("before") + last).cast("long").alias("number"))
+    return order.numbered(ingest.without(found, known, "page_id", "url"), "page_id", start=last + 1)
 
 
 @query("SELECT sha256(html) AS sha, min(page_id) AS first_page, count(*) AS pages FROM pages GROUP BY sha256(html)")
