@@ -23,7 +23,10 @@ def main(args: list[str] | None = None) -> None:
     if got.job == "ingest":
         found = pages.discovered(pages.crawl(spark, pages.fetch_text, got.archive))
         known = episodes.read(spark, got.content).select("source_url")
-        bodies = pages.fetched(found.join(known, "source_url", "left_anti").selectExpr("source_url as url"), pages.fetch_text).withColumnRenamed("url", "source_url")
+        todo = found.join(known, "source_url", "left_anti").selectExpr("source_url as url")
+        cached = pages.with_snapshots(todo, *pages.read_cache(spark, got.cache)).persist()
+        fetched = pages.fetched(cached.where("html is null"), pages.fetch_text)
+        bodies = cached.where("html is not null").unionByName(fetched).withColumnRenamed("url", "source_url")
         ingest.add_batch(found.join(bodies, "source_url", "left").persist(), got.content, got.cache, got.host).show()
         return
     stored = episodes.read(spark, got.content)

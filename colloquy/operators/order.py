@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,14 +12,19 @@ from pyspark.sql.window import Window
 PLACE_BITS = 33
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """The rows, written to the folder of spark.checkpoint.dir; one is made only for a local master without it (tests)."""
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; one is made only for a local master without it (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", "")
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, without the lineage that made them."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql.window import Window
 from colloquy.functions import ranges, text, vectors
 from colloquy.operators import align, facets, fusion, ingest, keyword, order, present, segment, semantic, session, validate
 from colloquy.plans import query_state
-from colloquy.sources import artifacts, pages
+from colloquy.plans.engine import Engine
+from colloquy.sources import artifacts, captions, pages
 from colloquy.sources.corpus import segments, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,9 +62,17 @@ SELECT {select} FROM scored JOIN seg USING (shard, segment_id) WHERE {where}
 ORDER BY score DESC, start_sec DESC, segment_id LIMIT 240"""
 
 
-def _index(seg: DataFrame) -> DataFrame:
-    """The index that an engine has stored; a query reads it several times."""
-    return keyword.postings(seg).persist()
+_written: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as an engine stores it: written to the shared folder once an application and table folder, then read."""
+    key, made = (spark.sparkContext.applicationId, sf_dir), keyword.postings(segments(spark, sf_dir))
+    if key not in _written:
+        path = f"{order.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        artifacts.write_postings(made, path)
+        _written[key] = path
+    return spark.read.schema(made.schema).parquet(_written[key])
 
 
 TERMS = ["with", "the", "tion", "the"]
@@ -71,7 +81,7 @@ TERMS = ["with", "the", "tion", "the"]
 @query(f"SELECT segment_id, shard, episode_id, type, start_sec, score, question FROM ({_keyword_sql(TERMS, select='*')}) ORDER BY score DESC, start_sec DESC, segment_id LIMIT 200")
 def keyword_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    ranked = keyword.best(keyword.rank(keyword.postings(seg), seg, TERMS), keyword.RESULTS)
+    ranked = keyword.best(keyword.rank(_index(spark, sf_dir), seg, TERMS), keyword.RESULTS)
     return seg.select("segment_id", "question").join(F.broadcast(ranked), "segment_id").select("segment_id", "shard", "episode_id", "type", "start_sec", "score", "question")
 
 
@@ -81,19 +91,19 @@ FUZZY = ["tion", "keit", "reading", "copyright"]
 @query(_keyword_sql(FUZZY))
 def keyword_fuzzy_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    return keyword.rank(_index(seg), seg, FUZZY).select("segment_id", "shard", "score")
+    return keyword.rank(_index(spark, sf_dir), seg, FUZZY).select("segment_id", "shard", "score")
 
 
 @query(_keyword_sql(["with", "tion"], "type = 'question' AND episode_id = 'src3'", "shard = 'en'"))
 def keyword_filters_episode_type_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    return keyword.rank(keyword.postings(seg), seg, ["with", "tion"], "question", "src3", ["en"]).select("segment_id", "shard", "score")
+    return keyword.rank(_index(spark, sf_dir), seg, ["with", "tion"], "question", "src3", ["en"]).select("segment_id", "shard", "score")
 
 
 @query(f"WITH {SEG} SELECT segment_id, start_sec, CAST(0 AS BIGINT) AS score FROM seg WHERE type = 'question' ORDER BY start_sec DESC, segment_id LIMIT 240")
 def keyword_browse_empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    return keyword.rank(keyword.postings(seg), seg, [], "question").select("segment_id", "start_sec", "score")
+    return keyword.rank(_index(spark, sf_dir), seg, [], "question").select("segment_id", "start_sec", "score")
 
 
 @query(f"WITH {POSTINGS} SELECT * FROM postings")
@@ -287,22 +297,20 @@ SELECT id, coalesce(first_rank, 0) AS first_rank, coalesce(second_rank, 0) AS se
 ORDER BY coalesce(1.0 / (60 + first_rank), 0) + coalesce(1.0 / (60 + second_rank), 0) DESC, kw.first_rank NULLS LAST, sem.second_rank NULLS LAST LIMIT 200""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg, rows = segments(spark, sf_dir), _byte_vectors(spark, sf_dir)
-    exact = keyword.rank(_index(seg), seg, ["with", "tion"])
+    exact = keyword.rank(_index(spark, sf_dir), seg, ["with", "tion"])
     near = rows.select("vec_id", vectors.int_dot(_vector(rows, 0), F.col("q")).alias("score")).orderBy(F.desc("score"), "vec_id").limit(keyword.CANDIDATES)
     first = fusion.ranked(exact.withColumnRenamed("segment_id", "id"), "first_rank", F.desc("score"), F.desc("start_sec"), "id")
     second = fusion.ranked(near.withColumnRenamed("vec_id", "id"), "second_rank", F.desc("score"), "id")
     return fusion.fuse(first, second, "id", keyword.RESULTS).withColumn("score", F.round("score", 9)).fillna(0, ["first_rank", "second_rank"])
 
 
-def _engine(spark: SparkSession, sf_dir: str, dimensions: int = 24):
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine over the documents, with word vectors trained on them."""
-    from colloquy.plans.engine import Engine
-
     seg = segments(spark, sf_dir)
     docs = seg.select("segment_id", F.concat_ws(" ", "question", "answer").alias("text"))
-    stored = artifacts.word_table(semantic.train(docs, "segment_id", F.col("text"), dimensions, margin=8)).persist()
+    stored = order.stored(artifacts.word_table(semantic.train(docs, "segment_id", F.col("text"))))
     words = artifacts.query_words(stored)
-    index = _index(seg)
+    index = _index(spark, sf_dir)
     return Engine(seg, index, index.select("shard", "term").distinct(), keyword.dictionary(seg), artifacts.passage_vectors(seg, words), words)
 
 
@@ -313,11 +321,26 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("segment_id", "rank", "score", "match", "preview", F.size("highlights").alias("n_highlights"))
 
 
+@query(f"SELECT segment_id, row_number() OVER (ORDER BY score DESC, start_sec DESC, segment_id) AS rank, score FROM ({_keyword_sql(TERMS, select='*')}) QUALIFY rank <= 200")
+def engine_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine over the stored index, asked by an address in keyword mode."""
+    seg, index = segments(spark, sf_dir), _index(spark, sf_dir)
+    engine = Engine(seg, index, index.select("shard", "term").distinct(), keyword.dictionary(seg))
+    return engine.search(query_state.QueryState(" ".join(TERMS), "keyword")).select("segment_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(f"WITH {SEG} SELECT segment_id, start_sec, type, question FROM seg WHERE episode_id = 'src3'")
+def engine_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg, index = segments(spark, sf_dir), _index(spark, sf_dir)
+    engine = Engine(seg, index, index.select("shard", "term").distinct(), keyword.dictionary(seg))
+    return engine.episode("src3").select("segment_id", "start_sec", "type", "question")
+
+
 @query()
 def train_word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word vectors at unit length; a rotation of them is as good, so tests hold invariants."""
     docs = table(spark, sf_dir, "documents")
-    words = semantic.train(docs, "doc_id", F.coalesce("text", F.lit("")), 24, margin=8)
+    words = semantic.train(docs, "doc_id", F.coalesce("text", F.lit("")))
     return words.select("term", F.round("idf", 6).alias("idf"), F.size("vec").alias("dimensions"), F.round(vectors.dot(F.col("vec"), F.col("vec")), 6).alias("norm"))
 
 
@@ -440,6 +463,39 @@ def raw_cache_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(F.sha2("html", 256).alias("sha")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("pages"))
 
 
+@query("""SELECT sha256(html) AS sha, CAST(length(min(html)) AS INTEGER) AS chars FROM pages WHERE sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 2 = 0) GROUP BY sha256(html)""")
+def snapshot_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents that a cache of every second page lacks."""
+    found = table(spark, sf_dir, "pages").select("page_id", "html")
+    known = pages.new_snapshots(found.where("page_id % 2 = 0"), spark.createDataFrame([], pages.SNAPSHOT))
+    return pages.new_snapshots(found, known).select("sha", F.length("html").alias("chars"))
+
+
+SITE = "https://site.example/p/"
+
+
+@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://site.example/a/' || page_id || '.mp3' WHEN 1 THEN '{SITE}files/' || page_id || '.mp3?v=2' WHEN 2 THEN 'https://cdn.example/' || page_id ELSE '{SITE}' || page_id END AS audio,
+  CASE WHEN page_id % 3 = 0 THEN 'abcdefghij' || page_id % 10 END AS video FROM pages""")
+def page_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audio address and the video of pages that have an element, a link, a source or none put on."""
+    p, key = F.col("page_id"), F.col("page_id").cast("string")
+    put = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    audio = F.when(p % 4 == 0, put('<audio controls src="/a/', key, '.mp3"></audio>')).when(p % 4 == 1, put('<a class="x" href="files/', key, '.mp3?v=2">listen</a>')).when(p % 4 == 2, put('<audio><source src="https://cdn.example/', key, '"></audio>')).otherwise("")
+    video = F.when(p % 3 == 0, put('<iframe src="https://www.youtube.com/embed/abcdefghij', (p % 10).cast("string"), '"></iframe>')).otherwise("")
+    html = F.concat("html", audio, video)
+    return table(spark, sf_dir, "pages").select("page_id", pages.audio_of(html, put(SITE, key)).alias("audio"), pages.video_of(html).alias("video"))
+
+
+@query("""SELECT DISTINCT 'AMA | May 2024' AS title, 'https://site.example/2024/0' || (1 + page_id % 9) || '/1' || page_id % 10 || '/ama-' || page_id % 500 AS source_url,
+  CAST('2024-0' || (1 + page_id % 9) || '-1' || page_id % 10 AS DATE) AS publish_date FROM pages""")
+def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive pages with an episode's link and another one; an address that several pages name counts once."""
+    p = F.col("page_id")
+    path = F.concat(F.lit("/2024/0"), (1 + p % 9).cast("string"), F.lit("/1"), (p % 10).cast("string"), F.lit("/ama-"), (p % 500).cast("string"))
+    html = F.concat(F.lit('<article><h2><a href="'), path, F.lit('">AMA | May 2024</a></h2></article><a href="/other">Another post</a>'))
+    return pages.discovered(table(spark, sf_dir, "pages").select(p.alias("page_no"), F.lit("https://site.example/archive/").alias("url"), html.alias("html")))
+
+
 BARE = "regexp_replace(regexp_replace(html, '(?is)<style\\b.*?</style\\s*>', '', 'g'), '(?is)<script\\b.*?</script\\s*>', '', 'g')"
 
 
@@ -536,6 +592,16 @@ def json_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")).where("k is not null")
 
 
+@query("""SELECT user_id AS episode_id, round(epoch_us(ts) // 1000 / 1000.0, 3) AS start_sec, round((epoch_us(ts) // 1000 + event_id % 4000) / 1000.0, 3) AS end_sec, event_type || ' then ' || event_id AS text FROM events WHERE event_id % 9 <> 0""")
+def caption_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a caption file of pieces, parsed back; a ninth of them has no text."""
+    e = F.col("event_id")
+    pieces = F.when(e % 9 == 0, F.array(F.lit(" "))).otherwise(F.array("event_type", F.lit(" then\n"), e.cast("string")))
+    event = F.struct(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("tStartMs"), (e % 4000).alias("dDurationMs"), F.transform(pieces, lambda x: F.struct(x.alias("utf8"))).alias("segs"))
+    files = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("episode_id")).agg(F.to_json(F.struct(F.collect_list(event).alias("events"))).alias("json"))
+    return captions.parse(files).select("episode_id", F.round("start_sec", 3).alias("start_sec"), F.round("end_sec", 3).alias("end_sec"), "text")
+
+
 @query("""SELECT user_id, query, mode, "at", "rank" FROM (SELECT user_id, CAST(event_id % 40 AS VARCHAR) AS query, event_type AS mode, max(epoch_us(ts)) AS "at",
   row_number() OVER (PARTITION BY user_id ORDER BY max(epoch_us(ts)) DESC, CAST(event_id % 40 AS VARCHAR), event_type) AS "rank" FROM events GROUP BY user_id, CAST(event_id % 40 AS VARCHAR), event_type) WHERE "rank" <= 5""")
 def recent_searches_mru(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -573,7 +639,7 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT segment_id, rank FROM (SELECT segment_id, row_number() OVER (ORDER BY score DESC, start_sec DESC, segment_id) AS rank FROM ({_keyword_sql(TERMS, select='*')})) WHERE rank > 24 AND rank <= 48")
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    ranked = fusion.ranked(keyword.rank(keyword.postings(seg), seg, TERMS), "rank", F.desc("score"), F.desc("start_sec"), "segment_id")
+    ranked = fusion.ranked(keyword.rank(_index(spark, sf_dir), seg, TERMS), "rank", F.desc("score"), F.desc("start_sec"), "segment_id")
     return present.page(ranked, 1).select("segment_id", "rank")
 
 

@@ -40,6 +40,11 @@ def passage_vectors(segments: DataFrame, words: DataFrame) -> DataFrame:
     return keyed.select("passage", "segment_id", "start_sec", "char_offset").join(pooled, "passage").join(meta, "segment_id").select("shard", "segment_id", "episode_id", "type", "start_sec", "char_offset", quantize(F.col("vec")).alias("q"))
 
 
+def write_postings(postings: DataFrame, path: str) -> None:
+    """By shard, clustered by term: a query reads the row groups of its terms."""
+    postings.repartition("shard", F.pmod(F.hash("term"), F.lit(16))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
 def build(spark: SparkSession, episodes: DataFrame, path: str, dimensions: int = semantic.DIMENSIONS, least: int = semantic.LEAST, margin: int = semantic.MARGIN) -> DataFrame:
     """Write all artifacts below ``path`` (replacing what is there) and return the manifest.
 
@@ -49,13 +54,13 @@ def build(spark: SparkSession, episodes: DataFrame, path: str, dimensions: int =
     docs = segments.withColumn("text", F.concat_ws(" ", "question", "answer"))
     words = semantic.train(docs, "segment_id", F.col("text"), dimensions, least, margin).persist()
     tables = {
-        "keyword": keyword.postings(segments).repartition("shard", F.pmod(F.hash("term"), F.lit(16))).sortWithinPartitions("term"),
         "autocomplete": keyword.dictionary(segments),
         "docs": segments,
         "vectors": passage_vectors(segments, words),
     }
     for name, df in tables.items():
         df.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/{name}")
+    write_postings(keyword.postings(segments), f"{path}/keyword")
     word_table(words).write.mode("overwrite").parquet(f"{path}/vocab")
     source.headers(episodes).write.mode("overwrite").parquet(f"{path}/episodes")
     words.unpersist()

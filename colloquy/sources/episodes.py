@@ -10,14 +10,19 @@ SEGMENT = "struct<segment_id:string, type:string, question_text:string, answer_t
 EPISODE = f"episode_id string, number int, title string, publish_date date, source_url string, transcript_url string, transcript_text string, speakers array<string>, audio_url string, youtube_id string, duration_sec int, segments array<{SEGMENT}>, content_hash string"
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The episodes under a folder; a malformed file fails the scan, a missing folder has none."""
+def read_lines(spark: SparkSession, path: str, schema: str, whole_files: bool = False) -> DataFrame:
+    """JSON rows under a folder; a malformed one fails the scan, a missing folder has none."""
     try:
-        return spark.read.schema(EPISODE).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path)
+        return spark.read.schema(schema).option("multiLine", whole_files).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], EPISODE)
+        return spark.createDataFrame([], schema)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The episodes under a folder."""
+    return read_lines(spark, path, EPISODE, whole_files=True)
 
 
 def append(episodes: DataFrame, path: str) -> None:

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from colloquy.sources.episodes import read_lines as lines
+
 EPISODE_TITLE = r"(?i)^AMA\s*(?:[|:—–-]\s*)?[A-Za-z]+\s+\d{4}$"
 TRANSCRIPT = r"(?i)Click to Show (?:Full |Episode )?Transcript"
 QUESTIONS = r"(?i)Click to Show AMA Q"
 FOOTER = r"(?i)\n\s*(?:←\s*Previous Post|Leave a Comment|Related Posts)\b"
 VIDEO = r"(?:youtu\.be/|youtube(?:-nocookie)?\.com/(?:watch\?v=|embed/))([A-Za-z0-9_-]{11})"
+ENTRY, SNAPSHOT = "url string, sha string, at long", "sha string, html string"
 FOUND = "title string, source_url string, publish_date date"
 
 
@@ -181,10 +184,21 @@ def new_snapshots(pages: DataFrame, snapshots: DataFrame) -> DataFrame:
     return pages.select(F.sha2("html", 256).alias("sha"), "html").groupBy("sha").agg(F.min("html").alias("html")).join(snapshots.select("sha"), "sha", "left_anti")
 
 
-def new_index(pages: DataFrame, index: DataFrame) -> DataFrame:
-    """url, sha: the index after the pages (url, html, page_no) were stored; the last writer of an address wins."""
-    both = index.select("url", "sha", F.lit(-1).cast("long").alias("n")).unionByName(pages.select("url", F.sha2("html", 256).alias("sha"), F.col("page_no").alias("n")))
-    return both.groupBy("url").agg(F.max_by("sha", "n").alias("sha"))
+def read_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The cache's index (url, sha: the last entry of an address) and snapshots (sha, html)."""
+    entries = lines(spark, f"{path}/index", ENTRY).groupBy("url").agg(F.max_by("sha", "at").alias("sha"))
+    return entries, lines(spark, f"{path}/pages", SNAPSHOT).groupBy("sha").agg(F.min("html").alias("html"))
+
+
+def append_cache(pages: DataFrame, path: str) -> None:
+    """Add the pages (url, html) to the cache: contents that it lacks, then entries that are new or changed.
+
+    Both are appended, so an address whose content is known keeps its own entry, and a repeated run adds nothing.
+    """
+    index, snapshots = read_cache(pages.sparkSession, path)
+    new_snapshots(pages, snapshots).write.mode("append").json(f"{path}/pages")
+    entries = pages.select("url", F.sha2("html", 256).alias("sha")).distinct().join(index, ["url", "sha"], "left_anti")
+    entries.withColumn("at", F.unix_micros(F.current_timestamp())).write.mode("append").json(f"{path}/index")
 
 
 def transcripts(pages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from colloquy.operators import ingest
 from colloquy.sources import episodes as store
+from colloquy.sources import pages as html
 
 PAGES = "title string, source_url string, publish_date date, html string"
 
@@ -22,10 +23,7 @@ def add_batch(pages: DataFrame, content: str, cache: str, host: str, aliases: tu
     made = ingest.episodes(new, bodies, host, aliases).persist()
     if not made.isEmpty():
         used = bodies.join(new.select(F.col("source_url").alias("url")), "url", "left_semi")
-        snapshots = used.select(F.sha2("html", 256).alias("sha"), "url", "html")
-        # partitions are named by content, so equal bodies overwrite each other
-        one = snapshots.groupBy("sha").agg(F.min("html").alias("html"), F.collect_set("url").alias("urls"))
-        one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sha").json(cache)
+        html.append_cache(used, cache)
         store.append(made, content)
     new.unpersist(), made.unpersist()
     return spark.createDataFrame(counts, "discovered long, processed long, skipped long")

@@ -22,6 +22,8 @@ def test_normalizers_and_tokenizers(spark):
     s = "  École-Straße, l'été! a 42"
     assert one(spark, text.normalize_index(F.col("s")), s=s) == "ecole stra e l ete a 42"
     assert one(spark, text.normalize_exact(F.col("s")), s=s) == "ecole stra e l ete a 42"
+    assert one(spark, text.index_words(F.col("s")), s="cafe\u0301 Ti\u1ebfng \ufb01n") == ["cafe", "tieng", "fin"]
+    assert one(spark, text.query_terms(F.col("s")), s="Cafe\u0301, ti\u1ebfng") == ["cafe", "tieng"]
     assert len(one(spark, text.normalize_query(F.col("s")), s=s)) == len(s)
     assert one(spark, text.index_words(F.col("s")), s=s) == ["ecole", "stra", "ete", "42"]
     assert one(spark, text.query_terms(F.col("s")), s="Time, a time") == ["time", "a", "time"]

@@ -123,13 +123,19 @@ def test_question_only_pages(spark):
     assert [(r.ord, r.speaker, r.text) for r in got] == [(0, "Ivo Brandt", "How old is it?"), (1, "Lise", "Is there a fee? And for dogs?")]
 
 
-def test_snapshots_are_named_by_content(spark):
+def test_snapshots_are_named_by_content(spark, tmp_path):
     found = spark.createDataFrame([(0, "a", "same"), (1, "b", "same"), (2, "a", "newer")], "page_no long, url string, html string")
     none = spark.createDataFrame([], "sha string, html string")
     assert pages.new_snapshots(found, none).count() == 2
-    index = pages.new_index(found, spark.createDataFrame([], "url string, sha string"))
-    cached = pages.with_snapshots(spark.createDataFrame([("a",), ("z",)], "url string"), index, pages.new_snapshots(found, none))
-    assert {r.url: r.html for r in cached.collect()} == {"a": "newer", "z": None}
+    cache = str(tmp_path / "cache")
+    for n in (0, 1, 2, 2):
+        pages.append_cache(found.where(F.col("page_no") == n).select("url", "html"), cache)
+    index, snapshots = pages.read_cache(spark, cache)
+    # a content seen under two addresses in two batches keeps both
+    assert {r.url for r in index.collect()} == {"a", "b"} and snapshots.count() == 2
+    cached = pages.with_snapshots(spark.createDataFrame([("a",), ("b",), ("z",)], "url string"), index, snapshots)
+    assert {r.url: r.html for r in cached.collect()} == {"a": "newer", "b": "same", "z": None}
+    assert spark.read.json(f"{cache}/index").count() == 3
 
 
 def test_incremental_ingest_adds_once(spark, tmp_path):
