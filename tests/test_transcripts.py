@@ -150,7 +150,8 @@ def test_incremental_ingest_adds_once(spark, tmp_path):
     assert [(r.episode_id, r.number) for r in stored.orderBy("number").collect()] == [("ama-2022-03", 1), ("ama-2022-05", 2)]
     one = stored.where("number = 2").head()
     assert one.youtube_id == "Qw3_rty-UI0" and one.audio_url == "https://letters.example/sound/may.mp3" and one.duration_sec == 3970
-    assert len(list((tmp_path / "cache").glob("sha=*"))) == 1
+    index, snapshots = pages.read_cache(spark, str(tmp_path / "cache"))
+    assert (index.count(), snapshots.count()) == (2, 1)  # two addresses, one body
     validate.require_valid(validate.violations(episodes.segments(stored)))
     validate.require_valid(validate.episode_violations(stored))
     built = artifacts.build(spark, stored, str(tmp_path / "index"), dimensions=2, least=1, margin=2)
