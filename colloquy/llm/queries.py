@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import op1_quality_cnn, op2_byte_bpe, op3_simhash, op4_toxicity, op5_voronoi_knn, op6_host_reputation, op7_balanced_shards, op8_quality_rules, op9_soft_mixing, op10_pii_crf
+from colloquy.llm import op1_quality_cnn, op2_byte_bpe, op3_simhash, op4_toxicity, op5_voronoi_knn, op6_host_reputation, op7_balanced_shards, op8_quality_rules, op9_soft_mixing, op10_pii_crf, op11_repeated_passages, op12_crc_resampling, op13_heap_lloyd
 from colloquy.llm.common import table, tune
 
 
@@ -73,6 +73,21 @@ def op8_quality_rules_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality_rules.judge(docs, op8_quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_repeated_passages_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return op11_repeated_passages.repeats(table(spark, sf_dir, "documents"))
+
+
+def op12_crc_resampling_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return op12_crc_resampling.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_heap_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return op13_heap_lloyd.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_cnn": op1_quality_cnn_scores,
@@ -85,6 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules_verdicts,
         "op9_soft_mixing": op9_soft_mixing_rates,
         "op10_pii_crf": op10_pii_crf_spans,
+        "op11_repeated_passages": op11_repeated_passages_cut,
+        "op12_crc_resampling": op12_crc_resampling_draw,
+        "op13_heap_lloyd": op13_heap_lloyd_codes,
     }
 
 
@@ -168,5 +186,81 @@ FROM found
 """
 
 
+#: Every window as a text of its own.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p
+  FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+#: CRC-32 byte by byte over the distinct features, with its table made from the polynomial.
+OP12_SQL = r"""
+WITH RECURSIVE steps(b, c, k) AS (
+  SELECT b, b, 0 FROM range(256) r(b)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+texts AS (SELECT doc_id, 0 AS kind, text FROM documents UNION ALL SELECT item_id, 1, text FROM benchmark),
+split AS (
+  SELECT doc_id, kind, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), runs AS (
+  SELECT doc_id, kind, array_to_string(w[i:i + g - 1], ' ') AS f
+  FROM (SELECT doc_id, kind, w, g, unnest(range(1, len(w) - g + 2)) AS i FROM split, (VALUES (1), (2), (3)) v(g))
+), counted AS (SELECT doc_id, kind, f, count(*) AS n FROM runs GROUP BY ALL),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM hexed, crc
+), placed AS (SELECT doc_id, kind, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+cells AS (SELECT bucket, sum(n) FILTER (kind = 0) AS s, sum(n) FILTER (kind = 1) AS t FROM placed GROUP BY bucket),
+whole AS (SELECT CAST(coalesce(sum(s), 0) + 10000 AS DOUBLE) AS s_all, CAST(coalesce(sum(t), 0) + 10000 AS DOUBLE) AS t_all FROM cells),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * s_all / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * t_all))) AS BIGINT) AS gain FROM cells, whole),
+weights AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM placed JOIN gains USING (bucket) WHERE kind = 0 GROUP BY doc_id),
+noise AS (
+  SELECT doc_id, len(w) AS words, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', sha256('42:' || doc_id)[i]) - 1)), lambda a, b: 16 * a + b) AS h FROM split WHERE kind = 0
+), scored AS (
+  SELECT doc_id, words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM noise LEFT JOIN weights USING (doc_id)
+), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT 5 * count(*) // 100 FROM ranked) THEN r END AS "rank" FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+def _op13_sql() -> str:
+    """Every round compares every part with every entry."""
+    assigned = """SELECT vec_id, label, part, i, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (
+  SELECT x.*, e, CAST(list_sum(list_transform(list_zip(x.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS dist FROM parts x JOIN {} b USING (part)) GROUP BY ALL"""
+    steps = []
+    for k in range(5):
+        steps.append(f"a{k} AS MATERIALIZED ({assigned.format(f'b{k}')})")
+        if k < 4:
+            steps.append(f"""cells{k} AS (SELECT a.part, a.e, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS d FROM a{k} a JOIN parts USING (i, part)),
+means{k} AS (SELECT part, e, list(m ORDER BY d) AS v FROM (SELECT part, e, d, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM cells{k} GROUP BY ALL) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT part, e, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN means{k} m USING (part, e))""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, label, i, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS v FROM kept, range(4) r(part)
+), b0 AS MATERIALIZED (SELECT part, i AS e, v FROM parts WHERE i < 256),
+{", ".join(steps)},
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b4),
+coded AS (SELECT vec_id, label, i, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a4 GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_voronoi_knn": OP5_SQL, "op6_host_reputation": _op6_sql()}
+    return {"op5_voronoi_knn": OP5_SQL, "op6_host_reputation": _op6_sql(), "op11_repeated_passages": OP11_SQL, "op12_crc_resampling": OP12_SQL, "op13_heap_lloyd": _op13_sql()}
