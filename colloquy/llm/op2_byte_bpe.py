@@ -7,12 +7,15 @@ position, token) join the vocabulary and their bytes are joined by position. Mat
 ids of up to ``REMEMBERED`` matches; what is forgotten is computed again.
 
 The merge table holds every pair of tokens whose bytes joined are a token, which is what the rank files mean. ``ENCODE`` takes
-a round for each merge of its longest match. Matches of over ``LONG`` bytes (a run of letters or signs without a break) go to
-``ENCODE_LONG``, which contracts many pairs a round: every pair that is first among all pairs as near as the longest token is
-long. No merge from farther off can reach such a pair before its turn, so the result is that of one contraction after another.
-Equal pairs go together, every other one of a run from its start, if none of the run has to wait and no pair with their token
-has a lower rank. The rounds hardly grow with the match; the query is started anew from its last round where the rounds' rows
-would fill the memory.
+a round for each merge of its longest match. Matches of over ``LONG`` bytes (a run of letters or signs without a break) are first
+cut where two bytes meet that no token has side by side, since nothing ever merges there. Pieces that are still over ``LONG`` go
+to ``ENCODE_LONG``, which contracts many pairs a round: every pair that is first among all pairs that start within the longest
+token's length before it, or twice that length behind it. An earlier merge from farther off can reach a pair only through one
+token that takes its first or its second token in: such a token ends less than one length behind the start of the second, which
+itself lies less than one length behind the pair's, or starts less than one length before the pair's end. So the result is that
+of one contraction after another. Equal pairs go together, every other one of a run from its start, if none of the run has to
+wait and no pair with their token has a lower rank. The rounds hardly grow with the match; the query is started anew from its
+last round where the rounds' rows would fill the memory.
 
 Null and empty texts have no tokens. Repeated rows give a row each. Special tokens are ordinary text. Other columns are
 ignored by ``encode`` and kept by ``tokenize``, whose own columns take other names (``tokens_0``) if theirs are in use.
@@ -36,7 +39,7 @@ from colloquy.llm.common import by_position, unused
 from colloquy.llm.op4_toxicity import texts
 
 REMEMBERED, AT_ONCE, LONG, ROWS = 700_000, 40_000, 160, 4_000_000
-#: What a worker's database may hold; one match of over 3 MB may take 120 times its size.
+#: What a worker's database may hold; a piece of over 3 MB without any place to cut takes 120 times its size.
 MEMORY = 384 << 20
 
 ENCODE = """
@@ -59,7 +62,7 @@ WITH RECURSIVE state(w, p, tok, nxt, q, done) AS (
 SELECT w, list(tok ORDER BY p) AS ids FROM state WHERE done GROUP BY w
 """
 
-#: rank: of the pair that starts at a position; low, before: the lowest one as near as the longest token, and ahead of it.
+#: rank: of the pair that starts at a position; low, before: the lowest one as near as it matters, and ahead of it.
 ENCODE_LONG = """
 WITH RECURSIVE state(w, p, tok, nxt, done, round) AS (
   SELECT w, p, tok, lead(tok) OVER o, false, 0 FROM tokens WINDOW o AS (PARTITION BY w ORDER BY p)
@@ -70,7 +73,7 @@ WITH RECURSIVE state(w, p, tok, nxt, done, round) AS (
       WHERE NOT s.done AND s.round < $rounds
     ), near AS (
       SELECT *, row_number() OVER o AS i, lag(rank) OVER o IS DISTINCT FROM rank AS opens,
-             min(rank) OVER (PARTITION BY w ORDER BY p RANGE BETWEEN $reach PRECEDING AND $reach FOLLOWING) AS low,
+             min(rank) OVER (PARTITION BY w ORDER BY p RANGE BETWEEN $reach PRECEDING AND 2 * $reach FOLLOWING) AS low,
              min(rank) OVER (PARTITION BY w ORDER BY p RANGE BETWEEN $reach PRECEDING AND 1 PRECEDING) AS before
       FROM paired WINDOW o AS (PARTITION BY w ORDER BY p)
     ), placed AS (
@@ -117,6 +120,12 @@ class Tokenizer:
             np.minimum.at(least, side[inner], merged[inner])
         self._load("merges", {"a": a, "b": b, "merged": merged, "steady": least[merged] > merged})
         self.reach = max(map(len, self.ranks))
+        # which bytes stand side by side in a token
+        whole = np.frombuffer(b"".join(self.ranks), np.uint8)
+        inner = np.ones(len(whole), bool)
+        inner[np.cumsum(np.fromiter(map(len, self.ranks), np.int64, len(self.ranks))) - 1] = False
+        self.meet = np.zeros((256, 256), bool)
+        self.meet[whole[:-1][inner[:-1]], whole[1:][inner[:-1]]] = True
         self._load("vocabulary", {"tok": np.array(list(self.ranks.values()), np.int32), "piece": [t.hex() for t in self.ranks]})
         self.known: dict[str, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
@@ -133,7 +142,13 @@ class Tokenizer:
         finally:
             self.db.unregister(name)
 
-    def _learn_long(self, match: str, raw: bytes) -> None:
+    def pieces(self, raw: bytes) -> list[bytes]:
+        """A match cut where nothing merges."""
+        data = np.frombuffer(raw, np.uint8)
+        cuts = [0, *(np.flatnonzero(~self.meet[data[:-1], data[1:]]) + 1).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _long(self, raw: bytes) -> bytes:
         at, ids = np.arange(len(raw), dtype=np.int32), self.single[np.frombuffer(raw, np.uint8)]
         self.db.execute(f"SET memory_limit = '{max(MEMORY, 120 * len(raw)) >> 20}MB'")
         done = False
@@ -141,30 +156,35 @@ class Tokenizer:
             rounds = max(ROWS // len(ids), 2)
             (row,) = self._query(ENCODE_LONG, "tokens", {"w": np.zeros(len(ids), np.int32), "p": at, "tok": ids}, rounds=rounds, reach=self.reach).to_pylist()
             done, at, ids = row["done"], np.array(row["at"], np.int32), np.array(row["ids"], np.int32)
-        self.known[match] = ids.astype("<u4").tobytes()
         self.db.execute(f"SET memory_limit = '{MEMORY >> 20}MB'")
+        return ids.astype("<u4").tobytes()
 
-    def learn(self, matches: list[str]) -> None:
-        """Put the ids of new matches into memory, AT_ONCE in one query."""
-        short: list[tuple[str, bytes]] = []
-        for m in matches:
-            raw = m.encode()
-            if len(raw) > LONG:
-                self._learn_long(m, raw)
-            else:
-                short.append((m, raw))
-        short.sort(key=lambda x: len(x[1]))  # matches of like length end in like rounds
-        for at in range(0, len(short), AT_ONCE):
-            part = short[at : at + AT_ONCE]
-            lengths = np.fromiter((len(raw) for _, raw in part), np.int64, len(part))
-            data = np.frombuffer(b"".join(raw for _, raw in part), np.uint8)
+    def _learn_long(self, match: str, raw: bytes) -> None:
+        self.known[match] = self._long(raw)
+
+    def _short(self, raws: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each with its ids, AT_ONCE in one query."""
+        raws = sorted(raws, key=len)  # those of like length end in like rounds
+        for at in range(0, len(raws), AT_ONCE):
+            part = raws[at : at + AT_ONCE]
+            lengths = np.fromiter(map(len, part), np.int64, len(part))
+            data = np.frombuffer(b"".join(part), np.uint8)
             starts = np.cumsum(lengths) - lengths
             w = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
             found = self._query(ENCODE, "tokens", {"w": w, "p": (np.arange(len(data)) - starts[w]).astype(np.int32), "tok": self.single[data]})
             ids = found["ids"].combine_chunks()
             flat, ends = ids.flatten().to_numpy().astype("<u4"), np.cumsum(ids.value_lengths().to_numpy())
             for k, a, b in zip(found["w"].to_pylist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
-                self.known[part[k][0]] = flat[a:b].tobytes()
+                yield part[k], flat[a:b].tobytes()
+
+    def learn(self, matches: list[str]) -> None:
+        """Put the ids of new matches into memory."""
+        cut = {m: self.pieces(raw) if len(raw) > LONG else [raw] for m, raw in ((m, m.encode()) for m in matches)}
+        own = {raw for raws in cut.values() for raw in raws}
+        ids = dict(self._short([raw for raw in own if len(raw) <= LONG]))
+        ids |= {raw: self._long(raw) for raw in own if len(raw) > LONG}
+        for m, raws in cut.items():
+            self.known[m] = b"".join(map(ids.__getitem__, raws))
 
     def read(self, runs: list[bytes]) -> None:
         """Put the bytes of new runs of ids into memory."""

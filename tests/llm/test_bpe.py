@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 
@@ -56,8 +57,6 @@ def test_both_recursions_agree_with_the_library(library, monkeypatch):
 
 def test_pairs_whose_token_merges_earlier_wait(monkeypatch, tmp_path):
     """A merge table where a joined token has a pair of lower rank than its own: equal pairs cannot go together."""
-    import base64
-
     ranks = {bytes([b]): b for b in range(256)}
     for k, token in enumerate((b"bc", b"aba", b"ab", b"abab", b"cab", b"aa", b"aab")):
         ranks[token] = 256 + k
@@ -74,6 +73,65 @@ def test_pairs_whose_token_merges_earlier_wait(monkeypatch, tmp_path):
             assert np.frombuffer(coder.known[word], "<u4").tolist() == own.encode_ordinary(word), word
 
 
+def own_ranks(tmp_path, tokens):
+    """A tokenizer of single bytes and the tokens in this order, and the library's."""
+    ranks = {bytes([b]): b for b in range(256)}
+    for token in tokens:
+        ranks.setdefault(token, len(ranks))
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(r).encode() for t, r in ranks.items()))
+    return op2_byte_bpe.Tokenizer(str(path), r"\S+|\s+"), tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+
+
+def test_a_chain_beyond_one_longest_token_counts(tmp_path):
+    """Merges far to the right make a token that takes a pair's second token away, which is itself as long as a token can be."""
+    falling = [b"AB", b"CD", b"EF", b"GH", b"IJ", b"KL", b"MN", b"OP", b"QR", b"ST", b"UV", b"WX", b"YZ", b"01"]
+    coder, own = own_ranks(tmp_path, [b"qw", b"qwe", b"qwer", b"qwert", b"zx", b"zxc", *falling, b"mn", b"zxcmn", b"yzxcmn", b"qwerty"])
+    pad = b"....".join(reversed(falling)).decode()
+    for match in ("qwertyzxcmn" + "...." + pad + "....", pad + "....qwertyzxcmn" + "." * 99, ("qwertyzxcmn...." + pad) * 3):
+        for learn in (lambda w: coder._learn_long(w, w.encode()), lambda w: coder.learn([w])):
+            coder.known.clear()
+            learn(match)
+            assert np.frombuffer(coder.known[match], "<u4").tolist() == own.encode_ordinary(match), match
+
+
+def test_random_small_rank_files(tmp_path):
+    """Tokens grown at random from random texts, so that chains of merges of mixed ranks are common."""
+    rng = random.Random(12)
+    for _ in range(12):
+        letters, tokens = "abcdef"[: rng.randint(2, 6)], []
+        parts = [c.encode() for c in letters]
+        for _ in range(rng.randint(4, 40)):
+            joined = rng.choice(parts) + rng.choice(parts)
+            if len(joined) <= rng.choice((3, 6, 9)) and joined not in parts:
+                parts.append(joined)
+                tokens.append(joined)
+        rng.shuffle(tokens)
+        coder, own = own_ranks(tmp_path, tokens)
+        for _ in range(12):
+            word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 90)))
+            if rng.random() < 0.3:
+                word += rng.choice("xyz") + word[::-1]
+            coder._learn_long(word, word.encode())
+            assert np.frombuffer(coder.known[word], "<u4").tolist() == own.encode_ordinary(word), (tokens, word)
+            coder.known.clear()
+            coder.learn([word * 6])
+            assert np.frombuffer(coder.known[word * 6], "<u4").tolist() == own.encode_ordinary(word * 6), (tokens, word)
+
+
+def test_a_match_of_megabytes_is_cut_where_nothing_merges(library):
+    coder = op2_byte_bpe.Tokenizer(*vocabulary())
+    rng = random.Random(6)
+    word = "".join(rng.choice("etaoinzqx") for _ in range(300)) + "日本" * 40
+    match = word * 2000
+    pieces = coder.pieces(match.encode())
+    assert b"".join(pieces) == match.encode() and max(map(len, pieces)) < 3000
+    coder.learn([match])
+    ids = np.frombuffer(coder.known[match], "<u4").tolist()
+    assert b"".join(library.decode_single_token_bytes(i) for i in set(ids)) and library.decode_bytes(ids) == match.encode()
+    assert ids == library._encode_single_piece(match.encode())
+
+
 def test_columns_of_the_same_names_stay(spark):
     docs = spark.createDataFrame([(1, "some words", [9], 5, "x"), (2, None, None, None, None)], "doc_id long, text string, tokens array<long>, N_TOKENS int, `a.b` string")
     out = op2_byte_bpe.tokenize(docs, *vocabulary())
