@@ -1,9 +1,9 @@
 """Keyword retrieval: a weighted inverted index, exact hits before near ones, and suggestions.
 
-The index is a long table (shard, term, segment_id, weight). Write it with ``partitionBy("shard")`` and sorted by term, and a
-query reads its shards' row groups with its terms only. A query has a handful of terms, so they enter as literals: exact
-lookup is a pushed-down IN filter, not a join. Scores are summed by (shard, segment) with a partial sum before the shuffle, and
-the text is joined after the limit, to at most a few hundred rows.
+The index is a long table (shard, term, segment_id, weight, and what filters and order need), stored by range of shard and term. A
+query has a handful of terms, so they enter as literals: exact lookup is a pushed-down IN filter, not a join. Near words come
+from deletion neighbourhoods of each shard's vocabulary and join the same filter. Scores are summed by segment with a partial sum
+before the shuffle; type, episode and start stand in the postings, so nothing but the texts is joined, to at most a few hundred rows.
 """
 
 from __future__ import annotations
@@ -14,12 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colloquy.functions.text import close_words, index_words
+from colloquy.functions.text import index_words
+from colloquy.operators import spelling
+from colloquy.operators.order import numbered
 
 QUESTION, ANSWER, EXACT = 4, 1, 10
 CANDIDATES, RESULTS, DICTIONARY, SUGGESTIONS = 240, 200, 12_000, 8
-#: Parts of a shard's vocabulary that are cut to the dictionary's size before they meet.
-PARTS = 16
+#: Letters of the longest stored prefix, and near words that enter a query as literals; more are joined.
+PREFIX, LITERALS = 4, 1000
+#: What the postings keep of a segment, so that filters and order need no join.
+META = ("episode_id", "type", "start_sec")
 
 
 def terms_of(segments: DataFrame, *keep: str) -> DataFrame:
@@ -29,47 +33,86 @@ def terms_of(segments: DataFrame, *keep: str) -> DataFrame:
 
 
 def postings(segments: DataFrame) -> DataFrame:
-    """shard, term, segment_id, weight."""
-    return terms_of(segments, "segment_id").groupBy("shard", "term", "segment_id").agg(F.sum("boost").alias("weight"))
+    """shard, term, segment_id, weight, freq (the unweighted count) and META."""
+    return terms_of(segments, "segment_id", *META).groupBy("shard", "term", "segment_id", *META).agg(F.sum("boost").alias("weight"), F.count("*").alias("freq"))
 
 
-def frequencies(segments: DataFrame) -> DataFrame:
-    """shard, term, freq: unweighted."""
-    return terms_of(segments).groupBy("shard", "term").agg(F.count("*").alias("freq"))
+def ranked_terms(index: DataFrame, size: int = DICTIONARY) -> DataFrame:
+    """shard, term, freq, rk: the most frequent terms of each shard of an index, with their rank from 1.
+
+    Terms are numbered over ranges of (shard, freq, term), so no task ranks a whole shard.
+    """
+    counts = index.groupBy("shard", "term").agg(F.sum("freq").alias("freq"))
+    placed = numbered(counts, "shard", F.desc("freq"), "term", name="at")
+    before = placed.groupBy(F.col("shard").alias("of")).agg((F.min("at") - 1).alias("before"))
+    return placed.join(before, F.col("shard").eqNullSafe(F.col("of"))).withColumn("rk", F.col("at") - F.col("before")).where(F.col("rk") <= size).select("shard", "term", "freq", "rk")
 
 
 def dictionary(segments: DataFrame, size: int = DICTIONARY) -> DataFrame:
-    """The most frequent terms of each shard, with their rank ``rk`` from 1.
+    """``ranked_terms`` of segments."""
+    return ranked_terms(terms_of(segments).groupBy("shard", "term").agg(F.count("*").alias("freq")), size)
+
 
-    A term of the first ``size`` is among the first ``size`` of its part, so a shard's last sort sees at most PARTS times that.
+def prefix_blocks(words: DataFrame, n: int = SUGGESTIONS) -> DataFrame:
+    """shard, prefix, term, rk: of each prefix of up to PREFIX letters the n best terms of each shard's dictionary.
+
+    A shard's n best are enough for the n best of several shards: what a term of a newer shard repeats is one of these, too.
     """
-    part = F.pmod(F.hash("term"), F.lit(PARTS))
-    within, whole = (Window.partitionBy("shard", *by).orderBy(F.desc("freq"), "term") for by in ([part], []))
-    first = frequencies(segments).withColumn("rk", F.row_number().over(within)).where(F.col("rk") <= size)
-    return first.withColumn("rk", F.row_number().over(whole).cast("long")).where(F.col("rk") <= size)
+    lengths = F.sequence(F.lit(1), F.least(F.lit(PREFIX), F.length("term")))
+    rows = words.select("shard", "term", "rk", F.explode(F.transform(lengths, lambda k: F.substring("term", F.lit(1), k))).alias("prefix"))
+    best = Window.partitionBy("shard", "prefix").orderBy("rk")
+    return rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n).select("shard", "prefix", "term", "rk")
+
+
+def _rows(index: DataFrame, rows: list[tuple], *names: str) -> DataFrame:
+    """A handful of literal rows, made without a Python worker."""
+    return index.sparkSession.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows))))
 
 
-def contributions(index: DataFrame, terms: list[str], shards: list[str]) -> DataFrame:
-    """shard, segment_id, contrib: exact hits weigh EXACT times; where a shard lacks a term, its near words count once.
+def near_words(index: DataFrame, lacking: list[tuple[str, str, int]], spellings: DataFrame | None = None) -> DataFrame:
+    """shard, word, n: the shards' words near the terms that they lack (shard, term, how often it was asked)."""
+    terms = _rows(index, lacking, "shard", "term", "n")
+    shards = sorted({s for s, _, _ in lacking})
+    if spellings is None:
+        spellings = spelling.index(index.where(F.col("shard").isin(shards)).select("shard", F.col("term").alias("word")).distinct())
+    else:  # at most 56 keys a term: the stored table is read where they are
+        known = [r.key for r in spelling.asked(terms).select("key").distinct().collect()]
+        spellings = spellings.where(F.col("shard").isin(shards) & F.col("key").isin(known))
+    return spelling.near(terms, spellings, "shard").groupBy("shard", "word").agg(F.sum("n").alias("n"))
+
+
+def contributions(index: DataFrame, terms: list[str], shards: list[str], spellings: DataFrame | None = None) -> DataFrame:
+    """The postings that count, with ``contrib``: exact hits weigh EXACT times; where a shard lacks a term, its near words count once.
 
     Whether a shard has a term is a question to its whole vocabulary, so type and episode filters come after this. The
-    answer, at most one row a term and shard, is fetched first. It enters as literals, so exact and near words are one
-    filter on the index, without a join; if no shard lacks a term, that is a plain IN.
+    answer, at most one row a term and shard, is fetched first. Up to LITERALS near words enter as literals, so exact and near
+    words are one filter on the index; more are joined.
     """
     counts = Counter(terms)
     if not counts or not shards:
-        return index.select("shard", "segment_id", F.col("weight").alias("contrib")).where(F.lit(False))
+        return index.withColumn("contrib", F.col("weight")).where(F.lit(False))
     own = index.where(F.col("shard").isin(shards))
-    exact = own.where(F.col("term").isin(list(counts)))
     times = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
+    exact = own.where(F.col("term").isin(list(counts)))
     found = {(r.shard, r.term) for r in exact.select("shard", "term").distinct().collect()}
-    factor, seek = F.coalesce(times[F.col("term")] * EXACT, F.lit(0)), F.col("term").isin(list(counts))
-    for term, n in counts.items():
-        lacking = [s for s in shards if (s, term) not in found]
-        if lacking and len(term) > 3:
-            near = F.col("shard").isin(lacking) & close_words(F.lit(term), F.col("term"))
-            factor, seek = factor + F.when(near, n).otherwise(0), seek | near
-    return own.where(seek).select("shard", "segment_id", (factor * F.col("weight")).alias("contrib"))
+    exact = exact.withColumn("contrib", times[F.col("term")] * EXACT * F.col("weight"))
+    lacking = [(s, t, n) for t, n in counts.items() if len(t) >= spelling.SHORT for s in shards if (s, t) not in found]
+    if not lacking:
+        return exact
+    near = near_words(index, lacking, spellings)
+    words = near.limit(LITERALS + 1).collect()
+    if not words:
+        return exact
+    if len(words) > LITERALS:
+        met = own.join(near.withColumnRenamed("word", "term"), ["shard", "term"]).withColumn("contrib", F.col("n") * F.col("weight")).drop("n")
+        return exact.unionByName(met.select(exact.columns))
+    pair = F.concat_ws("\0", "shard", "term")
+    of_pair = {f"{r.shard}\0{r.word}": r.n for r in words}
+    factor = F.create_map(*(F.lit(x) for item in of_pair.items() for x in item))[pair]
+    asked = F.col("term").isin(list(counts))
+    seek = asked | F.col("term").isin(sorted({r.word for r in words})) & pair.isin(list(of_pair))
+    both = F.coalesce(F.when(asked, times[F.col("term")] * EXACT), F.lit(0)) + F.coalesce(factor, F.lit(0))
+    return own.where(seek).withColumn("contrib", both * F.col("weight"))
 
 
 def filters(kind: str = "all", episode: str = "", shards: list[str] | None = None) -> Column:
@@ -88,22 +131,26 @@ def best(scored: DataFrame, n: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.desc(F.coalesce("start_sec", F.lit(0))), "segment_id").limit(n)
 
 
-def rank(index: DataFrame, segments: DataFrame, terms: list[str], kind: str = "all", episode: str = "", shards: list[str] | None = None, n: int = CANDIDATES) -> DataFrame:
+def rank(index: DataFrame, segments: DataFrame, terms: list[str], kind: str = "all", episode: str = "", shards: list[str] | None = None, n: int = CANDIDATES, spellings: DataFrame | None = None) -> DataFrame:
     """The n best segments without their texts. No terms: every segment, scored 0 (browsing)."""
-    meta = segments.where(filters(kind, episode, shards)).select("segment_id", "episode_id", "shard", "type", "start_sec")
+    keep = filters(kind, episode, shards)
     if not terms:
-        return best(meta.withColumn("score", F.lit(0).cast("long")), n)
+        return best(segments.where(keep).select("segment_id", "shard", *META).withColumn("score", F.lit(0).cast("long")), n)
     known = shards or sorted(r.shard for r in segments.select("shard").distinct().collect() if r.shard is not None)
-    scores = contributions(index, terms, known).groupBy("shard", "segment_id").agg(F.sum("contrib").alias("score"))
-    return best(meta.join(scores, ["shard", "segment_id"]), n)
+    hits = contributions(index, terms, known, spellings).where(keep)
+    return best(hits.groupBy("segment_id", "shard", *META).agg(F.sum("contrib").alias("score")), n)
 
 
 def suggest(words: DataFrame, prefix: str, n: int = SUGGESTIONS) -> DataFrame:
-    """term, position: words with the prefix, newest shard (by name, descending) first, then by rank; each once."""
+    """term, position: words with the prefix, newest shard (by name, descending) first, then by rank; each once.
+
+    ``words`` is a dictionary, or ``prefix_blocks`` for a prefix of up to PREFIX letters.
+    """
     if not prefix:
         return words.select("term", F.lit(0).cast("long").alias("position")).where(F.lit(False))
+    asked = F.col("prefix") == prefix if "prefix" in words.columns else F.col("term").startswith(prefix)
     # the first shard that has the term decides its place
-    first = words.where(F.col("term").startswith(prefix)).groupBy("term").agg(F.max(F.struct("shard", -F.col("rk"))).alias("place"))
+    first = words.where(asked).groupBy("term").agg(F.max(F.struct("shard", -F.col("rk"))).alias("place"))
     top = first.orderBy(F.desc("place"), "term").limit(n)
     order = Window.orderBy(F.desc("place"), "term")  # over at most n rows
     return top.select("term", F.row_number().over(order).cast("long").alias("position"))

@@ -17,16 +17,15 @@ from colloquy.sources.artifacts import query_words
 class Engine:
     """Tables are lazy; the shards that a query names are the partitions that it reads."""
 
-    def __init__(self, segments: DataFrame, index: DataFrame, words: DataFrame, dictionary: DataFrame, vectors: DataFrame | None = None, table: DataFrame | None = None, episodes: DataFrame | None = None):
+    def __init__(self, segments: DataFrame, index: DataFrame, prefixes: DataFrame, dictionary: DataFrame, spellings: DataFrame | None = None, vectors: DataFrame | None = None, table: DataFrame | None = None, episodes: DataFrame | None = None):
         self.spark = segments.sparkSession
-        self.segments, self.index, self.words, self.dictionary = segments, index, words, dictionary
+        self.segments, self.index, self.prefixes, self.dictionary, self.spellings = segments, index, prefixes, dictionary, spellings
         self.vectors, self.table, self.episodes = vectors, table, episodes
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Engine:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        index = read("keyword")
-        return cls(read("docs"), index, index.select("shard", "term").distinct(), read("autocomplete"), read("vectors"), query_words(read("vocab")), read("episodes"))
+        return cls(read("docs"), read("keyword"), read("prefixes"), read("autocomplete"), read("spellings"), read("vectors"), query_words(read("vocab")), read("episodes"))
 
     def terms(self, query: str) -> list[str]:
         return list(self.spark.range(1).select(query_terms(F.lit(query)).alias("t")).head().t)
@@ -40,7 +39,7 @@ class Engine:
         return list(row.vec) if row else None
 
     def keyword(self, state: QueryState) -> DataFrame:
-        rows = keyword.rank(self.index, self.segments, self.terms(state.query), state.type, state.episode, [state.year] if state.year else None)
+        rows = keyword.rank(self.index, self.segments, self.terms(state.query), state.type, state.episode, [state.year] if state.year else None, spellings=self.spellings)
         return fusion.ranked(rows, "first_rank", F.desc("score"), F.desc(F.coalesce("start_sec", F.lit(0))), "segment_id")
 
     def semantic(self, state: QueryState) -> DataFrame | None:
@@ -61,20 +60,20 @@ class Engine:
         yield "final", self.search(state)
 
     def search(self, state: QueryState) -> DataFrame:
-        """At most 200 results: the segment's columns, score, rank, preview, highlights."""
+        """At most 200 results with the columns of ``present.RESPONSE``, in every mode."""
         terms = self.terms(state.query)
         near = self.semantic(state) if terms and state.mode != "keyword" else None
         if state.mode == "semantic" and terms:
             if near is None:
                 return self._results(self.keyword(state).where(F.lit(False)).withColumnRenamed("first_rank", "rank"), terms)
-            return self._results(near.withColumnRenamed("second_rank", "rank"), terms)
+            return self._results(near.withColumnRenamed("second_rank", "rank").withColumn("found_by", F.lit("semantic")), terms)
         if near is None:
             return self._results(self.keyword(state).withColumnRenamed("first_rank", "rank"), terms)
         exact = self.keyword(state)
         fused = fusion.fuse(exact, near, "segment_id", keyword.RESULTS)
         fused = fused.join(near.select("segment_id", "char_offset"), "segment_id", "left")
         how = F.when(F.col("first_rank").isNull(), "semantic").when(F.col("second_rank").isNull(), "keyword").otherwise("both")
-        ranked = fusion.ranked(fused.withColumn("match", how), "rank", F.desc("score"), F.col("first_rank").asc_nulls_last(), F.col("second_rank").asc_nulls_last())
+        ranked = fusion.ranked(fused.withColumn("found_by", how), "rank", F.desc("score"), F.col("first_rank").asc_nulls_last(), F.col("second_rank").asc_nulls_last())
         return self._results(ranked, terms)
 
     def _results(self, ranked: DataFrame, terms: list[str]) -> DataFrame:
@@ -84,9 +83,10 @@ class Engine:
         return self.segments.where(F.col("episode_id") == episode_id).orderBy("ord" if "ord" in self.segments.columns else "segment_id")
 
     def suggest(self, query: str) -> DataFrame:
-        """Suggestions for the query's last word."""
+        """Suggestions for the query's last word: short ones from the stored prefixes, longer ones from the dictionary."""
         terms = self.terms(query)
-        return keyword.suggest(self.dictionary, terms[-1] if terms else "")
+        last = terms[-1] if terms else ""
+        return keyword.suggest(self.prefixes if len(last) <= keyword.PREFIX else self.dictionary, last)
 
     def did_you_mean(self, query: str) -> str | None:
         best = self.suggest(query).where("position = 1").head()

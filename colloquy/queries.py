@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colloquy.functions import ranges, text, vectors
-from colloquy.operators import align, facets, fusion, ingest, keyword, order, present, segment, semantic, session, validate
+from colloquy.operators import align, facets, fusion, ingest, keyword, order, present, segment, semantic, session, spelling, validate
 from colloquy.plans import query_state
 from colloquy.plans.engine import Engine
-from colloquy.sources import artifacts, captions, pages
+from colloquy.sources import artifacts, captions, index, pages
 from colloquy.sources.corpus import segments, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,17 +62,21 @@ SELECT {select} FROM scored JOIN seg USING (shard, segment_id) WHERE {where}
 ORDER BY score DESC, start_sec DESC, segment_id LIMIT 240"""
 
 
-_written: dict[tuple[str, str], str] = {}
+_stores: dict[tuple[str, str], index.Store] = {}
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index as an engine stores it: written to the shared folder once an application and table folder, then read."""
-    key, made = (spark.sparkContext.applicationId, sf_dir), keyword.postings(segments(spark, sf_dir))
-    if key not in _written:
-        path = f"{order.shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        artifacts.write_postings(made, path)
-        _written[key] = path
-    return spark.read.schema(made.schema).parquet(_written[key])
+def _store(spark: SparkSession, sf_dir: str) -> index.Store:
+    """The index as an engine stores it: in the shared folder, once an application and state of the documents' files."""
+    state = index.files_state(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    key = spark.sparkContext.applicationId, state
+    if key not in _stores:
+        _stores[key] = index.Store(lambda: segments(spark, sf_dir), f"{order.shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return _stores[key]
+
+
+def _rank(spark: SparkSession, sf_dir: str, terms: list[str], *filters, **more) -> DataFrame:
+    store = _store(spark, sf_dir)
+    return keyword.rank(store.read("keyword"), segments(spark, sf_dir), terms, *filters, spellings=store.read("spellings"), **more)
 
 
 TERMS = ["with", "the", "tion", "the"]
@@ -81,7 +85,7 @@ TERMS = ["with", "the", "tion", "the"]
 @query(f"SELECT segment_id, shard, episode_id, type, start_sec, score, question FROM ({_keyword_sql(TERMS, select='*')}) ORDER BY score DESC, start_sec DESC, segment_id LIMIT 200")
 def keyword_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    ranked = keyword.best(keyword.rank(_index(spark, sf_dir), seg, TERMS), keyword.RESULTS)
+    ranked = keyword.best(_rank(spark, sf_dir, TERMS), keyword.RESULTS)
     return seg.select("segment_id", "question").join(F.broadcast(ranked), "segment_id").select("segment_id", "shard", "episode_id", "type", "start_sec", "score", "question")
 
 
@@ -90,25 +94,22 @@ FUZZY = ["tion", "keit", "reading", "copyright"]
 
 @query(_keyword_sql(FUZZY))
 def keyword_fuzzy_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = segments(spark, sf_dir)
-    return keyword.rank(_index(spark, sf_dir), seg, FUZZY).select("segment_id", "shard", "score")
+    return _rank(spark, sf_dir, FUZZY).select("segment_id", "shard", "score")
 
 
 @query(_keyword_sql(["with", "tion"], "type = 'question' AND episode_id = 'src3'", "shard = 'en'"))
 def keyword_filters_episode_type_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = segments(spark, sf_dir)
-    return keyword.rank(_index(spark, sf_dir), seg, ["with", "tion"], "question", "src3", ["en"]).select("segment_id", "shard", "score")
+    return _rank(spark, sf_dir, ["with", "tion"], "question", "src3", ["en"]).select("segment_id", "shard", "score")
 
 
 @query(f"WITH {SEG} SELECT segment_id, start_sec, CAST(0 AS BIGINT) AS score FROM seg WHERE type = 'question' ORDER BY start_sec DESC, segment_id LIMIT 240")
 def keyword_browse_empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = segments(spark, sf_dir)
-    return keyword.rank(_index(spark, sf_dir), seg, [], "question").select("segment_id", "start_sec", "score")
+    return _rank(spark, sf_dir, [], "question").select("segment_id", "start_sec", "score")
 
 
 @query(f"WITH {POSTINGS} SELECT * FROM postings")
 def postings_weighted_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.postings(segments(spark, sf_dir))
+    return keyword.postings(segments(spark, sf_dir)).select("shard", "term", "segment_id", "weight")
 
 
 DICTIONARY = f"""{POSTINGS}, dictionary AS (
@@ -129,12 +130,12 @@ def _suggest_sql(prefix: str) -> str:
 
 @query(f"WITH {DICTIONARY} SELECT * FROM {_suggest_sql('en')}")
 def autocomplete_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.suggest(keyword.dictionary(segments(spark, sf_dir)), "en")
+    return keyword.suggest(_store(spark, sf_dir).read("prefixes"), "en")
 
 
 @query(f"WITH {DICTIONARY} SELECT 'reading th' AS query, 'reading ' || term AS suggestion FROM {_suggest_sql('th')} WHERE position = 1 AND term <> 'th'")
 def did_you_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = keyword.suggest(keyword.dictionary(segments(spark, sf_dir)), "th").where("position = 1")
+    best = keyword.suggest(_store(spark, sf_dir).read("prefixes"), "th").where("position = 1")
     return best.select(F.lit("reading th").alias("query"), text.rewrite_last_term(F.lit("reading th"), F.col("term")).alias("suggestion")).where("suggestion is not null")
 
 
@@ -247,13 +248,12 @@ asked AS (SELECT item_id, {WORDS.format('text')}[2] AS term FROM benchmark)
 SELECT item_id, term, word, CAST(levenshtein(term, word) AS BIGINT) AS distance FROM asked JOIN vocab
 ON length(term) > 3 AND length(word) <= length(term) + 2 AND levenshtein(term, word) <= CASE WHEN length(term) > 7 THEN 2 ELSE 1 END""")
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item's second word with its near words; words are grouped by length, so only near lengths are compared."""
-    words = table(spark, sf_dir, "documents").select(F.explode(text.index_words(F.coalesce("text", F.lit("")))).alias("word")).distinct()
+    """Every benchmark item's second word with its near words among all words of the documents."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(text.index_words(F.coalesce("text", F.lit(""))))).alias("word")).distinct()
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.get(text.index_words(F.col("text")), F.lit(1)).alias("term")).where("term is not null")
-    # the benchmark grows with the data, so the theta part is cut by an equi-join on lengths within two
-    sized = asked.select("item_id", "term", F.explode(F.sequence(F.greatest(F.length("term") - 2, F.lit(1)), F.length("term") + 2)).alias("size"))
-    met = words.withColumn("size", F.length("word")).join(sized, "size").where(text.close_words(F.col("term"), F.col("word")))
-    return met.select("item_id", "term", "word", F.levenshtein("term", "word").cast("long").alias("distance"))
+    # items may share a word
+    pairs = spelling.near(asked.select("term").distinct(), spelling.index(words))
+    return asked.join(pairs, "term").select("item_id", "term", "word", F.levenshtein("term", "word").cast("long").alias("distance"))
 
 
 QUANT = "list_transform(embedding, lambda x: CAST(greatest(-127, least(127, floor(CAST(x AS DOUBLE) * 127 + 0.5))) AS INTEGER))"
@@ -296,44 +296,45 @@ kw AS (SELECT segment_id AS id, row_number() OVER (ORDER BY score DESC, start_se
 SELECT id, coalesce(first_rank, 0) AS first_rank, coalesce(second_rank, 0) AS second_rank, round(coalesce(1.0 / (60 + first_rank), 0) + coalesce(1.0 / (60 + second_rank), 0), 9) AS score FROM kw FULL JOIN sem USING (id)
 ORDER BY coalesce(1.0 / (60 + first_rank), 0) + coalesce(1.0 / (60 + second_rank), 0) DESC, kw.first_rank NULLS LAST, sem.second_rank NULLS LAST LIMIT 200""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg, rows = segments(spark, sf_dir), _byte_vectors(spark, sf_dir)
-    exact = keyword.rank(_index(spark, sf_dir), seg, ["with", "tion"])
+    rows = _byte_vectors(spark, sf_dir)
+    exact = _rank(spark, sf_dir, ["with", "tion"])
     near = rows.select("vec_id", vectors.int_dot(_vector(rows, 0), F.col("q")).alias("score")).orderBy(F.desc("score"), "vec_id").limit(keyword.CANDIDATES)
     first = fusion.ranked(exact.withColumnRenamed("segment_id", "id"), "first_rank", F.desc("score"), F.desc("start_sec"), "id")
     second = fusion.ranked(near.withColumnRenamed("vec_id", "id"), "second_rank", F.desc("score"), "id")
     return fusion.fuse(first, second, "id", keyword.RESULTS).withColumn("score", F.round("score", 9)).fillna(0, ["first_rank", "second_rank"])
 
 
+def _keyword_engine(spark: SparkSession, sf_dir: str, **more: DataFrame) -> Engine:
+    """An engine over the stored index of the documents."""
+    store = _store(spark, sf_dir)
+    return Engine(segments(spark, sf_dir), store.read("keyword"), store.read("prefixes"), store.read("autocomplete"), store.read("spellings"), **more)
+
+
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine over the documents, with word vectors trained on them."""
     seg = segments(spark, sf_dir)
     docs = seg.select("segment_id", F.concat_ws(" ", "question", "answer").alias("text"))
     stored = order.stored(artifacts.word_table(semantic.train(docs, "segment_id", F.col("text"))))
     words = artifacts.query_words(stored)
-    index = _index(spark, sf_dir)
-    return Engine(seg, index, index.select("shard", "term").distinct(), keyword.dictionary(seg), artifacts.passage_vectors(seg, words), words)
+    return _keyword_engine(spark, sf_dir, vectors=artifacts.passage_vectors(seg, words), table=words)
 
 
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and vector retrieval fused, with previews. Vectors have no stable sign, so no SQL."""
     found = _engine(spark, sf_dir).search(query_state.QueryState("with the other"))
-    return found.select("segment_id", "rank", "score", "match", "preview", F.size("highlights").alias("n_highlights"))
+    return found.select("segment_id", "rank", "score", "found_by", "match", F.size("highlights.answer").alias("n_highlights"))
 
 
 @query(f"SELECT segment_id, row_number() OVER (ORDER BY score DESC, start_sec DESC, segment_id) AS rank, score FROM ({_keyword_sql(TERMS, select='*')}) QUALIFY rank <= 200")
 def engine_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An engine over the stored index, asked by an address in keyword mode."""
-    seg, index = segments(spark, sf_dir), _index(spark, sf_dir)
-    engine = Engine(seg, index, index.select("shard", "term").distinct(), keyword.dictionary(seg))
-    return engine.search(query_state.QueryState(" ".join(TERMS), "keyword")).select("segment_id", F.col("rank").cast("long").alias("rank"), "score")
+    return _keyword_engine(spark, sf_dir).search(query_state.QueryState(" ".join(TERMS), "keyword")).select("segment_id", "rank", F.col("score").cast("long").alias("score"))
 
 
 @query(f"WITH {SEG} SELECT segment_id, start_sec, type, question FROM seg WHERE episode_id = 'src3'")
 def engine_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg, index = segments(spark, sf_dir), _index(spark, sf_dir)
-    engine = Engine(seg, index, index.select("shard", "term").distinct(), keyword.dictionary(seg))
-    return engine.episode("src3").select("segment_id", "start_sec", "type", "question")
+    return _keyword_engine(spark, sf_dir).episode("src3").select("segment_id", "start_sec", "type", "question")
 
 
 @query()
@@ -352,7 +353,7 @@ sums AS (SELECT item_id, d, sum(x) AS x FROM dims GROUP BY ALL)
 SELECT item_id, CAST(d AS INTEGER) AS d, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 5) + 0.0 AS x FROM sums""")
 def query_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts pooled over a word table whose vectors are given: the n-th most frequent word has vector n."""
-    stats = semantic.term_stats(_tokens(spark, sf_dir), "doc_id")
+    stats = _store(spark, sf_dir).read("statistics")
     ranked = order.numbered(stats, F.desc("freq"), "term", start=0, name="vec_id")
     words = ranked.withColumn("idf", semantic.idf(table(spark, sf_dir, "documents").count())).join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id")
     asked = semantic.token_rows(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
@@ -638,8 +639,7 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT segment_id, rank FROM (SELECT segment_id, row_number() OVER (ORDER BY score DESC, start_sec DESC, segment_id) AS rank FROM ({_keyword_sql(TERMS, select='*')})) WHERE rank > 24 AND rank <= 48")
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = segments(spark, sf_dir)
-    ranked = fusion.ranked(keyword.rank(_index(spark, sf_dir), seg, TERMS), "rank", F.desc("score"), F.desc("start_sec"), "segment_id")
+    ranked = fusion.ranked(_rank(spark, sf_dir, TERMS), "rank", F.desc("score"), F.desc("start_sec"), "segment_id")
     return present.page(ranked, 1).select("segment_id", "rank")
 
 

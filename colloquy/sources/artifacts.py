@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import dequantize, quantize
-from colloquy.operators import keyword, semantic
+from colloquy.operators import semantic
 from colloquy.sources import episodes as source
+from colloquy.sources import index
 
 MODEL, VERSION = "corpus-lsa-ppmi-svd", 3
 
@@ -40,27 +41,19 @@ def passage_vectors(segments: DataFrame, words: DataFrame) -> DataFrame:
     return keyed.select("passage", "segment_id", "start_sec", "char_offset").join(pooled, "passage").join(meta, "segment_id").select("shard", "segment_id", "episode_id", "type", "start_sec", "char_offset", quantize(F.col("vec")).alias("q"))
 
 
-def write_postings(postings: DataFrame, path: str) -> None:
-    """By shard, clustered by term: a query reads the row groups of its terms."""
-    postings.repartition("shard", F.pmod(F.hash("term"), F.lit(16))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("shard").parquet(path)
-
-
 def build(spark: SparkSession, episodes: DataFrame, path: str, dimensions: int = semantic.DIMENSIONS, least: int = semantic.LEAST, margin: int = semantic.MARGIN) -> DataFrame:
     """Write all artifacts below ``path`` (replacing what is there) and return the manifest.
 
-    Shard tables are partitioned by year and clustered for their reads: postings by term, texts by segment.
+    Shard tables are partitioned by year and clustered for their reads; ``index.Store`` names those of keyword search.
     """
     segments = source.segments(episodes)
     docs = segments.withColumn("text", F.concat_ws(" ", "question", "answer"))
     words = semantic.train(docs, "segment_id", F.col("text"), dimensions, least, margin).persist()
-    tables = {
-        "autocomplete": keyword.dictionary(segments),
-        "docs": segments,
-        "vectors": passage_vectors(segments, words),
-    }
-    for name, df in tables.items():
+    for name, df in {"docs": segments, "vectors": passage_vectors(segments, words)}.items():
         df.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/{name}")
-    write_postings(keyword.postings(segments), f"{path}/keyword")
+    tables = index.Store(lambda: segments, path)
+    for name in ("keyword", "autocomplete", "prefixes", "spellings"):
+        tables.read(name)
     word_table(words).write.mode("overwrite").parquet(f"{path}/vocab")
     source.headers(episodes).write.mode("overwrite").parquet(f"{path}/episodes")
     words.unpersist()

@@ -126,12 +126,15 @@ def test_engine_searches_in_all_modes(spark, tmp_path):
     stored = artifacts.word_table(semantic.train(docs, "segment_id", F.col("text"), 4, 1, 4)).cache()
     table = artifacts.query_words(stored)
     index = keyword.postings(seg)
-    engine = Engine(seg, index, index.select("shard", "term").distinct(), keyword.dictionary(seg), artifacts.passage_vectors(seg, table), table)
+    words = keyword.dictionary(seg)
+    engine = Engine(seg, index, keyword.prefix_blocks(words), words, vectors=artifacts.passage_vectors(seg, table), table=table)
     assert engine.search(QueryState("purr", "keyword")).count() == 3
+    schemas = {tuple((f.name, f.dataType.simpleString()) for f in engine.search(QueryState(q, mode)).schema) for mode in ("keyword", "semantic", "hybrid") for q in ("purr", "zzzzzz", "")}
+    assert len(schemas) == 1 and tuple(n for n, _ in schemas.pop()) == present.RESPONSE
     near = engine.search(QueryState("purr", "semantic")).collect()
     assert near[0].answer.startswith(("cats", "soft"))
     both = engine.search(QueryState("purr")).collect()
-    assert both[0].match == "both" and [r["rank"] for r in both] == list(range(1, len(both) + 1))
+    assert both[0].found_by == "both" and [r["rank"] for r in both] == list(range(1, len(both) + 1))
     assert [k for k, _ in engine.search_progressive(QueryState("purr"))] == ["partial", "final"]
     assert engine.search(QueryState("zzzzzz", "semantic")).count() == 0
     assert engine.did_you_mean("soft pla") == "soft plasma"
