@@ -217,14 +217,20 @@ def _batch(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["shard", "salt", "kind", "row", "start", "text", "keys"])
 
 
+def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are known; ``known`` is sorted and not empty."""
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
 class Passages:
     """One shard's home stretches and the automaton over their key phrases."""
 
     def __init__(self, seed: int):
         self.seed, self.width = seed, WINDOW if seed else GRAM
         self.numbers: dict[bytes, int] = {}
-        self.homes: list[tuple[int, int, np.ndarray]] = []  # row, start, word numbers
+        self.homes: list[tuple[int, int, np.ndarray, list[int]]] = []  # row, start, word numbers twice
         self.places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.settings: set[tuple[int, tuple[int, ...]]] = set()
         self.keys: set[int] = set()
         self.automaton: ahocorasick.Automaton | None = None
 
@@ -234,9 +240,14 @@ class Passages:
             self.numbers.setdefault(w, len(self.numbers) + 1)
         own = list(map(self.numbers.__getitem__, words))
         found, place = window_keys(word_hashes(text), self.seed)
-        for at in np.unique(place[np.isin(found, np.array(keys, np.int64))]).tolist():
-            self.places.setdefault(tuple(own[at : at + self.width]), []).append((len(self.homes), at))
-        self.homes.append((row, start, np.array(own, np.int32)))
+        for at in np.unique(place[among(found, np.array(keys, np.int64))]).tolist():
+            # the same words around the phrase as at an earlier place of its row: whatever matches here matches there
+            before = max(at + self.width - WINDOW, 0)
+            setting = at - before, tuple(own[before : at + WINDOW])
+            if setting not in self.settings:
+                self.settings.add(setting)
+                self.places.setdefault(tuple(own[at : at + self.width]), []).append((len(self.homes), at))
+        self.homes.append((row, start, np.array(own, np.int32), own))
         self.keys.update(keys)
 
     def compile(self) -> None:
@@ -249,29 +260,41 @@ class Passages:
     def locate(self, row: int, start: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """For each window of a stretch: whether it stands earlier in a home row, and whether its key is of this shard."""
         words = text.split(b" ")
-        own = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int32, len(words))
+        numbers = list(map(self.numbers.get, words, repeat(0)))
+        own = np.array(numbers, np.int32)
         keys, place = window_keys(word_hashes(text), self.seed)
         found, of, met = np.zeros(len(keys), bool), place.tolist(), set()
-        for end, places in self.automaton.iter(tuple(own.tolist())) if self.places else ():
-            at = end - self.width + 1
+        first, last = 0, 0  # windows of the newest line that matched
+        width, half = self.width, (WINDOW - self.width) // 2
+        for end, places in self.automaton.iter(tuple(numbers)) if self.places else ():
+            at = end - width + 1
             low, high = bisect_left(of, at), bisect_right(of, at)
-            if found[low:high].all():  # none names this place, or all are found
+            if first <= low and high <= last or found[low:high].all():  # none names this place, or all are found
                 continue
+            left, right = numbers[at - half : at] if at >= half else None, numbers[end + 1 : end + 1 + half]
             for home, there in places:
-                line = home, there - at
-                if line in met:
+                shift = there - at
+                if (home, shift) in met:
                     continue
-                met.add(line)
-                first_row, first_start, theirs = self.homes[home]
-                if first_row == row and first_start + there >= start + at:
+                met.add((home, shift))
+                row_of, start_of, theirs, listed = self.homes[home]
+                if row_of == row and start_of + there >= start + at:
+                    continue
+                # a whole window needs half of its other words on one side at least
+                beyond = there + width
+                if not (left is not None and there >= half and listed[there - half : there] == left) and listed[beyond : beyond + half] != right:
                     continue
-                shift = there - at
                 a, b = max(0, -shift), min(len(own), len(theirs) - shift)
                 unlike = np.flatnonzero(own[a:b] != theirs[a + shift : b + shift])
                 edges = np.concatenate([[-1], unlike, [b - a]])
                 for k in np.flatnonzero(np.diff(edges) > WINDOW).tolist():
-                    found[a + edges[k] + 1 : a + edges[k + 1] - WINDOW + 1] = True
-        return found, np.isin(keys, self.known)
+                    x, y = a + int(edges[k]) + 1, a + int(edges[k + 1]) - WINDOW + 1
+                    found[x:y] = True
+                    if x <= low < y:
+                        first, last = x, y
+                if first <= low and high <= last or found[low:high].all():
+                    break
+        return found, among(keys, self.known)
 
 
 def located(pieces: DataFrame, seed: int) -> DataFrame:
