@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colloquy.functions.text import clean_text, content_words, spoken_words
+from colloquy.operators.order import stored
 
 AHEAD, NAME_WEIGHT, LATEST, PACE, ACCEPT, OPENING = 100, 0.8, 0.8, 150, 0.45, 8
 LEAST_SECONDS, WORDS_A_SECOND, GRACE = 4.0, 3.3, 12.0
+#: Letters of a piece of a token, at least, and how many of a row's rarest words find its first texts.
+PIECE, FIRST = 64, 3
 #: Seconds of one slice of an episode.
 SLICE = 600
 
@@ -60,7 +63,9 @@ def name_score(names: Column, heard: Column) -> Column:
 
     def like(word: Column, caption: Column) -> Column:
         edits = F.greatest(F.lit(1), F.floor(F.length(word) / 4)).cast("int")
-        return (caption == word) | caption.startswith(F.substring(word, 1, 4)) | ((F.length(word) >= 5) & (F.levenshtein(word, caption) <= edits))
+        # with a threshold the search for edits stops there; names of over 11 letters are rare
+        near = F.when(edits == 1, F.levenshtein(word, caption, 1) >= 0).when(edits == 2, F.levenshtein(word, caption, 2) >= 0).otherwise(F.levenshtein(word, caption) <= edits)
+        return (caption == word) | caption.startswith(F.substring(word, 1, 4)) | ((F.length(word) >= 5) & near)
 
     def share(words: Column) -> Column:
         return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.exists(heard, lambda c: like(w, c)))) / F.size(words)).otherwise(0.0)
@@ -74,24 +79,55 @@ def overlap(words: Column, flat: Column) -> Column:
     return F.when(F.size(own) > 0, F.size(F.filter(own, lambda w: F.contains(flat, w))) / F.size(own)).otherwise(0.0)
 
 
-def word_overlaps(asked: DataFrame, texts: DataFrame, key: str, *keys: str) -> DataFrame:
-    """key, keys, share: for each pair with a whole word in common, the share of the asked words that the flat text has.
+def _token(token: Column) -> Column:
+    """A token as a key: itself, or the digest of a long one."""
+    return F.when(F.length(token) > PIECE, F.sha2(token, 256)).otherwise(token)
 
-    ``asked``: key, words (distinct, of letters and digits); ``texts``: keys, flat. A word is in a flat text if it is part of
-    one of its tokens. So words are looked up once in the distinct tokens, by an equi-join on the tokens' parts of a word's
-    length; pairs are then counted from keys alone, and no text is shuffled or searched once a pair.
+
+def containing(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """token (a key, see ``_token``), w: the words that each distinct token has in it.
+
+    ``words``: w, distinct, of two letters or digits or more; ``tokens``: token. Tokens are cut into pieces that overlap by the
+    longest word, so the work grows with their length; words meet pieces by their first two letters and are looked for there.
+    """
+    longest = words.agg(F.coalesce(F.max(F.length("w")), F.lit(1)).alias("n")).head().n
+    size = max(PIECE, 2 * longest)
+    cut = rf"(?s)(?=(.{{1,{size}}})).{{1,{size - longest + 1}}}"
+    distinct = tokens.select(_token(F.col("token")).alias("token"), F.col("token").alias("whole")).groupBy("token").agg(F.min("whole").alias("whole"))
+    pieces = distinct.select("token", F.explode(F.array_distinct(F.regexp_extract_all("whole", F.lit(cut), F.lit(1)))).alias("piece"))
+    starts = F.array_distinct(F.regexp_extract_all("piece", F.lit("(?=(..))."), F.lit(1)))
+    sought = pieces.select("token", "piece", F.explode(starts).alias("two"))
+    met = sought.join(words.select("w", F.substring("w", 1, 2).alias("two")), "two").where(F.contains("piece", F.col("w")))
+    return met.select("token", "w").distinct()
+
+
+def best_overlaps(asked: DataFrame, texts: DataFrame, key: str, *keys: str) -> DataFrame:
+    """key, keys, share: for each asked row the text with the largest share of its words in it; of equal ones the smallest keys.
+
+    ``asked``: key, words (distinct, of letters and digits, two or more); ``texts``: keys, flat. Rows whose words no text has drop out.
+
+    A text with c of a row's m words has at least one of any m - c + 1 of them. So a row first meets the texts of its FIRST
+    rarest words, which gives it a count c that the best text reaches; then only the texts of its m - c + 1 rarest words can
+    reach c, ties included. Frequent words are thus counted in pairs that rare ones have found, and hardly ever make any.
     """
-    words = asked.select(key, F.size("words").alias("of"), F.explode("words").alias("w"))
-    span = words.agg(F.min(F.length("w")).alias("least"), F.max(F.length("w")).alias("most")).head()
-    least, most = F.lit(span.least or 1), F.lit(span.most or 1)
-    heard = texts.select(*keys, F.explode(F.array_distinct(F.split("flat", " "))).alias("token")).where(F.length("token") >= least)
-    token = F.col("token")
-    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.length(token) - n + 1), lambda i: F.substr(token, i, n))
-    parts = F.array_distinct(F.flatten(F.transform(F.sequence(least, F.least(most, F.length(token))), of_length)))
-    known = heard.select("token").distinct().select("token", F.explode(parts).alias("w")).join(words.select("w").distinct(), "w")
-    has = heard.join(known, "token").groupBy(*keys, "w").agg(F.max(token == F.col("w")).alias("whole"))
-    counted = words.join(has, "w").groupBy(key, *keys).agg((F.count("*") / F.first("of")).alias("share"), F.max("whole").alias("whole"))
-    return counted.where("whole").select(key, *keys, "share")
+    words = asked.select(key, F.explode("words").alias("w"))
+    heard = texts.select(*keys, F.explode(F.array_distinct(F.split("flat", " "))).alias("token")).where(F.length("token") > 1)
+    known = containing(words.select("w").distinct(), heard.select("token"))
+    has = stored(heard.select(*keys, _token(F.col("token")).alias("token")).join(known, "token").select("w", *keys).distinct())
+    rare = words.join(has.groupBy("w").agg(F.count("*").alias("texts")), "w")
+    order = Window.partitionBy(key).orderBy("texts", "w")  # a row's own words
+    ranked = stored(rare.withColumn("place", F.row_number().over(order)).withColumn("of_all", F.count("*").over(Window.partitionBy(key))).select(key, "w", "place", "of_all"))
+
+    def counted(chosen: DataFrame) -> DataFrame:
+        pairs = chosen.join(has, "w").select(key, *keys).distinct()
+        return pairs.join(ranked.select(key, "w"), key).join(has, ["w", *keys]).groupBy(key, *keys).agg(F.count("*").alias("n"))
+
+    reached = counted(ranked.where(F.col("place") <= FIRST)).groupBy(key).agg(F.max("n").alias("reached"))
+    chosen = ranked.join(reached, key).where(F.col("place") <= F.col("of_all") - F.col("reached") + 1)
+    first = F.min_by(F.struct(*keys, "n"), F.struct((-F.col("n")).alias("most"), *keys))
+    best = counted(chosen.select(key, "w")).groupBy(key).agg(first.alias("b"))
+    of = asked.select(key, F.size("words").alias("of"))
+    return best.join(of, key).select(key, *(f"b.{k}" for k in keys), (F.col("b.n") / F.col("of")).alias("share"))
 
 
 def align(questions: DataFrame, cues: DataFrame) -> DataFrame:
@@ -106,7 +142,7 @@ def align(questions: DataFrame, cues: DataFrame) -> DataFrame:
     met = meet(asked, heard, F.col("from_sec"), F.col("until_sec")).where(F.col("at") < F.col("until_sec"))
     rows = met.withColumn("named", name_score(F.col("names"), F.col("heard")))
     opens = F.exists(F.slice("words", 1, OPENING), lambda w: F.contains(F.col("flat"), w))
-    first = F.element_at(F.filter("words", lambda w: F.contains(F.col("ahead"), w)), 1)
+    first = F.get(F.filter("words", lambda w: F.contains(F.col("ahead"), w)), F.lit(0))
     late = F.coalesce(F.least(F.lit(LATEST), (F.position(first, F.col("ahead")) - 1) / PACE), F.lit(LATEST))
     rows = rows.where((F.col("named") > 0) | opens).withColumn("score", overlap(F.col("words"), F.col("ahead")) + F.col("named") * NAME_WEIGHT - late)
     best = F.max_by(F.struct(F.floor("start_sec").alias("start_sec"), F.floor("end_sec").alias("answer_start_sec"), "score"), F.struct("score", (-F.col("start_sec")).alias("early")))

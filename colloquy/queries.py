@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colloquy.functions import ranges, text, vectors
-from colloquy.operators import align, facets, fusion, ingest, keyword, order, present, segment, semantic, session, spelling, validate
+from colloquy.operators import align, cells, facets, fusion, ingest, keyword, order, present, segment, semantic, session, spelling, validate
 from colloquy.plans import query_state
 from colloquy.plans.engine import Engine
 from colloquy.sources import artifacts, captions, index, pages
@@ -184,6 +184,42 @@ def ppmi_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.ppmi(pairs).where("ppmi > 1e-9").select("a", "b", F.round("ppmi", 6).alias("ppmi"))
 
 
+def _factors_sql(steps: int = 36, size: int = 4) -> str:
+    """The ``size`` leading factors by plain powers of the matrix, made orthonormal one after another."""
+    x, q = ([f"{c}{k}" for k in range(1, size + 1)] for c in "xq")
+    powers = [f"x_{k} AS MATERIALIZED (SELECT a AS term, {', '.join(f'sum(v * {c}) AS {c}' for c in x)} FROM matrix_ JOIN x_{k - 1} ON b = term GROUP BY a)" for k in range(1, steps + 1)]
+    turned, before = [], f"x_{steps}"
+    for k in range(size):
+        less = "".join(f" - (SELECT sum({p} * {x[k]}) FROM {before}) * {p}" for p in q[:k])
+        turned.append(f"p_{k} AS MATERIALIZED (SELECT term, {''.join(p + ', ' for p in q[:k])}{x[k]}{less} AS y{''.join(', ' + c for c in x[k + 1:])} FROM {before})")
+        turned.append(f"h_{k} AS MATERIALIZED (SELECT term, {''.join(p + ', ' for p in q[:k])}y / sqrt((SELECT sum(y * y) FROM p_{k})) AS {q[k]}{''.join(', ' + c for c in x[k + 1:])} FROM p_{k})")
+        before = f"h_{k}"
+    inner = ", ".join(f"sum({p} * z{j}) AS s{i}_{j}" for i, p in enumerate(q) for j in range(size))
+    return f"""WITH {PAIRS}, both_ AS (SELECT a, b, n FROM pairs UNION ALL SELECT b, a, n FROM pairs), margin AS (SELECT a, sum(n) AS m FROM both_ GROUP BY a),
+matrix_ AS MATERIALIZED (SELECT * FROM (SELECT x.a, x.b, ln(x.n * CAST((SELECT sum(n) FROM both_) AS DOUBLE) / (CAST(p.m AS DOUBLE) * q.m)) AS v FROM both_ x JOIN margin p ON x.a = p.a JOIN margin q ON x.b = q.a) WHERE v > 0),
+x_0 AS (SELECT a AS term, {', '.join(f"sin(hash(a || '{k}') % 1000003) AS {c}" for k, c in enumerate(x))} FROM matrix_ GROUP BY a),
+{', '.join(powers + turned)},
+z AS (SELECT a AS term, {', '.join(f'sum(v * {p}) AS z{j}' for j, p in enumerate(q))} FROM matrix_ JOIN {before} ON b = term GROUP BY a),
+inner_ AS (SELECT {inner} FROM {before} JOIN z USING (term)),
+r AS (SELECT term, {', '.join(q)}, {', '.join(' + '.join(f'{p} * s{i}_{j}' for i, p in enumerate(q)) + f' AS r{j}' for j in range(size))} FROM {before}, inner_),
+own AS (SELECT *, {' + '.join(f'r{j} * {p}' for j, p in enumerate(q))} AS self FROM r),
+probe AS (SELECT * FROM own WHERE term IN (SELECT term FROM stats ORDER BY freq DESC, term LIMIT 3))
+SELECT t.term, p.term AS probe, round(({' + '.join(f't.r{j} * p.{c}' for j, c in enumerate(q))}) / sqrt(t.self * p.self), 2) + 0.0 AS similarity FROM own t, probe p"""
+
+
+@query(_factors_sql())
+def word_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading factors of the word matrix, by what no sign or rotation changes: cosines with the most frequent words."""
+    tokens = _tokens(spark, sf_dir)
+    stats = order.stored(semantic.term_stats(tokens, "doc_id"))
+    matrix = semantic.ppmi(semantic.cooccurrences(tokens, "doc_id", stats))
+    vectors_ = order.stored(semantic.factorize(matrix, 4, 12, 12))
+    top = stats.orderBy(F.desc("freq"), "term").limit(3).select("term")
+    rows = vectors_.join(top, "term").collect()  # three
+    probes = F.inline(F.array(*(F.struct(F.lit(r.term).alias("probe"), F.array(*map(F.lit, r.vec)).alias("of")) for r in rows)))
+    return vectors_.select("term", "vec", probes).select("term", "probe", (F.round(vectors.dot(F.col("vec"), F.col("of")), 2) + 0.0).alias("similarity"))
+
+
 @query(f"""WITH {SEG}, w AS (SELECT segment_id, start_sec, regexp_extract_all(answer, '\\s*\\S+') AS w FROM seg),
 chunks AS (SELECT segment_id, start_sec, w, i, i * 190 AS s FROM w, (VALUES (0), (1), (2)) v(i) WHERE (i = 0 AND len(w) > 0) OR (i > 0 AND (i - 1) * 190 + 220 < len(w))),
 placed AS (SELECT *, length(w[s + 1]) - length(regexp_replace(w[s + 1], '^\\s+', '')) AS lead FROM chunks)
@@ -290,6 +326,52 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("vec_id <> 7").select("vec_id", vectors.int_dot(_vector(rows, 7), F.col("q")).alias("score")).orderBy(F.desc("score"), "vec_id").limit(semantic.NEIGHBOURS)
 
 
+_cells: dict[tuple[str, str], cells.Cells] = {}
+
+
+def _coarse(spark: SparkSession, sf_dir: str) -> cells.Cells:
+    """The coarse index of the embeddings, built once an application and state of the files."""
+    key = spark.sparkContext.applicationId, index.files_state(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    if key not in _cells:
+        # cells of some 64 vectors, so that these tables have several
+        rows = _byte_vectors(spark, sf_dir)
+        count = max(rows.count() // 64, 1)
+        _cells[key] = cells.build(rows, "vec_id", f"{order.shared_folder(spark)}/cells-{uuid.uuid4().hex}", min(count, 256))
+    return _cells[key]
+
+
+def _query_vector(found: cells.Cells, vec_id: int) -> list[int] | None:
+    own = found.vectors.where(F.col("key") == vec_id).select("q").head()
+    return list(own.q) if own else None
+
+
+@query(f"WITH v AS (SELECT vec_id, {QUANT} AS q FROM embeddings) SELECT b.vec_id, {INT_DOT} AS score FROM v a, v b WHERE a.vec_id = 3 AND b.vec_id <> 3 ORDER BY score DESC, b.vec_id LIMIT 10")
+def vector_cells_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact mode of the coarse index: cells are read by falling bound until none can hold a better vector."""
+    found = _coarse(spark, sf_dir)
+    best, _ = found.exact(_query_vector(found, 3) or [0], 10, 3)
+    return best.select(F.col("key").alias("vec_id"), "score")
+
+
+@query()
+def vector_cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of five vectors as queries: how many of the 10 best of all a probe of seven eighths of the cells finds, and the share of rows read.
+
+    These vectors are spread evenly, so cells part them badly."""
+    found = _coarse(spark, sf_dir)
+    probes, rows = max(-(-7 * len(found.counts) // 8), 1), []
+    for vec_id in (0, 100, 200, 300, 400):
+        q = _query_vector(found, vec_id)
+        if q is not None:
+            want, got = (found.probe(q, 10, n, vec_id).select("key") for n in (len(found.counts), probes))
+            share = sum(found.counts[c] for c in found.order(q)[:probes]) / max(sum(found.counts.values()), 1)
+            rows.append(want.join(got, "key").agg(F.lit(vec_id).cast("long").alias("query_id"), F.count("*").alias("found"), F.lit(probes).alias("cells"), F.lit(round(share, 4)).alias("share_read")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 @query(f"""WITH v AS (SELECT vec_id, {QUANT} AS q FROM embeddings),
 sem AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS second_rank FROM (SELECT b.vec_id, {INT_DOT} AS score FROM v a, v b WHERE a.vec_id = 0 ORDER BY score DESC, b.vec_id LIMIT 240)),
 kw AS (SELECT segment_id AS id, row_number() OVER (ORDER BY score DESC, start_sec DESC, segment_id) AS first_rank FROM ({_keyword_sql(['with', 'tion'], select='*')}))
@@ -577,15 +659,38 @@ CONTENT = "list_filter(string_split(" + FLAT + f", ' '), lambda w: length(w) > 2
 
 
 @query(f"""WITH q AS (SELECT item_id, list_distinct({CONTENT.format('text')}) AS w FROM benchmark), c AS (SELECT conv_id, turn, {FLAT.format("coalesce(text, '')")} AS flat FROM conversations),
-hits AS (SELECT item_id, conv_id, turn, round(CAST(len(list_filter(w, lambda x: contains(flat, x))) AS DOUBLE) / len(w), 6) AS score FROM q JOIN c ON list_has_any(q.w, list_distinct(string_split(flat, ' '))))
+hits AS (SELECT item_id, conv_id, turn, round(CAST(len(list_filter(w, lambda x: contains(flat, x))) AS DOUBLE) / len(w), 6) AS score FROM q, c)
 SELECT item_id, conv_id, turn, score FROM hits WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id, turn) = 1""")
 def caption_align_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text's best turn by word overlap, among turns that share a whole word: equi-joins on words, not a product."""
+    """Each benchmark text's best turn: the largest share of its words that are part of the turn's text."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(text.content_words(F.col("text"))).alias("words"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", align.flat(F.coalesce("text", F.lit(""))).alias("flat"))
-    scored = align.word_overlaps(asked, turns, "item_id", "conv_id", "turn").select("item_id", "conv_id", "turn", F.round("share", 6).alias("score")).where("score > 0")
-    best = scored.groupBy("item_id").agg(F.max_by(F.struct("conv_id", "turn", "score"), F.struct("score", (-F.col("conv_id")).alias("c"), (-F.col("turn")).alias("t"))).alias("b"))
-    return best.select("item_id", "b.conv_id", "b.turn", "b.score")
+    return align.best_overlaps(asked, turns, "item_id", "conv_id", "turn").select("item_id", "conv_id", "turn", F.round("share", 6).alias("score"))
+
+
+ALIGNED = f"""turns AS (SELECT conv_id AS e, turn, turn * 30 AS sec, turn * 30 + 25 AS ends, coalesce(text, '') AS t, role FROM conversations),
+cues AS (SELECT e, sec, ends, t, {FLAT.format('t')} AS flat, {CONTENT.format('t')} AS heard FROM turns),
+ahead AS (SELECT a.e, a.sec, {FLAT.format("string_agg(b.t, ' ' ORDER BY b.sec)")} AS ahead FROM cues a JOIN cues b ON a.e = b.e AND b.sec >= a.sec AND b.sec < a.sec + 100 GROUP BY a.e, a.sec),
+q AS (SELECT e * 1000 + turn AS question_id, e, {CONTENT.format('t')} AS w FROM turns WHERE role = 'user'),
+named AS (SELECT *, [w[2][:-2]] AS name FROM q),
+met AS (SELECT n.*, c.sec, c.ends, c.flat, c.heard, a.ahead FROM named n JOIN cues c USING (e) JOIN ahead a USING (e, sec)),
+judged AS (SELECT *, CASE WHEN length(coalesce(name[1], '')) > 2 AND NOT list_contains([{STOP}], name[1]) AND len(list_filter(heard, lambda c: c = name[1] OR starts_with(c, name[1][1:4])
+    OR (length(name[1]) >= 5 AND levenshtein(name[1], c) <= greatest(1, length(name[1]) // 4)))) > 0 THEN 1.0 ELSE 0.0 END AS named,
+  len(list_filter(w[1:8], lambda x: contains(flat, x))) > 0 AS opens, list_filter(w, lambda x: contains(ahead, x))[1] AS first_word, list_distinct(w) AS dw FROM met),
+scored AS (SELECT question_id, sec, ends, CASE WHEN len(dw) > 0 THEN CAST(len(list_filter(dw, lambda x: contains(ahead, x))) AS DOUBLE) / len(dw) ELSE 0.0 END + named * CAST(0.8 AS DOUBLE)
+  - coalesce(least(CAST(0.8 AS DOUBLE), CAST(strpos(ahead, first_word) - 1 AS DOUBLE) / 150), CAST(0.8 AS DOUBLE)) AS score FROM judged WHERE named > 0 OR opens)"""
+
+
+@query(f"WITH {ALIGNED} SELECT question_id, CAST(sec AS BIGINT) AS start_sec, CAST(ends AS BIGINT) AS answer_start_sec, round(score, 6) AS score FROM scored WHERE score >= 0.45 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, sec) = 1")
+def caption_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each user turn's text is introduced in its conversation, turns being cues of 25 seconds; its second word, without its end, is a name."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    cues = turns.select(F.col("conv_id").alias("episode_id"), (F.col("turn") * 30).alias("start_sec"), (F.col("turn") * 30 + 25).alias("end_sec"), "text")
+    second = F.get(text.content_words(F.col("text")), F.lit(1))
+    name = F.when(F.length(second) > 1, F.substr(second, F.lit(1), F.length(second) - 1))
+    asked = turns.where("role = 'user'").select(F.col("conv_id").alias("episode_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question_text"), F.array_compact(F.array(name)).alias("speaker_names"), F.lit(0).alias("from_sec"), F.lit(None).cast("double").alias("until_sec"))
+    found = align.align(asked, cues)
+    return found.select("question_id", F.col("start_sec").cast("long").alias("start_sec"), F.col("answer_start_sec").cast("long").alias("answer_start_sec"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")

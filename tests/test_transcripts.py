@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,16 +237,43 @@ def test_recent_searches_stream(spark, tmp_path):
     assert spark.sql("select queries from recents").head().queries == ["q7", "q6", "q5", "q4", "q3"]
 
 
-def test_word_overlaps_match_brute_force(spark):
-    asked = {1: ["cat", "running"], 2: ["concat"], 3: [], 4: None, 5: ["dog", "cat", "absent"]}
-    flats = {10: "a cat concatenates", 11: "concat running shoes", 12: "", 13: "dog dog " + "x" * 3000, 14: None}
+def test_best_overlaps_match_brute_force(spark):
+    """Words count as parts of tokens; the best text has most of them, then the smallest keys; long tokens are cut into pieces."""
+    rng = random.Random(17)
+    syllables = ["ka", "to", "mi", "re", "su", "ba", "lo"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    asked = {k: sorted({word(rng.randint(1, 4)) for _ in range(rng.randint(1, 12))}) for k in range(40)}
+    asked |= {100: ["cat", "running"], 101: ["concat"], 102: [], 103: None, 104: ["dog", "cat", "absent"], 105: ["zebra"]}
+    flats = {k: " ".join(word(rng.randint(1, 6)) for _ in range(rng.randint(0, 25))) for k in range(60)}
+    flats |= {200: "a cat concatenates", 201: "concat running shoes", 202: "", 203: "dog dog " + "x" * 3000 + "absent" + "y" * 500, 204: None, 205: flats[3], 206: "z" * 63 + "ebra"}
     q = spark.createDataFrame(list(asked.items()), "id int, words array<string>")
     t = spark.createDataFrame([(k, k, v) for k, v in flats.items()], "a int, b int, flat string")
-    got = {(r.id, r.a, r.b, round(r.share, 6)) for r in align.word_overlaps(q, t, "id", "a", "b").collect()}
-    want = {
-        (i, k, k, round(sum(w in flat for w in words) / len(words), 6))
-        for i, words in asked.items() if words for k, flat in flats.items() if flat and set(words) & set(flat.split(" "))
-    }
+    want = set()
+    for i, words in asked.items():
+        scored = [(-sum(w in flat for w in words), k) for k, flat in flats.items() if flat] if words else []
+        if scored and min(scored)[0] < 0:
+            n, k = min(scored)
+            want.add((i, k, k, round(-n / len(words), 6)))
+    got = {(r.id, r.a, r.b, round(r.share, 6)) for r in align.best_overlaps(q, t, "id", "a", "b").collect()}
     assert got == want
-    assert align.word_overlaps(q.where("false"), t, "id", "a", "b").count() == 0
-    assert align.word_overlaps(q, t.where("false"), "id", "a", "b").count() == 0
+    assert align.best_overlaps(q.where("false"), t, "id", "a", "b").count() == 0
+    assert align.best_overlaps(q, t.where("false"), "id", "a", "b").count() == 0
+
+
+def test_a_token_of_millions_of_letters_takes_linear_time(spark):
+    import time
+
+    took = []
+    for n in (1_000_000, 4_000_000):
+        tokens = spark.sql(f"select concat(repeat('ab1', {n} div 3), 'needle', repeat('q', 50)) token")
+        words = spark.createDataFrame([("needle",), ("b1a",), ("absent",), ("qq",)], "w string")
+        began = time.perf_counter()
+        assert {r.w for r in align.containing(words, tokens).collect()} == {"needle", "b1a", "qq"}
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * max(took[0], 1)
+
+
+def test_alignment_without_any_word_in_sight(spark):
+    cues = spark.createDataFrame([("e", 0, 5, "name here"), ("e", 200, 205, "nothing")], "episode_id string, start_sec int, end_sec int, text string")
+    asked = spark.createDataFrame([("e", 1, "zebra stripes", ["name"], 0, None), ("e", 2, "", ["name"], 0, None), ("e", 3, "zebra", [], 0, None)], "episode_id string, question_id int, question_text string, speaker_names array<string>, from_sec int, until_sec double")
+    assert align.align(asked, cues).count() == 0  # a name alone weighs as much as the longest delay takes off
