@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,15 @@ class Engine:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Engine:
+        """An engine over what ``artifacts.write`` or ``artifacts.build`` left below ``path``."""
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(read("docs"), read("keyword"), read("prefixes"), read("autocomplete"), read("spellings"), read("vectors"), query_words(read("vocab")), read("episodes"))
+        try:
+            episodes = read("episodes")
+        except AnalysisException as e:  # written without episodes
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            episodes = None
+        return cls(read("docs"), read("keyword"), read("prefixes"), read("autocomplete"), read("spellings"), read("vectors"), query_words(read("vocab")), episodes)
 
     def terms(self, query: str) -> list[str]:
         return list(self.spark.range(1).select(query_terms(F.lit(query)).alias("t")).head().t)

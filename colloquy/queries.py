@@ -414,6 +414,76 @@ def engine_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword_engine(spark, sf_dir).search(query_state.QueryState(" ".join(TERMS), "keyword")).select("segment_id", "rank", F.col("score").cast("long").alias("score"))
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def _opened(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
+    """An engine opened over written artifacts, and their folder. Vectors are given: the n-th most frequent word has embedding n."""
+    docs, given = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    key = spark.sparkContext.applicationId, f"{index.files_state(docs)}/{index.files_state(given)}"
+    if key not in _built:
+        path = f"{order.shared_folder(spark)}/engine-{uuid.uuid4().hex}"
+        artifacts.write(segments(spark, sf_dir), _given_words(spark, sf_dir), path)
+        _built[key] = path
+    return Engine.open(spark, _built[key]), _built[key]
+
+
+def _given_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = order.numbered(_store(spark, sf_dir).read("statistics"), F.desc("freq"), "term", start=0, name="vec_id")
+    vectors_ = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    return ranked.withColumn("idf", semantic.idf(table(spark, sf_dir, "documents").count())).join(vectors_, "vec_id").select("term", "idf", "vec")
+
+
+#: Passages with their byte vectors, and the pooled query, over the word table in bytes.
+SEMANTIC = f"""{TOKENS}, {SEG}, ranked AS (SELECT term, round(ln(1 + (SELECT count(*) FROM documents) / df), 3) AS idf, row_number() OVER (ORDER BY freq DESC, term) - 1 AS vec_id FROM stats),
+given AS (SELECT term, idf, list_transform({QUANT}, lambda x: x / CAST(127 AS DOUBLE)) AS vec FROM ranked JOIN embeddings USING (vec_id)),
+w AS (SELECT segment_id, regexp_extract_all(answer, '\\s*\\S+') AS w FROM seg),
+chunks AS (SELECT segment_id, w, i, i * 190 AS s FROM w, (VALUES (0), (1), (2)) v(i) WHERE (i = 0 AND len(w) > 0) OR (i > 0 AND (i - 1) * 190 + 220 < len(w))),
+passages AS (SELECT segment_id, length(array_to_string(w[1:s], '')) + length(w[s + 1]) - length(regexp_replace(w[s + 1], '^\\s+', '')) AS char_offset, array_to_string(w[s + 1:s + 220], '') AS t FROM chunks
+  UNION ALL SELECT segment_id, -1, question FROM seg WHERE trim(question) <> ''),
+asked AS (SELECT segment_id, char_offset, unnest(list_filter(string_split({NORM.format('t')}, ' '), lambda w: length(w) BETWEEN 2 AND 23)) AS term FROM passages
+  UNION ALL SELECT -1, 0, unnest(['with', 'the', 'other'])),
+dims AS (SELECT segment_id, char_offset, sum(idf * x) AS x, d FROM (SELECT segment_id, char_offset, term, count(*) AS times FROM asked GROUP BY ALL) a
+  JOIN (SELECT term, idf, unnest(vec) AS x, unnest(range(1, len(vec) + 1)) AS d FROM given) g USING (term), range(times) GROUP BY segment_id, char_offset, d),
+units AS (SELECT segment_id, char_offset, d, x / sqrt(sum(x * x) OVER (PARTITION BY segment_id, char_offset)) AS x FROM dims),
+scores AS (SELECT p.segment_id, p.char_offset, sum(q.x * greatest(-127, least(127, floor(p.x * 127 + 0.5)))) / 127 AS score FROM units p JOIN units q ON q.segment_id = -1 AND p.segment_id <> -1 AND p.d = q.d GROUP BY ALL),
+near_ AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY round(score, 9) DESC, char_offset) = 1 ORDER BY round(score, 9) DESC, segment_id LIMIT 240),
+second_ AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, segment_id) AS second_rank FROM near_)"""
+
+
+@query(f"WITH {SEMANTIC} SELECT segment_id, char_offset, second_rank AS rank, round(score, 6) AS score FROM second_ WHERE second_rank <= 200")
+def engine_semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine opened over written artifacts, asked by meaning."""
+    found = _opened(spark, sf_dir)[0].search(query_state.QueryState("with the other", "semantic"))
+    return found.select("segment_id", "char_offset", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {SEMANTIC}, first_ AS (SELECT segment_id, row_number() OVER (ORDER BY score DESC, start_sec DESC, segment_id) AS first_rank FROM ({_keyword_sql(['with', 'the', 'other'], select='*')})),
+fused AS (SELECT segment_id, first_rank, second_rank, coalesce(1.0 / (60 + first_rank), 0) + coalesce(1.0 / (60 + second_rank), 0) AS score FROM first_ FULL JOIN second_ USING (segment_id))
+SELECT segment_id, row_number() OVER (ORDER BY score DESC, first_rank NULLS LAST, second_rank NULLS LAST) AS rank, round(score, 9) AS score,
+  CASE WHEN first_rank IS NULL THEN 'semantic' WHEN second_rank IS NULL THEN 'keyword' ELSE 'both' END AS found_by FROM fused QUALIFY rank <= 200""")
+def engine_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same engine, keyword and semantic results fused."""
+    found = _opened(spark, sf_dir)[0].search(query_state.QueryState("with the other"))
+    return found.select("segment_id", "rank", F.round("score", 9).alias("score"), "found_by")
+
+
+def _digest_sql(source: str, kind: str, *columns: str) -> str:
+    value = "concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns) + ")"
+    number = f"list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, 16), lambda i: strpos('0123456789abcdef', md5({value})[i]) - 1)), lambda a, b: 16 * a + b)"
+    return f"SELECT '{kind}' AS kind, CAST(shard AS VARCHAR) AS shard, count(*) AS rows, printf('%015x', CAST(sum({number}) % 1152921504606846976 AS BIGINT)) AS digest FROM {source} GROUP BY shard"
+
+
+@query(f"""WITH {DICTIONARY}, firsts AS (SELECT shard, term, rk, substr(term, 1, k) AS prefix FROM dictionary, (VALUES (1), (2), (3), (4)) v(k) WHERE k <= length(term)),
+prefixes AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY shard, prefix ORDER BY rk) <= 8)
+{_digest_sql('postings', 'keyword', *artifacts.SHARDS['keyword'])} UNION ALL {_digest_sql('dictionary', 'autocomplete', *artifacts.SHARDS['autocomplete'])}
+UNION ALL {_digest_sql('prefixes', 'prefixes', *artifacts.SHARDS['prefixes'])} UNION ALL {_digest_sql('seg', 'docs', *artifacts.SHARDS['docs'])}""")
+def artifact_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and content of the written shards, as the manifest has them, for the kinds that SQL makes as well."""
+    found = artifacts.manifest(spark, _opened(spark, sf_dir)[1]).where("kind in ('keyword', 'autocomplete', 'prefixes', 'docs') and files > 0 and bytes > 0")
+    return found.select("kind", "shard", "rows", "digest")
+
+
 @query(f"WITH {SEG} SELECT segment_id, start_sec, type, question FROM seg WHERE episode_id = 'src3'")
 def engine_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword_engine(spark, sf_dir).episode("src3").select("segment_id", "start_sec", "type", "question")

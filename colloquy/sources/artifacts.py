@@ -41,34 +41,90 @@ def passage_vectors(segments: DataFrame, words: DataFrame) -> DataFrame:
     return keyed.select("passage", "segment_id", "start_sec", "char_offset").join(pooled, "passage").join(meta, "segment_id").select("shard", "segment_id", "episode_id", "type", "start_sec", "char_offset", quantize(F.col("vec")).alias("q"))
 
 
-def build(spark: SparkSession, episodes: DataFrame, path: str, dimensions: int = semantic.DIMENSIONS, least: int = semantic.LEAST, margin: int = semantic.MARGIN) -> DataFrame:
-    """Write all artifacts below ``path`` (replacing what is there) and return the manifest.
-
-    Shard tables are partitioned by year and clustered for their reads; ``index.Store`` names those of keyword search.
+#: Shard tables, and what the digest of each covers.
+SHARDS = {
+    "keyword": ("shard", "term", "segment_id", "weight"),
+    "autocomplete": ("shard", "term", "freq", "rk"),
+    "prefixes": ("shard", "prefix", "term", "rk"),
+    "spellings": ("shard", "word", "key", "less"),
+    "docs": ("shard", "segment_id", "episode_id", "type", "question", "answer"),
+    "vectors": ("shard", "segment_id", "char_offset", "q"),
+}
+MANIFEST = "kind string, shard string, rows long, digest string, files long, bytes long"
+SUMMARY = "build_id string, model string, version int, dimensions int, shards array<string>, types array<string>, episodes long, segments long"
+
+
+def write(segments: DataFrame, words: DataFrame, path: str, headers: DataFrame | None = None) -> None:
+    """Write the tables of a search engine below ``path``, replacing what is there.
+
+    ``words`` (term, idf, vec) is the word table, trained or given; ``headers`` the episodes, if there are any. Shard tables are
+    partitioned by shard and clustered for their reads; ``index.Store`` names those of keyword search.
     """
-    segments = source.segments(episodes)
-    docs = segments.withColumn("text", F.concat_ws(" ", "question", "answer"))
-    words = semantic.train(docs, "segment_id", F.col("text"), dimensions, least, margin).persist()
-    for name, df in {"docs": segments, "vectors": passage_vectors(segments, words)}.items():
-        df.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/{name}")
+    word_table(words).write.mode("overwrite").parquet(f"{path}/vocab")
+    stored = query_words(segments.sparkSession.read.parquet(f"{path}/vocab"))  # passages take the table that queries will see
+    index.by_range(segments, "shard", "segment_id").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/docs")
+    passage_vectors(segments, stored).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/vectors")
     tables = index.Store(lambda: segments, path)
     for name in ("keyword", "autocomplete", "prefixes", "spellings"):
         tables.read(name)
-    word_table(words).write.mode("overwrite").parquet(f"{path}/vocab")
-    source.headers(episodes).write.mode("overwrite").parquet(f"{path}/episodes")
-    words.unpersist()
+    if headers is not None:
+        headers.write.mode("overwrite").parquet(f"{path}/episodes")
+
+
+def build(spark: SparkSession, episodes: DataFrame, path: str, dimensions: int = semantic.DIMENSIONS, least: int = semantic.LEAST, margin: int = semantic.MARGIN) -> DataFrame:
+    """Train the word table, ``write`` all artifacts of the episodes, and the manifest and its summary; returns the manifest."""
+    segments = source.segments(episodes)
+    docs = segments.withColumn("text", F.concat_ws(" ", "question", "answer"))
+    words = semantic.train(docs, "segment_id", F.col("text"), dimensions, least, margin)
+    write(segments, words, path, source.headers(episodes))
     found = manifest(spark, path)
+    found.write.mode("overwrite").json(f"{path}/manifest")
     # an order-free digest: no task holds all hashes
     mixed = (F.bit_xor(F.xxhash64("content_hash", F.lit(k))).cast("string") for k in range(2))
     build_id = episodes.agg(F.substring(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *mixed), 256), 1, 16)).head()[0]
-    found = found.withColumn("build_id", F.lit(build_id)).withColumn("model", F.lit(MODEL)).withColumn("version", F.lit(VERSION))
-    found.write.mode("overwrite").json(f"{path}/manifest")
-    return found
+    summary(spark, path, build_id).write.mode("overwrite").json(f"{path}/summary")
+    return read_manifest(spark, path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest that ``build`` wrote: kind, shard, rows, build, model, version."""
-    return spark.read.schema("kind string, shard string, rows long, build_id string, model string, version int").json(f"{path}/manifest")
+    """The manifest that ``build`` wrote: of each kind and shard the rows, their digest, files and bytes."""
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest")
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SUMMARY).json(f"{path}/summary")
+
+
+def row_digest(*columns: str) -> Column:
+    """A number of 60 bits from a row's values as text, split by a sign that texts do not use."""
+    value = lambda c: F.coalesce(F.array_join(F.col(c).cast("array<string>"), ",") if c == "q" else F.col(c).cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(F.array_join(F.array(*map(value, columns)), "\x1f")), 1, 15), 16, 10).cast("decimal(20,0)")
+
+
+def digests(rows: DataFrame, *columns: str) -> DataFrame:
+    """shard, rows, digest: a digest of each shard's rows that their order does not change."""
+    whole = F.sum(row_digest(*columns)) % F.lit(1 << 60).cast("decimal(20,0)")
+    return rows.groupBy(F.col("shard").cast("string").alias("shard")).agg(F.count("*").alias("rows"), F.lpad(F.lower(F.hex(whole.cast("long"))), 15, "0").alias("digest"))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """kind, shard, rows, digest, files, bytes of each shard table below ``path``; bytes are those of the compressed files."""
+    out = None
+    for kind, columns in SHARDS.items():
+        rows = spark.read.parquet(f"{path}/{kind}")
+        files = rows.select(F.col("shard").cast("string").alias("of"), "_metadata.file_path", "_metadata.file_size").distinct()
+        sizes = files.groupBy("of").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
+        own = digests(rows, *columns).join(sizes, F.col("shard").eqNullSafe(F.col("of"))).select(F.lit(kind).alias("kind"), "shard", "rows", "digest", "files", "bytes")
+        out = own if out is None else out.unionByName(own)
+    return out.orderBy("kind", "shard")
+
+
+def summary(spark: SparkSession, path: str, build_id: str) -> DataFrame:
+    """One row on a build: ids, the vectors' dimension, and what its facets can be."""
+    docs = spark.read.parquet(f"{path}/docs")
+    of_docs = docs.agg(F.array_sort(F.collect_set(F.col("shard").cast("string"))).alias("shards"), F.array_sort(F.collect_set("type")).alias("types"), F.countDistinct("episode_id").alias("episodes"), F.count("*").alias("segments"))
+    dimensions = spark.read.parquet(f"{path}/vocab").select(F.size("q").alias("n")).head()
+    return of_docs.select(F.lit(build_id).alias("build_id"), F.lit(MODEL).alias("model"), F.lit(VERSION).alias("version"), F.lit(dimensions.n if dimensions else 0).alias("dimensions"), "shards", "types", "episodes", "segments")
 
 
 def encoded(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
@@ -85,15 +141,6 @@ def decoded(rows: DataFrame, key: str, dictionary: DataFrame) -> DataFrame:
     return back.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("run", "raw").alias("t")))), lambda x: x["t"]), "").alias("text"))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """kind, shard, rows of each shard table."""
-    parts = [spark.read.parquet(f"{path}/{kind}").groupBy(F.col("shard").cast("string").alias("shard")).agg(F.count("*").alias("rows")).select(F.lit(kind).alias("kind"), "shard", "rows") for kind in ("keyword", "autocomplete", "docs", "vectors")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("kind", "shard")
-
-
 def shard_stats(segments: DataFrame, shard: str = "shard") -> DataFrame:
     """shard, segments, characters and the longest segment."""
     size = F.length("question") + F.length("answer")

@@ -156,7 +156,15 @@ def test_incremental_ingest_adds_once(spark, tmp_path):
     validate.require_valid(validate.violations(episodes.segments(stored)))
     validate.require_valid(validate.episode_violations(stored))
     built = artifacts.build(spark, stored, str(tmp_path / "index"), dimensions=2, least=1, margin=2)
-    assert {r.kind for r in built.collect()} == {"keyword", "autocomplete", "docs", "vectors"}
+    listed = {(r.kind, r.shard): r for r in built.collect()}
+    assert {kind for kind, _ in listed} == set(artifacts.SHARDS) and all(r.rows and r.files and r.bytes and len(r.digest) == 15 for r in listed.values())
+    docs = spark.read.parquet(str(tmp_path / "index" / "docs"))
+    again = artifacts.digests(docs.orderBy(F.desc("segment_id")).repartition(3), *artifacts.SHARDS["docs"]).head()
+    assert again.digest == listed["docs", "2022"].digest
+    changed = docs.withColumn("answer", F.when(F.col("segment_id").endswith("q01"), "other").otherwise(F.col("answer")))
+    assert artifacts.digests(changed, *artifacts.SHARDS["docs"]).head().digest != again.digest
+    whole = artifacts.read_summary(spark, str(tmp_path / "index")).head()
+    assert (whole.model, whole.dimensions, whole.shards, whole.episodes, len(whole.build_id)) == (artifacts.MODEL, 2, ["2022"], 2, 16)
     from colloquy.plans.engine import Engine
     from colloquy.plans.query_state import QueryState
 
