@@ -22,6 +22,8 @@ QUESTION, ANSWER, EXACT = 4, 1, 10
 CANDIDATES, RESULTS, DICTIONARY, SUGGESTIONS = 240, 200, 12_000, 8
 #: Letters of the longest stored prefix, and near words that enter a query as literals; more are joined.
 PREFIX, LITERALS = 4, 1000
+#: Segments of a block (32,768 is a multiple), and blocks that are scored before any is left out.
+BLOCK, FIRST_BLOCKS = 128, 32
 #: What the postings keep of a segment, so that filters and order need no join.
 META = ("episode_id", "type", "start_sec")
 
@@ -81,38 +83,50 @@ def near_words(index: DataFrame, lacking: list[tuple[str, str, int]], spellings:
     return spelling.near(terms, spellings, "shard").groupBy("shard", "word").agg(F.sum("n").alias("n"))
 
 
-def contributions(index: DataFrame, terms: list[str], shards: list[str], spellings: DataFrame | None = None) -> DataFrame:
-    """The postings that count, with ``contrib``: exact hits weigh EXACT times; where a shard lacks a term, its near words count once.
+def weights_of(index: DataFrame, terms: list[str], shards: list[str], spellings: DataFrame | None = None) -> tuple[Column, Column] | DataFrame | None:
+    """What a posting of (shard, term) counts for a query, times its weight, and which postings count; None: none do.
 
-    Whether a shard has a term is a question to its whole vocabulary, so type and episode filters come after this. The
-    answer, at most one row a term and shard, is fetched first. Up to LITERALS near words enter as literals, so exact and near
-    words are one filter on the index; more are joined.
+    Exact hits weigh EXACT times; where a shard lacks a term, its near words count once. Whether a shard has a term is a question
+    to its whole vocabulary, so type and episode filters come after this. The answer, at most one row a term and shard, is fetched
+    first. Up to LITERALS near words enter as literals; with more, (shard, term, factor) is a table to join.
     """
     counts = Counter(terms)
     if not counts or not shards:
-        return index.withColumn("contrib", F.col("weight")).where(F.lit(False))
-    own = index.where(F.col("shard").isin(shards))
+        return None
     times = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
-    exact = own.where(F.col("term").isin(list(counts)))
-    found = {(r.shard, r.term) for r in exact.select("shard", "term").distinct().collect()}
-    exact = exact.withColumn("contrib", times[F.col("term")] * EXACT * F.col("weight"))
+    inside, asked = F.col("shard").isin(shards), F.col("term").isin(list(counts))
+    own = index.where(inside & asked).select("shard", "term").distinct().collect()
+    found = {(r.shard, r.term) for r in own}
+    exact = times[F.col("term")] * EXACT, inside & asked
     lacking = [(s, t, n) for t, n in counts.items() if len(t) >= spelling.SHORT for s in shards if (s, t) not in found]
-    if not lacking:
-        return exact
-    near = near_words(index, lacking, spellings)
-    words = near.limit(LITERALS + 1).collect()
+    near = near_words(index, lacking, spellings) if lacking else None
+    words = near.limit(LITERALS + 1).collect() if lacking else []
     if not words:
-        return exact
+        return exact if found else None
     if len(words) > LITERALS:
-        met = own.join(near.withColumnRenamed("word", "term"), ["shard", "term"]).withColumn("contrib", F.col("n") * F.col("weight")).drop("n")
-        return exact.unionByName(met.select(exact.columns))
+        hits = _rows(index, [(s, t, counts[t] * EXACT) for s, t in found], "shard", "term", "factor") if found else None
+        more = near.select("shard", F.col("word").alias("term"), F.col("n").alias("factor"))
+        return more if hits is None else more.unionByName(hits).groupBy("shard", "term").agg(F.sum("factor").alias("factor"))
     pair = F.concat_ws("\0", "shard", "term")
     of_pair = {f"{r.shard}\0{r.word}": r.n for r in words}
     factor = F.create_map(*(F.lit(x) for item in of_pair.items() for x in item))[pair]
-    asked = F.col("term").isin(list(counts))
-    seek = asked | F.col("term").isin(sorted({r.word for r in words})) & pair.isin(list(of_pair))
-    both = F.coalesce(F.when(asked, times[F.col("term")] * EXACT), F.lit(0)) + F.coalesce(factor, F.lit(0))
-    return own.where(seek).withColumn("contrib", both * F.col("weight"))
+    seek = inside & (asked | F.col("term").isin(sorted({r.word for r in words})) & pair.isin(list(of_pair)))
+    return F.coalesce(F.when(asked, times[F.col("term")] * EXACT), F.lit(0)) + F.coalesce(factor, F.lit(0)), seek
+
+
+def weighed(index: DataFrame, by: tuple[Column, Column] | DataFrame | None) -> DataFrame:
+    """The rows of an index that count, with their ``factor``."""
+    if by is None:
+        return index.withColumn("factor", F.lit(0)).where(F.lit(False))
+    if isinstance(by, DataFrame):
+        return index.join(by, ["shard", "term"])
+    factor, seek = by
+    return index.where(seek).withColumn("factor", factor)
+
+
+def contributions(index: DataFrame, terms: list[str], shards: list[str], spellings: DataFrame | None = None) -> DataFrame:
+    """The postings that count for the terms, with ``contrib``, what they add to their segment's score."""
+    return weighed(index, weights_of(index, terms, shards, spellings)).withColumn("contrib", F.col("factor") * F.col("weight"))
 
 
 def filters(kind: str = "all", episode: str = "", shards: list[str] | None = None) -> Column:
@@ -141,6 +155,85 @@ def rank(index: DataFrame, segments: DataFrame, terms: list[str], kind: str = "a
     return best(hits.groupBy("segment_id", "shard", *META).agg(F.sum("contrib").alias("score")), n)
 
 
+def placed(index: DataFrame, size: int = BLOCK) -> DataFrame:
+    """An index with ``place`` and ``block``: segments numbered from 0, in each shard the longest first, ``size`` of them a block.
+
+    Long segments have the largest weights, so few blocks hold the best segments of most queries.
+    """
+    lengths = index.groupBy("shard", "segment_id").agg(F.sum("freq").alias("words"))
+    places = numbered(lengths, "shard", F.desc("words"), "segment_id", start=0, name="place").select(F.col("segment_id").alias("of"), "place")
+    met = index.join(places, F.col("segment_id") == F.col("of")).drop("of")
+    return met.withColumn("block", F.floor(F.col("place") / size))
+
+
+def block_tops(index: DataFrame) -> DataFrame:
+    """shard, term, block, top: the largest weight that a term has in a block of a ``placed`` index."""
+    return index.groupBy("shard", "term", "block").agg(F.max("weight").alias("top"))
+
+
+def facet_bitmaps(index: DataFrame, *facets: str) -> DataFrame:
+    """facet, value, bucket, bits: for each value of a facet the places of its segments, 32,768 of them a bitmap."""
+    rows = index.select("place", F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets))).alias("f")).select("f.facet", "f.value", (F.col("place") + 1).alias("at"))
+    # a bit is set once however often its place comes, so postings need no distinct
+    return rows.groupBy("facet", "value", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+
+
+def allowed(bitmaps: DataFrame, chosen: dict[str, str]) -> DataFrame:
+    """bucket, bits: the places that have all of the chosen values."""
+    keep = F.lit(False)
+    for facet, value in chosen.items():
+        keep |= (F.col("facet") == facet) & (F.col("value") == value)
+    both = bitmaps.where(keep).groupBy("bucket").agg(F.count("*").alias("n"), F.bitmap_and_agg("bits").alias("bits"))
+    return both.where((F.col("n") == len(chosen)) & (F.bitmap_count("bits") > 0)).select("bucket", "bits")
+
+
+def _bit(bits: Column, place: Column) -> Column:
+    """Whether a bitmap has a place (from 0)."""
+    at = F.bitmap_bit_position(place + 1)
+    byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) > 0
+
+
+def rank_blocks(index: DataFrame, tops: DataFrame, terms: list[str], shards: list[str], chosen: dict[str, str] | None = None, bitmaps: DataFrame | None = None, n: int = CANDIDATES, spellings: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """``rank`` over a ``placed`` index that leaves blocks unread whose segments cannot be among the n best; and how many it read.
+
+    No segment of a block scores more than its terms' factors times their largest weights there. The FIRST_BLOCKS blocks of the
+    highest such bounds are scored first; their n-th score is one that all others must reach, so of the other blocks only
+    those are read whose bound does. ``chosen`` values of facets are and-ed as bitmaps before anything is scored; blocks without
+    a place left are not read, and of others only the places that are left.
+    """
+    by = weights_of(index, terms, shards, spellings)
+    bound = weighed(tops, by).groupBy("block").agg(F.sum(F.col("factor") * F.col("top")).alias("bound"))
+    left = allowed(bitmaps, chosen) if chosen else None
+    if left is not None:
+        # blocks of the buckets that have a place left: a bucket is as long as many blocks
+        each = 32_768 // BLOCK
+        block = F.explode(F.sequence((F.col("bucket") - 1) * each, F.col("bucket") * each - 1))
+        open_ = left.select(block.alias("block"), "bits").where(F.expr(f"hex(substring(bits, cast(block % {each} * {BLOCK // 8} + 1 as int), {BLOCK // 8})) != repeat('0', {BLOCK // 4})"))
+        bound = bound.join(open_.select("block"), "block")
+    bound = bound.persist()
+    first = bound.orderBy(F.desc("bound"), "block").limit(FIRST_BLOCKS).collect()
+    seen = [r.block for r in first]
+
+    def scored(keep: DataFrame | list[int]) -> DataFrame:
+        rows = index.where(F.col("block").isin(keep)) if isinstance(keep, list) else index.join(keep, "block", "left_semi")
+        rows = weighed(rows, by)
+        if left is not None:
+            rows = rows.join(left, F.bitmap_bucket_number(F.col("place") + 1) == F.col("bucket")).where(_bit(F.col("bits"), F.col("place")))
+        return rows.groupBy("segment_id", "shard", *META).agg(F.sum(F.col("factor") * F.col("weight")).alias("score"))
+
+    found = best(scored(seen), n).collect()
+    least = found[-1].score if len(found) == n else 0
+    others = bound.where(~F.col("block").isin(seen)).where(F.col("bound") >= least) if len(first) == FIRST_BLOCKS else bound.where(F.lit(False))
+    rest = others.select("block").limit(LITERALS + 1).collect()
+    read = {"blocks": bound.count(), "read": len(seen) + (len(rest) if len(rest) <= LITERALS else others.count())}
+    out = scored(seen)
+    if rest:
+        out = out.unionByName(scored([r.block for r in rest] if len(rest) <= LITERALS else others.select("block")))
+    bound.unpersist()
+    return best(out, n), read
+
+
 def suggest(words: DataFrame, prefix: str, n: int = SUGGESTIONS) -> DataFrame:
     """term, position: words with the prefix, newest shard (by name, descending) first, then by rank; each once.
 

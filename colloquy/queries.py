@@ -102,6 +102,25 @@ def keyword_filters_episode_type_year(spark: SparkSession, sf_dir: str) -> DataF
     return _rank(spark, sf_dir, ["with", "tion"], "question", "src3", ["en"]).select("segment_id", "shard", "score")
 
 
+def _blocks(spark: SparkSession, sf_dir: str, terms: list[str], shards: list[str] | None = None, **chosen: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    shards = shards or sorted(r.shard for r in store.read("autocomplete").select("shard").distinct().collect())
+    found, _ = keyword.rank_blocks(store.read("blocks"), store.read("tops"), terms, shards, chosen, store.read("bitmaps"), spellings=store.read("spellings"))
+    return found
+
+
+@query(_keyword_sql(FUZZY))
+def keyword_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 240 best segments from the blocks that can hold them."""
+    return _blocks(spark, sf_dir, FUZZY).select("segment_id", "shard", "score")
+
+
+@query(_keyword_sql(["with", "tion"], "type = 'question' AND episode_id = 'src3'"))
+def keyword_bitmap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two facets and-ed as bitmaps before any score."""
+    return _blocks(spark, sf_dir, ["with", "tion"], type="question", episode_id="src3").select("segment_id", "shard", "score")
+
+
 @query(f"WITH {SEG} SELECT segment_id, start_sec, CAST(0 AS BIGINT) AS score FROM seg WHERE type = 'question' ORDER BY start_sec DESC, segment_id LIMIT 240")
 def keyword_browse_empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rank(spark, sf_dir, [], "question").select("segment_id", "start_sec", "score")

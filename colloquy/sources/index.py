@@ -5,6 +5,9 @@ keyword      shard, term, segment_id, weight and what filters and order need: ra
 autocomplete shard, term, freq, rk: the most frequent terms of each shard, sorted by term
 prefixes     shard, prefix, term, rk: the first suggestions of each prefix of up to four letters, sorted by prefix
 spellings    shard, word, key, less: the deletion neighbourhoods of each shard's vocabulary, sorted by key
+blocks       the keyword table with place and block, sorted by (shard, block, term)
+tops         shard, term, block, top: the largest weight of a term in a block
+bitmaps      facet, value, bucket, bits: the places of each type's and episode's segments
 statistics   term, freq, df of the embedding tokens of all texts
 """
 
@@ -48,6 +51,12 @@ class Store:
         if name == "spellings":
             words = self.read("keyword").select("shard", F.col("term").alias("word")).distinct()
             return by_range(spelling.index(words), "shard", "key", "word")
+        if name == "blocks":
+            return by_range(keyword.placed(self.read("keyword")), "shard", "block", "term", "segment_id")
+        if name == "tops":
+            return by_range(keyword.block_tops(self.read("blocks")), "shard", "term", "block")
+        if name == "bitmaps":
+            return keyword.facet_bitmaps(self.read("blocks"), "type", "episode_id").sortWithinPartitions("facet", "value")
         text = F.concat_ws("\n", F.nullif("question", F.lit("")), F.nullif("answer", F.lit("")))
         return semantic.term_stats(semantic.token_rows(self.segments(), "segment_id", text), "segment_id").sortWithinPartitions("term")
 

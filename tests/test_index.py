@@ -105,3 +105,37 @@ def test_another_state_of_the_files_is_another_digest(spark, tmp_path):
     assert first == index.files_state(spark.read.parquet(path))
     spark.range(1).write.mode("append").parquet(path)
     assert first != index.files_state(spark.read.parquet(path))
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """Some thousand segments of very unlike length, so that blocks differ."""
+    rng = random.Random(13)
+    pool = [f"word{k:03d}" for k in range(200)]
+    rows = []
+    for k in range(5000):
+        n = int(3 * 1.0016**k) % 900 + 3
+        rows.append((k, f"e{k % 9}", ["2023", "2024"][k % 2], ["question", "answer", "intro"][k % 3], k % 100, rng.choice(pool), " ".join(rng.choices(pool, weights=range(1, 201), k=n))))
+    segments = spark.createDataFrame(rows, SEGMENTS).cache()
+    return index.Store(lambda: segments, str(tmp_path_factory.mktemp("blocks"))), segments
+
+
+@pytest.mark.parametrize("chosen", [{}, {"type": "intro"}, {"type": "question", "episode_id": "e3"}, {"episode_id": "none"}])
+def test_blocks_rank_as_the_whole_index_and_few_are_read(spark, large, monkeypatch, chosen):
+    tables, segments = large
+    monkeypatch.setattr(keyword, "FIRST_BLOCKS", 4)
+    terms = ["word150", "word199", "word003", "wrod1777"]
+    whole = keyword.rank(tables.read("keyword"), segments, terms, chosen.get("type", "all"), chosen.get("episode_id", ""), n=60, spellings=tables.read("spellings"))
+    found, read = keyword.rank_blocks(tables.read("blocks"), tables.read("tops"), terms, ["2023", "2024"], chosen, tables.read("bitmaps"), 60, tables.read("spellings"))
+    assert found.select(whole.columns).collect() == whole.collect()
+    if not chosen:
+        assert read["blocks"] == 40 and read["read"] < 20  # of 5,000 segments, 128 a block
+
+
+def test_bitmaps_hold_the_places_of_their_segments(spark, large):
+    tables, segments = large
+    rows = tables.read("blocks").select("segment_id", "place", "type", "episode_id").distinct().collect()
+    assert sorted(r.place for r in rows) == list(range(5000))
+    left = keyword.allowed(tables.read("bitmaps"), {"type": "intro", "episode_id": "e2"}).collect()
+    bits = {(r.bucket - 1) * 32768 + 8 * k + b for r in left for k, byte in enumerate(r.bits) for b in range(8) if byte >> b & 1}
+    assert bits == {r.place for r in rows if (r.type, r.episode_id) == ("intro", "e2")}
