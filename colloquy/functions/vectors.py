@@ -30,8 +30,8 @@ def unit(vector: Column) -> Column:
 
 
 def packed(vector: Column) -> Column:
-    """Signed bytes as base64 text, for readers outside Spark."""
-    return F.base64(F.unhex(F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")), "")))
+    """Signed bytes as base64 text in one line, for readers outside Spark."""
+    return F.translate(F.base64(F.unhex(F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")), ""))), "\r\n", "")
 
 
 def unpacked(text: Column) -> Column:

@@ -39,6 +39,11 @@ def summary(discovered: DataFrame, new: DataFrame) -> DataFrame:
     return counts.withColumn("skipped", F.col("discovered") - F.col("processed"))
 
 
+def heard(cues: DataFrame) -> DataFrame:
+    """episode_id, last (the start of the last cue), voices (the distinct speakers)."""
+    return cues.groupBy("episode_id").agg(F.max("start_sec").alias("last"), F.collect_set("speaker").alias("voices"))
+
+
 def episodes(new: DataFrame, pages: DataFrame, host: str, aliases: tuple[str, ...] = ()) -> DataFrame:
     """Canonical episodes of numbered new ones and their pages (url, html).
 
@@ -53,8 +58,7 @@ def episodes(new: DataFrame, pages: DataFrame, host: str, aliases: tuple[str, ..
     listed = asked.select("episode_id", segment_key(F.col("episode_id"), F.col("ord")).alias("segment_id"), F.lit("question").alias("type"), F.col("text").alias("question_text"), F.lit("").alias("answer_text"), F.lit(None).cast("int").alias("start_sec"), F.lit(None).cast("int").alias("end_sec"), "ord", token_count(F.col("text")).alias("tokens"), F.array("speaker").alias("speaker_names"))
     fields = ["segment_id", "type", "question_text", "answer_text", "start_sec", "end_sec", F.col("ord"), F.col("tokens").cast("int").alias("tokens"), "speaker_names"]
     nested = timed.unionByName(listed).groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ord").alias("_at"), F.struct(*fields).alias("s")))).alias("s"))
-    heard = cues.groupBy("episode_id").agg(F.max("start_sec").alias("last"), F.collect_set("speaker").alias("voices"))
-    full = head.join(nested, "episode_id").join(heard, "episode_id", "left").withColumn("segments", F.transform("s", lambda x: x["s"]))
+    full = head.join(nested, "episode_id").join(heard(cues), "episode_id", "left").withColumn("segments", F.transform("s", lambda x: x["s"]))
     speakers = F.array_sort(F.array_distinct(F.concat(F.coalesce("voices", F.array().cast("array<string>")), F.flatten(F.transform("segments", lambda s: s["speaker_names"])))))
     out = full.select("episode_id", "number", "title", "publish_date", "source_url", "transcript_url", "transcript_text", speakers.alias("speakers"), "audio_url", "youtube_id", F.greatest(F.lit(1), F.coalesce("last", F.lit(1))).cast("int").alias("duration_sec"), "segments")
     return out.withColumn("content_hash", F.sha2(F.to_json(F.struct(*out.columns)), 256))

@@ -28,15 +28,54 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def _free(rows: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that are in use."""
+    have = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        while name in have:
+            name = f"_{name}"
+        have.add(name)
+        out.append(name)
+    return out
+
+
+def ranged(rows: DataFrame, *order: str | Column) -> tuple[DataFrame, list[str]]:
+    """The rows ranged over partitions and sorted in them, stored with two more columns (named in the list): partition and place in it.
+
+    Stored, so that whatever reads them twice sees one order even if a task runs again.
+    """
+    mark, part, inside = _free(rows, "_mark", "_part", "_inside")
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(mark, F.monotonically_increasing_id()))
+    return placed.withColumn(part, F.shiftright(mark, PLACE_BITS)).withColumn(inside, F.col(mark).bitwiseAND((1 << PLACE_BITS) - 1)).drop(mark), [part, inside]
+
+
 def numbered(rows: DataFrame, *order: str | Column, start: int = 1, name: str = "number") -> DataFrame:
     """The rows with a gapless ``name`` from ``start`` in ``order`` (a total order, or ties fall anyhow).
 
-    Rows are ranged over partitions, sorted there and stored with their places, so that counts and rows see one numbering
-    even if a task runs again. Partitions then add what stands before them: one row a partition, broadcast.
+    Partitions add what stands before them: one row a partition, broadcast.
+    """
+    placed, (part, inside) = ranged(rows, *order)
+    count, ahead = _free(placed, "_rows", "_ahead")
+    sizes = placed.groupBy(part).agg(F.count("*").alias(count))
+    before = F.coalesce(F.sum(count).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = placed.join(F.broadcast(sizes.select(part, before.alias(ahead))), part)
+    return met.withColumn(name, F.col(ahead) + F.col(inside) + F.lit(start)).drop(part, inside, ahead)
+
+
+def neighbours(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """The rows with ``before`` and ``after``: ``by`` of the row before and after in the key's order, or their own at an end.
+
+    Rows are ranged by (key, by), so a key of any size is cut over tasks; each range is told the last row before it and the first
+    behind it: one row a range.
     """
-    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
-    part, inside = F.shiftright("_place", PLACE_BITS).alias("_part"), F.col("_place").bitwiseAND((1 << PLACE_BITS) - 1)
-    sizes = placed.groupBy(part).agg(F.count("*").alias("_rows"))
-    ahead = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", ahead.alias("_ahead"))
-    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_ahead") + inside + F.lit(start)).drop("_part", "_place", "_ahead")
+    placed, (part, inside) = ranged(rows, key, by)
+    edge = placed.groupBy(part).agg(F.max_by(F.struct(key, by), inside).alias("_last"), F.min_by(F.struct(key, by), inside).alias("_first"))
+    whole = Window.orderBy(part)
+    edges = edge.select(F.col(part).alias("_of"), F.lag("_last").over(whole).alias("_left"), F.lead("_first").over(whole).alias("_right"))
+    met = placed.join(F.broadcast(edges), F.col(part) == F.col("_of"))
+    own = Window.partitionBy(part).orderBy(inside)
+    near = lambda step, at_edge: F.when(step(key).over(own).isNull() & step(by).over(own).isNull(), at_edge).otherwise(F.struct(step(key).over(own).alias(key), step(by).over(own).alias(by)))
+    both = met.withColumn("_b", near(F.lag, F.col("_left"))).withColumn("_a", near(F.lead, F.col("_right")))
+    same = lambda c: F.when(F.col(c)[key].eqNullSafe(F.col(key)), F.col(c)[by])
+    return both.select(*rows.columns, F.coalesce(same("_b"), F.col(by)).alias("before"), F.coalesce(same("_a"), F.col(by)).alias("after"))

@@ -341,8 +341,8 @@ def semantic_topk_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH v AS (SELECT vec_id, {QUANT} AS q FROM embeddings) SELECT b.vec_id, {INT_DOT} AS score FROM v a, v b WHERE a.vec_id = 7 AND b.vec_id <> 7 ORDER BY score DESC, b.vec_id LIMIT 8")
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _byte_vectors(spark, sf_dir)
-    return rows.where("vec_id <> 7").select("vec_id", vectors.int_dot(_vector(rows, 7), F.col("q")).alias("score")).orderBy(F.desc("score"), "vec_id").limit(semantic.NEIGHBOURS)
+    words = _byte_vectors(spark, sf_dir).select(F.col("vec_id").alias("term"), "q", F.col("q").cast("array<double>").alias("vec"))
+    return semantic.nearest_words(words, 7).select(F.col("term").alias("vec_id"), F.col("score").cast("long").alias("score"))
 
 
 _cells: dict[tuple[str, str], cells.Cells] = {}
@@ -572,25 +572,114 @@ def segment_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOST = "Host"
 
 
-@query()
+CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH said AS (SELECT conv_id AS e, turn, CASE WHEN role = 'assistant' THEN 'Host' ELSE 'Guest ' || role END AS speaker, {CLEAN.format('text')} || CASE WHEN role = 'user' THEN '?' ELSE '' END AS t FROM conversations WHERE text IS NOT NULL AND trim(text) <> ''),
+marked AS (SELECT *, speaker <> 'Host' AND ends_with(t, '?') AS asks FROM said), opened AS (SELECT *, asks AND NOT coalesce(lag(asks) OVER (PARTITION BY e ORDER BY turn), false) AS opens FROM marked),
+placed AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY e ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM opened),
+voices AS (SELECT e, section, voice, min(place) AS place FROM (SELECT e, section, speaker AS voice, turn * 2 AS place FROM placed UNION ALL SELECT e, section, 'Host', turn * 2 + 1 FROM placed WHERE opens) GROUP BY ALL),
+named AS (SELECT e, section, string_agg(voice, ', ' ORDER BY place) AS speakers FROM voices GROUP BY ALL),
+made AS (SELECT e, section, min(turn) * 30 AS start_sec, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (asks), '') AS q, coalesce(string_agg(t, ' ' ORDER BY turn) FILTER (NOT asks), '') AS a FROM placed GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER w AS n, lead(start_sec) OVER w AS end_sec FROM made WINDOW w AS (PARTITION BY e ORDER BY section))
+SELECT CAST(e AS VARCHAR) AS episode_id, e || '#q' || printf('%02d', n) AS segment_id, CASE WHEN section = 0 THEN 'intro' ELSE 'question' END AS type, q AS question_text, a AS answer_text,
+  CAST(start_sec AS INTEGER) AS start_sec, CAST(end_sec AS INTEGER) AS end_sec, CAST(n - 1 AS INTEGER) AS ord, CAST(len(string_split({CLEAN.format("q || ' ' || a")}, ' ')) AS BIGINT) AS tokens, speakers FROM numbered JOIN named USING (e, section)""")
 def transcript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as transcripts, cut into segments by the section state machine (no SQL form)."""
+    """Conversations as transcripts, cut into segments by the section state machine. Guests ask, so sections open at the first of their cues in a row."""
     turns = table(spark, sf_dir, "conversations").where("text is not null and trim(text) <> ''")
     speaker = F.when(F.col("role") == "assistant", HOST).otherwise(F.concat(F.lit("Guest "), F.col("role")))
     asked = F.when(F.col("role") == "user", F.concat(text.clean_text(F.col("text")), F.lit("?"))).otherwise(text.clean_text(F.col("text")))
     cues = turns.select(F.col("conv_id").cast("string").alias("episode_id"), F.col("turn").cast("int").alias("pos"), (F.col("turn") * 30).cast("int").alias("start_sec"), speaker.alias("speaker"), asked.alias("text"))
-    return segment.segments(cues, HOST)
+    return segment.segments(cues, HOST).withColumn("speakers", F.array_join("speaker_names", ", ")).drop("speaker_names")
+
+
+NAMED = "regexp_extract(text, '[A-Za-z]+')"
+
+
+@query(f"""WITH n AS (SELECT item_id, upper(substr({NAMED}, 1, 1)) || lower(substr({NAMED}, 2)) AS w FROM benchmark)
+SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'Mara Quill' WHEN 1 THEN w || ' Lee' WHEN 2 THEN w WHEN 3 THEN '' WHEN 4 THEN 'Mara Quill' ELSE w || ' de Boer' END AS name FROM n""")
+def questioner_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Askers as a host reads them out: with lead-ins, trailing words, pronouns, and the host's aliases."""
+    word = F.initcap(F.regexp_extract("text", "[A-Za-z]+", 0))
+    k = F.col("item_id") % 6
+    put = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    read = F.when(k == 0, "and MQ.").when(k == 1, put("So ", word, " Lee,")).when(k == 2, put(word, " who")).when(k == 3, "then She").when(k == 4, "mara  quill..").otherwise(put("okay ", word, " de Boer and"))
+    return table(spark, sf_dir, "benchmark").select("item_id", text.questioner(read, "Mara Quill", ("MQ",)).alias("name"))
+
+
+@query("""WITH d AS (SELECT page_id, CAST(printf('20%02d-%02d-%02d', 10 + page_id % 15, 1 + page_id % 12, 1 + page_id % 28) AS DATE) AS day FROM pages)
+SELECT page_id, CAST(day AS VARCHAR) AS day, strftime(day, 'ama-%Y-%m') AS episode, strftime(day, '%B %Y') AS month, 'AMA · ' || upper(strftime(day, '%B %Y')) AS badge, strftime(day, 'ama-%Y-%m') || '#q' || printf('%02d', page_id % 130 + 1) AS segment FROM d""")
+def dates_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as written, in two forms, or from the address, and the keys and labels made of them."""
+    p = F.col("page_id")
+    parts = (10 + p % 15).cast("int"), (1 + p % 12).cast("int"), (1 + p % 28).cast("int")
+    written = F.when(p % 3 == 0, F.format_string("20%02d-%02d-%02d", *parts)).when(p % 3 == 1, F.format_string("20%02d-%02d-%02dT08:30:00", *parts)).otherwise("soon")
+    day = text.iso_date(written, F.format_string("https://site.example/20%02d/%02d/%02d/ama", *parts))
+    key = text.episode_key(day)
+    return table(spark, sf_dir, "pages").select("page_id", day.cast("string").alias("day"), key.alias("episode"), text.month_year(day).alias("month"), text.episode_badge(day).alias("badge"), text.segment_key(key, (p % 130).cast("int")).alias("segment"))
+
+
+@query(f"""WITH v AS (SELECT vec_id, {{QUANT}} AS q FROM embeddings)
+SELECT vec_id, to_base64(unhex(array_to_string(list_transform(q, lambda x: printf('%02X', x & 255)), ''))) AS packed, true AS restored FROM v""".replace("{QUANT}", QUANT))
+def packed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte vectors as base64 for readers outside Spark, and back."""
+    rows = _byte_vectors(spark, sf_dir).select("vec_id", "q", vectors.packed(F.col("q")).alias("packed"))
+    return rows.select("vec_id", "packed", (vectors.unpacked(F.col("packed")) == F.col("q")).alias("restored"))
+
+
+@query(f"""WITH {SEG}, found AS (SELECT segment_id, question AS t, strpos({PLAIN.format('question')}, 'tion') AS p FROM seg)
+SELECT segment_id, CASE WHEN t = '' THEN '' WHEN p = 0 THEN t ELSE substr(t, 1, p - 1) || '[' || substr(t, p, 4) || ']' || substr(t, p + 4) END AS shown FROM found""")
+def highlighted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with their first match between brackets; ranges beyond the text do not count."""
+    beyond = F.array(F.struct((F.length("question") - 1).alias("start"), (F.length("question") + 3).alias("end")), F.struct(F.lit(3).alias("start"), F.lit(3).alias("end"))).cast(ranges.RANGE)
+    runs = ranges.marked_runs(F.col("question"), F.concat(ranges.first_ranges(F.col("question"), ["tion"]), beyond))
+    shown = F.array_join(F.transform(runs, lambda r: F.when(r["is_match"], F.concat(F.lit("["), r["text"], F.lit("]"))).otherwise(r["text"])), "")
+    return segments(spark, sf_dir).select("segment_id", shown.alias("shown"))
+
+
+CARD = f"""cards AS (SELECT segment_id, rank, question, CASE WHEN trim(answer) <> '' THEN answer ELSE question END AS src FROM (SELECT *, row_number() OVER (ORDER BY score DESC, start_sec DESC, segment_id) AS rank FROM ({_keyword_sql(TERMS, select='*')})) WHERE rank <= 200),
+mid AS (SELECT *, length(src) AS n, least({', '.join(f"nullif(strpos({PLAIN.format('src')}, '{t}'), 0)" for t in sorted(set(TERMS)))}) - 1 AS c FROM cards),
+win AS (SELECT *, greatest(c - 170, 0) AS l, least(c + 170, n) AS r FROM mid),
+grown AS (SELECT *, l - length(regexp_extract(substr(src, 1, l), '\\S*\\z')) AS s, r + length(regexp_extract(substr(src, r + 1), '^\\S*')) AS e FROM win),
+shown AS (SELECT segment_id, rank, question, CASE WHEN n = 0 THEN '' WHEN c IS NOT NULL THEN (CASE WHEN s > 0 THEN '…' ELSE '' END) || regexp_replace(substr(src, s + 1, e - s), '^\\s+|\\s+\\z', '', 'g') || (CASE WHEN e < n THEN '…' ELSE '' END)
+  WHEN n <= 340 THEN src ELSE regexp_replace(substr(src, 1, 340) || regexp_extract(substr(src, 341), '^\\S*'), '\\s+\\z', '') || '…' END AS match FROM grown)"""
+
+
+@query(f"""WITH {CARD} SELECT segment_id, rank, match, {' + '.join(f"CASE WHEN contains({PLAIN.format('question')}, '{t}') THEN 1 ELSE 0 END" for t in TERMS)} AS in_question,
+  {' + '.join(f"CASE WHEN contains({PLAIN.format('match')}, '{t}') THEN 1 ELSE 0 END" for t in TERMS)} AS in_match, 'keyword' AS found_by, false AS semantic_only FROM shown""")
+def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an answer shows of each result: the preview around the earliest term, and the terms marked in it and in the question."""
+    found = _keyword_engine(spark, sf_dir).search(query_state.QueryState(" ".join(TERMS), "keyword"))
+    return found.select("segment_id", "rank", "match", F.size("highlights.question").alias("in_question"), F.size("highlights.answer").alias("in_match"), "found_by", "semantic_only")
+
+
+@query("SELECT count(*) AS discovered, count(*) FILTER (page_id % 3 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)) AS processed, count(*) FILTER (page_id % 3 = 0 OR url IN (SELECT url FROM pages WHERE page_id % 3 = 0)) AS skipped FROM pages")
+def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an ingest reports: found, new and known pages (every third is known)."""
+    found = table(spark, sf_dir, "pages").select("page_id", "url")
+    return ingest.summary(found, ingest.without(found, found.where("page_id % 3 = 0"), "page_id", "url"))
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://site.example/archive/?page=' || page_id WHEN 1 THEN 'https://site.example/p/' || page_id WHEN 2 THEN 'https://other.example/' || page_id WHEN 3 THEN 'https://site.example/archive/n' || page_id ELSE '' END AS next FROM pages""")
+def archive_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next archive page that a page names, behind its own links: by relation, by a navigation block, by classes, or not at all."""
+    p, key = F.col("page_id"), F.col("page_id").cast("string")
+    put = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    forms = F.when(p % 5 == 0, put('<a rel="nofollow next" href="?page=', key, '">older</a>')).when(p % 5 == 1, put('<div class="nav-next"><a href="/p/', key, '">older</a></div>')).when(p % 5 == 2, put('<a class="next page-numbers" href="https://other.example/', key, '">2</a><a rel="next" href="/late">x</a>')).when(p % 5 == 3, put('<style>a rel="next" href="/no"</style><a href="n', key, '" rel="next">x</a>')).otherwise('<a rel="prev" href="/back">newer</a>')
+    rows = table(spark, sf_dir, "pages").select("page_id", F.lit("https://site.example/archive/").alias("url"), F.concat("html", forms).alias("html"))
+    return pages.next_pages(rows, "page_id").select("page_id", F.coalesce("next", F.lit("")).alias("next"))
 
 
 @query("SELECT event_id, user_id, epoch_us(ts) AS at_us, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), -1) AS end_us FROM events")
 def segment_end_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
-    return at.withColumn("end_us", F.coalesce(F.lead("at_us").over(Window.partitionBy("user_id").orderBy("at_us", "event_id")), F.lit(-1)))
+    return at.withColumn("end_us", F.coalesce(segment.next_start("at_us", "user_id", "at_us", "event_id"), F.lit(-1)))
 
 
 @query("SELECT conv_id, greatest(1, max(turn) * 30) AS duration_sec, string_agg(DISTINCT role, ',' ORDER BY role) AS speakers FROM conversations GROUP BY conv_id")
 def duration_and_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.greatest(F.lit(1).cast("long"), F.max("turn") * 30).alias("duration_sec"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("speakers"))
+    cues = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("episode_id"), (F.col("turn") * 30).alias("start_sec"), F.col("role").alias("speaker"))
+    return ingest.heard(cues).select(F.col("episode_id").alias("conv_id"), F.greatest(F.lit(1).cast("long"), "last").alias("duration_sec"), F.array_join(F.array_sort("voices"), ",").alias("speakers"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END AS tokens FROM conversations")
@@ -854,5 +943,5 @@ def filter_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, coalesce(doc_id - lag(doc_id) OVER w, 0) AS back, coalesce(lead(doc_id) OVER w, doc_id) AS onward FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def segment_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments before and after each within its episode, held at the ends."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("doc_id") - F.lag("doc_id").over(order), F.lit(0)).alias("back"), F.coalesce(F.lead("doc_id").over(order), F.col("doc_id")).alias("onward"))
+    rows = order.neighbours(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+    return rows.select("doc_id", (F.col("doc_id") - F.col("before")).alias("back"), F.col("after").alias("onward"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -16,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from colloquy.operators.order import shared_folder
 from colloquy.sources.episodes import read_lines as lines
 
+# The marks of titles, transcripts, question lists, footers and videos on pages.
 EPISODE_TITLE = r"(?i)^AMA\s*(?:[|:—–-]\s*)?[A-Za-z]+\s+\d{4}$"
 TRANSCRIPT = r"(?i)Click to Show (?:Full |Episode )?Transcript"
 QUESTIONS = r"(?i)Click to Show AMA Q"
@@ -129,6 +130,16 @@ def discovered(archive: DataFrame) -> DataFrame:
     return best.select("r.title", "source_url", F.col("r.publish_date").cast("date").alias("publish_date")).orderBy("publish_date", "source_url")
 
 
+def next_pages(archive: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``next``: the archive page that each page (url, html) names next; null where there is none."""
+
+    @F.pandas_udf(StringType())
+    def named(html: pd.Series, url: pd.Series) -> pd.Series:
+        return pd.Series([parse_archive(h, u)[1] for h, u in zip(html, url)])
+
+    return archive.select(*keep, named("html", "url").alias("next"))
+
+
 def crawl(spark: SparkSession, fetch: Callable[[str], str], start: str, most: int | None = None, batch: int = 20) -> DataFrame:
     """page_no, url, html of all archive pages: each names the next, so this follows links one by one; cycles end it.
 
@@ -136,8 +147,7 @@ def crawl(spark: SparkSession, fetch: Callable[[str], str], start: str, most: in
     more of them, and the addresses seen.
     """
     schema = "page_no long, url string, html string"
-    context = spark.sparkContext
-    folder = f"{context.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir', '') or tempfile.mkdtemp(prefix='spark-crawl-')}/crawl-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
     rows: list[tuple[int, str, str]] = []
     seen: set[str] = set()
 
