@@ -27,7 +27,9 @@ def main(args: list[str] | None = None) -> None:
         cached = pages.with_snapshots(todo, *pages.read_cache(spark, got.cache)).persist()
         fetched = pages.fetched(cached.where("html is null"), pages.fetch_text)
         bodies = cached.where("html is not null").unionByName(fetched).withColumnRenamed("url", "source_url")
-        ingest.add_batch(found.join(bodies, "source_url", "left").persist(), got.content, got.cache, got.host).show()
+        batch = found.join(bodies, "source_url", "left").persist()
+        ingest.add_batch(batch, got.content, got.cache, got.host).show()
+        batch.unpersist(), cached.unpersist()
         return
     stored = episodes.read(spark, got.content)
     validate.require_valid(validate.episode_violations(stored))

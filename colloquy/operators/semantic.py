@@ -42,13 +42,18 @@ def idf(documents: int) -> Column:
 def cooccurrences(tokens: DataFrame, key: str, vocabulary: DataFrame, window: int = WINDOW) -> DataFrame:
     """a, b, n for a < b: pairs of unlike vocabulary words at most ``window`` positions apart.
 
-    Positions count all tokens. Pairs are made inside each document's array, so no self-join and no window shuffle: rows
-    leave as (a, b) and are counted partially before the shuffle.
+    Positions count all tokens. Pairs are made inside each document's array, so no self-join and no window shuffle. Words go as
+    64-bit hashes until they are counted (partially before the shuffle); the vocabulary gives the words back, which leaves out
+    pairs with a rare one.
     """
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda k: F.zip_with(F.slice(F.col("tokens"), 1, F.greatest(F.size("tokens") - k, F.lit(0))), F.slice(F.col("tokens"), k + 1, F.size("tokens")), lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))))
-    counted = tokens.select(F.explode(pairs).alias("p")).where("p.a <> p.b").groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    words = vocabulary.select("term")
-    return counted.join(words.withColumnRenamed("term", "a"), "a", "left_semi").join(words.withColumnRenamed("term", "b"), "b", "left_semi").select("a", "b", "n")
+    ids = F.col("ids")
+    shifted = lambda k: F.zip_with(F.slice(ids, 1, F.greatest(F.size(ids) - k, F.lit(0))), F.slice(ids, k + 1, F.size(ids)), lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
+    hashed = tokens.select(F.transform("tokens", lambda t: F.xxhash64(t)).alias("ids"))
+    pairs = hashed.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), shifted))).alias("p"))
+    counted = pairs.where("p.a <> p.b").groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    word = lambda of: vocabulary.select(F.xxhash64("term").alias(of), F.col("term").alias(f"{of}_word"))
+    named = counted.join(word("a"), "a").join(word("b"), "b")
+    return named.select(F.least("a_word", "b_word").alias("a"), F.greatest("a_word", "b_word").alias("b"), "n")
 
 
 def ppmi(pairs: DataFrame) -> DataFrame:
@@ -136,7 +141,7 @@ def factorize(matrix: DataFrame, dimensions: int = DIMENSIONS, margin: int = MAR
 def train(docs: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS, least: int = LEAST, margin: int = MARGIN) -> DataFrame:
     """The word table: term, idf, vec."""
     tokens = token_rows(docs, key, text)
-    stats = term_stats(tokens, key, least).persist()
+    stats = stored(term_stats(tokens, key, least))
     vectors = factorize(ppmi(cooccurrences(tokens, key, stats)), dimensions, margin)
     return stats.withColumn("idf", idf(docs.count())).join(vectors, "term").select("term", "idf", "vec")
 

@@ -190,16 +190,14 @@ pairs AS (SELECT least(x.term, y.term) AS a, greatest(x.term, y.term) AS b, coun
 
 @query(f"WITH {PAIRS} SELECT a, b, n FROM pairs")
 def cooccurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens(spark, sf_dir)
-    return semantic.cooccurrences(tokens, "doc_id", semantic.term_stats(tokens, "doc_id"))
+    return semantic.cooccurrences(_tokens(spark, sf_dir), "doc_id", _store(spark, sf_dir).read("statistics"))
 
 
 @query(f"""WITH {PAIRS}, both_ AS (SELECT a, b, n FROM pairs UNION ALL SELECT b, a, n FROM pairs), margin AS (SELECT a, sum(n) AS m FROM both_ GROUP BY a)
 SELECT x.a, x.b, round(ln(x.n * CAST((SELECT sum(n) FROM both_) AS DOUBLE) / (CAST(p.m AS DOUBLE) * q.m)), 6) AS ppmi
 FROM both_ x JOIN margin p ON x.a = p.a JOIN margin q ON x.b = q.a WHERE ln(x.n * CAST((SELECT sum(n) FROM both_) AS DOUBLE) / (CAST(p.m AS DOUBLE) * q.m)) > 1e-9""")
 def ppmi_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens(spark, sf_dir)
-    pairs = semantic.cooccurrences(tokens, "doc_id", semantic.term_stats(tokens, "doc_id"))
+    pairs = semantic.cooccurrences(_tokens(spark, sf_dir), "doc_id", _store(spark, sf_dir).read("statistics"))
     return semantic.ppmi(pairs).where("ppmi > 1e-9").select("a", "b", F.round("ppmi", 6).alias("ppmi"))
 
 

@@ -31,5 +31,12 @@ def add_batch(pages: DataFrame, content: str, cache: str, host: str, aliases: tu
 
 def start(spark: SparkSession, pages: str, content: str, cache: str, progress: str, host: str, aliases: tuple[str, ...] = ()) -> StreamingQuery:
     """Read new page files (JSON lines) once and stop; the anti-joins make a repeated batch harmless."""
+    def add(batch: DataFrame, _: int) -> None:
+        kept = batch.persist()
+        try:
+            add_batch(kept, content, cache, host, aliases)
+        finally:
+            kept.unpersist()
+
     stream = spark.readStream.schema(PAGES).json(pages)
-    return stream.writeStream.foreachBatch(lambda df, _: add_batch(df.persist(), content, cache, host, aliases) and None).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", progress).trigger(availableNow=True).start()
