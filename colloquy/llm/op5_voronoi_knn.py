@@ -6,7 +6,8 @@ Summaries of the groups (query count and radius, the k + 1 ids of each data grou
 bound how far any query's k-th neighbour can be: by the triangle inequality over the pivots, and more closely by Cauchy and
 Schwarz, since pivot . x plus and minus radius |x| bound the score of every query of a group. A data row is copied only to the
 query groups whose bounds it can meet, once for each block of the group's queries, and each (query group, data block) is solved
-locally. The local top k are merged by rank.
+locally. The local top k are merged by rank. Where a sample shows that the bounds prune too little for several groups to pay (evenly
+spread vectors, which no bound can part), all queries are one group.
 
 Rows whose vector is null or empty, holds a null or non-finite component, or has another length than the most common one (of two
 as common, the shorter) take no part, nor do null ids. A query's own id is never among its candidates. Repeated ids: the query is the smallest of its vectors; as
@@ -30,6 +31,8 @@ K, SCALE, EVERY = 10, 1024, 100
 SAMPLE, QUERIES_EACH, PIVOTS, SEED = 2048, 256, (4, 256), 3
 #: Rows of a data block and of a query block, which bound a local problem.
 BLOCK, QUERY_BLOCK = 2048, 512
+#: What a copy of a row costs, which is shuffled, against a score of it.
+COPY = 64
 
 
 @dataclass
@@ -40,6 +43,7 @@ class Bounds:
     spread: np.ndarray  # as radius, without the extra coordinate
     least: np.ndarray  # the score that the k-th neighbour of any query of the group has at least
     parts: np.ndarray  # query blocks of each group
+    sizes: np.ndarray  # queries of each group
     largest: float  # M^2
 
     def needed(self, v: np.ndarray) -> np.ndarray:
@@ -126,9 +130,9 @@ def nearest(data: DataFrame, pivots: np.ndarray, largest: float, k: int) -> list
 
 def bound(data: DataFrame, queries: DataFrame, pivots: np.ndarray, largest: float, k: int) -> Bounds:
     count = len(pivots)
-    radius, spread, parts = np.full(count, -1.0), np.zeros(count), np.zeros(count, np.int64)
+    radius, spread, parts, sizes = np.full(count, -1.0), np.zeros(count), np.zeros(count, np.int64), np.zeros(count, np.int64)
     for r in asking(queries, pivots):
-        radius[r.cell], spread[r.cell], parts[r.cell] = r.radius, r.spread, -(-r.n // QUERY_BLOCK)
+        radius[r.cell], spread[r.cell], parts[r.cell], sizes[r.cell] = r.radius, r.spread, -(-r.n // QUERY_BLOCK), r.n
     between = distances(pivots, pivots)
     known = nearest(data, pivots, largest, k)
     reach, least = np.full(count, np.inf), np.full(count, -np.inf)
@@ -143,7 +147,21 @@ def bound(data: DataFrame, queries: DataFrame, pivots: np.ndarray, largest: floa
             np.maximum.at(score, own, v @ pivots[i, :-1] - spread[i] * size)
             reach[i] = np.partition(each, k)[k]  # k + 1 ids, as one may be the query's own
             least[i] = -np.partition(-score, k)[k]
-    return Bounds(pivots, radius, reach, spread, least, parts, largest)
+    return Bounds(pivots, radius, reach, spread, least, parts, sizes, largest)
+
+
+def planned(data: DataFrame, queries: DataFrame, asked: int, largest: float, k: int) -> Bounds:
+    """The groups and their bounds; one group where the sample shows that several would cost more.
+
+    A row costs its copies, COPY each, and the scores of the queries that it meets. Without pruning the scores are the same, so one
+    group makes the fewest copies: one for each block that all queries fill.
+    """
+    sample = np.array([r.v for r in data.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).collect()], np.int64)
+    lifted = raised(sample, largest)
+    bounds = bound(data, queries, choose_pivots(lifted, int(np.clip(-(-asked // QUERIES_EACH), *PIVOTS))), largest, k)
+    if (bounds.needed(sample) @ (COPY * bounds.parts + bounds.sizes)).mean() < COPY * -(-asked // QUERY_BLOCK) + asked:
+        return bounds
+    return bound(data, queries, choose_pivots(lifted, 1), largest, k)
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -198,9 +216,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     if not size.n or not size.q:
         return spark.createDataFrame([], schema)
     queries = data.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sample = np.array([r.v for r in data.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).collect()], np.int64)
-    pivots = choose_pivots(raised(sample, size.largest), int(np.clip(-(-size.q // QUERIES_EACH), *PIVOTS)))
-    bounds = bound(data, queries, pivots, size.largest, k)
+    bounds = planned(data, queries, size.q, size.largest, k)
     blocks = -(-size.n // BLOCK)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from colloquy.llm import op5_voronoi_knn, op6_host_reputation, op7_balanced_shards
@@ -190,3 +191,13 @@ def test_shards_of_few_rows(grouped, empty):
     assert op7_balanced_shards.shard(empty[0]).count() == 0
     few = op7_balanced_shards.shard(grouped.limit(3), shards=40).collect()
     assert len(few) == 3 and len({(r.shard, r.slot) for r in few}) == 3 and all(r.slot == 0 for r in few)
+
+
+def test_spread_vectors_make_one_copy(spark):
+    """Where no bound prunes, a row is copied once for each block that all queries fill."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(1500, 12)))], "vec_id long, embedding array<double>")
+    data = op5_voronoi_knn.whole(rows)
+    largest = max(float(np.dot(r.v, r.v)) for r in data.collect())
+    bounds = op5_voronoi_knn.planned(data, data.where("vec_id % 20 = 0"), 75, largest, 10)
+    assert op5_voronoi_knn.copies(data, bounds, 1).count() <= 1500
