@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import dequantize, quantize
-from colloquy.operators import semantic
+from colloquy.operators import order, semantic
 from colloquy.sources import episodes as source
 from colloquy.sources import index
 
@@ -32,13 +33,62 @@ def query_words(stored: DataFrame) -> DataFrame:
     return stored.select("term", "idf", dequantize(F.col("q")).alias("vec"))
 
 
-def passage_vectors(segments: DataFrame, words: DataFrame) -> DataFrame:
-    """One row a passage with a known word: shard, episode, segment, offset and byte vector."""
+CACHE = "passage string, text_hash string, model string, q array<tinyint>"
+
+
+def model_of(stored: DataFrame) -> str:
+    """A digest of a word table in its query-time form, whatever the order of its rows."""
+    got = stored.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("term", "idf", "q")), F.lit(0)).alias("x")).head()
+    return f"{MODEL}-{got.n}-{got.x & 0xFFFFFFFFFFFFFFFF:016x}"
+
+
+def _keyed(segments: DataFrame) -> DataFrame:
     own = semantic.passages(segments)
-    keyed = own.withColumn("passage", F.concat_ws("/", "segment_id", "idx"))
-    pooled = semantic.pool(semantic.token_rows(keyed, "passage", F.col("text")), "passage", words)
+    return own.withColumn("passage", F.concat_ws("/", "segment_id", "idx")).withColumn("text_hash", F.sha2("text", 256))
+
+
+def _pooled(passages: DataFrame, words: DataFrame) -> DataFrame:
+    """passage, q of the passages that have a known word."""
+    return semantic.pool(semantic.token_rows(passages, "passage", F.col("text")), "passage", words).select("passage", quantize(F.col("vec")).alias("q"))
+
+
+def uncached(passages: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """The passages whose text the cache has no row of, by this model."""
+    return passages.join(cache.where(F.col("model") == model).select("passage", "text_hash"), ["passage", "text_hash"], "left_anti")
+
+
+def cached_vectors(segments: DataFrame, stored: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """passage, q of the segments' passages, and how many had to be pooled: those that the cache below ``path`` lacks, which it then has.
+
+    A row is kept for each passage, text and model (of the ``word_table``), with a null vector where no word is known, so a
+    second build pools nothing and a changed text or word table pools again what it changes.
+    """
+    spark, model = segments.sparkSession, model_of(stored)
+    read = lambda: spark.read.schema(CACHE).parquet(path)
+    try:
+        cache = read()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        spark.createDataFrame([], CACHE).write.parquet(path)
+        cache = read()
+    passages = _keyed(segments)
+    todo = order.stored(uncached(passages, cache, model).select("passage", "text_hash", "text"))
+    made = todo.join(_pooled(todo, query_words(stored)), "passage", "left").select("passage", "text_hash", F.lit(model).alias("model"), "q")
+    fresh = todo.count()
+    if fresh:
+        order.stored(made).write.mode("append").parquet(path)
+        cache = read()
+    own = cache.where(F.col("model") == model).groupBy("passage", "text_hash").agg(F.first("q", ignorenulls=True).alias("q"))
+    return passages.select("passage", "text_hash").join(own, ["passage", "text_hash"]).where("q is not null").select("passage", "q"), fresh
+
+
+def passage_vectors(segments: DataFrame, words: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """One row a passage with a known word: shard, episode, segment, offset and byte vector; ``vectors``: from ``cached_vectors``."""
+    keyed = _keyed(segments)
+    pooled = _pooled(keyed, words) if vectors is None else vectors
     meta = segments.select("segment_id", "episode_id", "shard", "type")
-    return keyed.select("passage", "segment_id", "start_sec", "char_offset").join(pooled, "passage").join(meta, "segment_id").select("shard", "segment_id", "episode_id", "type", "start_sec", "char_offset", quantize(F.col("vec")).alias("q"))
+    return keyed.select("passage", "segment_id", "start_sec", "char_offset").join(pooled, "passage").join(meta, "segment_id").select("shard", "segment_id", "episode_id", "type", "start_sec", "char_offset", "q")
 
 
 #: Shard tables, and what the digest of each covers.
@@ -54,16 +104,18 @@ MANIFEST = "kind string, shard string, rows long, digest string, files long, byt
 SUMMARY = "build_id string, model string, version int, dimensions int, shards array<string>, types array<string>, episodes long, segments long"
 
 
-def write(segments: DataFrame, words: DataFrame, path: str, headers: DataFrame | None = None) -> None:
+def write(segments: DataFrame, words: DataFrame, path: str, headers: DataFrame | None = None, cache: str | None = None) -> None:
     """Write the tables of a search engine below ``path``, replacing what is there.
 
-    ``words`` (term, idf, vec) is the word table, trained or given; ``headers`` the episodes, if there are any. Shard tables are
+    ``words`` (term, idf, vec) is the word table, trained or given; ``headers`` the episodes, if there are any; ``cache`` a folder of
+    ``cached_vectors``. Shard tables are
     partitioned by shard and clustered for their reads; ``index.Store`` names those of keyword search.
     """
     word_table(words).write.mode("overwrite").parquet(f"{path}/vocab")
-    stored = query_words(segments.sparkSession.read.parquet(f"{path}/vocab"))  # passages take the table that queries will see
+    stored = segments.sparkSession.read.parquet(f"{path}/vocab")  # passages take the table that queries will see
     index.by_range(segments, "shard", "segment_id").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/docs")
-    passage_vectors(segments, stored).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/vectors")
+    vectors = cached_vectors(segments, stored, cache)[0] if cache else None
+    passage_vectors(segments, query_words(stored), vectors).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/vectors")
     tables = index.Store(lambda: segments, path)
     for name in ("keyword", "autocomplete", "prefixes", "spellings"):
         tables.read(name)

@@ -139,3 +139,23 @@ def test_bitmaps_hold_the_places_of_their_segments(spark, large):
     left = keyword.allowed(tables.read("bitmaps"), {"type": "intro", "episode_id": "e2"}).collect()
     bits = {(r.bucket - 1) * 32768 + 8 * k + b for r in left for k, byte in enumerate(r.bits) for b in range(8) if byte >> b & 1}
     assert bits == {r.place for r in rows if (r.type, r.episode_id) == ("intro", "e2")}
+
+
+def test_a_second_build_pools_nothing(spark, tmp_path):
+    from colloquy.sources import artifacts
+
+    rows = [(k, "e", "2024", "question", k, f"cats and dogs {k}", "unknown" if k == 3 else f"dogs sleep {k} nights") for k in range(8)]
+    segments = spark.createDataFrame(rows, SEGMENTS)
+    words = spark.createDataFrame([("cats", 1.5, [1.0, 0.0]), ("dogs", 2.0, [0.6, 0.8])], "term string, idf double, vec array<double>")
+    stored, path = artifacts.word_table(words), str(tmp_path / "cache")
+    first, made = artifacts.cached_vectors(segments, stored, path)
+    direct = artifacts.passage_vectors(segments, artifacts.query_words(stored))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert made == 16 and key(artifacts.passage_vectors(segments, None, first)) == key(direct) and direct.count() == 15
+    again, made = artifacts.cached_vectors(segments, stored, path)
+    assert made == 0 and key(again) == key(first)
+    changed = segments.withColumn("answer", F.when(F.col("segment_id") == 5, "cats").otherwise(F.col("answer")))
+    third, made = artifacts.cached_vectors(changed, stored, path)
+    assert made == 1 and key(artifacts.passage_vectors(changed, None, third)) == key(artifacts.passage_vectors(changed, artifacts.query_words(stored)))
+    other = artifacts.word_table(words.where("term = 'cats'"))
+    assert artifacts.cached_vectors(segments, other, path)[1] == 16
