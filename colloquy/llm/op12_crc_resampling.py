@@ -21,16 +21,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
-from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql.types import LongType, StructField
 
 from colloquy.llm.common import by_position, checkpoint, unused
@@ -38,25 +35,37 @@ from colloquy.llm.op4_toxicity import texts
 from colloquy.operators.order import numbered
 
 GRAMS, BUCKETS, LEAST_WORDS, SHARE, SEED = 3, 10_000, 20, 5, 42
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Words of a text whose buckets are held at once.
-PART = 1 << 16
+#: What a lower-cased text's bytes become: those of words stay, all others part words.
+KEPT = bytes(b if chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" or b >= 0x80 else 32 for b in range(256))
+#: Words of a text whose buckets are held at once, and bytes that are split at once.
+PART, BLOCK = 1 << 16, 1 << 20
 
 
 def scan(text: bytes, grams: int = GRAMS, modulus: int = BUCKETS) -> Iterator[tuple[int, np.ndarray]]:
     """How many words, and the buckets of the features that end in them: in parts of at most PART words."""
-    ring: list[int] = []
+    kept, at = text.lower().translate(KEPT), 0
+    ring = [0] * grams  # ring[k]: the state of the start k words back, which has taken in k + 1 words
+    older = range(0)  # the starts that the next word extends, oldest first
     out: list[int] = []
-    words = 0
-    for found in WORD.finditer(text.lower()):
-        word = found[0]
-        # the newest start first; the oldest of ``grams`` starts drops out
-        ring = [crc32(word), *map(crc32, repeat(b" " + word), ring[: grams - 1])]
-        out += ring
-        words += 1
-        if words == PART:
-            yield words, np.array(out, np.int64) % modulus
-            out, words = [], 0
+    words, tell = 0, out.append
+    while at < len(kept):
+        cut = kept.find(b" ", at + BLOCK)
+        cut = cut if cut >= 0 else len(kept)
+        for word in kept[at:cut].split():
+            spaced = b" " + word
+            for k in older:
+                state = ring[k] = crc32(spaced, ring[k - 1])
+                tell(state)
+            state = ring[0] = crc32(word)
+            tell(state)
+            if len(older) < grams - 1:
+                older = range(len(older) + 1, 0, -1)
+            words += 1
+            if words == PART:
+                yield words, np.array(out, np.int64) % modulus
+                out.clear()
+                words = 0
+        at = cut
     if words:
         yield words, np.array(out, np.int64) % modulus
 

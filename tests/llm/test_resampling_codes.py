@@ -58,6 +58,7 @@ def test_parts_and_rings_change_nothing(monkeypatch):
     text = prose(random.Random(1), 300).encode()
     expected = np.concatenate([b for _, b in resampling.scan(text)])
     monkeypatch.setattr(resampling, "PART", 7)
+    monkeypatch.setattr(resampling, "BLOCK", 40)
     parts = list(resampling.scan(text))
     assert sum(w for w, _ in parts) == 300 and (np.concatenate([b for _, b in parts]) == expected).all()
     words = text.lower().rstrip(b".").split()
