@@ -88,16 +88,18 @@ def containing(words: DataFrame, tokens: DataFrame) -> DataFrame:
     """token (a key, see ``_token``), w: the words that each distinct token has in it.
 
     ``words``: w, distinct, of two letters or digits or more; ``tokens``: token. Tokens are cut into pieces that overlap by the
-    longest word, so the work grows with their length; words meet pieces by their first two letters and are looked for there.
+    longest word, so the work grows with their length; words meet pieces by their first three letters (words of two: by these)
+    and are looked for there.
     """
-    longest = words.agg(F.coalesce(F.max(F.length("w")), F.lit(1)).alias("n")).head().n
+    lengths = words.agg(F.coalesce(F.max(F.length("w")), F.lit(1)).alias("most"), F.coalesce(F.min(F.length("w")), F.lit(3)).alias("least")).head()
+    longest, starting = lengths.most, (2, 3) if lengths.least < 3 else (3,)
     size = max(PIECE, 2 * longest)
     cut = rf"(?s)(?=(.{{1,{size}}})).{{1,{size - longest + 1}}}"
     distinct = tokens.select(_token(F.col("token")).alias("token"), F.col("token").alias("whole")).groupBy("token").agg(F.min("whole").alias("whole"))
     pieces = distinct.select("token", F.explode(F.array_distinct(F.regexp_extract_all("whole", F.lit(cut), F.lit(1)))).alias("piece"))
-    starts = F.array_distinct(F.regexp_extract_all("piece", F.lit("(?=(..))."), F.lit(1)))
-    sought = pieces.select("token", "piece", F.explode(starts).alias("two"))
-    met = sought.join(words.select("w", F.substring("w", 1, 2).alias("two")), "two").where(F.contains("piece", F.col("w")))
+    starts = F.array_distinct(F.concat(*(F.regexp_extract_all("piece", F.lit(f"(?=(.{{{n}}}))."), F.lit(1)) for n in starting)))
+    sought = pieces.select("token", "piece", F.explode(starts).alias("start"))
+    met = sought.join(words.select("w", F.substring("w", 1, 3).alias("start")), "start").where(F.contains("piece", F.col("w")))
     return met.select("token", "w").distinct()
 
 
@@ -130,8 +132,8 @@ def best_overlaps(asked: DataFrame, texts: DataFrame, key: str, *keys: str) -> D
     return best.join(of, key).select(key, *(f"b.{k}" for k in keys), (F.col("b.n") / F.col("of")).alias("share"))
 
 
-def align(questions: DataFrame, cues: DataFrame) -> DataFrame:
-    """question_id, start_sec, answer_start_sec, score: the cue that introduces each question best.
+def candidates(questions: DataFrame, cues: DataFrame) -> DataFrame:
+    """episode_id, question_id, start_sec, end_sec, score: the cues that may introduce each question.
 
     ``questions``: episode_id, question_id, question_text, speaker_names, from_sec, until_sec. Words and flat texts are made
     below the join, once a question and once a cue. Cues without a name or an opening word are dropped before any
@@ -145,6 +147,12 @@ def align(questions: DataFrame, cues: DataFrame) -> DataFrame:
     first = F.get(F.filter("words", lambda w: F.contains(F.col("ahead"), w)), F.lit(0))
     late = F.coalesce(F.least(F.lit(LATEST), (F.position(first, F.col("ahead")) - 1) / PACE), F.lit(LATEST))
     rows = rows.where((F.col("named") > 0) | opens).withColumn("score", overlap(F.col("words"), F.col("ahead")) + F.col("named") * NAME_WEIGHT - late)
+    return rows.select("episode_id", "question_id", "start_sec", "end_sec", "score")
+
+
+def align(questions: DataFrame, cues: DataFrame) -> DataFrame:
+    """question_id, start_sec, answer_start_sec, score: the cue that introduces each question best (see ``candidates``)."""
+    rows = candidates(questions, cues)
     best = F.max_by(F.struct(F.floor("start_sec").alias("start_sec"), F.floor("end_sec").alias("answer_start_sec"), "score"), F.struct("score", (-F.col("start_sec")).alias("early")))
     return rows.groupBy("question_id").agg(best.alias("b")).where(F.col("b.score") >= ACCEPT).select("question_id", "b.start_sec", "b.answer_start_sec", "b.score")
 

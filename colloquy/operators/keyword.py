@@ -9,6 +9,7 @@ before the shuffle; type, episode and start stand in the postings, so nothing bu
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,19 +72,23 @@ def _rows(index: DataFrame, rows: list[tuple], *names: str) -> DataFrame:
     return index.sparkSession.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows))))
 
 
-def near_words(index: DataFrame, lacking: list[tuple[str, str, int]], spellings: DataFrame | None = None) -> DataFrame:
-    """shard, word, n: the shards' words near the terms that they lack (shard, term, how often it was asked)."""
+def near_words(index: DataFrame, lacking: list[tuple[str, str, int]], spellings: DataFrame | Callable[[], DataFrame] | None = None) -> DataFrame:
+    """shard, word, n: the shards' words near the terms that they lack (shard, term, how often it was asked).
+
+    ``spellings``: the stored ``spelling.index`` of the vocabulary, or a function that reads it once it is needed, or None.
+    """
     terms = _rows(index, lacking, "shard", "term", "n")
     shards = sorted({s for s, _, _ in lacking})
     if spellings is None:
         spellings = spelling.index(index.where(F.col("shard").isin(shards)).select("shard", F.col("term").alias("word")).distinct())
     else:  # at most 56 keys a term: the stored table is read where they are
+        spellings = spellings() if callable(spellings) else spellings
         known = [r.key for r in spelling.asked(terms).select("key").distinct().collect()]
         spellings = spellings.where(F.col("shard").isin(shards) & F.col("key").isin(known))
     return spelling.near(terms, spellings, "shard").groupBy("shard", "word").agg(F.sum("n").alias("n"))
 
 
-def weights_of(index: DataFrame, terms: list[str], shards: list[str], spellings: DataFrame | None = None) -> tuple[Column, Column] | DataFrame | None:
+def weights_of(index: DataFrame, terms: list[str], shards: list[str], spellings: DataFrame | Callable[[], DataFrame] | None = None) -> tuple[Column, Column] | DataFrame | None:
     """What a posting of (shard, term) counts for a query, times its weight, and which postings count; None: none do.
 
     Exact hits weigh EXACT times; where a shard lacks a term, its near words count once. Whether a shard has a term is a question
@@ -124,7 +129,7 @@ def weighed(index: DataFrame, by: tuple[Column, Column] | DataFrame | None) -> D
     return index.where(seek).withColumn("factor", factor)
 
 
-def contributions(index: DataFrame, terms: list[str], shards: list[str], spellings: DataFrame | None = None) -> DataFrame:
+def contributions(index: DataFrame, terms: list[str], shards: list[str], spellings: DataFrame | Callable[[], DataFrame] | None = None) -> DataFrame:
     """The postings that count for the terms, with ``contrib``, what they add to their segment's score."""
     return weighed(index, weights_of(index, terms, shards, spellings)).withColumn("contrib", F.col("factor") * F.col("weight"))
 
@@ -145,7 +150,7 @@ def best(scored: DataFrame, n: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.desc(F.coalesce("start_sec", F.lit(0))), "segment_id").limit(n)
 
 
-def rank(index: DataFrame, segments: DataFrame, terms: list[str], kind: str = "all", episode: str = "", shards: list[str] | None = None, n: int = CANDIDATES, spellings: DataFrame | None = None) -> DataFrame:
+def rank(index: DataFrame, segments: DataFrame, terms: list[str], kind: str = "all", episode: str = "", shards: list[str] | None = None, n: int = CANDIDATES, spellings: DataFrame | Callable[[], DataFrame] | None = None) -> DataFrame:
     """The n best segments without their texts. No terms: every segment, scored 0 (browsing)."""
     keep = filters(kind, episode, shards)
     if not terms:
@@ -194,7 +199,7 @@ def _bit(bits: Column, place: Column) -> Column:
     return byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) > 0
 
 
-def rank_blocks(index: DataFrame, tops: DataFrame, terms: list[str], shards: list[str], chosen: dict[str, str] | None = None, bitmaps: DataFrame | None = None, n: int = CANDIDATES, spellings: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+def rank_blocks(index: DataFrame, tops: DataFrame, terms: list[str], shards: list[str], chosen: dict[str, str] | None = None, bitmaps: DataFrame | None = None, n: int = CANDIDATES, spellings: DataFrame | Callable[[], DataFrame] | None = None) -> tuple[DataFrame, dict[str, int]]:
     """``rank`` over a ``placed`` index that leaves blocks unread whose segments cannot be among the n best; and how many it read.
 
     No segment of a block scores more than its terms' factors times their largest weights there. The FIRST_BLOCKS blocks of the

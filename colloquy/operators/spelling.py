@@ -2,7 +2,8 @@
 
 If two words are within k edits, then their first PREFIX letters have a text in common that leaves out at most k letters of each.
 So a word's keys are its first letters with up to k of them left out: at most 1 + PREFIX + PREFIX (PREFIX - 1) / 2 of them,
-however long the word. Words meet by key; only pairs that pass the exact distance leave the join.
+however long the word. Words meet by key; only pairs that pass the exact distance leave the join. Keys are made once for each
+distinct beginning, not for each word.
 
 How many edits count follows from the asked term (``close_words``): none for terms of up to three characters, one for those of
 up to seven, two beyond. So words of fewer than three characters have no keys, and those that no term of two edits can meet have
@@ -45,8 +46,9 @@ def index(words: DataFrame) -> DataFrame:
     """The rows (word, ...) once for each key: ``key`` and ``less``. ``words`` are distinct by all their columns."""
     # a term of one edit has SHORT to LONG - 1 characters, one of two edits LONG or more; its near words differ by as many
     reach = F.when(F.length("word") < LONG - 2, 1).otherwise(2)
-    rows = words.where(F.length("word") >= SHORT - 1)
-    return rows.select(*words.columns, F.explode(keys(F.col("word"), reach)).alias("k")).select(*words.columns, "k.key", "k.less")
+    rows = words.where(F.length("word") >= SHORT - 1).select(*words.columns, F.substring("word", 1, PREFIX).alias("_head"), reach.alias("_reach"))
+    heads = rows.select("_head", "_reach").distinct().select("_head", "_reach", F.explode(keys(F.col("_head"), F.col("_reach"))).alias("k"))
+    return rows.join(heads, ["_head", "_reach"]).select(*words.columns, "k.key", "k.less")
 
 
 def asked(terms: DataFrame) -> DataFrame:

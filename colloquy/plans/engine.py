@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 from pyspark.errors import AnalysisException
@@ -18,7 +18,7 @@ from colloquy.sources.artifacts import query_words
 class Engine:
     """Tables are lazy; the shards that a query names are the partitions that it reads."""
 
-    def __init__(self, segments: DataFrame, index: DataFrame, prefixes: DataFrame, dictionary: DataFrame, spellings: DataFrame | None = None, vectors: DataFrame | None = None, table: DataFrame | None = None, episodes: DataFrame | None = None):
+    def __init__(self, segments: DataFrame, index: DataFrame, prefixes: DataFrame, dictionary: DataFrame, spellings: DataFrame | Callable[[], DataFrame] | None = None, vectors: DataFrame | None = None, table: DataFrame | None = None, episodes: DataFrame | None = None):
         self.spark = segments.sparkSession
         self.segments, self.index, self.prefixes, self.dictionary, self.spellings = segments, index, prefixes, dictionary, spellings
         self.vectors, self.table, self.episodes = vectors, table, episodes

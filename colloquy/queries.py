@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colloquy.functions import ranges, text, vectors
-from colloquy.operators import align, cells, facets, fusion, ingest, keyword, order, present, segment, semantic, session, spelling, validate
+from colloquy.operators import align, cells, facets, fusion, ingest, keyword, order, present, segment, semantic, session, spelling, timeline, validate
 from colloquy.plans import query_state
 from colloquy.plans.engine import Engine
 from colloquy.sources import artifacts, captions, index, pages
@@ -76,7 +76,7 @@ def _store(spark: SparkSession, sf_dir: str) -> index.Store:
 
 def _rank(spark: SparkSession, sf_dir: str, terms: list[str], *filters, **more) -> DataFrame:
     store = _store(spark, sf_dir)
-    return keyword.rank(store.read("keyword"), segments(spark, sf_dir), terms, *filters, spellings=store.read("spellings"), **more)
+    return keyword.rank(store.read("keyword"), segments(spark, sf_dir), terms, *filters, spellings=lambda: store.read("spellings"), **more)
 
 
 TERMS = ["with", "the", "tion", "the"]
@@ -105,7 +105,7 @@ def keyword_filters_episode_type_year(spark: SparkSession, sf_dir: str) -> DataF
 def _blocks(spark: SparkSession, sf_dir: str, terms: list[str], shards: list[str] | None = None, **chosen: str) -> DataFrame:
     store = _store(spark, sf_dir)
     shards = shards or sorted(r.shard for r in store.read("autocomplete").select("shard").distinct().collect())
-    found, _ = keyword.rank_blocks(store.read("blocks"), store.read("tops"), terms, shards, chosen, store.read("bitmaps"), spellings=store.read("spellings"))
+    found, _ = keyword.rank_blocks(store.read("blocks"), store.read("tops"), terms, shards, chosen, store.read("bitmaps"), spellings=lambda: store.read("spellings"))
     return found
 
 
@@ -406,7 +406,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _keyword_engine(spark: SparkSession, sf_dir: str, **more: DataFrame) -> Engine:
     """An engine over the stored index of the documents."""
     store = _store(spark, sf_dir)
-    return Engine(segments(spark, sf_dir), store.read("keyword"), store.read("prefixes"), store.read("autocomplete"), store.read("spellings"), **more)
+    return Engine(segments(spark, sf_dir), store.read("keyword"), store.read("prefixes"), store.read("autocomplete"), lambda: store.read("spellings"), **more)
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
@@ -844,6 +844,16 @@ def caption_align_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.best_overlaps(asked, turns, "item_id", "conv_id", "turn").select("item_id", "conv_id", "turn", F.round("share", 6).alias("score"))
 
 
+def _turns_and_cues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """User turns as questions, and all turns as cues of their conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    cues = turns.select(F.col("conv_id").alias("episode_id"), (F.col("turn") * 30).alias("start_sec"), (F.col("turn") * 30 + 25).alias("end_sec"), "text")
+    second = F.get(text.content_words(F.col("text")), F.lit(1))
+    name = F.when(F.length(second) > 1, F.substr(second, F.lit(1), F.length(second) - 1))
+    asked = turns.where("role = 'user'").select(F.col("conv_id").alias("episode_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question_text"), F.array_compact(F.array(name)).alias("speaker_names"), F.lit(0).alias("from_sec"), F.lit(None).cast("double").alias("until_sec"))
+    return asked, cues
+
+
 ALIGNED = f"""turns AS (SELECT conv_id AS e, turn, turn * 30 AS sec, turn * 30 + 25 AS ends, coalesce(text, '') AS t, role FROM conversations),
 cues AS (SELECT e, sec, ends, t, {FLAT.format('t')} AS flat, {CONTENT.format('t')} AS heard FROM turns),
 ahead AS (SELECT a.e, a.sec, {FLAT.format("string_agg(b.t, ' ' ORDER BY b.sec)")} AS ahead FROM cues a JOIN cues b ON a.e = b.e AND b.sec >= a.sec AND b.sec < a.sec + 100 GROUP BY a.e, a.sec),
@@ -860,15 +870,39 @@ scored AS (SELECT question_id, sec, ends, CASE WHEN len(dw) > 0 THEN CAST(len(li
 @query(f"WITH {ALIGNED} SELECT question_id, CAST(sec AS BIGINT) AS start_sec, CAST(ends AS BIGINT) AS answer_start_sec, round(score, 6) AS score FROM scored WHERE score >= 0.45 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, sec) = 1")
 def caption_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each user turn's text is introduced in its conversation, turns being cues of 25 seconds; its second word, without its end, is a name."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    cues = turns.select(F.col("conv_id").alias("episode_id"), (F.col("turn") * 30).alias("start_sec"), (F.col("turn") * 30 + 25).alias("end_sec"), "text")
-    second = F.get(text.content_words(F.col("text")), F.lit(1))
-    name = F.when(F.length(second) > 1, F.substr(second, F.lit(1), F.length(second) - 1))
-    asked = turns.where("role = 'user'").select(F.col("conv_id").alias("episode_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question_text"), F.array_compact(F.array(name)).alias("speaker_names"), F.lit(0).alias("from_sec"), F.lit(None).cast("double").alias("until_sec"))
-    found = align.align(asked, cues)
+    found = align.align(*_turns_and_cues(spark, sf_dir))
     return found.select("question_id", F.col("start_sec").cast("long").alias("start_sec"), F.col("answer_start_sec").cast("long").alias("answer_start_sec"), F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH RECURSIVE {ALIGNED},
+cand AS (SELECT e, w.question_id % 1000 AS place, sec, CAST(round(score * 1000000) AS BIGINT) AS weight FROM scored w JOIN q USING (question_id) WHERE score >= 0.45),
+step AS (SELECT *, dense_rank() OVER (PARTITION BY e ORDER BY place) AS k FROM cand),
+chain AS (
+  SELECT DISTINCT e, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS sec, CAST(0 AS BIGINT) AS total, CAST([] AS BIGINT[]) AS path FROM cand
+  UNION ALL (
+    SELECT e, k + 1, sec, total, path FROM chain WHERE k < (SELECT max(k) FROM step)
+    UNION ALL
+    SELECT e, k, sec, total, path FROM (
+      SELECT s.e, s.k, CAST(s.sec AS BIGINT) AS sec, c.total + s.weight AS total, list_prepend(CAST(s.place * 1000000 + s.sec AS BIGINT), c.path) AS path,
+             row_number() OVER (PARTITION BY s.e, s.sec ORDER BY c.total + s.weight DESC, c.path) AS nth
+      FROM chain c JOIN step s ON c.e = s.e AND s.k = c.k + 1 AND s.sec > c.sec) WHERE nth = 1)),
+best AS (SELECT e, path FROM chain WHERE k = (SELECT max(k) FROM step) QUALIFY row_number() OVER (PARTITION BY e ORDER BY total DESC, path) = 1),
+chosen AS (SELECT e, v // 1000000 AS place, v % 1000000 AS sec FROM (SELECT e, unnest(path) AS v FROM best)),
+known AS (SELECT q.e, q.question_id % 1000 AS place, q.question_id, sec, least(1.0, weight / 1000000) AS sure FROM q
+  LEFT JOIN (SELECT e, place, sec, weight FROM chosen JOIN cand USING (e, place, sec)) c ON q.e = c.e AND q.question_id % 1000 = c.place),
+around AS (SELECT *, last_value(CASE WHEN sec IS NOT NULL THEN {{'p': place, 's': sec, 'c': sure}} END IGNORE NULLS) OVER (PARTITION BY e ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+  first_value(CASE WHEN sec IS NOT NULL THEN {{'p': place, 's': sec, 'c': sure}} END IGNORE NULLS) OVER (PARTITION BY e ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z FROM known)
+SELECT question_id, CAST(CASE WHEN sec IS NOT NULL THEN sec WHEN a IS NOT NULL AND z IS NOT NULL THEN floor(a.s + (z.s - a.s) * (CAST(place - a.p AS DOUBLE) / (z.p - a.p))) END AS BIGINT) AS start_sec,
+  round(CASE WHEN sec IS NOT NULL THEN sure WHEN a IS NOT NULL AND z IS NOT NULL THEN least(a.c, z.c) / 2 ELSE 0.0 END, 6) AS confidence FROM around""")
+def caption_times_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A time for each user turn: cues chosen together so that they follow the turns' order, times in between for the others."""
+    asked, cues = _turns_and_cues(spark, sf_dir)
+    places = asked.select("episode_id", "question_id", (F.col("question_id") % 1000).alias("place"))
+    sure = align.candidates(asked, cues).where(F.col("score") >= align.ACCEPT)
+    chosen = timeline.in_order(sure.join(places, ["episode_id", "question_id"]))
+    return timeline.between(places, chosen).select("question_id", "start_sec", F.round("confidence", 6).alias("confidence"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")).where("k is not null")
