@@ -276,14 +276,14 @@ class Passages:
                 shift = there - at
                 if (home, shift) in met:
                     continue
-                met.add((home, shift))
                 row_of, start_of, theirs, listed = self.homes[home]
                 if row_of == row and start_of + there >= start + at:
                     continue
-                # a whole window needs half of its other words on one side at least
+                # a whole window needs half of its other words on one side at least; a later place of the line may have them
                 beyond = there + width
                 if not (left is not None and there >= half and listed[there - half : there] == left) and listed[beyond : beyond + half] != right:
                     continue
+                met.add((home, shift))
                 a, b = max(0, -shift), min(len(own), len(theirs) - shift)
                 unlike = np.flatnonzero(own[a:b] != theirs[a + shift : b + shift])
                 edges = np.concatenate([[-1], unlike, [b - a]])

@@ -69,6 +69,24 @@ def test_windows_go_as_a_plain_search_finds(spark, rows, monkeypatch, keys, stre
     assert given(passages.repeats(docs)) == sorted(plain(rows))
 
 
+def test_a_line_that_fails_at_one_place_is_tried_at_the_next(spark):
+    """Copies with single words replaced, so that later passages stand at the same distance as phrases in other words."""
+    tune(spark)
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        words = prose(rng, 160).split(" ")
+        other = list(words)
+        for at in range(0, 90, 13):
+            other[at] = "edited"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        rows.append((1000 + k, " ".join(words[:90])))
+        for at in range(0, 90, 13):  # each phrase between the edits recurs in whole windows too
+            rows.append((2000 + 10 * k + at // 13, " ".join(["so", *other[max(at - 6, 0) : at + 22], "on"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert given(passages.repeats(docs)) == sorted(plain(sorted(rows)))
+
+
 def test_unlike_windows_of_one_hash_are_told_apart(spark, rows, monkeypatch):
     """A weak hash of windows makes them meet by mistake; another round with another hash settles what is left."""
     real = passages.rolled
