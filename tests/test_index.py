@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.functions import text
 from colloquy.operators import keyword, spelling
 from colloquy.sources import index
 
@@ -159,3 +160,22 @@ def test_a_second_build_pools_nothing(spark, tmp_path):
     assert made == 1 and key(artifacts.passage_vectors(changed, None, third)) == key(artifacts.passage_vectors(changed, artifacts.query_words(stored)))
     other = artifacts.word_table(words.where("term = 'cats'"))
     assert artifacts.cached_vectors(segments, other, path)[1] == 16
+
+
+def test_near_words_come_from_a_vocabulary_without_keys(spark, store, vocabulary):
+    """One row a word is stored, whatever its length, and a query compares it with what a shard lacks."""
+    tables, _ = store
+    stored = tables.read("spellings")
+    words = tables.read("keyword").select("shard", F.col("term").alias("word")).distinct()
+    assert sorted(stored.columns) == ["shard", "word"] and stored.count() == words.count()
+    rng = random.Random(3)
+    lacking = [(s, edited(rng, w, 1), n) for n, w in enumerate(vocabulary[60:66], 1) for s in ("2023", "2024")]
+    near = {(r.shard, r.word): r.n for r in keyword.near_words(tables.read("keyword"), lacking, stored).collect()}
+    terms = spark.createDataFrame(lacking, "shard string, term string, n int")
+    plain = terms.join(words, "shard").where(text.close_words(F.col("term"), F.col("word"))).groupBy("shard", "word").agg(F.sum("n").alias("n"))
+    assert near and near == {(r.shard, r.word): r.n for r in plain.collect()}
+
+
+def test_postings_of_one_segment_meet_without_a_shuffle_of_postings(store):
+    plan = keyword.postings(store[1])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(segment_id" in plan
