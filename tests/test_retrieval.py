@@ -172,3 +172,32 @@ def test_sampled_queries_repeat_by_seed(spark):
     pool = spark.createDataFrame([(f"q{i}",) for i in range(8)], "q string")
     draw = lambda: [r.q for r in facets.sample_queries(pool, 3, 5).collect()]
     assert draw() == draw() and len(set(draw())) == 3
+
+
+@pytest.mark.parametrize("side, small", [(1 << 27, 1 << 16), (1 << 9, 0)])
+def test_matrix_products_by_cells_agree_with_a_whole_one(spark, monkeypatch, side, small):
+    """One cell, or many: the leading factors of a matrix are the same, and no joined row of an entry and a vector is shuffled."""
+    import numpy as np
+
+    monkeypatch.setattr(semantic, "SIDE", side)
+    monkeypatch.setattr(semantic, "SMALL", small)
+    rng = np.random.default_rng(3)
+    base = rng.random((30, 4))
+    whole = base @ base.T
+    rows = [(f"w{i}", f"w{j}", float(whole[i, j])) for i in range(30) for j in range(30)]
+    found = {r.term: np.array(r.vec) for r in semantic.factorize(spark.createDataFrame(rows, "a string, b string, ppmi double"), 4, 6).collect()}
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    got = np.array([found[f"w{i}"] for i in range(30)])
+    assert np.abs(got @ got.T - unit @ unit.T).max() < 1e-9
+
+
+def test_products_need_no_join_of_entries_with_vectors(spark):
+    plans = []
+    rows = [(f"w{i}", f"w{j}", 1.0 + (i == j)) for i in range(6) for j in range(6)]
+
+    def cut(made):
+        plans.append(made._jdf.queryExecution().optimizedPlan().toString())
+        return made.localCheckpoint()
+
+    semantic.factorize(spark.createDataFrame(rows, "a string, b string, ppmi double"), 2, 2, cut=cut)
+    assert not any("Join" in p or "mean" in p for p in plans)
