@@ -19,55 +19,73 @@ from pyspark.sql.window import Window
 
 from colloquy.functions.text import embedding_tokens
 from colloquy.functions.vectors import dot, unit
-from colloquy.operators.order import stored
+from colloquy.operators import counts
+from colloquy.operators.order import numbered, stored, together
 
 LEAST, WINDOW, DIMENSIONS, MARGIN, POWER, SEED = 5, 5, 256, 16, 2, 0x1234ABCD
 #: About the most bytes of vectors and entries of the matrix in a cell of the product; entries up to which one cell does; groups in
 #: which a side's sums are added.
 SIDE, CELL, SMALL, SHARES = 128 << 20, 1 << 23, 1 << 16, 16
+#: Remainders of words by which pairs are parted, at least.
+SIDES = 6
 CHUNK, STRIDE, CHUNKS, NEIGHBOURS = 220, 190, 3, 8
 
 
 def token_rows(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, tokens: each document's embedding tokens in order."""
-    return docs.select(key, embedding_tokens(text).alias("tokens"))
+    """key, tokens: each document's embedding tokens in order. Texts are dealt out by key before they are cut."""
+    return together(docs.select(key, text.alias("_text")), key).select(key, embedding_tokens(F.col("_text")).alias("tokens"))
 
 
 def term_stats(tokens: DataFrame, key: str, least: int = LEAST) -> DataFrame:
-    """term, freq, df of the terms with ``least`` occurrences: one row a document and term before the shuffle."""
-    per_doc = tokens.select(key, F.explode("tokens").alias("term")).groupBy("term", key).agg(F.count("*").alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("freq"), F.count("*").alias("df")).where(F.col("freq") >= least)
+    """term, freq, df of the terms with ``least`` occurrences: one row a batch of documents and term is shuffled.
+
+    ``tokens``: ``token_rows``, which have a key's rows in one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, runs in counts.whole(batches, [key]):
+            words, _, word, n = counts.per_run([rows["tokens"].combine_chunks()], runs)
+            freq, df = (np.bincount(word, weights=w, minlength=len(words)).astype(np.int64) for w in (n[:, 0], None))
+            yield pa.RecordBatch.from_arrays([words, pa.array(freq), pa.array(df)], ["term", "freq", "df"])
+
+    per_batch = counts.batched(tokens.select(key, "tokens").sortWithinPartitions(key), run, "term string, freq long, df long")
+    return per_batch.groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("df").alias("df")).where(F.col("freq") >= least)
 
 
 def idf(documents: int) -> Column:
     return F.log(1 + F.lit(float(documents)) / F.col("df"))
 
 
+def _pair_cells(tokens: DataFrame, vocabulary: DataFrame, window: int) -> tuple[DataFrame, DataFrame, int]:
+    """Pairs of vocabulary words, packed by cell (see ``counts.pairs``); id, term; and the sides of the square of cells.
+
+    Documents are stored in blocks with a list of words each. The lists meet the vocabulary, a row a block and word, so rare words
+    go before any pair is made. Ids follow the order of the words.
+    """
+    blocks = stored(counts.blocks(tokens))
+    ids = stored(numbered(vocabulary.select("term"), "term", start=0, name="id"))
+    kept = blocks.select("block", F.posexplode("terms").alias("place", "term")).join(ids, "term").groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("kept"))
+    # a block has up to five million pairs, a cell about as many as one of them
+    sides = max(math.isqrt(blocks.count()) + 1, SIDES)
+    return counts.pairs(blocks.join(kept, "block"), window, sides), ids, sides
+
+
 def cooccurrences(tokens: DataFrame, key: str, vocabulary: DataFrame, window: int = WINDOW) -> DataFrame:
-    """a, b, n for a < b: pairs of unlike vocabulary words at most ``window`` positions apart.
+    """a, b, n for a < b: pairs of unlike vocabulary words at most ``window`` positions apart. Positions count all tokens.
 
-    Positions count all tokens. Pairs are made inside each document's array, so no self-join and no window shuffle. Words go as
-    64-bit hashes until they are counted (partially before the shuffle); the vocabulary gives the words back, which leaves out
-    pairs with a rare one.
+    Pairs are counted in blocks of documents and shuffled as packed numbers; a task adds up a cell of them and names its words.
     """
-    ids = F.col("ids")
-    shifted = lambda k: F.zip_with(F.slice(ids, 1, F.greatest(F.size(ids) - k, F.lit(0))), F.slice(ids, k + 1, F.size(ids)), lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
-    hashed = tokens.select(F.transform("tokens", lambda t: F.xxhash64(t)).alias("ids"))
-    pairs = hashed.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), shifted))).alias("p"))
-    counted = pairs.where("p.a <> p.b").groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    word = lambda of: vocabulary.select(F.xxhash64("term").alias(of), F.col("term").alias(f"{of}_word"))
-    named = counted.join(word("a"), "a").join(word("b"), "b")
-    return named.select(F.least("a_word", "b_word").alias("a"), F.greatest("a_word", "b_word").alias("b"), "n")
-
-
-def ppmi(pairs: DataFrame) -> DataFrame:
-    """a, b, ppmi > 0 in both directions."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    margin = both.groupBy("a").agg(F.sum("n").alias("of_a"))
-    total = pairs.agg((2 * F.sum("n")).alias("t")).collect()[0].t or 1
-    value = F.log(F.col("n") * F.lit(float(total)) / (F.col("of_a") * F.col("of_b")))
-    joined = both.join(margin, "a").join(margin.select(F.col("a").alias("b"), F.col("of_a").alias("of_b")), "b")
-    return joined.select("a", "b", value.alias("ppmi")).where("ppmi > 0")
+    cells, ids, sides = _pair_cells(tokens, vocabulary, window)
+    return counts.summed(cells, ids, sides, lambda n: {"n": n}, "a string, b string, n long")
+
+
+def ppmi(tokens: DataFrame, key: str, vocabulary: DataFrame, window: int = WINDOW) -> DataFrame:
+    """a, b, ppmi > 0 in both directions, of ``cooccurrences``. Cells are stored, and their words bring their sums with them."""
+    cells, ids, sides = _pair_cells(tokens, vocabulary, window)
+    cells = stored(cells)
+    words = stored(ids.join(counts.margins(cells), "id"))
+    total = float(words.agg(F.sum("m").alias("t")).head().t or 1)
+    made = counts.summed(cells, words, sides, lambda n, x, y: {"ppmi": np.log(n * total / (x.astype(float) * y))}, "a string, b string, ppmi double").where("ppmi > 0")
+    return made.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))), "ppmi")
 
 
 def _small(rows: DataFrame, make: Callable[[np.ndarray], np.ndarray], k: int) -> np.ndarray:
@@ -207,7 +225,7 @@ def train(docs: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS,
     """The word table: term, idf, vec."""
     tokens = token_rows(docs, key, text)
     stats = stored(term_stats(tokens, key, least))
-    vectors = factorize(ppmi(cooccurrences(tokens, key, stats)), dimensions, margin)
+    vectors = factorize(ppmi(tokens, key, stats), dimensions, margin)
     return stats.withColumn("idf", idf(docs.count())).join(vectors, "term").select("term", "idf", "vec")
 
 

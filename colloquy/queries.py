@@ -197,8 +197,7 @@ def cooccurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x.a, x.b, round(ln(x.n * CAST((SELECT sum(n) FROM both_) AS DOUBLE) / (CAST(p.m AS DOUBLE) * q.m)), 6) AS ppmi
 FROM both_ x JOIN margin p ON x.a = p.a JOIN margin q ON x.b = q.a WHERE ln(x.n * CAST((SELECT sum(n) FROM both_) AS DOUBLE) / (CAST(p.m AS DOUBLE) * q.m)) > 1e-9""")
 def ppmi_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = semantic.cooccurrences(_tokens(spark, sf_dir), "doc_id", _store(spark, sf_dir).read("statistics"))
-    return semantic.ppmi(pairs).where("ppmi > 1e-9").select("a", "b", F.round("ppmi", 6).alias("ppmi"))
+    return semantic.ppmi(_tokens(spark, sf_dir), "doc_id", _store(spark, sf_dir).read("statistics")).where("ppmi > 1e-9").select("a", "b", F.round("ppmi", 6).alias("ppmi"))
 
 
 def _factors_sql(steps: int = 36, size: int = 4) -> str:
@@ -229,7 +228,7 @@ def word_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four leading factors of the word matrix, by what no sign or rotation changes: cosines with the most frequent words."""
     tokens = _tokens(spark, sf_dir)
     stats = order.stored(semantic.term_stats(tokens, "doc_id"))
-    matrix = semantic.ppmi(semantic.cooccurrences(tokens, "doc_id", stats))
+    matrix = semantic.ppmi(tokens, "doc_id", stats)
     vectors_ = order.stored(semantic.factorize(matrix, 4, 12, 12))
     top = stats.orderBy(F.desc("freq"), "term").limit(3).select("term")
     rows = vectors_.join(top, "term").collect()  # three
