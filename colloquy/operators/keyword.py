@@ -9,15 +9,17 @@ before the shuffle; type, episode and start stand in the postings, so nothing bu
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from colloquy.functions.text import close_words, index_words
-from colloquy.operators import spelling
-from colloquy.operators.order import numbered, together
+from colloquy.functions.text import close_words, index_words, normalize_index
+from colloquy.operators import counts, spelling
+from colloquy.operators.order import numbered
 
 QUESTION, ANSWER, EXACT = 4, 1, 10
 CANDIDATES, RESULTS, DICTIONARY, SUGGESTIONS = 240, 200, 12_000, 8
@@ -40,7 +42,27 @@ def postings(segments: DataFrame) -> DataFrame:
 
     Segments are dealt out by id before they are cut into words, so texts are shuffled and postings are not.
     """
-    return terms_of(together(segments, "segment_id"), "segment_id", *META).groupBy("shard", "term", "segment_id", *META).agg(F.sum("boost").alias("weight"), F.count("*").alias("freq"))
+    keys = ["segment_id", "shard", *META]
+    return _counted(counts.by_key(segments.select(*keys, "question", "answer"), *keys), keys)
+
+
+def _counted(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Postings of texts whose rows of equal ``keys`` stand side by side; words are counted in each batch."""
+    fields = {f.name: f for f in texts.schema}
+    rest = [k for k in keys if k not in ("shard", "segment_id")]
+    out = StructType([fields["shard"], StructField("term", StringType()), fields["segment_id"], *(fields[k] for k in rest), StructField("weight", LongType()), StructField("freq", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, runs in counts.whole(batches, keys):
+            words, of, word, n = counts.per_run([counts.split(rows["_question"]), counts.split(rows["_answer"])], runs, 2)
+            own = rows.select(keys).take(pa.array(runs.searchsorted(range(int(runs[-1]) + 1))))
+            for at in range(0, len(of), counts.OUT):
+                cut = slice(at, at + counts.OUT)
+                made = {k: c.combine_chunks() for k, c in zip(keys, own.take(pa.array(of[cut])).columns)}
+                made |= {"term": words.take(pa.array(word[cut])), "weight": pa.array(n[cut, 0] * QUESTION + n[cut, 1] * ANSWER), "freq": pa.array(n[cut].sum(axis=1))}
+                yield pa.RecordBatch.from_arrays([made[f.name] for f in out], [f.name for f in out])
+
+    return counts.batched(texts.select(*keys, normalize_index(F.col("question")).alias("_question"), normalize_index(F.col("answer")).alias("_answer")), run, out)
 
 
 def ranked_terms(index: DataFrame, size: int = DICTIONARY) -> DataFrame:
@@ -163,15 +185,19 @@ def rank(index: DataFrame, segments: DataFrame, terms: list[str], kind: str = "a
     return best(hits.groupBy("segment_id", "shard", *META).agg(F.sum("contrib").alias("score")), n)
 
 
-def placed(index: DataFrame, size: int = BLOCK) -> DataFrame:
-    """An index with ``place`` and ``block``: segments numbered from 0, in each shard the longest first, ``size`` of them a block.
+def placed(segments: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The postings of segments with ``place`` and ``block``: segments numbered from 0, in each shard the longest first, ``size`` of them a block.
 
-    Long segments have the largest weights, so few blocks hold the best segments of most queries.
+    Long segments have the largest weights, so few blocks hold the best segments of most queries. Segments are placed and ranged by
+    place before they are cut into words: no posting is shuffled, and each partition's postings are sorted by (shard, block, term).
     """
-    lengths = index.groupBy("shard", "segment_id").agg(F.sum("freq").alias("words"))
-    places = numbered(lengths, "shard", F.desc("words"), "segment_id", start=0, name="place").select(F.col("segment_id").alias("of"), "place")
-    met = index.join(places, F.col("segment_id") == F.col("of")).drop("of")
-    return met.withColumn("block", F.floor(F.col("place") / size))
+    words = F.coalesce(F.size(index_words(F.col("question"))), F.lit(0)) + F.coalesce(F.size(index_words(F.col("answer"))), F.lit(0))
+    lengths = segments.select("shard", "segment_id", words.alias("_n")).groupBy("shard", "segment_id").agg(F.sum("_n").alias("words")).where("words > 0")
+    places = numbered(lengths, "shard", F.desc("words"), "segment_id", start=0, name="place").select(F.col("shard").alias("_shard"), F.col("segment_id").alias("_of"), "place")
+    met = segments.join(places, (F.col("segment_id") == F.col("_of")) & F.col("shard").eqNullSafe(F.col("_shard")))
+    keys = ["segment_id", "shard", *META, "place"]
+    ranged = met.select(*keys, "question", "answer").repartitionByRange("shard", "place").sortWithinPartitions("shard", "place", *META)
+    return _counted(ranged, keys).withColumn("block", F.floor(F.col("place") / size)).sortWithinPartitions("shard", "block", "term", "segment_id")
 
 
 def block_tops(index: DataFrame) -> DataFrame:
@@ -181,8 +207,7 @@ def block_tops(index: DataFrame) -> DataFrame:
 
 def facet_bitmaps(index: DataFrame, *facets: str) -> DataFrame:
     """facet, value, bucket, bits: for each value of a facet the places of its segments, 32,768 of them a bitmap."""
-    rows = index.select("place", F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets))).alias("f")).select("f.facet", "f.value", (F.col("place") + 1).alias("at"))
-    # a bit is set once however often its place comes, so postings need no distinct
+    rows = index.select("place", *facets).distinct().select("place", F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets))).alias("f")).select("f.facet", "f.value", (F.col("place") + 1).alias("at"))
     return rows.groupBy("facet", "value", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
 
 

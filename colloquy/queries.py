@@ -104,8 +104,9 @@ def keyword_filters_episode_type_year(spark: SparkSession, sf_dir: str) -> DataF
 
 def _blocks(spark: SparkSession, sf_dir: str, terms: list[str], shards: list[str] | None = None, **chosen: str) -> DataFrame:
     store = _store(spark, sf_dir)
-    shards = shards or sorted(r.shard for r in store.read("autocomplete").select("shard").distinct().collect())
-    found, _ = keyword.rank_blocks(store.read("blocks"), store.read("tops"), terms, shards, chosen, store.read("bitmaps"), spellings=lambda: store.read("spellings"))
+    blocks = store.read("blocks")
+    shards = shards or sorted(r.shard for r in segments(spark, sf_dir).select("shard").distinct().collect() if r.shard is not None)
+    found, _ = keyword.rank_blocks(blocks, store.read("tops"), terms, shards, chosen, store.read("bitmaps") if chosen else None, spellings=lambda: store.read("spellings"))
     return found
 
 

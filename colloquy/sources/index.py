@@ -5,7 +5,7 @@ keyword      shard, term, segment_id, weight and what filters and order need: ra
 autocomplete shard, term, freq, rk: the most frequent terms of each shard, sorted by term
 prefixes     shard, prefix, term, rk: the first suggestions of each prefix of up to four letters, sorted by prefix
 spellings    shard, word: each shard's vocabulary, sorted by word
-blocks       the keyword table with place and block, sorted by (shard, block, term)
+blocks       the keyword table's rows with place and block: ranged by (shard, place), sorted by (shard, block, term)
 tops         shard, term, block, top: the largest weight of a term in a block
 bitmaps      facet, value, bucket, bits: the places of each type's and episode's segments
 statistics   term, freq, df of the embedding tokens of all texts
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.operators import keyword, order, semantic
+from colloquy.operators import keyword, semantic
 
 
 def by_range(rows: DataFrame, *order: str) -> DataFrame:
@@ -49,15 +49,15 @@ class Store:
         if name == "prefixes":
             return by_range(keyword.prefix_blocks(self.read("autocomplete")), "shard", "prefix", "rk")
         if name == "spellings":
-            return by_range(self.read("keyword").select("shard", F.col("term").alias("word")).distinct(), "shard", "word")
+            return by_range(self.read("blocks" if "keyword" not in self.written and "blocks" in self.written else "keyword").select("shard", F.col("term").alias("word")).distinct(), "shard", "word")
         if name == "blocks":
-            return by_range(keyword.placed(self.read("keyword")), "shard", "block", "term", "segment_id")
+            return keyword.placed(self.segments())
         if name == "tops":
             return by_range(keyword.block_tops(self.read("blocks")), "shard", "term", "block")
         if name == "bitmaps":
             return keyword.facet_bitmaps(self.read("blocks"), "type", "episode_id").sortWithinPartitions("facet", "value")
         text = F.concat_ws("\n", F.nullif("question", F.lit("")), F.nullif("answer", F.lit("")))
-        return semantic.term_stats(semantic.token_rows(order.together(self.segments(), "segment_id"), "segment_id", text), "segment_id").sortWithinPartitions("term")
+        return semantic.term_stats(semantic.token_rows(self.segments(), "segment_id", text), "segment_id").sortWithinPartitions("term")
 
     def read(self, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
