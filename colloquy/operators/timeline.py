@@ -6,11 +6,17 @@ at most one a question, later questions at later cues, with the largest sum of s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colloquy.operators import counts
+
 #: Scores are counted in millionths, so that sums are exact and ties are ties.
 UNIT = 1_000_000
 
@@ -31,18 +37,16 @@ def in_blocks(candidates: DataFrame) -> DataFrame:
     return candidates.join(of, ["episode_id", "place", "question_id"])
 
 
-def best_chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one block that make its best chain, from place, question_id, start_sec, weight (whole, above 0).
+def chain_of(asked: list[tuple], starts: list, weights: list[int]) -> list[int]:
+    """The rows of one block that make its best chain; rows are sorted by ``asked`` (place, question_id), then start. Weights are whole, above 0.
 
     Of equal sums the chain whose last cue is earliest (by question, then by start), then the one before that, and so on. Each row
     looks up the best chain that ends before its start in a tree of running maxima: n log n steps.
     """
-    rows = rows.sort_values(["place", "question_id", "start_sec"], ignore_index=True)
-    ranks = rows["start_sec"].rank(method="dense").astype(int).tolist()
-    weights, n = rows["weight"].tolist(), len(rows)
-    best: list[tuple[int, int]] = [(0, 0)] * (max(ranks, default=0) + 1)  # (sum, -row - 1); (0, 0): no chain
+    places = {start: k for k, start in enumerate(sorted(set(starts)), 1)}
+    ranks, n = [places[start] for start in starts], len(starts)
+    best: list[tuple[int, int]] = [(0, 0)] * (len(places) + 1)  # (sum, -row - 1); (0, 0): no chain
     sums, before = [0] * n, [-1] * n
-    asked = list(zip(rows["place"].tolist(), rows["question_id"].tolist()))
     first = 0
     while first < n:
         end = first
@@ -62,23 +66,38 @@ def best_chain(rows: pd.DataFrame) -> pd.DataFrame:
     while at >= 0:
         chain.append(at)
         at = before[at]
-    return rows.iloc[chain[::-1]]
+    return chain[::-1]
+
+
+def best_chain(rows: pd.DataFrame) -> pd.DataFrame:
+    """``chain_of`` rows (place, question_id, start_sec, weight) in any order."""
+    rows = rows.sort_values(["place", "question_id", "start_sec"], ignore_index=True)
+    return rows.iloc[chain_of(list(zip(rows["place"].tolist(), rows["question_id"].tolist())), rows["start_sec"].tolist(), rows["weight"].tolist())]
 
 
 def in_order(candidates: DataFrame) -> DataFrame:
     """episode_id, place, question_id, start_sec, weight: the chosen cue of each question that has one.
 
     ``candidates``: episode_id, place (the question's number), question_id, start_sec, score. Rows with a null or a score of 0 or
-    less take no part; of repeated rows the best counts. Questions of one place stand in order of their ids. A task holds one
-    block, four numbers a row; with bounded windows for the cues of a question, blocks are a few questions long.
+    less take no part; of repeated rows the best counts. Questions of one place stand in order of their ids. A task holds a
+    batch of whole blocks, or one long block; with bounded windows for the cues of a question, blocks are a few questions long, so
+    they are solved by the batch.
     """
     names = ["episode_id", "place", "question_id", "start_sec"]
     weight = F.round(F.col("score") * UNIT).cast("long")
     rows = candidates.select(*names, weight.alias("weight")).where("weight > 0").dropna().groupBy(*names).agg(F.max("weight").alias("weight"))
-    blocks = in_blocks(rows)
-    shape = rows.schema
-    own = [f.name for f in shape.fields]
-    return blocks.groupBy("episode_id", "block").applyInPandas(lambda pdf: best_chain(pdf)[own], shape)
+    own, keys = rows.columns, ["episode_id", "block"]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, runs in counts.whole(batches, keys):
+            place, asked, starts, weights = (table[c].to_pylist() for c in ("place", "question_id", "start_sec", "weight"))
+            asked, chosen = list(zip(place, asked)), []
+            edges = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(runs)]
+            for first, end in zip(edges, edges[1:]):
+                chosen += [first + i for i in chain_of(asked[first:end], starts[first:end], weights[first:end])]
+            yield from table.select(own).take(pa.array(chosen)).to_batches(counts.OUT)
+
+    return counts.batched(in_blocks(rows).repartition(*keys).sortWithinPartitions(*keys, "place", "question_id", "start_sec"), solve, rows.schema)
 
 
 def between(questions: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -63,3 +63,20 @@ def test_times_between(spark):
     asked = spark.createDataFrame([("e", i, q) for i, q in enumerate("abcdefg", 1)] + [("x", 1, "lone")], "episode_id string, place long, question_id string")
     got = {r.question_id: (r.start_sec, r.confidence) for r in timeline.between(asked, chosen).collect()}
     assert got == {"a": (None, 0.0), "b": (100, 0.8), "c": (125, 0.4), "d": (150, 0.4), "e": (175, 0.4), "f": (201, 1.0), "g": (None, 0.0), "lone": (None, 0.0)}
+
+
+def test_short_blocks_are_solved_by_the_batch(spark, monkeypatch):
+    """Many blocks of two questions: their chains are those of each block by itself, whatever batches cut."""
+    monkeypatch.setattr(timeline.counts, "ROWS", 3)
+    rng = random.Random(11)
+    rows = [(e, q, q, 100 * (q // 2) + rng.randrange(40), rng.random()) for e in range(12) for q in range(8) for _ in range(3)]
+    candidates = spark.createDataFrame(rows, "episode_id int, place int, question_id int, start_sec int, score double")
+    found = timeline.in_order(candidates)
+    best = {}
+    for e, q, _, s, score in rows:
+        best[e, q, s] = max(best.get((e, q, s), 0), round(score * timeline.UNIT))
+    for e in range(12):
+        own = pd.DataFrame([(q, q, s, w) for (of, q, s), w in best.items() if of == e and w], columns=["place", "question_id", "start_sec", "weight"])
+        want = [tuple(r) for r in timeline.best_chain(own).itertuples(index=False)]
+        assert sorted((r.place, r.question_id, r.start_sec, r.weight) for r in found.where(f"episode_id = {e}").collect()) == want
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()  # no frame a block
