@@ -142,12 +142,13 @@ def candidates(questions: DataFrame, cues: DataFrame) -> DataFrame:
     asked = questions.select("episode_id", "question_id", "from_sec", F.coalesce(F.col("until_sec").cast("double"), F.lit(float("inf"))).alias("until_sec"), content_words(F.col("question_text")).alias("words"), F.transform("speaker_names", content_words).alias("names"))
     heard = look_ahead(cues).select("episode_id", F.col("start_sec").alias("at"), "start_sec", "end_sec", flat(F.col("text")).alias("flat"), content_words(F.col("text")).alias("heard"), flat(F.col("ahead")).alias("ahead"))
     met = meet(asked, heard, F.col("from_sec"), F.col("until_sec")).where(F.col("at") < F.col("until_sec"))
-    rows = met.withColumn("named", name_score(F.col("names"), F.col("heard")))
+    # an array of one is made once; a plain column would be computed anew in each filter that names it
+    rows = met.select("*", F.explode(F.array(name_score(F.col("names"), F.col("heard")))).alias("named"))
     opens = F.exists(F.slice("words", 1, OPENING), lambda w: F.contains(F.col("flat"), w))
     first = F.get(F.filter("words", lambda w: F.contains(F.col("ahead"), w)), F.lit(0))
     late = F.coalesce(F.least(F.lit(LATEST), (F.position(first, F.col("ahead")) - 1) / PACE), F.lit(LATEST))
-    rows = rows.where((F.col("named") > 0) | opens).withColumn("score", overlap(F.col("words"), F.col("ahead")) + F.col("named") * NAME_WEIGHT - late)
-    return rows.select("episode_id", "question_id", "start_sec", "end_sec", "score")
+    score = overlap(F.col("words"), F.col("ahead")) + F.col("named") * NAME_WEIGHT - late
+    return rows.where((F.col("named") > 0) | opens).select("episode_id", "question_id", "start_sec", "end_sec", F.explode(F.array(score)).alias("score"))
 
 
 def align(questions: DataFrame, cues: DataFrame) -> DataFrame:
