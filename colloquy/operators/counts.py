@@ -110,6 +110,15 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as packed steps."""
+    return packed(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def _keys(steps: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(steps, np.int64))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], most: int, rest: list[str]) -> Iterator[pa.RecordBatch]:
     """block, terms (sorted), codes, sizes (both packed): many texts' words as places in one list, and how many each text has; rest: as lists.
 
@@ -198,7 +207,7 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pairs(known_blocks: DataFrame, window: int, sides: int) -> DataFrame:
-    """cell, a, b (keys of the pair), n: pairs of unlike words at most ``window`` places apart in a text, a row a block and cell.
+    """cell, keys, n (both packed): pairs of unlike words at most ``window`` places apart in a text, a row a block and cell.
 
     ``known_blocks``: ``blocks`` with ``kept``: (place, id) of the words that count; others keep their places. Keys have the smaller
     id above, and a cell has the pairs whose ids leave the same remainders by ``sides``."""
@@ -224,7 +233,7 @@ def pairs(known_blocks: DataFrame, window: int, sides: int) -> DataFrame:
                 cells, first = np.unique(cell[order], return_index=True)
                 keys, n = keys[order], n[order]
                 for c, start, stop in zip(cells.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]):
-                    yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([keys[start:stop].tobytes()]), pa.array([n[start:stop].tobytes()])], ["cell", "keys", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([_steps(keys[start:stop])]), pa.array([packed(n[start:stop])])], ["cell", "keys", "n"])
 
     return batched(known_blocks, run, "cell long, keys binary, n binary")
 
@@ -235,34 +244,45 @@ def margins(cells: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, n in zip(batch.column("keys"), batch.column("n")):
-                keys, n = np.frombuffer(keys.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
+                keys, n = _keys(keys.as_py()), unpacked(n.as_py(), np.int64)
                 ids, m = _summed(np.concatenate([keys >> ID_BITS, keys & ID_MASK]), np.concatenate([n, n]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(m)], ["id", "m"])
 
     return batched(cells.select("keys", "n"), run, "id long, m long").groupBy("id").agg(F.sum("m").alias("m"))
 
 
-def summed(cells: DataFrame, words: DataFrame, sides: int, value: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """a, b and what ``value`` makes of n: each pair once, counted over all blocks, under its words; a task holds one cell.
+def met(cells: DataFrame, words: DataFrame, sides: int, make: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.StructArray], pa.Table], schema: str) -> DataFrame:
+    """What ``make`` makes of each cell: of its pairs' keys in order, their sums of n over all blocks, and both words' places in the cell's words.
 
-    ``words``: id, term and whatever ``value`` is given of both words besides n. Each word goes to the cells of its remainder."""
-    more = [c for c in words.columns if c not in ("id", "term")]
+    ``words``: id and what else is needed of a word. Each word goes to the cells of its remainder; a task holds one cell."""
     share = F.pmod(F.col("id"), F.lit(sides))
-    packed = words.groupBy(share.alias("share")).agg(F.collect_list(F.struct("id", "term", *more)).alias("words"))
+    packed_ = words.groupBy(share.alias("share")).agg(F.collect_list(F.struct(*words.columns)).alias("words"))
     all_ = F.sequence(F.lit(0), F.lit(sides - 1))
     cell = F.array_distinct(F.concat(F.transform(all_, lambda i: F.col("share") * sides + i), F.transform(all_, lambda i: i * sides + F.col("share"))))
-    copies = packed.select(F.explode(cell).alias("cell"), "words")
+    copies = packed_.select(F.explode(cell).alias("cell"), "words")
 
     def merge(own: pa.Table, of: pa.Table) -> pa.Table:
-        names = [f.split()[0] for f in schema.split(", ")]
-        read = lambda c: np.concatenate([np.frombuffer(x, np.int64) for x in own[c].to_pylist()] or [np.zeros(0, np.int64)])
-        keys, n = _summed(read("keys"), read("n"))
+        none = np.zeros(0, np.int64)
+        keys, n = _summed(np.concatenate([none, *(_keys(x.as_py()) for x in own["keys"])]), np.concatenate([none, *(unpacked(x.as_py(), np.int64) for x in own["n"])]))
         known = pa.concat_arrays([x.flatten() for x in of["words"].chunks])
         ids = known.field("id").to_numpy()
         order = np.argsort(ids)
         x, y = (order[np.searchsorted(ids[order], k)] for k in (keys >> ID_BITS, keys & ID_MASK))
+        return make(keys, n, x, y, known)
+
+    return cells.groupBy("cell").cogroup(copies.groupBy("cell")).applyInArrow(merge, schema)
+
+
+def summed(cells: DataFrame, words: DataFrame, sides: int, value: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """a, b and what ``value`` makes of n: each pair once, counted over all blocks, under its words.
+
+    ``words``: id, term and whatever ``value`` is given of both words besides n."""
+    more = [c for c in words.columns if c not in ("id", "term")]
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def make(keys: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, known: pa.StructArray) -> pa.Table:
         given = [known.field(c).to_numpy()[at] for c in more for at in (x, y)]
         made = {"a": known.field("term").take(pa.array(x)), "b": known.field("term").take(pa.array(y))} | value(n, *given)
         return pa.table({c: made[c] for c in names})
 
-    return cells.groupBy("cell").cogroup(copies.groupBy("cell")).applyInArrow(merge, schema)
+    return met(cells, words, sides, make, schema)

@@ -29,9 +29,10 @@ SIDES = 6
 CHUNK, STRIDE, CHUNKS, NEIGHBOURS = 220, 190, 3, 8
 
 
-def token_rows(docs: DataFrame, key: str, text: Column, *keep: str) -> DataFrame:
-    """key, keep, tokens: each document's embedding tokens in order. Texts are dealt out by key before they are cut."""
-    return together(docs.select(key, *keep, text.alias("_text")), key).select(key, *keep, embedding_tokens(F.col("_text")).alias("tokens"))
+def token_rows(docs: DataFrame, key: str, text: Column, *keep: str, dealt: bool = True) -> DataFrame:
+    """key, keep, tokens: each document's embedding tokens in order. Texts are dealt out by key before they are cut, if they are to be."""
+    rows = docs.select(key, *keep, text.alias("_text"))
+    return (together(rows, key) if dealt else rows).select(key, *keep, embedding_tokens(F.col("_text")).alias("tokens"))
 
 
 def term_stats(tokens: DataFrame, key: str, least: int = LEAST) -> DataFrame:

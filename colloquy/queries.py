@@ -174,8 +174,8 @@ rows_ AS (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1)
 stats AS (SELECT term, count(*) AS freq, count(DISTINCT doc_id) AS df FROM rows_ GROUP BY term HAVING count(*) >= 5)"""
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic.token_rows(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")))
+def _tokens(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    return semantic.token_rows(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")), dealt=dealt)
 
 
 @query(f"WITH {TOKENS} SELECT term, freq, df, round(ln(1 + (SELECT count(*) FROM documents) / df), 6) AS idf FROM stats")
@@ -191,14 +191,14 @@ pairs AS (SELECT least(x.term, y.term) AS a, greatest(x.term, y.term) AS b, coun
 
 @query(f"WITH {PAIRS} SELECT a, b, n FROM pairs")
 def cooccurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic.cooccurrences(_tokens(spark, sf_dir), "doc_id", _store(spark, sf_dir).read("statistics"))
+    return semantic.cooccurrences(_tokens(spark, sf_dir, False), "doc_id", _store(spark, sf_dir).read("statistics"))
 
 
 @query(f"""WITH {PAIRS}, both_ AS (SELECT a, b, n FROM pairs UNION ALL SELECT b, a, n FROM pairs), margin AS (SELECT a, sum(n) AS m FROM both_ GROUP BY a)
 SELECT x.a, x.b, round(ln(x.n * CAST((SELECT sum(n) FROM both_) AS DOUBLE) / (CAST(p.m AS DOUBLE) * q.m)), 6) AS ppmi
 FROM both_ x JOIN margin p ON x.a = p.a JOIN margin q ON x.b = q.a WHERE ln(x.n * CAST((SELECT sum(n) FROM both_) AS DOUBLE) / (CAST(p.m AS DOUBLE) * q.m)) > 1e-9""")
 def ppmi_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic.ppmi(_tokens(spark, sf_dir), "doc_id", _store(spark, sf_dir).read("statistics")).where("ppmi > 1e-9").select("a", "b", F.round("ppmi", 6).alias("ppmi"))
+    return semantic.ppmi(_tokens(spark, sf_dir, False), "doc_id", _store(spark, sf_dir).read("statistics")).where("ppmi > 1e-9").select("a", "b", F.round("ppmi", 6).alias("ppmi"))
 
 
 def _factors_sql(steps: int = 36, size: int = 4) -> str:

@@ -51,3 +51,24 @@ def test_pairs_of_blocks_add_up(spark, monkeypatch, words):
     assert {(r.a, r.b) for r in semantic.cooccurrences(tokens, "id", few).collect()} == {("t18", "t19")}
     empty = semantic.ppmi(tokens, "id", stats.limit(0))
     assert empty.count() == 0
+
+
+def test_pairs_are_stored_in_few_bytes(spark):
+    """Keys of pairs come back from their packed steps; a pair takes a few bytes, where two plain numbers take sixteen."""
+    import numpy as np
+
+    for own in (np.array([5, -1, 1 << 40]), np.zeros(0, np.int64), np.arange(7, dtype=np.int32)):
+        assert counts.unpacked(counts.packed(own), own.dtype.type).tolist() == own.tolist()
+    rng = random.Random(5)
+    texts = [(k, " ".join(f"w{int(1500 * rng.random() ** 2)}" for _ in range(300))) for k in range(300)]
+    tokens = semantic.token_rows(spark.createDataFrame(texts, "id int, t string"), "id", F.col("t"))
+    cells, ids, sides = semantic._pair_cells(tokens, semantic.term_stats(tokens, "id"), 5)
+    rows = cells.collect()
+    pairs = sum(len(counts.unpacked(r.n, np.int64)) for r in rows)
+    assert pairs > 50_000 and sum(len(r["keys"]) + len(r.n) for r in rows) < 5 * pairs
+    known = ids.count()
+    for r in rows:
+        keys = np.cumsum(counts.unpacked(r["keys"], np.int64))
+        low, high = keys >> counts.ID_BITS, keys & counts.ID_MASK
+        assert (np.diff(keys) > 0).all() and (low < high).all() and high.max() < known
+        assert set(low % sides * sides + high % sides) == {r.cell}
