@@ -115,10 +115,19 @@ def _steps(keys: np.ndarray) -> bytes:
     return packed(np.diff(keys, prepend=keys.dtype.type(0)))
 
 
-def _keys(steps: bytes) -> np.ndarray:
+def keys_of(steps: bytes) -> np.ndarray:
     return np.cumsum(unpacked(steps, np.int64))
 
 
+#: Packed entries of a matrix, and how many.
+ENTRIES = "keys binary, value binary, size long"
+
+
+def entries_of(keys: np.ndarray, value: np.ndarray) -> pa.Table:
+    """A row of ``ENTRIES`` with sorted keys and their values."""
+    return pa.table({"keys": pa.array([_steps(keys)], pa.binary()), "value": pa.array([packed(value)], pa.binary()), "size": pa.array([len(keys)])})
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], most: int, rest: list[str]) -> Iterator[pa.RecordBatch]:
     """block, terms (sorted), codes, sizes (both packed): many texts' words as places in one list, and how many each text has; rest: as lists.
 
@@ -244,7 +253,7 @@ def margins(cells: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, n in zip(batch.column("keys"), batch.column("n")):
-                keys, n = _keys(keys.as_py()), unpacked(n.as_py(), np.int64)
+                keys, n = keys_of(keys.as_py()), unpacked(n.as_py(), np.int64)
                 ids, m = _summed(np.concatenate([keys >> ID_BITS, keys & ID_MASK]), np.concatenate([n, n]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(m)], ["id", "m"])
 
@@ -263,7 +272,7 @@ def met(cells: DataFrame, words: DataFrame, sides: int, make: Callable[[np.ndarr
 
     def merge(own: pa.Table, of: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
-        keys, n = _summed(np.concatenate([none, *(_keys(x.as_py()) for x in own["keys"])]), np.concatenate([none, *(unpacked(x.as_py(), np.int64) for x in own["n"])]))
+        keys, n = _summed(np.concatenate([none, *(keys_of(x.as_py()) for x in own["keys"])]), np.concatenate([none, *(unpacked(x.as_py(), np.int64) for x in own["n"])]))
         known = pa.concat_arrays([x.flatten() for x in of["words"].chunks])
         ids = known.field("id").to_numpy()
         order = np.argsort(ids)

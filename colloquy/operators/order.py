@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,28 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def apart(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that ``together`` deals to unlike partitions, or evenly if they are more than those."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found: dict[int, list[int]] = {}
+    for number, part in spark.range(16 * max(n, parts)).select("id", F.pmod(F.hash("id"), F.lit(parts))).collect():
+        found.setdefault(part, []).append(number)
+    return [number for _, number in sorted((place, number) for own in found.values() for place, number in enumerate(own))[:n]]
+
+
+def stored_by(rows: DataFrame, key: str, cut: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """The rows stored with those of a key in one partition, in a way that later groups by the key read them where they are.
+
+    Adaptive plans don't tell how their rows are dealt out, so this one is made as it stands."""
+    conf = rows.sparkSession.conf
+    was = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(together(rows, key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", was)
+
+
 def together(rows: DataFrame, key: str) -> DataFrame:
     """The rows with those of a key in one partition: counts by the key and what a row explodes to need no further shuffle."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -227,10 +227,8 @@ SELECT t.term, p.term AS probe, round(({' + '.join(f't.r{j} * p.{c}' for j, c in
 @query(_factors_sql())
 def word_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four leading factors of the word matrix, by what no sign or rotation changes: cosines with the most frequent words."""
-    tokens = _tokens(spark, sf_dir)
-    stats = order.stored(semantic.term_stats(tokens, "doc_id"))
-    matrix = semantic.ppmi(tokens, "doc_id", stats)
-    vectors_ = order.stored(semantic.factorize(matrix, 4, 12, 12))
+    stats = order.stored(semantic.term_stats(_tokens(spark, sf_dir), "doc_id"))
+    vectors_ = order.stored(semantic.factors(_tokens(spark, sf_dir, False), stats.select("term"), 4, 12, 12))
     top = stats.orderBy(F.desc("freq"), "term").limit(3).select("term")
     rows = vectors_.join(top, "term").collect()  # three
     probes = F.inline(F.array(*(F.struct(F.lit(r.term).alias("probe"), F.array(*map(F.lit, r.vec)).alias("of")) for r in rows)))
