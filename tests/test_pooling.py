@@ -19,3 +19,17 @@ def test_pooling_moves_a_vector_once_a_block(spark, monkeypatch, most):
     assert {(r.id, r.k): pytest.approx(r.vec) for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate_metrics" not in plan and "summarizer" not in plan.lower()
+
+
+def test_blocks_are_smaller_where_vectors_are_longer(spark, monkeypatch):
+    """A block meets the vectors of its words in one row: it has an eighth of the words if they are doubles, and the same sums."""
+    monkeypatch.setattr(counts, "POOLED_WORDS", 16)
+    monkeypatch.setattr(counts, "ROWS", 2)
+    made, blocks = [], counts.blocks
+    monkeypatch.setattr(counts, "blocks", lambda *a, **k: made.append(blocks(*a, **k)) or made[-1])
+    rows = spark.createDataFrame([(k, "cats dogs cats") for k in range(40)], "id int, t string").coalesce(1)
+    words = spark.createDataFrame([("cats", 1.5, [127, 0]), ("dogs", 2.0, [0, 127])], "term string, idf double, q array<tinyint>")
+    tokens = semantic.token_rows(rows, "id", F.col("t"))
+    pooled = [semantic.pool(tokens, "id", w).collect() for w in (words, words.withColumn("vec", F.col("q").cast("array<double>")).drop("q"))]
+    assert {r.id: pytest.approx(r.vec) for r in pooled[0]} == {r.id: r.vec for r in pooled[1]} and len(pooled[0]) == 40
+    assert made[1].count() > made[0].count() >= 4
